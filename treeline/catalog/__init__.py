@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("files_queries",)
+MODULES = ("files_queries", "tree_queries", "plan_queries", "telemetry_queries", "similarity_queries",
+           "surface_queries")
 
 
 def load():

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.functions.columns import as_col
 from treeline.schema import ALGORITHMS
@@ -16,7 +17,7 @@ from treeline.schema import ALGORITHMS
 _SEED_ZERO = -365884300664092260
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake2b_256(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else hashlib.blake2b(b, digest_size=32).hexdigest())
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.paths import ancestors, base_name, is_under, parent_of
+from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK
 from treeline.sources.tables import covered_by
 
@@ -115,13 +116,30 @@ def apply_ownership(inv: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def apply_plan(inv: DataFrame, plan: DataFrame, now: Column, limit: int = ROWS_PER_TASK) -> DataFrame:
-    """Apply the removals, moves and copies of a plan; skipped and conflicting rows do nothing."""
-    live = plan.filter(~F.col("status").isin("skipped", "conflict", "would_remove"))
-    pair = [F.col("source_path").alias("source"), F.col("target_path").alias("target")]
-    inv = apply_copy(inv, live.filter("action = 'copy'").select(*pair), now, limit)
-    inv = apply_move(inv, live.filter("action = 'move'").select(*pair), limit)
-    gone = live.filter("action = 'remove'").select(F.col("source_path").alias("path"))
-    return apply_remove(inv, gone)
+    """Apply the copies, moves and removals of a plan, in this order; skipped and
+    conflicting rows do nothing.
+
+    The plan is materialised, since it was made from the same inventory, and so is the
+    snapshot between two kinds of action: the plan of a query stays small.
+    """
+    live = cut_lineage(
+        plan.filter(~F.col("status").isin("skipped", "conflict", "would_remove")).select(
+            "action", F.col("source_path").alias("source"), F.col("target_path").alias("target")
+        )
+    )
+    present = {row["action"] for row in live.select("action").distinct().collect()}  # a few names
+    steps = {
+        "copy": lambda snap, rows: apply_copy(snap, rows, now, limit),
+        "move": lambda snap, rows: apply_move(snap, rows, limit),
+        "remove": lambda snap, rows: apply_remove(snap, rows.select(F.col("source").alias("path"))),
+    }
+    todo = [name for name in steps if name in present]
+    for turn, name in enumerate(todo):
+        rows = live.filter(F.col("action") == name).select("source", "target")
+        inv = steps[name](inv, rows)
+        if turn < len(todo) - 1:
+            inv = cut_lineage(inv)
+    return inv
 
 
 def backup_manifest(plan: DataFrame, backup_dir: str) -> DataFrame:

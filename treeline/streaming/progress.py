@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from treeline.operators.telemetry import life_cycle_parts, status_after
 from treeline.session import scratch
@@ -144,7 +145,7 @@ def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    return spark.read.schema(df.schema.add("batch", "bigint")).option("basePath", f"{base}/out").parquet(
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).option("basePath", f"{base}/out").parquet(
         f"{base}/out"
     )
 
