@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeline.catalog.data import query, table
+from treeline.functions.columns import once
 from treeline.operators import content, signatures, texts, vectors
 from treeline.operators.components import components
 from treeline.session import cut_lineage
@@ -67,8 +68,8 @@ _BANDS_SQL = ", ".join(
   WHERE distance <= 3""")
 def _(spark, sf_dir):
     counts = F.array(*[F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in _CELLS])
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), counts.alias("v"))
-    signed = docs.select("id", signatures.difference_signature("v").alias("s")).select("id", "s.*")
+    table_docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    signed = once(once(table_docs, v=counts), s=signatures.difference_signature("v")).select("id", "s.*")
     found = signatures.hamming_pairs(signed, 3)
     return found.withColumn("distance", F.col("distance").cast("bigint"))
 

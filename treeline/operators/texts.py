@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.functions.columns import as_col
+from treeline.functions.columns import as_col, once
 from treeline.operators.components import components
+from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK, skew_join, skew_self_join
 
 WORDS = 3
@@ -18,25 +19,44 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(as_col(text)), "[ \\t\\r\\n]+"), lambda w: w != "")
 
 
-def _shingles(words: Column) -> Column:
-    """Distinct runs of three words. Shifted copies of the array are zipped, so every
-    word is handled once per shift."""
-    n = F.size(words)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    triples = F.zip_with(pairs, F.slice(words, F.lit(3), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.array_compact(triples))
+def _with_shingles(docs: DataFrame) -> DataFrame:
+    """Add ``set``, the distinct runs of three words of ``text``, and its size ``n``.
+
+    Shifted copies of the word array are zipped, so every word is handled once per shift;
+    each step is computed once per row.
+    """
+    def joined(a: Column, b: Column) -> Column:
+        return F.concat(a, F.lit(" "), b)
+
+    words = once(docs, _w=tokens("text"))
+    count = F.size("_w")
+    runs = once(
+        words,
+        _r=F.zip_with(
+            F.zip_with("_w", F.slice("_w", F.lit(2), count), joined),
+            F.slice("_w", F.lit(3), count),
+            joined,
+        ),
+    )
+    sets = once(runs, set=F.array_distinct(F.array_compact("_r"))).drop("_w", "_r")
+    return sets.withColumn("n", F.size("set")).filter(F.col("n") >= MIN_SHINGLES)
+
+
+def _word_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return once(named, words=F.sha2(F.array_join(tokens("text"), " "), 256)).select("id", "words")
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rep, id) for every document: the least id among those with the same words.
+    """(rep, id, copies) for every document: the least id among those with the same words.
 
     Only digests are grouped, so copies of one text collapse before the shuffle.
     """
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.sha2(F.array_join(tokens(text_col), " "), 256).alias("words")
+    keyed = _word_digests(docs, id_col, text_col)
+    reps = keyed.groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return skew_join(keyed, reps, ["words"], "inner", ["id"], rows_per_key="copies").select(
+        "rep", "id", "copies"
     )
-    reps = keyed.groupBy("words").agg(F.min("id").alias("rep"))
-    return skew_join(keyed, reps, ["words"], "inner", ["id"]).select("rep", "id")
 
 
 def near_duplicate_pairs(
@@ -53,32 +73,29 @@ def near_duplicate_pairs(
     the first n - ceil(t*n) + 1 of either text, so only those are joined, and those that
     occur in one text only are dropped unseen. Exact: nothing is capped or sampled.
     """
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.sha2(F.array_join(tokens(text_col), " "), 256).alias("words")
-    )
-    reps = keyed.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    texts = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(reps.select("id", "copies"), "id")
-        .select("id", "copies", _shingles(tokens("text")).alias("set"))
-        .withColumn("n", F.size("set"))
-        .filter(F.col("n") >= MIN_SHINGLES)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    reps = (
+        _word_digests(docs, id_col, text_col)
+        .groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+        .select("id", "copies")
     )
+    originals = named.join(reps, "id")
+    texts = _with_shingles(originals)
     # equal shingles have equal hashes; a collision can only add a candidate
     hashes = texts.select("id", "n", F.explode(F.transform("set", lambda s: F.xxhash64(s))).alias("h"))
     shared = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = skew_join(hashes, shared, ["h"], "inner", ["id"])
+    common = skew_join(hashes, shared, ["h"], "inner", ["id"], rows_per_key="df")
     # ranks: the n - m shingles nobody shares come first and match nothing
     ranked = common.groupBy("id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("rest")  # one text's shingles
+        F.collect_list(F.struct("df", "h")).alias("rest")  # one text's shingles
     )
     reach = (
         F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("rest"))
     ).cast("int")
-    prefix = (
-        ranked.withColumn("reach", reach)
-        .filter("reach > 0")
-        .select("id", "n", F.explode(F.slice("rest", F.lit(1), F.col("reach"))).alias("s"))
+    heads = ranked.withColumn("reach", reach).filter("reach > 0")
+    # small next to the texts, and used on both sides of the join
+    prefix = cut_lineage(
+        heads.select("id", "n", F.explode(F.slice(F.sort_array("rest"), F.lit(1), F.col("reach"))).alias("s"))
         .select("id", "n", F.col("s.h").alias("h"))
         .distinct()
     )
@@ -87,21 +104,25 @@ def near_duplicate_pairs(
         small, large = F.least(left + "n", right + "n"), F.greatest(left + "n", right + "n")
         return (F.col(left + "id") < F.col(right + "id")) & (small >= F.lit(threshold) * large - 1e-9)
 
-    candidates = (
+    candidates = cut_lineage(
         skew_self_join(prefix, ["h"], possible, ["id"], limit)
         .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
         .distinct()
     )
-    left = texts.select(*[F.col(c).alias(x) for c, x in
-                          (("id", "a"), ("set", "set_a"), ("n", "n_a"), ("copies", "copies_a"))])
-    right = texts.select(*[F.col(c).alias(x) for c, x in
-                           (("id", "b"), ("set", "set_b"), ("n", "n_b"), ("copies", "copies_b"))])
-    both = skew_join(candidates, left, ["a"], "inner", ["b"])
-    both = skew_join(both, right, ["b"], "inner", ["a"])
+    # only texts that are in a candidate are taken apart again
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    judged = _with_shingles(originals.join(asked, "id", "left_semi"))
+
+    def side(x: str) -> DataFrame:
+        names = (("id", x), ("set", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
+        return judged.select(*[F.col(c).alias(out) for c, out in names])
+
+    both = skew_join(candidates, side("a"), ["a"], "inner", ["b"])
+    both = skew_join(both, side("b"), ["b"], "inner", ["a"])
     common_count = F.size(F.array_intersect("set_a", "set_b"))
     jaccard = F.col("_common") / (F.col("n_a") + F.col("n_b") - F.col("_common"))
     return (
-        both.withColumn("_common", common_count)
+        once(both, _common=common_count)
         .withColumn("similarity", jaccard)
         .filter(F.col("similarity") >= threshold)
         .select("a", "b", "similarity", "copies_a", "copies_b")
@@ -115,13 +136,15 @@ def near_duplicate_clusters(
     the least id in it; copies follow their representative without forming pairs."""
     linked = components(pairs.select("a", "b"))
     texts = distinct_texts(docs, id_col, text_col)
-    sizes = texts.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     groups = (
-        sizes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        texts.filter("id = rep")
+        .join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .filter("component IS NOT NULL OR copies > 1")
-        .select("rep", F.coalesce("component", "rep").alias("cluster"))
+        .select("rep", "copies", F.coalesce("component", "rep").alias("cluster"))
     )
-    return skew_join(texts, groups, ["rep"], "inner", ["id"]).select("id", "cluster")
+    return skew_join(
+        texts.select("id", "rep"), groups, ["rep"], "inner", ["id"], rows_per_key="copies"
+    ).select("id", "cluster")
 
 
 def cluster_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:

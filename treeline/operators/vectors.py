@@ -105,16 +105,18 @@ def _blocks(
     def block_of(count: str):
         return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
 
+    # different names on the two sides: both come from the same placed vectors
     visitors = visit.join(sizes, "cell").select(
-        "cell", block_of("v_blocks").alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.col("h_blocks") - 1)).alias("hb"), "id", "vec", "home",
+        F.col("cell").alias("l_cell"), block_of("v_blocks").alias("l_vb"),
+        F.explode(F.sequence(F.lit(0), F.col("h_blocks") - 1)).alias("l_hb"), "id", "vec", "home",
     )
     residents = home.join(sizes, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("vb"),
-        block_of("h_blocks").alias("hb"), "id", "vec",
+        F.col("cell").alias("r_cell"),
+        F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("r_vb"),
+        block_of("h_blocks").alias("r_hb"), F.col("id").alias("r_id"), F.col("vec").alias("r_vec"),
     )
-    keys = ["cell", "vb", "hb"]
-    return visitors.groupBy(*keys).cogroup(residents.groupBy(*keys)).applyInPandas(work, schema)
+    grid = visitors.groupBy("l_cell", "l_vb", "l_hb").cogroup(residents.groupBy("r_cell", "r_vb", "r_hb"))
+    return grid.applyInPandas(work, schema)
 
 
 def similar_pairs(
@@ -135,8 +137,8 @@ def similar_pairs(
     def verify(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        cosines = np.array(left["vec"].tolist()) @ np.array(right["vec"].tolist()).T
-        ids_l, ids_r = left["id"].to_numpy(), right["id"].to_numpy()
+        cosines = np.array(left["vec"].tolist()) @ np.array(right["r_vec"].tolist()).T
+        ids_l, ids_r = left["id"].to_numpy(), right["r_id"].to_numpy()
         good = cosines >= threshold
         # within a cell every pair meets twice, and every vector itself
         good &= ~left["home"].to_numpy()[:, None] | (ids_l[:, None] < ids_r[None, :])
@@ -177,9 +179,9 @@ def top_k_neighbors(
     def nearest(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "neighbor": [], "similarity": []})
-        right = right.sort_values("id")
-        cosines = np.array(left["vec"].tolist()) @ np.array(right["vec"].tolist()).T
-        ids_l, ids_r = left["id"].to_numpy(), right["id"].to_numpy()
+        right = right.sort_values("r_id")
+        cosines = np.array(left["vec"].tolist()) @ np.array(right["r_vec"].tolist()).T
+        ids_l, ids_r = left["id"].to_numpy(), right["r_id"].to_numpy()
         cosines[ids_l[:, None] == ids_r[None, :]] = -np.inf
         keep = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
         scores = np.take_along_axis(cosines, keep, axis=1)

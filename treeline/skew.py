@@ -43,14 +43,23 @@ def skew_join(
     how: str,
     spread: Sequence[str],
     limit: int = ROWS_PER_TASK,
+    rows_per_key: str | None = None,
 ) -> DataFrame:
-    """Join a table whose keys may be hot with one that has few rows per key.
+    """Join a table whose keys may be hot with one that has one or few rows per key.
 
     Rows of a hot key are spread over slots by a hash of ``spread``; the matching
-    right-hand rows are copied once per slot, all others stay single.
+    right-hand rows are copied once per slot, all others stay single. Where the
+    right-hand table already has the number of left-hand rows of its key in column
+    ``rows_per_key``, no counting pass over the left-hand table is needed.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left.select(*on), on, limit).select(*on, "_slots"))
+    if rows_per_key is None:
+        found = hot_keys(left.select(*on), on, limit)
+    else:
+        found = right.filter(F.col(rows_per_key) > limit).withColumn(
+            "_slots", F.ceil(F.col(rows_per_key) / limit).cast("int")
+        )
+    hot = F.broadcast(found.select(*on, "_slots"))
     salted = left.join(hot, on, "left").withColumn("_slot", _slot_of(spread)).drop("_slots")
     copies = right.join(hot, on, "left").withColumn("_slot", _every_slot()).drop("_slots")
     return salted.join(copies, [*on, "_slot"], how).drop("_slot")
