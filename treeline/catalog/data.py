@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Let all cores share a heavy per-row computation over a scan with fewer splits than
+    cores, such as a file of one row group. Scans with enough splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 EXTENSIONS = (".txt", ".md", ".html", ".json", ".pdf", ".jpg", ".png", ".mp3", ".mp4", ".zip", ".gz",
               ".js", ".bin", ".log", ".tmp", ".css")
 _EXT_SQL = "[" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "]"

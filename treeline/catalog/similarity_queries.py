@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.catalog.data import query, table
+from treeline.catalog.data import query, spread, table
 from treeline.functions.columns import once
 from treeline.operators import content, signatures, texts, vectors
 from treeline.operators.components import components
@@ -20,6 +20,10 @@ comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
 _THRESHOLD = 0.35
 
 
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _pairs(spark, sf_dir):
     return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), _THRESHOLD)
 
@@ -68,8 +72,8 @@ _BANDS_SQL = ", ".join(
   WHERE distance <= 3""")
 def _(spark, sf_dir):
     counts = F.array(*[F.length("text") - F.length(F.replace("text", F.lit(c), F.lit(""))) for c in _CELLS])
-    table_docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    signed = once(once(table_docs, v=counts), s=signatures.difference_signature("v")).select("id", "s.*")
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    signed = once(once(docs, v=counts), s=signatures.difference_signature("v")).select("id", "s.*")
     found = signatures.hamming_pairs(signed, 3)
     return found.withColumn("distance", F.col("distance").cast("bigint"))
 
@@ -85,7 +89,7 @@ pairs AS (SELECT a, b, c / (na.n + nb.n - c) AS similarity, na.copies AS copies_
 
 
 def _near(spark, sf_dir):
-    return texts.near_duplicate_pairs(table(spark, sf_dir, "documents"), 0.85)
+    return texts.near_duplicate_pairs(_documents(spark, sf_dir), 0.85)
 
 
 @query("near_duplicate_pairs", f"WITH {_TEXT_SQL} SELECT a, b, round(similarity, 6) AS similarity, copies_a, copies_b FROM pairs")
@@ -100,7 +104,7 @@ members AS (SELECT doc_id AS id, coalesce(component, rep) AS cluster FROM named
 
 @query("near_duplicate_clusters", _CLUSTERS_SQL + " SELECT id, cluster FROM members")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return texts.near_duplicate_clusters(docs, _near(spark, sf_dir))
 
 
@@ -108,7 +112,7 @@ def _(spark, sf_dir):
     round(coalesce(mean, 1.0::DOUBLE), 6) AS confidence FROM (SELECT cluster, count(*) AS members FROM members GROUP BY 1)
   LEFT JOIN (SELECT cluster, min(similarity) AS least, avg(similarity) AS mean FROM pairs JOIN members ON a = id GROUP BY 1) USING (cluster)""")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     pairs = cut_lineage(_near(spark, sf_dir))
     found = texts.cluster_summary(texts.near_duplicate_clusters(docs, pairs), pairs)
     return found.select("cluster", "members", F.round("similarity", 6).alias("similarity"),
@@ -121,7 +125,7 @@ def _(spark, sf_dir):
   SELECT id, term, tf, df, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, term) AS rank FROM scored) WHERE rank <= 5""")
 def _(spark, sf_dir):
-    return content.keywords(table(spark, sf_dir, "documents"), 5)
+    return content.keywords(_documents(spark, sf_dir), 5)
 
 
 @query("extract_dates", """WITH notes AS (SELECT l_orderkey, l_partkey, l_linenumber, 'order ' || l_orderkey || ' left ' || strftime(l_shipdate, '%Y-%m-%d')
@@ -141,6 +145,6 @@ def _(spark, sf_dir):
 
 @query("classify_content")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = content.train_classifier(docs, table(spark, sf_dir, "labels"))
     return content.classify_content(docs, model)

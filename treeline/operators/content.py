@@ -45,7 +45,7 @@ def extract_dates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.explode(F.regexp_extract_all(text_col, F.lit(f"({DATE_PATTERN})"), F.lit(1))).alias("raw"),
     )
     iso = F.replace("raw", F.lit("/"), F.lit("-"))
-    return found.withColumn("date", F.try_to_date(iso, "yyyy-MM-dd")).filter("date IS NOT NULL")
+    return found.withColumn("date", iso.try_cast("date")).filter("date IS NOT NULL")
 
 
 def train_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
