@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _ITEM = r"(?:\\.|[^\\\-\]])"
 _TOKEN = re.compile(
-    rf"(?P<star>\*+)|(?P<one>\?)|\[(?P<neg>\^?)(?P<set>(?:{_ITEM}(?:-{_ITEM})?)+)\]"
+    rf"(?P<star>\*+)|(?P<one>\?)|\[(?P<neg>\^?+)(?P<set>(?:{_ITEM}(?:-{_ITEM})?)+)\]"
     r"|\\(?P<esc>.)|(?P<lit>[^\\\[])",
     re.DOTALL,
 )
