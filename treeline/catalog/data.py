@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.paths import ancestors
 from treeline.session import prepare
+from treeline.skew import skew_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,8 +167,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeline.operators.telemetry import running_totals
 
     done = running_totals(increments(spark, sf_dir), ORDER)
-    totals = increments(spark, sf_dir).groupBy("id").agg(F.sum("d_items").alias("total_items"))
-    return done.join(totals, "id").select("id", "ts", "event_id", "items", "bytes", "total_items")
+    totals = increments(spark, sf_dir).groupBy("id").agg(
+        F.sum("d_items").alias("total_items"), F.count(F.lit(1)).alias("rows"))
+    joined = skew_join(done, totals, ["id"], "inner", ["event_id"], rows_per_key="rows")
+    return joined.select("id", "ts", "event_id", "items", "bytes", "total_items")
 
 
 INCREMENTS_SQL = """inc AS (

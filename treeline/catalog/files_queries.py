@@ -32,8 +32,14 @@ def _groups(spark, sf_dir):
     return dedup.duplicate_groups(_hashed(spark, sf_dir), "sha256")
 
 
+def _groups_and_members(spark, sf_dir):
+    hashed = dedup.manifest(files(spark, sf_dir), "sha256")
+    groups = dedup.duplicate_groups(hashed, "sha256")
+    return groups, dedup.duplicate_members(hashed, groups)
+
+
 def _members(spark, sf_dir):
-    return dedup.duplicate_members(_hashed(spark, sf_dir), _groups(spark, sf_dir))
+    return _groups_and_members(spark, sf_dir)[1]
 
 
 @query("dedup_size_candidates", f"""WITH {FILES_SQL} SELECT path, size FROM inv
@@ -102,7 +108,7 @@ def _(spark, sf_dir):
   GROUP BY id, g.size, g.files""")
 def _(spark, sf_dir):
     folder = scratch(spark, "duplicates")
-    tables.save_duplicates(_groups(spark, sf_dir), _members(spark, sf_dir), folder)
+    tables.save_duplicates(*_groups_and_members(spark, sf_dir), folder)
     groups, members = tables.load_duplicates(spark, folder)
     counted = members.groupBy(F.col("group_id").alias("id"), "size").agg(
         F.count(F.lit(1)).alias("members"), F.count_if(F.col("keep")).alias("kept")

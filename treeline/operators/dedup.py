@@ -2,6 +2,7 @@
 
 Only (path, size, digest) rows are shuffled. Where contents are a column the digests
 are computed in the scan; where they are files, each stage decides what is read next.
+``manifest`` writes the digests once, so that later stages do not read contents again.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.hashing import digest, fast_hash
+from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK, skew_join
 
 
 def _repeated(files: DataFrame, keys: list[str], limit: int) -> DataFrame:
     seen = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen")).filter("_seen > 1")
-    return skew_join(files, seen.select(*keys), keys, "left_semi", ["path"], limit)
+    return skew_join(files, seen, keys, "left_semi", ["path"], limit, rows_per_key="_seen")
 
 
 def same_size(files: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -40,6 +42,11 @@ def with_digests(files: DataFrame, algorithm: str = "blake2b", content: str = "c
     )
 
 
+def manifest(files: DataFrame, algorithm: str = "blake2b", content: str = "content") -> DataFrame:
+    """The digests of all files as a materialised table: one pass over the contents."""
+    return cut_lineage(with_digests(files, algorithm, content))
+
+
 def duplicate_groups(hashed: DataFrame, algorithm: str = "blake2b") -> DataFrame:
     """Stage 3: groups of equal size and digest. One shuffle of pre-aggregated rows, so
     a group with a third of all files costs one row per task.
@@ -71,10 +78,10 @@ def duplicate_members(
     hashed: DataFrame, groups: DataFrame, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Every file of every group with its group id and survivor."""
-    keyed = groups.select("size", F.col("id").alias("hash"), "survivor")
+    keyed = groups.select("size", F.col("id").alias("hash"), "survivor", "files")
     joined = skew_join(
         hashed.select("path", "size", "mod_time", "hash"), keyed, ["size", "hash"], "inner",
-        ["path"], limit,
+        ["path"], limit, rows_per_key="files",
     )
     return joined.select(
         F.col("hash").alias("group_id"), "path", "size", "mod_time", "survivor",
@@ -100,7 +107,9 @@ def verify_bytes(
 ) -> DataFrame:
     """Stage 4: compare each member's content with that of its group's survivor.
 
-    Contents are fetched for members only; a hot group's survivor is copied per slot.
+    Only members' contents reach the comparison; a hot group's survivor is copied per
+    slot. The fetch is a join on path, so Spark's runtime filters can drop the contents
+    of other files at the scan.
     """
     fetched = files.select("path", F.col(content).alias("_content")).join(
         members.select("path", "group_id", "size", "keep"), "path"

@@ -74,7 +74,7 @@ def near_duplicate_pairs(
     occur in one text only are dropped unseen. Exact: nothing is capped or sampled.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    reps = (
+    reps = cut_lineage(
         _word_digests(docs, id_col, text_col)
         .groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
         .select("id", "copies")

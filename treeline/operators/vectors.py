@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.session import cut_lineage
+
 ROWS_PER_BLOCK = 2048
 MAX_PIVOTS = 256
 ROWS_PER_CELL = 8 * ROWS_PER_BLOCK
@@ -26,8 +28,9 @@ _SLACK = 1e-6
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec, copies): one row per distinct vector, named by its least id."""
-    return (
+    """(id, vec, copies): one row per distinct vector, named by its least id. Written
+    once, because pivots, block sizes and both sides of the comparison read it."""
+    return cut_lineage(
         vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         .groupBy("vec")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))

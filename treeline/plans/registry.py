@@ -56,7 +56,7 @@ def _cleanup(inv: DataFrame, **config) -> DataFrame:
 def _deduplication(files: DataFrame, algorithm: str = "blake2b", content: str = "content") -> DataFrame:
     from treeline.operators import dedup
 
-    hashed = dedup.with_digests(files, algorithm, content)
+    hashed = dedup.manifest(files, algorithm, content)
     groups = dedup.duplicate_groups(hashed, algorithm)
     return dedup.plan_dedup(dedup.duplicate_members(hashed, groups))
 

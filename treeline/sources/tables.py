@@ -11,6 +11,10 @@ from treeline.functions.paths import ancestors, is_under
 from treeline.skew import ROWS_PER_TASK, skew_join
 
 _PREDICATE_ROOTS = 64
+_CSV_NULL = "\\N"
+# Everything is quoted, quotes are doubled, blanks stay, and a null is not an empty text.
+_CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def under_roots(
@@ -105,11 +109,11 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     """Write as parquet, orc, json or csv. Nested columns go to csv as JSON text."""
     if fmt == "csv":
         nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
-        df = df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns])
+        text = [F.to_json(c) if c in nested else F.col(c).cast("string") for c in df.columns]
+        df = df.select(*[F.coalesce(t, F.lit(_CSV_NULL)).alias(c) for t, c in zip(text, df.columns)])
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        # quote everything that is not a null, and escape quotes by doubling them
-        writer = writer.options(header=True, quote='"', escape='"', quoteAll=True, nullValue="\u0001")
+        writer = writer.options(**_CSV, quoteAll=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -118,7 +122,7 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 def read_results(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True, nullValue="\u0001")
+        reader = reader.options(**_CSV, multiLine=True, nullValue=_CSV_NULL)
     return reader.load(path)
 
 
