@@ -86,6 +86,9 @@ def test_scopes(spark, limit):
     assert paths_of(tables.under_roots(inv, roots, limit)) == want
     assert paths_of(tables.under_roots(inv, ["/a/b", "/a/b/", "/a/b/x", "/d"])) == want
     assert paths_of(tables.under_roots(inv, ["/"])) == paths_of(inv)
+    top = spark.createDataFrame([("/",), ("/a",)], "path string")
+    assert paths_of(tables.under_roots(inv, top, limit)) == paths_of(inv)
+    assert tables.covered_by(inv, top.withColumnRenamed("path", "root"), limit).count() == 7 + 5
     many = ["/a/b"] + [f"/none/{i}" for i in range(100)]
     assert paths_of(tables.under_roots(inv, many, limit)) == ["/a/b", "/a/b/x"]
 
@@ -184,3 +187,19 @@ def test_upsert_takes_the_latest(spark):
     new = spark.createDataFrame([("/a", 5, 2), ("/b", 4, 2), ("/c", 1, 2)], "path string, mod_time int, size int")
     got = {r["path"]: r["size"] for r in tables.upsert_inventory(old, new).collect()}
     assert got == {"/a": 2, "/b": 1, "/c": 2}
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    inv = inventory(spark, "/a/b/x", "/d/e")
+    inv.write.parquet(str(tmp_path / "inv"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    stored = spark.read.parquet(str(tmp_path / "inv"))
+    kept = tables.under_roots(stored, ["/a/b"]).filter("NOT is_dir AND size >= 5").select("path", "size")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("StringStartsWith(path,/a/b/)", "GreaterThanOrEqual(size,5)", "is_dir,"):
+        assert pushed in plan.split("PushedFilters")[1]
+    assert "ReadSchema: struct<path:string,size:bigint,is_dir:boolean>" in plan
+    # one shuffle, with a partial aggregate before it
+    groups = dedup.duplicate_groups(stored.withColumn("hash", F.col("name")))
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_count" in plan

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.functions.paths import ancestors, is_under
+from treeline.functions.paths import is_under, separators
+from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK, skew_join
 
 _PREDICATE_ROOTS = 64
@@ -42,11 +43,28 @@ def under_roots(
 def covered_by(inv: DataFrame, roots: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     """(path, root, ...) for every record and every root at or above it.
 
-    An equi-join on the record's ancestors. '/data' is an ancestor of everything, so
-    the join spreads hot ancestors over slots.
+    An equi-join on the record's ancestors, but only on those at the depths that roots
+    have: roots of one depth cost one row per record. A root may cover a large share of
+    all records, so hot roots are spread over slots. The roots are written once, since
+    they are read for their depths and for the join.
     """
-    covers = F.array_append(ancestors("path"), F.col("path"))
-    lines = inv.select("path", F.explode(covers).alias("root"))
+    roots = cut_lineage(roots)
+    level = F.when(F.col("root") == "/", 0).otherwise(separators("root"))
+    # one row; there are as many entries as different depths
+    levels = roots.agg(F.collect_set(level.cast("int")).alias("_levels"))
+    own = F.when(F.col("path") == "/", 0).otherwise(separators("path"))
+    reachable = F.filter("_levels", lambda n: n <= own)
+    lines = (
+        inv.select("path")
+        .join(F.broadcast(levels))
+        .select("path", F.explode(reachable).alias("_n"))
+        .select(
+            "path",
+            F.when(F.col("_n") == 0, "/")
+            .otherwise(F.call_function("substring_index", F.col("path"), F.lit("/"), F.col("_n") + 1))
+            .alias("root"),
+        )
+    )
     return skew_join(lines, roots, ["root"], "inner", ["path"], limit)
 
 
