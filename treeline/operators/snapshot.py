@@ -49,9 +49,12 @@ def apply_move(inv: DataFrame, moves: DataFrame, limit: int = ROWS_PER_TASK) ->
     source decides. What was at the new path is replaced; of several movers to one
     path the one with the latest (mod_time, old path) stays."""
     hits = covered_by(inv, _possible(moves), limit)
-    best = hits.groupBy("path").agg(
-        F.max(F.struct(F.length("root").alias("n"), "root", "target")).alias("_m")
-    ).select("path", F.col("_m.root").alias("root"), F.col("_m.target").alias("target"))
+    # read for the rows that move and for those that stay, so the join runs once
+    best = cut_lineage(
+        hits.groupBy("path")
+        .agg(F.max(F.struct(F.length("root").alias("n"), "root", "target")).alias("_m"))
+        .select("path", F.col("_m.root").alias("root"), F.col("_m.target").alias("target"))
+    )
     moved = (
         inv.join(best, "path")
         .withColumn("_old", F.col("path"))
@@ -68,7 +71,7 @@ def apply_copy(
 ) -> DataFrame:
     """Copy a file or a whole directory; mode stays, mod_time is ``now``, and missing
     parents are created. One source may go to several targets."""
-    hits = covered_by(inv, _possible(copies), limit)
+    hits = cut_lineage(covered_by(inv, _possible(copies), limit))
     made = (
         inv.join(hits, "path")
         .withColumn("_old", F.col("path"))
