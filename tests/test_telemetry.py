@@ -143,3 +143,9 @@ def test_eviction(spark):
     ops = spark.createDataFrame(rows, "id string, status string, t bigint").withColumn("end_time", F.timestamp_seconds("t"))
     kept = telemetry.evict_finished(ops, F.timestamp_seconds(F.lit(100)), timedelta(seconds=50))
     assert sorted(r["id"] for r in kept.collect()) == ["new", "open", "run"]
+
+
+def test_stream_without_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = progress.read_stream(spark, str(tmp_path / "none"), "id bigint, ts timestamp")
+    assert progress.run_available(stream, "append", "none").count() == 0

@@ -25,14 +25,14 @@ def keywords(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("docs"))  # one row
-    weighed = skew_join(counts, spread, ["term"], "inner", ["id"], limit).join(F.broadcast(total))
-    score = F.round(F.col("tf") * F.log(F.col("docs") / F.col("df")), 9)
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    weighed = skew_join(counts, spread, ["term"], "inner", ["id"], limit, rows_per_key="df")
+    score = F.round(F.col("tf") * F.log(total / F.col("df")), 9)
     # a window over the terms of one document
     best = Window.partitionBy("id").orderBy(F.desc("score"), "term")
     return (
         weighed.withColumn("score", score)
-        .withColumn("rank", F.row_number().over(best))
+        .withColumn("rank", F.row_number().over(best).cast("bigint"))
         .filter(F.col("rank") <= k)
         .select("id", "term", "tf", "df", "score", "rank")
     )

@@ -47,9 +47,5 @@ def ownership_summary(plan: DataFrame, dry_run: bool = False) -> DataFrame:
 
 def preview(df: DataFrame, rows: int, order: str = "path") -> DataFrame:
     """The first rows by ``order`` and how many more there are."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    first = df.orderBy(order).limit(rows)
-    # one row against at most ``rows`` rows
-    return first.join(F.broadcast(total)).withColumn(
-        "more", F.greatest(F.col("_total") - rows, F.lit(0))
-    ).drop("_total")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(order).limit(rows).withColumn("more", F.greatest(total - rows, F.lit(0)))

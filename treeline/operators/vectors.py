@@ -202,7 +202,7 @@ def top_k_neighbors(
 
     def top(found: DataFrame) -> DataFrame:
         # at most k rows per id and block
-        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return found.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)
 
     home, _ = _visits(vecs, pivots, 0.0, upward=False)
     only_home = home

@@ -50,14 +50,12 @@ def covered_by(inv: DataFrame, roots: DataFrame, limit: int = ROWS_PER_TASK) ->
     """
     roots = cut_lineage(roots)
     level = F.when(F.col("root") == "/", 0).otherwise(separators("root"))
-    # one row; there are as many entries as different depths
-    levels = roots.agg(F.collect_set(level.cast("int")).alias("_levels"))
+    # as many entries as there are different depths
+    levels = roots.agg(F.collect_set(level.cast("int"))).scalar()
     own = F.when(F.col("path") == "/", 0).otherwise(separators("path"))
-    reachable = F.filter("_levels", lambda n: n <= own)
     lines = (
-        inv.select("path")
-        .join(F.broadcast(levels))
-        .select("path", F.explode(reachable).alias("_n"))
+        inv.select("path", levels.alias("_levels"))
+        .select("path", F.explode(F.filter("_levels", lambda n: n <= own)).alias("_n"))
         .select(
             "path",
             F.when(F.col("_n") == 0, "/")

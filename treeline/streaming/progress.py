@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -145,9 +146,13 @@ def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).option("basePath", f"{base}/out").parquet(
-        f"{base}/out"
-    )
+    schema = StructType([*df.schema.fields, StructField("batch", LongType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{base}/out")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # there was no micro-batch
 
 
 def last_update(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
