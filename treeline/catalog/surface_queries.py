@@ -8,11 +8,13 @@ from treeline.catalog.data import FILES_SQL, files, query, table
 from treeline.catalog.files_queries import _GROUPS_SQL
 from treeline.catalog.tree_queries import _EMPTY_SQL
 from treeline.catalog import data
+from treeline.functions import labels
 from treeline.operators import audit
 from treeline.plans.registry import builtin_registry
 from treeline.plans.workflow import run_workflow, validate_workflows
 from treeline.schema import OPERATION_RESULT
 from treeline.session import scratch
+from treeline.skew import skew_join
 from treeline.sources import listing, tables
 
 _ALGS = ("md5", "sha1", "sha256", "sha512", "blake2b", "xxhash64", "crc32", "md4", "")
@@ -128,61 +130,58 @@ def _(spark, sf_dir):
     return out
 
 
-# ---- results of operations: one per order, its lines are the files it touched
+# ---- results of operations: one per order line, with the files it touched
 
 
 def _results(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    both = skew_join(table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], "inner", ["l_partkey", "l_linenumber"])
     path = F.concat(F.lit("/p"), "l_partkey", F.lit("/l"), "l_linenumber")
-    flawed = F.col("l_returnflag") == "R"
     error = F.struct(
         path.alias("file"), F.lit("cleanup").alias("operation"), F.concat(F.lit("failed \""), "l_linestatus", F.lit("\"")).alias("error"),
         F.col("l_shipdate").alias("timestamp"), F.lit(False).alias("recoverable"),
     )
-    # an order has a handful of lines, so its arrays are bounded
-    touched = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_sort(F.collect_list(path)).alias("files_affected"),
-        F.array_sort(F.collect_list(F.when(flawed, error))).alias("errors"),
-        F.count(F.lit(1)).alias("items"),
-    )
-    orders = table(spark, sf_dir, "orders").join(touched, "o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "paused").otherwise("completed")
     given = {
-        "id": F.concat(F.lit("cleanup-"), "o_orderkey"), "operation_type": F.lit("cleanup"), "status": status,
-        "start_time": F.col("o_orderdate"), "end_time": F.col("o_orderdate"), "duration": F.lit(0),
-        "items_processed": F.col("items"), "bytes_processed": F.lit(0), "files_affected": F.col("files_affected"),
-        "summary": F.col("o_orderpriority"),
+        "id": F.concat(F.lit("cleanup-"), "l_orderkey"), "operation_type": F.lit("cleanup"), "status": status,
+        "start_time": F.col("o_orderdate"), "end_time": F.col("l_shipdate"),
+        "duration": labels.elapsed_micros("o_orderdate", "l_shipdate") * 1000,
+        "items_processed": F.lit(2), "bytes_processed": F.lit(0),
+        "files_affected": F.array(path, F.concat(path, F.lit(".bak"))), "summary": F.col("o_orderpriority"),
         "details": F.create_map(F.lit("customer"), F.col("o_custkey").cast("string"), F.lit("dry_run"), F.lit("false")),
-        "errors": F.col("errors"), "warnings": F.array().cast("array<string>"),
+        "errors": F.array_compact(F.array(F.when(F.col("l_returnflag") == "R", error))),
+        "warnings": F.array().cast("array<string>"),
     }
-    return orders.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in OPERATION_RESULT.fields])
+    return both.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in OPERATION_RESULT.fields])
 
 
-@query("list_results", """SELECT 'cleanup-' || o_orderkey AS id, o_orderpriority AS summary FROM orders
-  WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
-def _(spark, sf_dir):
-    found = tables.list_results(_results(spark, sf_dir), {"status": "failed", "summary": "1-URGENT"})
-    return found.select("id", "summary")
+_LINES_SQL = "lineitem JOIN orders ON l_orderkey = o_orderkey"
+_LINE_PATH_SQL = "'/p' || l_partkey || '/l' || l_linenumber"
 
 
-_LINE_PATH_SQL = "'/p' || l_partkey || '/l' || l_linenumber"
+@query("list_results", f"""SELECT 'cleanup-' || l_orderkey AS id, o_orderpriority AS summary,
+    (epoch_us(l_shipdate) - epoch_us(o_orderdate)) * 1000 AS duration FROM {_LINES_SQL}
+  WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""")
+def _(spark, sf_dir):
+    found = tables.list_results(_results(spark, sf_dir), {"status": "failed", "summary": "1-URGENT"})
+    return found.select("id", "summary", "duration")
 
 
 @query("explode_errors", f"""SELECT 'cleanup-' || l_orderkey AS id, {_LINE_PATH_SQL} AS file, 'failed "' || l_linestatus || '"' AS error,
-  epoch_us(l_shipdate) AS us FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""")
+  epoch_us(l_shipdate) AS us FROM {_LINES_SQL} WHERE l_returnflag = 'R'""")
 def _(spark, sf_dir):
     errors = tables.explode_errors(_results(spark, sf_dir))
     return errors.select("id", "file", "error", F.unix_micros("timestamp").alias("us"))
 
 
-@query("explode_files", f"""SELECT 'cleanup-' || l_orderkey AS id, {_LINE_PATH_SQL} AS path
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+@query("explode_files", f"""SELECT 'cleanup-' || l_orderkey AS id, {_LINE_PATH_SQL} || suffix AS path
+  FROM {_LINES_SQL}, (VALUES (''), ('.bak')) v(suffix)""")
 def _(spark, sf_dir):
     return tables.explode_files(_results(spark, sf_dir))
 
 
-@query("explode_details", """SELECT 'cleanup-' || o_orderkey AS id, key, CASE key WHEN 'dry_run' THEN 'false' ELSE o_custkey::VARCHAR END AS value
-  FROM orders, (VALUES ('customer'), ('dry_run')) k(key) WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+@query("explode_details", f"""SELECT 'cleanup-' || l_orderkey AS id, key, CASE key WHEN 'dry_run' THEN 'false' ELSE o_custkey::VARCHAR END AS value
+  FROM {_LINES_SQL}, (VALUES ('customer'), ('dry_run')) k(key)""")
 def _(spark, sf_dir):
     return tables.explode_details(_results(spark, sf_dir))
 
