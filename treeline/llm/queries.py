@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import exact_dedup, ngram_join, packing, pieces, quality, secret_ledger, sharding, topk
+from treeline.llm import (
+    exact_dedup, html_blocks, licences, ngram_join, packing, pieces, quality, secret_ledger, sharding, topk,
+)
 from treeline.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +150,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+@query("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_blocks.main_text(pages, html_blocks.learn(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and what they decode to."""
@@ -157,3 +167,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_licences")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents: confirmed families, and every finding."""
+    docs = table(spark, sf_dir, "documents")
+    found = licences.licences(docs, licences.learn(docs))
+    sure = F.filter("findings", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.size(sure).cast("bigint").alias("n_confirmed"), F.size("findings").cast("bigint").alias("n_findings"), "findings",
+    )

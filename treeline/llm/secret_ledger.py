@@ -106,6 +106,28 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULE
     )
 
 
+def ledger_of(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The ledger with a row for every blob of ``versions`` and every rule: pairs that
+    ``ledger`` lacks are scanned, all others are taken from it."""
+    ledger = empty_ledger(versions) if ledger is None else ledger
+    # grouping by the text too compares whole contents, and copies leave each input partition once
+    held = versions.select(blob_of(text).alias("blob"), F.coalesce(text, F.lit("")).alias("text"))
+    blobs = held.groupBy("blob", "text").agg(F.count(F.lit(1)).alias("paths")).select("blob", "text")
+    return cut_lineage(ledger.unionByName(scan_blobs(blobs, ledger, rules)))
+
+
+def found_in(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Blobs with findings of the rules: blob and found, in order of start and rule."""
+    ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
+    kinds = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
+    return cut_lineage(
+        ledger.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+        .select("blob", ranks[F.col("rule")].alias("rank"), kinds[F.col("rule")].alias("kind"), F.inline("spans"))
+        .groupBy("blob")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
+    )
+
+
 def scan_versions(
     versions: DataFrame,
     path: str = "doc_id",
@@ -121,22 +143,10 @@ def scan_versions(
     and equal texts under many paths are scanned once and all get the findings. Columns
     other than path and text are not read.
     """
-    ledger = empty_ledger(versions) if ledger is None else ledger
-    held = versions.select(F.col(path).alias("path"), blob_of(text).alias("blob"), F.coalesce(text, F.lit("")).alias("text"))
-    # grouping by the text too compares whole contents, and copies leave each input partition once
-    blobs = held.groupBy("blob", "text").agg(F.count(F.lit(1)).alias("paths")).select("blob", "text")
-    new = scan_blobs(blobs, ledger, rules)
-    known = cut_lineage(ledger.unionByName(new))
-    ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
-    kinds = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
-    found = (
-        known.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        .select("blob", ranks[F.col("rule")].alias("rank"), kinds[F.col("rule")].alias("kind"), F.inline("spans"))
-        .groupBy("blob")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
-    )
+    known = ledger_of(versions, text, ledger, rules)
+    held = versions.select(F.col(path).alias("path"), blob_of(text).alias("blob"))
     # a blob under very many paths: its one row of findings meets a join that Spark may split
-    findings = held.select("path", "blob").join(cut_lineage(found), "blob", "left").select(
+    findings = held.join(found_in(known, rules), "blob", "left").select(
         F.col("path").alias(path), "blob",
         F.coalesce("found", F.array().cast("array<struct<start: bigint, rank: int, kind: string, `end`: bigint>>"))
         .alias("found"),
@@ -151,30 +161,33 @@ def joined_spans(found: Column, below: int | None = None) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with every span found replaced by [kind]; where spans of different rules
-    overlap, the first one masks and the rest of the other goes too. All rows stay."""
+def masked(docs: DataFrame, text: str = "text", length: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``docs`` with every span found replaced by [kind], and with ``length``, if named, set
+    to the new number of characters where a text changed. Of overlapping spans the first
+    names the mask, and the rest of the others goes too. All rows and columns stay."""
     names = docs.columns
-    # an own key per row: given keys may repeat or be null
-    blob = blob_of(text)
-    findings = scan_versions(docs, key, text, rules=rules)[0].filter(F.size("found") > 0)
-    found = cut_lineage(findings.groupBy("blob").agg(F.first("found").alias("found")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), blob.alias("blob"))
-    joined = rows.join(found, "blob", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), blob_of(text).alias("blob"))
+    joined = rows.join(found_in(ledger_of(docs, text, rules=rules), rules), "blob", "left")
+    held = F.col(f"row.`{text}`")
     cut = F.aggregate(
         "found",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, x: F.struct(
-            F.concat(
-                acc["out"],
-                F.when(x["start"] >= acc["at"], F.concat(
-                    F.substring(F.col(f"row.`{text}`"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")),
-                    F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit("")),
-            ).alias("out"),
+            F.when(x["start"] >= acc["at"], F.concat(
+                acc["out"], F.substring(held, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")),
+                F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["end"]).alias("at"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(f"row.`{text}`"), (acc["at"] + 1).cast("int"), F.length(F.col(f"row.`{text}`")))),
+        lambda acc: F.concat(acc["out"], F.substring(held, (acc["at"] + 1).cast("int"), F.length(held))),
     )
-    value = F.when(F.col("found").isNull(), F.col(f"row.`{text}`")).otherwise(cut)
-    plain = joined.select(*[(value if c == text else F.col(f"row.`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)])
-    return plain.toDF(*names)
+    new = joined.withColumn("new", F.when(F.col("found").isNotNull(), cut))
+
+    def value(name: str) -> Column:
+        old = F.col(f"row.`{name}`")
+        if name == text:
+            return F.coalesce("new", old)
+        if name == length:
+            return F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[name].dataType)).otherwise(old)
+        return old
+
+    return new.select(*[value(c).alias(f"_c{i}") for i, c in enumerate(names)]).toDF(*names)
