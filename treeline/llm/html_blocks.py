@@ -5,7 +5,7 @@ vectors of its tag path (names, classes, ids and roles of the open elements), of
 words and of its shape. A bidirectional LSTM reads the whole sequence, so that each block is
 classified in the light of all others; the text is the blocks that belong to the article.
 
-The weights are fitted on the driver on a bounded number of given pages and on pages built
+The weights are fitted by one task on a bounded number of given pages and on pages built
 from their texts, in which the article and what surrounds it stand under many other names.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.llm.fitting import fitted
+
 #: Pages the fit reads at most, and characters of each at most.
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 30_000
 BUILT_PAGES = 900
@@ -434,16 +436,20 @@ def learn(pages: DataFrame, key: str = "page_id", html_column: str = "html", sam
           chars: int = SAMPLE_CHARS, built: int = BUILT_PAGES, epochs: int = EPOCHS) -> Weights:
     """Weights fitted on at most ``sample`` given pages, chosen by a hash of the key, that
     mark their article, and on ``built`` pages from their texts. Of a page longer than
-    ``chars`` characters the fit takes none. Only these pages reach the driver."""
+    ``chars`` characters the fit takes none."""
     rows = (
         pages.select(F.col(key).alias("k"), F.col(html_column).alias("h"))
         .filter((F.length("h") > 0) & (F.length("h") <= chars))
-        .orderBy(F.xxhash64("k"), "k", "h").limit(sample).collect()
+        .orderBy(F.xxhash64("k"), "k", "h").limit(sample)
     )
+    return fitted(rows.select("h"), lambda found: _fit_on([h for (h,) in found], built, epochs))
+
+
+def _fit_on(pages: list[str], built: int, epochs: int) -> Weights:
     rng = np.random.default_rng(11)
     x, y, texts = [], [], []
-    for row in rows:
-        blocks = blocks_of(row.h)
+    for page in pages:
+        blocks = blocks_of(page)
         labels = landmarks(blocks)
         texts += [b.text for b in blocks]
         if labels is not None:

@@ -5,7 +5,7 @@ occur in licence notices. A logistic regression names the licence family, or non
 temperature and threshold are calibrated on paragraphs it was not fitted on. A prediction
 counts as confirmed when the words of a notice of that family are there in order.
 
-The fit runs on the driver on notices below, changed and embedded at random, and on a
+One task fits it on the notices below, changed and embedded at random, and on a
 bounded sample of the corpus's own paragraphs as the class of none.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.llm.fitting import fitted
+
 #: Documents, and characters of each, that the class of none is learned from at most.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 6000
 EXAMPLES = 60  # changed copies of each notice
@@ -314,9 +316,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     chosen by a hash of key and text, and at most ``chars`` characters of each."""
     rows = (
         docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).filter("length(t) > 0")
-        .orderBy(F.xxhash64("k", "t"), "k", "t").limit(sample).collect()
+        .orderBy(F.xxhash64("k", "t"), "k", "t").limit(sample)
     )
-    return fit([p for r in rows for p in r.t.split("\n")])
+    return fitted(rows.select("t"), lambda found: fit([p for (t,) in found for p in t.split("\n")]))
 
 
 FINDING = T.StructType([

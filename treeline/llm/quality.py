@@ -3,8 +3,8 @@
 A byte enters as a learned vector of its value and of whether the four bytes from it on
 also stand a little before. Learned filters read overlapping chunks of 32 bytes, one every
 8, from the first byte to the last; each filter's maximum over the document goes through
-one hidden layer into one probability. Weights are fitted on the driver, on a bounded
-sample of labelled rows, and sent to the tasks that score.
+one hidden layer into one probability. Weights are fitted by one task, on a bounded sample
+of labelled rows, and sent to the tasks that score.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.llm.fitting import fitted
+
 BLOCK, BLOCKS = 8, 4  # bytes of a step, steps of a chunk
 WIDTH, FILTERS, HIDDEN = 8, 32, 16
 _NONE = 512  # the symbol behind the end of a text
@@ -25,7 +27,7 @@ _LAGS = range(3, 25)
 #: The fit reads at most so many labelled rows of each class, and at most so many characters
 #: of each, from a place that depends on its hash.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000
-EPOCHS = 8
+EPOCHS, BATCH = 8, 32
 THRESHOLD = 0.3
 
 
@@ -139,8 +141,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     chunk = np.arange(BLOCK * BLOCKS)
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
-        for first in range(0, len(order), 32):
-            part = order[first : first + 32]
+        for first in range(0, len(order), BATCH):
+            part = order[first : first + BATCH]
             pooled, picked = np.zeros((len(part), FILTERS), np.float32), np.zeros((len(part), FILTERS, len(chunk)), np.int16)
             for row, d in enumerate(part):
                 values = _chunks(w, docs[d])
@@ -179,8 +181,7 @@ def learn(
     rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, epochs: int = EPOCHS,
 ) -> Weights:
     """Weights fitted on at most ``rows`` labelled rows of each class that are not held out,
-    chosen by a hash of the key, and at most ``chars`` characters of each. Only these reach
-    the driver. Labels other than 0 and 1, and null keys, are not used; without labels the
+    chosen by a hash of the key, and at most ``chars`` characters of each. Labels other than 0 and 1, and null keys, are not used; without labels the
     weights stay as drawn."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     known = known.filter(~held_out("k")).dropDuplicates(["k"])
@@ -191,8 +192,10 @@ def learn(
         chosen = part if chosen is None else chosen.unionByName(part)
     place = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int") + 1
     found = present.join(F.broadcast(chosen), "k").select("k", F.substring("t", place, F.lit(chars)).alias("t"), "y")
-    got = sorted(found.dropDuplicates(["k"]).collect())
-    return fit([r.t.encode() for r in got], np.array([r.y for r in got]), epochs)
+    return fitted(
+        found.dropDuplicates(["k"]).select(F.col("k").cast("string"), "t", "y"),
+        lambda rows: fit([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]), epochs),
+    )
 
 
 def scored(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
