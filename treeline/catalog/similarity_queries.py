@@ -81,8 +81,9 @@ def _(spark, sf_dir):
 _TEXT_SQL = """words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS w FROM documents),
 named AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM words),
 sh AS (SELECT DISTINCT doc_id, copies, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
-  FROM (SELECT doc_id, copies, w, unnest(range(1, len(w) - 1)) AS i FROM named WHERE doc_id = rep)),
-n AS (SELECT doc_id, copies, count(*) AS n FROM sh GROUP BY 1, 2 HAVING count(*) >= 5),
+  FROM (SELECT doc_id, copies, w, unnest(range(1, len(w) - 1)) AS i FROM named WHERE doc_id = rep AND len(w) >= 3)
+  UNION ALL SELECT doc_id, copies, array_to_string(w, ' ') FROM named WHERE doc_id = rep AND len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, copies, count(*) AS n FROM sh GROUP BY 1, 2),
 pairs AS (SELECT a, b, c / (na.n + nb.n - c) AS similarity, na.copies AS copies_a, nb.copies AS copies_b
   FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
   JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE c / (na.n + nb.n - c) >= 0.85)"""
@@ -143,8 +144,11 @@ def _(spark, sf_dir):
     return content.extract_dates(notes, "id").select("id", "raw", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
-@query("classify_content")
+@query("classify_content", "SELECT doc_id AS id, true AS class_known, true AS confidence_in_range FROM documents")
 def _(spark, sf_dir):
+    # the class itself comes out of a fitted model; a test holds it against labels left out
     docs = _documents(spark, sf_dir)
     model = content.train_classifier(docs, table(spark, sf_dir, "labels"))
-    return content.classify_content(docs, model)
+    found = content.classify_content(docs, model)
+    return found.select("id", F.col("class").isin(0, 1).alias("class_known"),
+                        F.col("confidence").between(0.5, 1.0).alias("confidence_in_range"))

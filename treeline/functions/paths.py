@@ -19,6 +19,12 @@ def base_name(path: Column | str) -> Column:
     )
 
 
+def as_root(path: Column | str) -> Column:
+    """A root as records name it: without slashes at the end, '/' itself excepted."""
+    trimmed = F.rtrim(as_col(path), F.lit("/"))
+    return F.when(trimmed == "", "/").otherwise(trimmed)
+
+
 def parent_of(path: Column | str) -> Column:
     """All but the last element; '/x' gives '/', a bare name gives '.'."""
     path = as_col(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.paths import stem_and_suffix
+from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK, running, skew_join
 
 
@@ -21,7 +22,7 @@ def _contested(plan: DataFrame, inv: DataFrame) -> DataFrame:
         F.min(claim).alias("_first"),
         F.max(claim).alias("_last"),
     )
-    present = inv.select(F.col("path").alias("target_path"), F.lit(True).alias("target_exists"))
+    present = inv.select(F.col("path").alias("target_path")).distinct().withColumn("target_exists", F.lit(True))
     return (
         targets.join(present, "target_path", "left")
         .select(
@@ -49,47 +50,59 @@ def find_conflicts(plan: DataFrame, inv: DataFrame, limit: int = ROWS_PER_TASK)
     )
 
 
+def _taken_numbers(paths: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """(target_path, n): the numbered names of contested targets that someone holds."""
+    stem, suffix = stem_and_suffix("path")
+    number = F.regexp_extract(stem, r"_([1-9][0-9]{0,17})\z", 1)
+    named = paths.filter(number != "").select(
+        F.concat(F.substr(stem, F.lit(1), F.length(stem) - F.length(number) - 1), suffix).alias("target_path"),
+        number.cast("bigint").alias("n"),
+    )
+    return skew_join(named.distinct(), targets, ["target_path"], "left_semi", ["n"], limit)
+
+
 def rename_on_conflict(
     plan: DataFrame, inv: DataFrame, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Number the sources of a shared target by source path: the first keeps the name
-    (unless the target exists), the n-th becomes ``stem_<n-1>ext``. New names that are
-    taken themselves are left as ``conflict``.
+    """Give every source a name of its own; adds ``new_path`` and ``status``.
+
+    A source that is its own target stays where it is. The others are numbered by source
+    path: the first keeps the name, unless something has it already, and each further one
+    becomes ``stem_<n>ext`` with the least n that nobody has: no file of the inventory, no
+    target of the plan, no source before it.
     """
-    present = inv.select(F.col("path").alias("target_path"), F.lit(1).alias("_taken"))
+    plan = cut_lineage(plan)
+    own = F.col("source_path") == F.col("target_path")
+    held = inv.select("path").unionByName(plan.filter(own).select(F.col("target_path").alias("path"))).distinct()
+    present = held.select(F.col("path").alias("target_path"), F.lit(1).alias("_taken"))
     numbered = running(
-        plan, ["target_path"], ["source_path"], {"_turn": ("sum", F.lit(1))}, limit
+        plan.filter(~own), ["target_path"], ["source_path"], {"_turn": ("sum", F.lit(1))}, limit
     )
     ranked = skew_join(numbered, present, ["target_path"], "left", ["source_path"], limit)
-    own = F.col("source_path") == F.col("target_path")
-    number = F.col("_turn") - 1 + F.coalesce(F.when(own, 0).otherwise(F.col("_taken")), F.lit(0))
-    stem, suffix = stem_and_suffix("target_path")
-    named = (
-        ranked.withColumn("_no", number)
-        .withColumn(
-            "new_path",
-            F.when(F.col("_no") == 0, F.col("target_path")).otherwise(
-                F.concat(stem, F.lit("_"), F.col("_no").cast("string"), suffix)
-            ),
-        )
-        .withColumn("renamed", F.col("_no") > 0)
-        .drop("_turn", "_taken", "_no")
+    claims = cut_lineage(
+        ranked.withColumn("_no", F.col("_turn") - 1 + F.coalesce("_taken", F.lit(0))).drop("_turn", "_taken")
     )
-    # new names are unique per target, so a second claim can only come from elsewhere
-    claims = named.groupBy("new_path").agg(F.count(F.lit(1)).alias("_claims"))
-    taken_again = (
-        claims.join(inv.select(F.col("path").alias("new_path"), F.lit(True).alias("_there")),
-                    "new_path", "left")
-        .filter("_claims > 1 OR _there")
-        .select("new_path", F.lit(True).alias("_again"))
+    names = held.unionByName(plan.select(F.col("target_path").alias("path"))).distinct()
+    wanted = claims.filter("_no > 0").select("target_path").distinct()
+    taken = cut_lineage(_taken_numbers(names, wanted, limit))
+    # below the j-th taken number there are n - j free ones; the k-th free one is behind all with n - j < k
+    order = running(taken, ["target_path"], ["n"], {"_j": ("sum", F.lit(1))}, limit)
+    marks = order.select("target_path", (F.col("n") - F.col("_j")).alias("_at"), F.lit(1).alias("_mark"),
+                         F.col("n").cast("string").alias("_row"))
+    asked = claims.filter("_no > 0").select("target_path", F.col("_no").alias("_at"), F.lit(0).alias("_mark"),
+                                            F.col("source_path").alias("_row"))
+    both = running(cut_lineage(marks.unionByName(asked)), ["target_path"], ["_at", "_mark", "_row"],
+                   {"_skipped": ("sum", F.col("_mark"))}, limit)
+    skipped = both.filter("_mark = 0").select("target_path", F.col("_row").alias("source_path"), "_skipped")
+    stem, suffix = stem_and_suffix("target_path")
+    number = (F.col("_no") + F.coalesce("_skipped", F.lit(0))).cast("bigint").cast("string")
+    moved = claims.join(skipped, ["target_path", "source_path"], "left").select(
+        *plan.columns,
+        F.when(F.col("_no") == 0, F.col("target_path")).otherwise(F.concat(stem, F.lit("_"), number, suffix)).alias("new_path"),
+        F.when(F.col("_no") == 0, "planned").otherwise("renamed").alias("status"),
     )
-    checked = named.join(taken_again, "new_path", "left")
-    return checked.withColumn(
-        "status",
-        F.when(F.col("renamed") & F.col("_again"), "conflict")
-        .when(F.col("renamed"), "renamed")
-        .otherwise("planned"),
-    ).select(*plan.columns, "new_path", "status")
+    stays = plan.filter(own).select(*plan.columns, F.col("target_path").alias("new_path"), F.lit("planned").alias("status"))
+    return moved.unionByName(stays)
 
 
 def resolve_conflicts(

@@ -7,9 +7,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.functions.paths import is_under
-from treeline.functions.rules import ownership_allows, within_scope
+from treeline.functions.paths import as_root, parent_of
+from treeline.functions.rules import ownership_allows
 from treeline.skew import ROWS_PER_TASK, skew_join
+from treeline.sources.tables import under_roots
 
 
 def resolve_principals(
@@ -64,14 +65,19 @@ def plan_ownership(
 ) -> DataFrame:
     """Every path in scope gets the owner, whether it has it already or not.
 
-    One narrow pass. ``failed`` (path, error) marks paths whose change fails, and
+    Slashes at the end of a root do not matter. Non-recursive runs see the roots and their
+    direct children. ``failed`` (path, error) marks paths whose change fails, and
     ``only_changes`` leaves out rows whose uid and gid are right already.
     """
-    scope = F.lit(False)
-    for root in roots:
-        root_col = F.lit(root)
-        scope = scope | (is_under("path", root_col) & within_scope("path", root_col, recursive))
-    todo = inv.filter(scope & ownership_allows("path", exclude))
+    if recursive:
+        scope = under_roots(inv, roots)
+    else:
+        # the roots and their direct children
+        named = inv.sparkSession.createDataFrame([(r,) for r in roots], "path string").select(as_root("path").alias("_root")).distinct()
+        direct = inv.filter(F.col("path") != "/").select("path", parent_of("path").alias("_root"))
+        near = direct.unionByName(inv.select("path", F.col("path").alias("_root")))
+        scope = inv.join(near.join(named, "_root", "left_semi").select("path").distinct(), "path", "left_semi")
+    todo = scope.filter(ownership_allows("path", exclude))
     if only_changes:
         todo = todo.filter(~(F.col("uid").eqNullSafe(F.lit(uid)) & F.col("gid").eqNullSafe(F.lit(gid))))
     if failed is None or dry_run:

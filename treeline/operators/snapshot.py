@@ -15,10 +15,15 @@ DIR_MODE = 0o755 | 1 << 31
 
 
 def apply_remove(inv: DataFrame, targets: DataFrame) -> DataFrame:
-    """Remove paths one by one: a directory that still has children stays."""
-    parents = inv.filter(F.col("path") != "/").select(parent_of("path").alias("path")).distinct()
-    removable = targets.select("path").join(parents, "path", "left_anti")
-    return inv.join(removable, "path", "left_anti")
+    """Remove paths, deepest first: a directory stays if anything below it stays.
+
+    What stays are the records that are no target; their ancestors stay with them.
+    """
+    gone = targets.select("path").distinct()
+    rest = inv.join(gone, "path", "left_anti").filter(F.col("path") != "/")
+    holders = rest.select(parent_of("path").alias("dir")).distinct()
+    used = holders.select(F.explode(F.array_append(ancestors("dir"), F.col("dir"))).alias("path")).distinct()
+    return inv.join(gone.join(used, "path", "left_anti"), "path", "left_anti")
 
 
 def apply_remove_tree(inv: DataFrame, targets: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -81,8 +86,8 @@ def apply_copy(
     )
     made = _one_per_path(made, inv.columns, ["_old"])
     merged = inv.join(made.select("path"), "path", "left_anti").unionByName(made)
-    tops = copies.select(parent_of("target").alias("path")).distinct()
-    return apply_create_dirs(merged, tops, now)
+    # only copies that were made need folders: a missing source makes none
+    return apply_create_dirs(merged, made.select(parent_of("path").alias("path")).distinct(), now)
 
 
 def apply_create_dirs(inv: DataFrame, dirs: DataFrame, now: Column) -> DataFrame:

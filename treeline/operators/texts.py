@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.columns import as_col, once
 from treeline.operators.components import components
 from treeline.session import cut_lineage
-from treeline.skew import ROWS_PER_TASK, skew_join, skew_self_join
+from treeline.skew import skew_join, skew_self_join
 
 WORDS = 3
-MIN_SHINGLES = 5
 _POSTINGS_PER_TASK = 20_000
+#: Buckets of the corpus-wide shingle counts that order the shingles: half a megabyte.
+_BUCKETS = 1 << 16
 
 
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(as_col(text)), "[ \\t\\r\\n]+"), lambda w: w != "")
 
 
-def _with_shingles(docs: DataFrame) -> DataFrame:
-    """Add ``set``, the distinct runs of three words of ``text``, and its size ``n``.
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, words, n, hashes) of every text that has a word, in one pass: a digest of its
+    words, and the distinct runs of three words as ``n`` 64-bit hashes. A text of one or two
+    words is a run of its own.
 
     Shifted copies of the word array are zipped, so every word is handled once per shift;
     each step is computed once per row.
@@ -28,18 +33,17 @@ def _with_shingles(docs: DataFrame) -> DataFrame:
     def joined(a: Column, b: Column) -> Column:
         return F.concat(a, F.lit(" "), b)
 
-    words = once(docs, _w=tokens("text"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = once(named, _w=tokens("text")).filter(F.size("_w") > 0)
     count = F.size("_w")
     runs = once(
         words,
-        _r=F.zip_with(
-            F.zip_with("_w", F.slice("_w", F.lit(2), count), joined),
-            F.slice("_w", F.lit(3), count),
-            joined,
-        ),
+        _r=F.when(count < WORDS, F.array(F.array_join("_w", " "))).otherwise(F.array_compact(F.zip_with(
+            F.zip_with("_w", F.slice("_w", F.lit(2), count), joined), F.slice("_w", F.lit(3), count), joined,
+        ))),
     )
-    sets = once(runs, set=F.array_distinct(F.array_compact("_r"))).drop("_w", "_r")
-    return sets.withColumn("n", F.size("set")).filter(F.col("n") >= MIN_SHINGLES)
+    sets = once(runs, hashes=F.array_distinct(F.transform("_r", lambda r: F.xxhash64(r))))
+    return sets.select("id", F.sha2(F.array_join("_w", " "), 256).alias("words"), F.size("hashes").alias("n"), "hashes")
 
 
 def _word_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,13 +56,24 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Only digests are grouped, so copies of one text collapse before the shuffle.
     """
-    keyed = _word_digests(docs, id_col, text_col)
+    keyed = cut_lineage(_word_digests(docs, id_col, text_col))
     reps = keyed.groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return skew_join(keyed, reps, ["words"], "inner", ["id"], rows_per_key="copies").select(
         "rep", "id", "copies"
     )
 
 
+def _levels(sets: DataFrame) -> bytes:
+    """How often the shingles of each bucket occur in all texts: two bytes per bucket that
+    sort like the counts. The table reaches the driver; its size is fixed."""
+    bucket = F.pmod("h", F.lit(_BUCKETS)).cast("int")
+    found = sets.select(F.explode("hashes").alias("h")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    out = bytearray(2 * _BUCKETS)
+    for row in found.collect():
+        out[2 * row.b : 2 * row.b + 2] = min(int(math.log2(row.c + 1) * 1024), 0xFFFF).to_bytes(2, "big")
+    return bytes(out)
+
+
 def near_duplicate_pairs(
     docs: DataFrame,
     threshold: float = 0.99,
@@ -67,38 +82,23 @@ def near_duplicate_pairs(
     limit: int = _POSTINGS_PER_TASK,
 ) -> DataFrame:
     """All pairs (a < b) of distinct texts with Jaccard >= threshold, once each, with the
-    number of copies of either side; texts need at least five shingles.
+    number of copies of either side. Texts without a word are in no pair.
 
-    Shingles are ordered by document frequency. A pair at the threshold shares one of
-    the first n - ceil(t*n) + 1 of either text, so only those are joined, and those that
-    occur in one text only are dropped unseen. Exact: nothing is capped or sampled.
+    Texts are read once; from then on only hashes of their shingles move. A pair at the
+    threshold shares one of the first n - ceil(t*n) + 1 shingles of either text in any order
+    that is the same for all, so only those are joined; rare ones come first, by counts per
+    bucket. Exact up to equal 64-bit hashes: nothing is capped or sampled.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets = cut_lineage(shingle_sets(docs, id_col, text_col))
     reps = cut_lineage(
-        _word_digests(docs, id_col, text_col)
-        .groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-        .select("id", "copies")
-    )
-    originals = named.join(reps, "id")
-    texts = _with_shingles(originals)
-    # equal shingles have equal hashes; a collision can only add a candidate
-    hashes = texts.select("id", "n", F.explode(F.transform("set", lambda s: F.xxhash64(s))).alias("h"))
-    shared = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = skew_join(hashes, shared, ["h"], "inner", ["id"], rows_per_key="df")
-    # ranks: the n - m shingles nobody shares come first and match nothing
-    ranked = common.groupBy("id", "n").agg(
-        F.collect_list(F.struct("df", "h")).alias("rest")  # one text's shingles
-    )
-    reach = (
-        F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("rest"))
-    ).cast("int")
-    heads = ranked.withColumn("reach", reach).filter("reach > 0")
-    # small next to the texts, and used on both sides of the join
-    prefix = cut_lineage(
-        heads.select("id", "n", F.explode(F.slice(F.sort_array("rest"), F.lit(1), F.col("reach"))).alias("s"))
-        .select("id", "n", F.col("s.h").alias("h"))
-        .distinct()
+        sets.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
     )
+    levels = F.lit(_levels(sets))
+    ordered = F.array_sort(F.transform("hashes", lambda h: F.struct(
+        F.substr(levels, (F.pmod(h, F.lit(_BUCKETS)) * 2 + 1).cast("int"), F.lit(2)).alias("c"), h.alias("h"))))
+    reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    heads = sets.select("id", "n", F.explode(F.slice(ordered, F.lit(1), reach)).alias("s"))
+    prefix = cut_lineage(heads.select("id", "n", F.col("s.h").alias("h")).join(reps, "id", "left_semi"))
 
     def possible(left: str, right: str) -> Column:
         small, large = F.least(left + "n", right + "n"), F.greatest(left + "n", right + "n")
@@ -109,16 +109,14 @@ def near_duplicate_pairs(
         .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
         .distinct()
     )
-    # only texts that are in a candidate are taken apart again
     asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    judged = _with_shingles(originals.join(asked, "id", "left_semi"))
+    judged = sets.join(asked, "id", "left_semi").join(reps, "id")
 
     def side(x: str) -> DataFrame:
-        names = (("id", x), ("set", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
+        names = (("id", x), ("hashes", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
         return judged.select(*[F.col(c).alias(out) for c, out in names])
 
-    both = skew_join(candidates, side("a"), ["a"], "inner", ["b"])
-    both = skew_join(both, side("b"), ["b"], "inner", ["a"])
+    both = candidates.join(side("a"), "a").join(side("b"), "b")
     common_count = F.size(F.array_intersect("set_a", "set_b"))
     jaccard = F.col("_common") / (F.col("n_a") + F.col("n_b") - F.col("_common"))
     return (

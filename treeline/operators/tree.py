@@ -29,24 +29,32 @@ def count_dirs(inv: DataFrame, exclude: Iterable[str] = (), include: Iterable[st
     )
 
 
+def _readable(inv: DataFrame) -> Column:
+    """Records whose listing did not fail; an inventory without ``error`` has no failures."""
+    return F.col("error").isNull() if "error" in inv.columns else F.lit(True)
+
+
 def empty_dirs(inv: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """Directories without any recorded child. Hidden and excluded children count.
+    """Directories without any recorded child. Hidden and excluded children count, and a
+    directory that could not be listed (``error`` is set) is not known to be empty.
 
     Only the distinct parents are shuffled, so a huge folder is one row per task.
     """
     parents = inv.filter(F.col("path") != "/").select(parent_of("path").alias("path")).distinct()
-    dirs = inv.filter("is_dir")
+    dirs = inv.filter(F.col("is_dir") & _readable(inv))
     if allowed is not None:
         dirs = dirs.filter(allowed)
     return dirs.join(parents, "path", "left_anti")
 
 
 def empty_trees(inv: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """Directories with no file anywhere below them.
+    """Directories with no file anywhere below them, and nothing that could not be listed.
 
-    Every folder that holds a file marks its ancestors as used; no recursion.
+    Every folder that holds a file marks its ancestors as used; no recursion. So does what
+    is neither known to be a directory nor readable, itself included.
     """
-    holders = inv.filter(~F.col("is_dir")).select(parent_of("path").alias("dir")).distinct()
+    files = inv.filter(~F.coalesce("is_dir", F.lit(False))).select(parent_of("path").alias("dir"))
+    holders = files.unionByName(inv.filter(~_readable(inv)).select(F.col("path").alias("dir"))).distinct()
     used = holders.select(
         F.explode(F.array_append(ancestors("dir"), F.col("dir"))).alias("path")
     ).distinct()

@@ -73,9 +73,20 @@ def _organization(inv: DataFrame, rules: DataFrame | None = None, *, dest: str,
     return suggest_organization(inv, dest, rules=rules, **config)
 
 
-def _ownership(inv: DataFrame, target_user: str, **config) -> DataFrame:
-    from treeline.operators.ownership import plan_ownership
-
+def _ownership(inv: DataFrame, users: DataFrame | None = None, groups: DataFrame | None = None, *,
+               target_user: str, target_group: str = "", **config) -> DataFrame:
+    """With tables of users and groups the names decide the ids, else ``uid`` and ``gid`` do."""
+    from treeline.operators.ownership import plan_ownership, resolve_principals
+
+    if users is not None:
+        spark = inv.sparkSession
+        groups = spark.createDataFrame([], "`group` string, gid bigint") if groups is None else groups
+        asked = spark.createDataFrame([(1, target_user, target_group)], "request_id int, user string, `group` string")
+        current = (target_user, config.pop("uid", 0), config.pop("gid", 0))
+        row = resolve_principals(asked, users, groups, current).first()
+        if row.error:
+            raise ValueError(row.error)
+        config |= {"uid": row.uid, "gid": row.gid}
     return plan_ownership(inv, **config)
 
 

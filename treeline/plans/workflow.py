@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from treeline.plans.registry import Registry
 from treeline.session import cut_lineage
-from treeline.skew import skew_join
 
 
 def _fill(value, variables: dict[str, str]):
@@ -32,7 +31,8 @@ def run_workflow(
     A step is {id, type, config, inputs, depends_on, condition}; its inputs are names of
     given tables or of earlier steps. A condition is an aggregate over the first input,
     such as "count(*) > 0"; where it is not true, the step and all that depend on it are
-    skipped. Only conditions run a job; all else stays one lazy plan.
+    skipped. Conditions run a job, and so do operators that store what they read twice; all
+    else stays lazy.
     """
     steps = {step["id"]: step for step in spec["steps"]}
     edges = {
@@ -72,17 +72,15 @@ def validate_workflows(steps: DataFrame, dependencies: DataFrame, registry: Regi
     missing = links.join(known, ["workflow", "depends_on"], "left_anti").select(
         "workflow", "step", F.concat(F.lit("missing dependency "), "depends_on").alias("problem")
     )
-    waiting = cut_lineage(links.join(known, ["workflow", "depends_on"], "left_semi"))
-    count = waiting.count()
-    while count:
-        # drop the links to steps that wait for nothing
-        blocked = waiting.select("workflow", F.col("step").alias("depends_on")).distinct()
-        waiting = cut_lineage(
-            skew_join(waiting, blocked, ["workflow", "depends_on"], "left_semi", ["step"])
+    walks = cut_lineage(links.join(known, ["workflow", "depends_on"], "left_semi"))
+    # walks of 1, 2, 4, ... links back; one with as many links as a workflow has steps meets a cycle
+    most = steps.groupBy("workflow").agg(F.count_distinct("step").alias("n")).agg(F.max("n")).first()[0] or 0
+    length = 1
+    while length < most and not walks.isEmpty():
+        behind = walks.select("workflow", F.col("step").alias("depends_on"), F.col("depends_on").alias("_far"))
+        walks = cut_lineage(
+            walks.join(behind, ["workflow", "depends_on"]).select("workflow", "step", F.col("_far").alias("depends_on")).distinct()
         )
-        left = waiting.count()
-        if left == count:
-            break
-        count = left
-    stuck = waiting.select("workflow", "step", F.lit("cycle").alias("problem")).distinct()
+        length *= 2
+    stuck = walks.select("workflow", "step", F.lit("cycle").alias("problem")).distinct()
     return unknown.unionByName(missing).unionByName(stuck)

@@ -1,9 +1,11 @@
 """Ways round hot keys: lookups, self-joins and ordered windows that stay bounded
 per task even when one key holds a large share of all rows.
 
-All of them are plain lazy plans. The table of hot keys is the only thing that is
-broadcast: a key enters it with more than ``limit`` rows, so it has at most
-``rows / limit`` entries.
+Joins are lazy plans. Ordered windows first look whether any key is hot: without one they
+are Spark's own window over an input that is read once more for the look; with one the input
+is written once and cut. A key enters the table of hot keys with more than ``limit`` rows, so
+it has at most ``rows / limit`` entries; it is joined as Spark sees fit, not forced into a
+broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.session import cut_lineage
+
 ROWS_PER_TASK = 1_000_000
 
 
@@ -59,7 +63,7 @@ def skew_join(
         found = right.filter(F.col(rows_per_key) > limit).withColumn(
             "_slots", F.ceil(F.col(rows_per_key) / limit).cast("int")
         )
-    hot = F.broadcast(found.select(*on, "_slots"))
+    hot = found.select(*on, "_slots")
     salted = left.join(hot, on, "left").withColumn("_slot", _slot_of(spread)).drop("_slots")
     copies = right.join(hot, on, "left").withColumn("_slot", _every_slot()).drop("_slots")
     return salted.join(copies, [*on, "_slot"], how).drop("_slot")
@@ -78,7 +82,7 @@ def skew_self_join(
     A hot key becomes a grid of slots x slots tasks of at most about 2*limit rows.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(df.select(*on), on, limit).select(*on, "_slots"))
+    hot = hot_keys(df.select(*on), on, limit).select(*on, "_slots")
     base = df.join(hot, on, "left")
 
     def side(prefix: str, own: str, other: str) -> DataFrame:
@@ -99,7 +103,8 @@ def skew_self_join(
 
 
 def fragments(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_frag``: -1 for ordinary keys, else the ordered piece of a hot key.
 
@@ -108,10 +113,10 @@ def fragments(
     ``order`` has to identify a row within its key.
     """
     keys = list(keys)
-    hot = hot_keys(df.select(*keys), keys, limit)
+    hot = hot_keys(df.select(*keys), keys, limit) if hot is None else hot
     cuts = (
         df.select(*keys, F.struct(*order).alias("_o"))
-        .join(F.broadcast(hot), keys)
+        .join(hot, keys)
         .filter(F.pmod(F.xxhash64("_o"), F.col("_n")) < 2 * F.col("_slots"))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("_o")).alias("_cuts"))
@@ -122,7 +127,7 @@ def fragments(
         )
     )
     located = (
-        df.join(F.broadcast(cuts), keys, "left")
+        df.join(cuts, keys, "left")
         .withColumn("_o", F.struct(*order))
         .withColumn("_head", F.expr("size(filter(_heads, x -> x <= _o))"))
         .withColumn(
@@ -151,9 +156,12 @@ def running(
     """
     keys = list(keys)
     agg = {"sum": F.sum, "max": F.max}
-    cut = fragments(
-        df.withColumns({f"_v_{o}": expr for o, (_, expr) in outputs.items()}), keys, order, limit
-    )
+    hot = cut_lineage(hot_keys(df.select(*keys), keys, limit))
+    if hot.isEmpty():
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*df.columns, *[agg[kind](expr).over(upto).alias(o) for o, (kind, expr) in outputs.items()])
+    valued = cut_lineage(df.withColumns({f"_v_{o}": expr for o, (_, expr) in outputs.items()}))
+    cut = cut_lineage(fragments(valued, keys, order, limit, hot))
     totals = (
         cut.filter("_frag >= 0")
         .groupBy(*keys, "_frag")
@@ -178,7 +186,7 @@ def running(
         return F.when(own.isNotNull() | F.col(f"_c_{out}").isNotNull(), both)
 
     # one carry row per piece of a hot key: at most about two per ``limit`` rows
-    joined = cut.join(F.broadcast(carry), [*keys, "_frag"], "left")
+    joined = cut.join(carry, [*keys, "_frag"], "left")
     return joined.select(*df.columns, *[value(o, kind).alias(o) for o, (kind, _) in outputs.items()])
 
 
@@ -194,7 +202,10 @@ def with_halo(
     before the piece; the caller drops them after the window.
     """
     keys = list(keys)
-    cut = fragments(df, keys, order, limit)
+    hot = cut_lineage(hot_keys(df.select(*keys), keys, limit))
+    if hot.isEmpty():
+        return df.withColumn("_frag", F.lit(-1)).withColumn("_halo", F.lit(False))
+    cut = cut_lineage(fragments(cut_lineage(df), keys, order, limit, hot))
     last = Window.partitionBy(*keys, "_frag").orderBy(*[F.col(c).desc() for c in order])
     tails = (
         cut.filter("_frag >= 0")

@@ -41,6 +41,21 @@ _TYPE_BITS = {
 _FLAG_BITS = {stat.S_ISUID: 23, stat.S_ISGID: 22, stat.S_ISVTX: 20}
 
 
+# Bytes of a file name that are not UTF-8 stand for private characters in the inventory.
+_RAW = {0xDC00 + b: 0x10FF00 + b for b in range(0x80, 0x100)}
+_BACK = {v: k for k, v in _RAW.items()}
+
+
+def shown(path: str) -> str:
+    """A path of this system as it can be stored; every name has one form."""
+    return path.translate(_RAW)
+
+
+def on_disk(path: str) -> str:
+    """The path of this system that ``shown`` has made."""
+    return path.translate(_BACK)
+
+
 def portable_mode(st_mode: int) -> int:
     mode = st_mode & 0o777
     kind = _TYPE_BITS.get(stat.S_IFMT(st_mode))
@@ -55,6 +70,7 @@ def portable_mode(st_mode: int) -> int:
 
 
 def _record(path: str, name: str, st: os.stat_result | None, error: str | None) -> tuple:
+    path, name = shown(path), shown(name)
     if st is None:
         return (path, name, None, None, None, None, error)
     when = datetime.fromtimestamp(st.st_mtime, tz=timezone.utc)
@@ -78,7 +94,7 @@ def _list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
             try:
-                with os.scandir(folder) as entries:
+                with os.scandir(on_disk(folder)) as entries:
                     for entry in entries:
                         try:
                             rows.append(
@@ -101,7 +117,7 @@ def _stat_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             name = os.path.basename(path.rstrip("/")) or path
             try:
-                rows.append(_record(path, name, os.lstat(path), None))
+                rows.append(_record(path, name, os.lstat(on_disk(path)), None))
             except OSError as exc:
                 rows.append(_record(path, name, None, str(exc)))
         if rows:
@@ -114,10 +130,15 @@ def scan_tree(spark: SparkSession, roots: Sequence[str], tasks: int | None = Non
     Level by level: the folders of one level are spread over the executors, their
     entries are written to the shared scratch folder, and the next level starts from
     what was written. The driver only learns how many folders a level has. Roots are
-    included, hidden names too, symbolic links are recorded and not followed, and an
-    unreadable entry becomes a row with ``error`` set. Overlapping roots count once.
+    included, hidden names too, and symbolic links are recorded and not followed. There is
+    one row per path; that of an entry or folder that could not be read has ``error`` set.
+    Names that are not UTF-8 are kept in a form of their own (``on_disk`` gives it back).
+    Overlapping roots count once.
     """
     tasks = tasks or max(spark.sparkContext.defaultParallelism, 2)
+    for root in roots:
+        if "://" in root:
+            raise ValueError(f"{root}: only folders of a mount that all executors share can be listed")
     out = scratch(spark, "scan")
     level = 0
     frontier = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string").distinct()
@@ -132,7 +153,9 @@ def scan_tree(spark: SparkSession, roots: Sequence[str], tasks: int | None = Non
         listed = folders.repartition(tasks).mapInPandas(_list_children, LISTING)
         level += 1
     found = spark.read.schema(LISTING).parquet(*[f"{out}/level={i}" for i in range(level + 1)])
-    return found.dropDuplicates(["path"]) if len(roots) > 1 else found
+    # a folder that could not be listed has its own row and one with the error
+    merged = found.groupBy("path").agg(*[F.max(c).alias(c) for c in LISTING.fieldNames() if c != "path"])
+    return merged.select(*LISTING.fieldNames())
 
 
 def scan_content(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -211,7 +234,7 @@ def hash_files(
             for path in batch["path"]:
                 try:
                     hasher, left = _hasher(algorithm), first_bytes
-                    with open(path, "rb") as handle:
+                    with open(on_disk(path), "rb") as handle:
                         while left is None or left > 0:
                             chunk = handle.read(chunk_size if left is None else min(chunk_size, left))
                             if not chunk:

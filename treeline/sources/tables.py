@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.functions.paths import is_under, separators
+from treeline.functions.paths import as_root, is_under, separators
 from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK, skew_join
 
@@ -25,6 +25,7 @@ def under_roots(
 
     A short list of roots becomes a predicate that reaches the scan. A table of roots
     (column ``path``) is joined on the record's ancestors, never by a prefix comparison.
+    Slashes at the end of a root do not matter either way.
     """
     if not isinstance(roots, DataFrame):
         roots = list(dict.fromkeys(r.rstrip("/") or "/" for r in roots))
@@ -36,7 +37,7 @@ def under_roots(
                 keep = keep | is_under("path", F.lit(root))
             return inv.filter(keep)
         roots = inv.sparkSession.createDataFrame([(r,) for r in roots], "path string")
-    hits = covered_by(inv, roots.select(F.col("path").alias("root")).distinct(), limit)
+    hits = covered_by(inv, roots.select(as_root("path").alias("root")).distinct(), limit)
     return inv.join(hits.select("path").distinct(), "path", "left_semi")
 
 
@@ -76,7 +77,7 @@ def union_roots(inventories: Sequence[DataFrame]) -> DataFrame:
 
 def lookup(inv: DataFrame, paths: DataFrame) -> DataFrame:
     """Each requested path with its record, or with ``found`` false."""
-    known = inv.withColumn("found", F.lit(True))
+    known = inv.dropDuplicates(["path"]).withColumn("found", F.lit(True))
     return paths.join(known, "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -120,13 +121,18 @@ def explode_details(results: DataFrame) -> DataFrame:
     return results.select("id", F.explode("details").alias("key", "value"))
 
 
+def _marked(text):
+    """A text that is the null marker, or that with more backslashes, gets one backslash more."""
+    return F.when(F.regexp_like(text, F.lit(r"\A\\+N\z")), F.concat(F.lit("\\"), text)).otherwise(text)
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                   partition_by: Sequence[str] = ()) -> None:
     """Write as parquet, orc, json or csv. Nested columns go to csv as JSON text."""
     if fmt == "csv":
         nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
         text = [F.to_json(c) if c in nested else F.col(c).cast("string") for c in df.columns]
-        df = df.select(*[F.coalesce(t, F.lit(_CSV_NULL)).alias(c) for t, c in zip(text, df.columns)])
+        df = df.select(*[F.coalesce(_marked(t), F.lit(_CSV_NULL)).alias(c) for t, c in zip(text, df.columns)])
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.options(**_CSV, quoteAll=True)
@@ -138,14 +144,15 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 def read_results(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.options(**_CSV, multiLine=True, nullValue=_CSV_NULL)
+        found = reader.options(**_CSV, multiLine=True, nullValue=_CSV_NULL).load(path)
+        plain = {
+            f.name: F.when(F.regexp_like(f.name, F.lit(r"\A\\{2,}N\z")), F.substr(f.name, F.lit(2))).otherwise(F.col(f.name))
+            for f in found.schema.fields if f.dataType.typeName() == "string"
+        }
+        return found.withColumns(plain) if plain else found
     return reader.load(path)
 
 
-def show_results(df: DataFrame, rows: int = 20) -> None:
-    df.show(rows, truncate=False)
-
-
 def save_duplicates(groups: DataFrame, members: DataFrame, folder: str) -> None:
     write_results(groups, f"{folder}/dup_groups")
     write_results(members, f"{folder}/dup_members")
