@@ -60,7 +60,8 @@ def test_partial_digest(spark, folder):
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_results_round_trip(spark, tmp_path, fmt):
-    rows = [("a", 'x "quoted",\nline', None, 1.5), ("b", "", True, None), ("c", "  blanks\t ", True, 2.0), (None, "\\back\\", False, 0.0)]
+    rows = [("a", 'x "quoted",\nline', None, 1.5), ("b", "", True, None), ("c", "  blanks\t ", True, 2.0), (None, "\\back\\", False, 0.0),
+            ("d", "\\N", None, None), ("\\N", "\\\\N", None, 0.5), ("e", None, False, 1.0), ("f", "x\\N", True, 1.0)]
     df = spark.createDataFrame(rows, "id string, text string, ok boolean, x double")
     tables.write_results(df, str(tmp_path / fmt), fmt)
     back = tables.read_results(spark, str(tmp_path / fmt), df.schema, fmt)

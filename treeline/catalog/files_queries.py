@@ -9,6 +9,7 @@ from treeline.functions import hashing, labels, paths, rules
 from treeline.functions.kinds import IMAGE_FORMATS
 from treeline.operators import dedup
 from treeline.operators.enrich import enrich, scope_estimate, type_census
+from treeline.plans.registry import builtin_registry
 from treeline.schema import ALGORITHMS
 from treeline.session import scratch
 from treeline.skew import skew_join
@@ -61,6 +62,19 @@ def dedup_groups(spark, sf_dir):
     return _groups(spark, sf_dir).select(*_GROUP_COLUMNS)
 
 
+@query("dedup_staged", _GROUPS_SQL + " SELECT id, size, files, total_size, saveable_size, survivor FROM groups")
+def _(spark, sf_dir):
+    return dedup.staged_duplicates(files(spark, sf_dir), "sha256")[0].select(*_GROUP_COLUMNS)
+
+
+@query("dedup_staged_filtered", f"""WITH {FILES_SQL} SELECT path AS source_path, CASE WHEN path = first THEN 'keep' ELSE 'remove' END AS action
+  FROM (SELECT *, count(*) OVER w AS n, first_value(path) OVER (PARTITION BY content ORDER BY mod_us, path) AS first
+    FROM inv WHERE size >= 500 AND size <= 20000 AND path NOT LIKE '%.tmp' WINDOW w AS (PARTITION BY content)) WHERE n > 1""")
+def _(spark, sf_dir):
+    found = builtin_registry().run("deduplication", files(spark, sf_dir), exclude=("*.tmp",), min_size=500, max_size=20000)
+    return found.select("source_path", "action")
+
+
 @query("dedup_members", _GROUPS_SQL + " SELECT group_id, path, size, survivor, keep FROM members")
 def _(spark, sf_dir):
     return _members(spark, sf_dir).drop("mod_time")

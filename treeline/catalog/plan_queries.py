@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.catalog.data import (CATEGORY_SQL, DAY_ZERO, FILES_SQL, PARENT_SQL, TREE_SQL, files, query,
+from treeline.catalog.data import (CATEGORY_SQL, CLEANUP_OK_SQL, DAY_ZERO, FILES_SQL, PARENT_SQL, TREE_SQL, files, query,
                                    table, tree)
 from treeline.catalog.tree_queries import _EMPTY_SQL, _ALL_FILES_SQL
 from treeline.functions import paths, rules
@@ -61,6 +61,12 @@ def _(spark, sf_dir):
     return _ownership(spark, sf_dir).select("source_path", "action", "status", "reason", "uid", "gid")
 
 
+@query("ownership_roots", f"""WITH {TREE_SQL} SELECT path AS source_path FROM tree
+  WHERE path = '/data/en' OR starts_with(path, '/data/en/') OR path = '/data/fr/src1' OR starts_with(path, '/data/fr/src1/')""")
+def _(spark, sf_dir):
+    return ownership.plan_ownership(tree(spark, sf_dir), ["/data/en/", "/data/fr/src1//", "/data/en/src2"], 1, 2).select("source_path")
+
+
 @query("ownership_summary", f"""WITH {TREE_SQL}, c AS (SELECT count(*) FILTER (WHERE path NOT LIKE '%.pdf') AS changed,
   count(*) FILTER (WHERE path LIKE '%.pdf') AS skipped FROM tree WHERE {_IN_SCOPE_SQL})
   SELECT changed, skipped, skipped AS errors, 'Ownership change (completed): ' || changed || ' items changed, '
@@ -156,6 +162,33 @@ def _(spark, sf_dir):
     return _consolidate(spark, sf_dir, strategy="type", conflict="rename").select(*_COLUMNS)
 
 
+@query("rename_in_place", f"""WITH {FILES_SQL}, plan AS (SELECT path AS source_path, '/data/en/src0/all' || ext AS target_path FROM inv
+    UNION ALL SELECT DISTINCT '/data/en/src0/all' || ext, '/data/en/src0/all' || ext FROM inv WHERE doc_id % 2 = 0),
+  held AS (SELECT '/data/en/src0/all_' || n || ext AS path, ext, n FROM (SELECT DISTINCT ext FROM inv), (VALUES (2), (3), (7)) t(n)),
+  free AS (SELECT ext, n, row_number() OVER (PARTITION BY ext ORDER BY n) AS turn
+    FROM (SELECT DISTINCT ext FROM inv), (SELECT unnest(range(1, (SELECT count(*) + 10 FROM inv))) AS n)
+    WHERE (ext, n) NOT IN (SELECT (ext, n) FROM held)),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY target_path ORDER BY source_path) - 1
+      + (target_path IN (SELECT source_path FROM plan WHERE source_path = target_path))::INT AS turn
+    FROM plan WHERE source_path <> target_path)
+  SELECT t.source_path, CASE WHEN t.turn = 0 THEN target_path ELSE '/data/en/src0/all_' || f.n || f.ext END AS new_path,
+    CASE WHEN t.turn = 0 THEN 'planned' ELSE 'renamed' END AS status
+  FROM turns t LEFT JOIN free f ON f.turn = t.turn AND ends_with(t.target_path, 'all' || f.ext)
+  UNION ALL SELECT source_path, target_path, 'planned' FROM plan WHERE source_path = target_path""")
+def _(spark, sf_dir):
+    # all files of one suffix go to one name; for some suffixes a file has that name already, and some numbers are taken
+    inv = files(spark, sf_dir)
+    ext = F.concat(F.lit("."), F.element_at(F.split("path", "[.]"), -1))
+    target = F.concat(F.lit("/data/en/src0/all"), ext)
+    plan = inv.select(F.col("path").alias("source_path"), target.alias("target_path"), "mod_time", "size")
+    there = inv.filter("doc_id % 2 = 0").select(target.alias("source_path"), target.alias("target_path")).distinct()
+    whole = plan.unionByName(there, allowMissingColumns=True)
+    numbers = F.explode(F.array(F.lit("2"), F.lit("3"), F.lit("7")))
+    held = inv.select(ext.alias("ext")).distinct().select("ext", numbers.alias("n")).select(
+        F.concat(F.lit("/data/en/src0/all_"), "n", "ext").alias("path"))
+    return conflicts.rename_on_conflict(whole, held).select("source_path", "new_path", "status")
+
+
 @query("consolidate_date", _consolidated_sql(
     "'/dest/' || strftime(make_timestamp(mod_us), '%Y/%m/%d') || '/' || regexp_extract(path, '([^/]*)$', 1)",
     _SKIP_SQL, action="move"))
@@ -311,6 +344,30 @@ def _(spark, sf_dir):
     return _shown(snapshot.apply_plan(inv, plan, _now()))
 
 
+@query("snapshot_remove_cascade", f"""WITH {_ALL_FILES_SQL}, planned AS (SELECT path FROM tree
+    WHERE is_dir AND path NOT IN (SELECT path FROM used) AND {CLEANUP_OK_SQL}),
+  rest AS (SELECT path FROM tree WHERE path NOT IN (SELECT path FROM planned))
+  SELECT path, {_NAME_SQL}, size, mod_us, is_dir, mode FROM tree t WHERE path IN (SELECT path FROM rest)
+    OR EXISTS (SELECT 1 FROM rest r WHERE starts_with(r.path, t.path || '/'))""")
+def _(spark, sf_dir):
+    inv = tree(spark, sf_dir)
+    return _shown(snapshot.apply_plan(inv, dirs.plan_cleanup(inv, cascade=True), _now()))
+
+
+@query("snapshot_copy_missing", f"""WITH {TREE_SQL} SELECT path, {_NAME_SQL}, size, mod_us, is_dir, mode FROM tree
+  UNION ALL SELECT '/new/copy' || substr(path, 9), regexp_extract('/new/copy' || substr(path, 9), '([^/]*)$', 1), size, {_NOW_US}, is_dir, mode
+    FROM tree WHERE path = '/data/en' OR starts_with(path, '/data/en/')
+  UNION ALL SELECT * FROM (VALUES ('/', '/', 0, {_NOW_US}, true, {snapshot.DIR_MODE}), ('/new', 'new', 0, {_NOW_US}, true, {snapshot.DIR_MODE}))""")
+def _(spark, sf_dir):
+    # a source that is not there, and a copy below itself, make nothing
+    inv = tree(spark, sf_dir)
+    some = inv.filter("path = '/data/en'").select(F.col("path").alias("source"))
+    copies = some.select("source", F.lit("/new/copy").alias("target")).unionByName(
+        some.select(F.concat("source", F.lit("/nothing")).alias("source"), F.lit("/gone/deep/x").alias("target"))).unionByName(
+        some.select("source", F.concat("source", F.lit("/inner/x")).alias("target")))
+    return _shown(snapshot.apply_copy(inv, copies, _now()))
+
+
 @query("snapshot_remove_tree", f"""WITH {_ALL_FILES_SQL} SELECT path, {_NAME_SQL}, size, mod_us, is_dir, mode FROM tree
   WHERE path IN (SELECT path FROM used) OR NOT is_dir""")
 def _(spark, sf_dir):

@@ -197,16 +197,43 @@ def _(spark, sf_dir):
     CASE last_type WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS kind FROM runs
   WHERE last_type IN ('purchase', 'error') AND last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events)""")
 def _(spark, sf_dir):
-    gone = progress.evict_finished_stream(_stream(spark, sf_dir).select("id", "ts", "kind"), "12 hours")
+    gone = progress.evict_finished_stream(_stream(spark, sf_dir).select("id", "ts", "kind"), "12 hours", "0 seconds")
     out = progress.run_available(gone, "append", "evicted")
     return out.select("id", F.unix_micros("end_time").alias("end_us"), "kind")
 
 
+def _late_stream(spark, sf_dir):
+    """The events in four files of a quarter of the time each, one per micro-batch. Every
+    seventh event is in the file after its own, so it comes late."""
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    own = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1))
+    folder = scratch(spark, "late")
+    parts = events.withColumn("_file", F.least(own + (F.col("event_id") % 7 == 0).cast("int"), F.lit(3)))
+    for number in range(4):  # in the order in which the stream is to see them
+        parts.filter(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    raw = progress.read_stream(spark, folder, events.schema, "*.parquet", files_per_trigger=1)
+    return raw.select(F.col("user_id").alias("id"), "ts", "event_id", "event_type", kind_column().alias("kind"))
+
+
+@query("stream_evict_late", f"""WITH {_SESSIONS_SQL.format(gap="12 HOUR")}, span AS (SELECT max(ts) - min(ts) AS d, max(ts) AS newest FROM events)
+  SELECT id, epoch_us(last_ts) AS end_us, CASE last_type WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS kind FROM runs, span
+  WHERE last_type IN ('purchase', 'error')
+    AND epoch_us(last_ts + INTERVAL 12 HOUR) <= epoch_us(newest) - (epoch_us(newest) - epoch_us(newest - d)) // 2000000 * 1000000""")
+def _(spark, sf_dir):
+    # no event comes later than two quarters of the time behind the newest
+    span = table(spark, sf_dir, "events").agg(F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))).first()[0]
+    gone = progress.evict_finished_stream(
+        _late_stream(spark, sf_dir).select("id", "ts", "kind"), "12 hours", f"{span // 2_000_000} seconds")
+    out = progress.run_available(gone, "append", "evicted-late")
+    return out.select("id", F.unix_micros("end_time").alias("end_us"), "kind")
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id AS id, event_type FROM events")
 def _(spark, sf_dir):
-    # one file is one micro-batch, so no watermark passes between its rows
-    seen = progress.first_seen(_stream(spark, sf_dir).select("id", "event_type", "ts"), ["id", "event_type"], "1 hour")
-    return progress.run_available(seen.select("id", "event_type"), "append", "first-seen").select("id", "event_type")
+    # several micro-batches, with watermarks between them
+    events = _late_stream(spark, sf_dir).select("id", "event_type")
+    return progress.run_unseen(events, ["id", "event_type"], "unseen")
 
 
 @query("stream_resume", """SELECT event_id FROM events WHERE (user_id, event_type) NOT IN (

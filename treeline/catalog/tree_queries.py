@@ -29,6 +29,29 @@ def _(spark, sf_dir):
     return dirs.empty_trees(tree(spark, sf_dir), rules.cleanup_allows("path")).select("path")
 
 
+def _unreadable(spark, sf_dir):
+    """Folders of src3 could not be listed: their children are unknown."""
+    inv = tree(spark, sf_dir)
+    hidden = F.contains("path", F.lit("/src3/"))
+    seen = inv.filter(~hidden | F.col("is_dir"))
+    return seen.withColumn("error", F.when(hidden, F.lit("permission denied")))
+
+
+_UNREADABLE_SQL = f"""{TREE_SQL}, seen AS (SELECT * FROM tree WHERE NOT contains(path, '/src3/') OR is_dir),
+known AS (SELECT DISTINCT {PARENT_SQL} AS path FROM seen UNION SELECT path FROM seen WHERE contains(path, '/src3/')),
+held AS (SELECT DISTINCT {PARENT_SQL} AS path FROM seen WHERE NOT is_dir UNION SELECT path FROM seen WHERE contains(path, '/src3/'))"""
+
+
+@query("cleanup_unreadable", f"""WITH {_UNREADABLE_SQL} SELECT path, 'level' AS kind FROM seen
+    WHERE is_dir AND path NOT IN (SELECT path FROM known) AND {CLEANUP_OK_SQL}
+  UNION ALL SELECT path, 'tree' FROM seen s WHERE is_dir AND {CLEANUP_OK_SQL}
+    AND NOT EXISTS (SELECT 1 FROM held h WHERE h.path = s.path OR starts_with(h.path, s.path || '/'))""")
+def _(spark, sf_dir):
+    inv = _unreadable(spark, sf_dir)
+    one = dirs.plan_cleanup(inv).select(F.col("source_path").alias("path"), F.lit("level").alias("kind"))
+    return one.unionByName(dirs.plan_cleanup(inv, cascade=True).select(F.col("source_path").alias("path"), F.lit("tree").alias("kind")))
+
+
 def _failures(inv):
     """Removals below src7 fail."""
     return inv.filter(F.contains("path", F.lit("/src7/")) & F.col("is_dir")).select(

@@ -7,10 +7,13 @@ are computed in the scan; where they are files, each stage decides what is read
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.hashing import digest, fast_hash
+from treeline.functions.rules import path_allowed, size_between
 from treeline.session import cut_lineage
 from treeline.skew import ROWS_PER_TASK, skew_join
 
@@ -74,6 +77,63 @@ def duplicate_groups(hashed: DataFrame, algorithm: str = "blake2b") -> DataFrame
     )
 
 
+def staged_duplicates(
+    files: DataFrame, algorithm: str = "blake2b", content: str = "content", exclude: Iterable[str] = (),
+    min_size: int = 0, max_size: int = 0, limit: int = ROWS_PER_TASK,
+) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of files with a content column, after the filters, in stages.
+
+    Only files whose size repeats go on. Of those the scan computes two digests in the JVM,
+    and (path, size, digests) alone are grouped; contents are not shuffled, except one of
+    each group, whose ``algorithm`` digest names it.
+    """
+    kept = files.filter(path_allowed("path", exclude) & size_between("size", min_size, max_size))
+    sizes = cut_lineage(kept.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("size"))
+    keyed = cut_lineage(
+        kept.join(sizes, "size", "left_semi")
+        .select("path", "size", "mod_time", fast_hash(content).alias("fast"), digest(content, "sha256").alias("strong"))
+    )
+    found = cut_lineage(
+        keyed.groupBy("size", "fast", "strong")
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("total_size"), F.min(F.struct("mod_time", "path")).alias("_first"))
+        .filter("files > 1")
+    )
+    first = found.select(F.col("_first.path").alias("path"), "size", "fast", "strong")
+    named = kept.select("path", content).join(first, "path").select(
+        "size", "fast", "strong", digest(content, algorithm).alias("hash")).dropDuplicates(["size", "fast", "strong"])
+    groups = cut_lineage(found.join(named, ["size", "fast", "strong"]))
+    shown = groups.select(
+        F.col("hash").alias("id"), "size", "files", "total_size", ((F.col("files") - 1) * F.col("size")).alias("saveable_size"),
+        F.lit(algorithm).alias("hash_type"), F.lit(1.0).alias("confidence"), F.col("_first.path").alias("survivor"),
+    )
+    keys = groups.select("size", "fast", "strong", F.col("hash").alias("group_id"), F.col("_first.path").alias("survivor"), "files")
+    members = skew_join(keyed, keys, ["size", "fast", "strong"], "inner", ["path"], limit, rows_per_key="files").select(
+        "group_id", "path", "size", "mod_time", "survivor", (F.col("path") == F.col("survivor")).alias("keep"))
+    return shown, members
+
+
+def staged_file_duplicates(
+    files: DataFrame, algorithm: str = "blake2b", first_bytes: int = 64 * 1024, exclude: Iterable[str] = (),
+    min_size: int = 0, max_size: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of files (path, size, mod_time) on a mount that all executors share:
+    size, then a hash of the first bytes, then the digest, then a comparison of the bytes.
+
+    Each stage reads only what the one before left; a file of a unique size is never opened,
+    and files of at most ``first_bytes`` are read once before the comparison. ``members``
+    has ``identical``: whether the bytes equal the survivor's, null where they cannot be read.
+    """
+    from treeline.sources.listing import hash_files, same_bytes
+
+    kept = files.select("path", "size", "mod_time").filter(
+        path_allowed("path", exclude) & size_between("size", min_size, max_size))
+    heads = cut_lineage(hash_files(same_size(kept), "xxhash64", first_bytes=first_bytes).filter("hash IS NOT NULL"))
+    likely = same_fast_hash(heads.select("path", "size", "mod_time", F.col("hash").alias("fast")))
+    hashed = cut_lineage(hash_files(likely.select("path", "size", "mod_time"), algorithm).filter("hash IS NOT NULL").drop("error"))
+    groups = duplicate_groups(hashed, algorithm)
+    return groups, same_bytes(duplicate_members(hashed, groups))
+
+
 def duplicate_members(
     hashed: DataFrame, groups: DataFrame, limit: int = ROWS_PER_TASK
 ) -> DataFrame:

@@ -53,12 +53,14 @@ def _cleanup(inv: DataFrame, **config) -> DataFrame:
     return plan_cleanup(inv, **config)
 
 
-def _deduplication(files: DataFrame, algorithm: str = "blake2b", content: str = "content") -> DataFrame:
+def _deduplication(files: DataFrame, algorithm: str = "blake2b", content: str = "content", **filters) -> DataFrame:
+    """``filters``: exclude, min_size, max_size. Without the content column, files are read."""
     from treeline.operators import dedup
 
-    hashed = dedup.manifest(files, algorithm, content)
-    groups = dedup.duplicate_groups(hashed, algorithm)
-    return dedup.plan_dedup(dedup.duplicate_members(hashed, groups))
+    if content in files.columns:
+        return dedup.plan_dedup(dedup.staged_duplicates(files, algorithm, content, **filters)[1])
+    members = dedup.staged_file_duplicates(files, algorithm, **filters)[1]
+    return dedup.plan_dedup(members.filter("identical").drop("identical"))
 
 
 def _consolidation(inv: DataFrame, dest: str, **config) -> DataFrame:

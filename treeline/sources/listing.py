@@ -212,6 +212,33 @@ def _hasher(algorithm: str):
     return hashlib.new(algorithm)
 
 
+def same_bytes(members: DataFrame, chunk_size: int = 16 * 1024 * 1024) -> DataFrame:
+    """Add ``identical``: whether the file at ``path`` has the bytes of the one at
+    ``survivor``; null where one of them cannot be read. Nothing but paths is shuffled."""
+    schema = T.StructType([*members.schema.fields, T.StructField("identical", T.BooleanType())])
+
+    def equal(a: str, b: str) -> bool | None:
+        if a == b:
+            return True
+        try:
+            with open(on_disk(a), "rb") as one, open(on_disk(b), "rb") as other:
+                while True:
+                    chunk = one.read(chunk_size)
+                    if chunk != other.read(chunk_size):
+                        return False
+                    if not chunk:
+                        return True
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [equal(a, b) for a, b in zip(batch["path"], batch["survivor"], strict=True)]
+            yield batch.assign(identical=pd.array(found, dtype="boolean"))
+
+    return members.mapInPandas(run, schema)
+
+
 def hash_files(
     files: DataFrame, algorithm: str = "blake2b", chunk_size: int = 64 * 1024 * 1024,
     first_bytes: int | None = None,

@@ -70,20 +70,57 @@ def sessions(stream: DataFrame, gap: str, lateness: str) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, keys: Sequence[str], lateness: str) -> DataFrame:
-    """Files not seen before within the watermark, by e.g. size and hash."""
+    """Files not seen before within the watermark, by e.g. size and hash. The state stays
+    bounded, so a key comes out again once the watermark has passed it; where that must
+    never happen, ``run_unseen`` holds the stream against all keys it has saved."""
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
+def run_unseen(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Run over what is there; each key's first row only, over all micro-batches.
+
+    The keys of every micro-batch are saved in a folder of its own and later ones are held
+    against all of them, so the result does not depend on how the input falls into batches.
+    A replayed batch overwrites its folder and is not held against itself.
+    """
+    spark, keys = stream.sparkSession, list(keys)
+    base = scratch(spark, label)
+    stored = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())]))
+
+    def store(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        if number:
+            before = stored.parquet(f"{base}/out").filter(F.col("batch") < number).select(*keys)
+            fresh = fresh.join(before, keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/state")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    try:
+        return stored.parquet(f"{base}/out").drop("batch")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)  # there was no micro-batch
+
+
 def not_yet_known(stream: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Resume: drop files whose keys an earlier run has saved."""
     return stream.join(known.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def evict_finished_stream(stream: DataFrame, max_age: str) -> DataFrame:
+def evict_finished_stream(stream: DataFrame, max_age: str, lateness: str) -> DataFrame:
     """Last event of finished operations that no event has touched for ``max_age`` of
-    event time; their state is dropped when they come out (append mode)."""
+    event time; their state is dropped when they come out (append mode).
+
+    An event may come ``lateness`` of event time behind the newest one and still counts,
+    however the input falls into micro-batches; results come out that much later.
+    """
     runs = (
-        stream.withWatermark("ts", "0 seconds")
+        stream.withWatermark("ts", lateness)
         .groupBy(F.session_window("ts", max_age).alias("w"), "id")
         .agg(F.max(F.struct("ts", "kind")).alias("_last"))
     )
