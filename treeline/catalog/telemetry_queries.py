@@ -139,6 +139,51 @@ def _(spark, sf_dir):
     return telemetry.error_list(_errors(spark, sf_dir), ORDER).select("id", "event_id", "error", "position")
 
 
+def _steps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), "ts", "event_id",
+        F.when(F.col("event_type").isin("view", "purchase"), F.col("event_type")).alias("step"))
+
+
+def _progress(spark, sf_dir):
+    ops = _ops(spark, sf_dir).drop("events")
+    return telemetry.progress_record(ops, samples(spark, sf_dir), _steps(spark, sf_dir), _errors(spark, sf_dir), ORDER)
+
+
+_PROGRESS_SQL = _FOLD_SQL + ", " + _SPEED_SQL + """,
+lasts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY us DESC, event_id DESC) AS rn FROM speeds) WHERE rn = 1),
+marks AS (SELECT user_id AS id, count(*) FILTER (event_type IN ('view', 'purchase')) AS steps_completed,
+  coalesce(arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('view', 'purchase')), 'Initializing') AS current_step,
+  count(*) FILTER (event_type = 'error') AS error_count, arg_max('error ' || props, (ts, event_id)) FILTER (event_type = 'error') AS error,
+  arg_min('error ' || props, (ts, event_id)) FILTER (event_type = 'error') AS first_error FROM events GROUP BY 1),
+prog AS (SELECT o.id, o.status, o.start_us, o.end_us, current_step, steps_completed, items AS items_processed, total_items,
+  bytes AS bytes_processed, speed, CASE WHEN total_items = 0 OR items >= total_items OR speed = 0 THEN NULL
+    ELSE trunc((total_items - items) / speed)::BIGINT END AS estimated_eta, error, error_count, first_error
+  FROM ops o JOIN lasts USING (id) JOIN marks USING (id))"""
+
+
+@query("progress_record", _PROGRESS_SQL + """ SELECT id, status, start_us, end_us, current_step, steps_completed, items_processed, total_items,
+  bytes_processed, speed, estimated_eta, error, error_count FROM prog""")
+def _(spark, sf_dir):
+    found = _progress(spark, sf_dir)
+    times = [F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us")]
+    return found.select(*times, *[c for c in found.columns if c not in ("start_time", "end_time")])
+
+
+@query("operation_result", _PROGRESS_SQL + """, planned AS (SELECT user_id AS id, count(*) AS items_affected, sum(trunc(value * 1000)::BIGINT)::BIGINT AS bytes_affected
+    FROM events WHERE event_type <> 'error' GROUP BY 1)
+  SELECT p.id, status, round((end_us - start_us) / 1e6::DOUBLE, 6) AS duration, items_processed, bytes_processed,
+    coalesce(items_affected, 0) AS items_affected, coalesce(bytes_affected, 0) AS bytes_affected, error_count AS errors, first_error
+  FROM prog p LEFT JOIN planned USING (id)""")
+def _(spark, sf_dir):
+    plan = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").cast("string").alias("source_path"),
+        F.when(F.col("event_type") == "error", "skipped").otherwise("changed").alias("status"),
+        (F.col("value") * 1000).cast("bigint").alias("size"))
+    found = telemetry.operation_result(_progress(spark, sf_dir), plan, _errors(spark, sf_dir), ORDER)
+    return found.withColumn("duration", F.round("duration", 6)).drop("start_time", "end_time")
+
+
 # ---- streams over the events file
 
 

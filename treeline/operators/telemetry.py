@@ -200,3 +200,56 @@ def evict_finished(ops: DataFrame, now: Column, max_age: timedelta) -> DataFrame
         & (F.col("end_time") < cutoff)
     )
     return ops.filter(~F.coalesce(old, F.lit(False)))
+
+
+def progress_record(
+    ops: DataFrame, samples: DataFrame, steps: DataFrame | None = None, errors: DataFrame | None = None,
+    order: Sequence[str] = ("ts",), limit: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """One row per operation of ``ops`` (id, status, start_time, end_time): where it stands.
+
+    Items, bytes, speed and remaining time come from the last sample, the step from events
+    (id, step), the error and the number of errors from ``errors``. What an operation has
+    none of is 0, null, or the first step's name.
+    """
+    last = latest_snapshot(eta(speed(samples, order, limit)), order)
+    out = ops.join(last.select("id", "items", "bytes", "total_items", "speed", "eta"), "id", "left")
+    if steps is not None:
+        now = latest_snapshot(step_progress(steps, order, limit), order).select("id", "steps_completed", "current_step")
+        out = out.join(now, "id", "left")
+    else:
+        out = out.withColumns({"steps_completed": F.lit(None).cast("bigint"), "current_step": F.lit(None).cast("string")})
+    if errors is not None:
+        out = out.join(error_summary(errors, order), "id", "left")
+    else:
+        out = out.withColumns({"error_count": F.lit(None).cast("bigint"), "latest_error": F.lit(None).cast("string")})
+    none = F.lit(0)
+    return out.select(
+        *ops.columns,
+        F.coalesce("current_step", F.lit("Initializing")).alias("current_step"),
+        F.coalesce("steps_completed", none).alias("steps_completed"),
+        F.coalesce("items", none).alias("items_processed"), F.coalesce("total_items", none).alias("total_items"),
+        F.coalesce("bytes", none).alias("bytes_processed"), F.coalesce("speed", none).alias("speed"),
+        F.col("eta").alias("estimated_eta"), F.col("latest_error").alias("error"),
+        F.coalesce("error_count", none).alias("error_count"),
+    )
+
+
+def operation_result(progress: DataFrame, plan: DataFrame, errors: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """One result per operation of ``progress`` (see ``progress_record``) from its plan rows
+    (id, source_path, status, size) and its errors (id, ts, error).
+
+    ``items_affected`` and ``bytes_affected`` count plan rows that were not skipped; those
+    rows themselves are the files affected, and stay rows. ``first_error`` is the earliest.
+    """
+    done = plan.filter(~F.col("status").isin("skipped", "conflict", "would_remove")).groupBy("id").agg(
+        F.count(F.lit(1)).alias("items_affected"), F.sum("size").alias("bytes_affected"))
+    seen = errors.groupBy("id").agg(F.min_by("error", F.struct(*order)).alias("first_error"), F.count(F.lit(1)).alias("errors"))
+    joined = progress.join(done, "id", "left").join(seen, "id", "left")
+    ended = F.col("end_time").isNotNull() & F.col("start_time").isNotNull()
+    return joined.select(
+        "id", "status", "start_time", "end_time",
+        F.when(ended, (F.unix_micros("end_time") - F.unix_micros("start_time")) / F.lit(1e6)).alias("duration"),
+        "items_processed", "bytes_processed", F.coalesce("items_affected", F.lit(0)).alias("items_affected"),
+        F.coalesce("bytes_affected", F.lit(0)).alias("bytes_affected"), F.coalesce("errors", F.lit(0)).alias("errors"), "first_error",
+    )

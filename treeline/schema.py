@@ -1,9 +1,7 @@
-"""Schemas of the data model and the operation settings."""
+"""The schema of stored results, and names that settings may have."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import types as T
 
 _S, _L, _B, _TS = T.StringType(), T.LongType(), T.BooleanType(), T.TimestampType()
@@ -15,18 +13,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 _TEXT_MAP = T.MapType(_S, _S)
 
-FILE_RECORD = _struct(
-    path=_S, name=_S, size=_L, mod_time=_TS, is_dir=_B, mode=_L, hash=_S, hash_type=_S,
-    mime_type=_S, checksum=_S, metadata=_TEXT_MAP, content_hash=_S, partial_hash=_S,
-)
-
-PROGRESS = _struct(
-    id=_S, operation_type=_S, status=_S, start_time=_TS, end_time=_TS, current_step=_S,
-    steps_completed=T.IntegerType(), total_steps=T.IntegerType(), items_processed=_L,
-    total_items=_L, bytes_processed=_L, total_bytes=_L, speed=_L, estimated_eta=_L,
-    error=_S, details=_TEXT_MAP,
-)
-
+# Field names of errors and results.
 OPERATION_ERROR = _struct(file=_S, operation=_S, error=_S, timestamp=_TS, recoverable=_B)
 
 OPERATION_RESULT = _struct(
@@ -35,42 +22,7 @@ OPERATION_RESULT = _struct(
     details=_TEXT_MAP, errors=T.ArrayType(OPERATION_ERROR), warnings=T.ArrayType(_S),
 )
 
-DUPLICATE_GROUP = _struct(
-    id=_S, files=_L, total_size=_L, saveable_size=_L, hash_type=_S, confidence=T.DoubleType()
-)
-
-PLAN = _struct(source_path=_S, target_path=_S, action=_S, status=_S, reason=_S, size=_L)
-
-# Operation types, operation statuses, priorities.
-OPERATION_TYPES = (
-    "cleanup", "deduplication", "consolidation", "similarity", "organization", "ownership",
-    "pipeline",
-)
-STATUSES = ("pending", "running", "completed", "failed", "cancelled", "paused")
-PRIORITIES = {"low": 0, "normal": 1, "high": 2, "critical": 3}
-
 # Digest names, digest names allowed in the settings file, log levels.
 ALGORITHMS = ("md5", "sha1", "sha256", "sha512", "blake2b", "xxhash64", "crc32")
 SETTINGS_ALGORITHMS = ("blake2b", "sha256", "xxhash64", "crc32")
 LOG_LEVELS = ("debug", "info", "warn", "error", "fatal")
-
-
-@dataclass(frozen=True)
-class OperationConfig:
-    """Settings of one operation; field names follow the JSON form."""
-
-    dry_run: bool = False
-    recursive: bool = True
-    follow_symlinks: bool = False
-    exclude_patterns: tuple[str, ...] = ()
-    include_patterns: tuple[str, ...] = ()
-    max_depth: int = 0
-    max_file_size: int = 0
-    min_file_size: int = 0
-    backup_before_delete: bool = False
-    backup_directory: str = ""
-    parallelism: int = 0
-    chunk_size: int = 64 * 1024 * 1024
-    hash_algorithm: str = "blake2b"
-    similarity_threshold: float = 0.85
-    custom_settings: dict = field(default_factory=dict)

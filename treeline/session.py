@@ -25,8 +25,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    cores: str = "*", partitions: int = 8, memory: str = "8g", more: dict[str, str] | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark, with ``more`` settings."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("treeline")
@@ -37,7 +39,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         # lineage cuts go when nothing refers to them any more
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in (RUNTIME_CONF | (more or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
