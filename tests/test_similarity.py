@@ -58,23 +58,23 @@ def _bits(row):
     return sum(row[f"s{n}"] << (16 * n) for n in range(4))
 
 
-@pytest.mark.parametrize("limit", [5, 20_000])
-def test_hamming_pairs(spark, limit):
+@pytest.mark.parametrize(("limit", "k"), [(5, 3), (20_000, 3), (20_000, 0), (50, 9)])
+def test_hamming_pairs(spark, limit, k):
     rnd = random.Random(1)
     base = [rnd.getrandbits(64) for _ in range(5)]
-    values = [b ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(4))) for b in base for _ in range(20)] + base[:1] * 30
+    values = [b ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(10))) for b in base for _ in range(20)] + base[:1] * 30
     values = [v & (2**64 - 1) for v in values]
     rows = [(i, *[(v >> (16 * n)) & 0xFFFF for n in range(4)]) for i, v in enumerate(values)]
     table = spark.createDataFrame(rows, "id int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    got = signatures.hamming_pairs(table, 3, limit).collect()
+    got = signatures.hamming_pairs(table, k, limit).collect()
     first = {}
     for i, v in enumerate(values):
         first.setdefault(v, i)
     want = {(min(i, j), max(i, j), bin(a ^ b).count("1")) for (a, i), (b, j) in itertools.combinations(first.items(), 2)
-            if bin(a ^ b).count("1") <= 3}
+            if bin(a ^ b).count("1") <= k}
     assert len(got) == len(want) and {(r["a"], r["b"], r["distance"]) for r in got} == want
     with pytest.raises(ValueError):
-        signatures.hamming_pairs(table, 4)
+        signatures.hamming_pairs(table, 31)
 
 
 def test_signatures(spark):

@@ -78,6 +78,15 @@ def _(spark, sf_dir):
     return found.withColumn("distance", F.col("distance").cast("bigint"))
 
 
+@query("average_signatures", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_sum(embedding::DOUBLE[]) AS total FROM embeddings)
+  SELECT vec_id, """ + ", ".join(
+    f"list_sum(list_transform(range(1, 17), lambda i: CASE WHEN e[{16 * n} + i] > total / 64 THEN 1 << (i - 1) ELSE 0 END))::BIGINT AS s{n}"
+    for n in range(4)) + " FROM v")
+def _(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return vecs.select("vec_id", signatures.average_signature("v").alias("s")).select("vec_id", "s.*")
+
+
 _TEXT_SQL = """words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS w FROM documents),
 named AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM words),
 sh AS (SELECT DISTINCT doc_id, copies, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s

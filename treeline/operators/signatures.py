@@ -5,6 +5,10 @@ A signature is kept as four 16-bit numbers s0..s3.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,34 +45,55 @@ def average_signature(vector: Column | str) -> Column:
     return _pack(F.transform(v, lambda x: x > mean))
 
 
+def _blocks(k: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of k + 2 blocks: signatures within k bits agree in two of them."""
+    edges = [64 * i // (k + 2) for i in range(k + 3)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
 def hamming_pairs(signatures: DataFrame, k: int = 3, limit: int = _BAND_ROWS) -> DataFrame:
-    """Pairs (a < b) of distinct signatures that differ in at most k <= 3 bits, once each.
+    """Pairs (a < b) of distinct signatures that differ in at most k bits, once each.
 
-    Of four bands at least one is equal then, so each band is an equi-join key. A pair is
-    reported by its first equal band. Equal signatures are collapsed to their least id
-    with a count; a band value shared by many is spread over a grid of tasks.
+    The 64 bits are cut into k + 2 blocks. Of these at least two are equal then, so any two
+    together are an equi-join key of about 128 / (k + 2) bits; a pair is reported by its
+    first two equal blocks. Equal signatures are collapsed to their least id with a count; a
+    key shared by many is spread over a grid of tasks. Exact for every k; the larger k, the
+    shorter and more numerous the keys.
     """
-    if not 0 <= k < len(BANDS):
-        raise ValueError("four bands are complete up to 3 differing bits")
+    if not 0 <= k <= 30:
+        raise ValueError("k is a number of bits from 0 to 30")
     reps = signatures.groupBy(*BANDS).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    keyed = reps.select(
-        F.posexplode(F.array(*BANDS)).alias("band", "value"), "id", "copies", *BANDS
+    whole = F.col("s0")
+    for n, band in enumerate(BANDS[1:], 1):
+        whole = whole.bitwiseOR(F.shiftleft(F.col(band), 16 * n))
+    blocks = _blocks(k)
+    places = list(combinations(range(len(blocks)), 2))
+
+    def block(bits: Column, n: int) -> Column:
+        first, size = blocks[n]
+        return F.shiftrightunsigned(bits, first).bitwiseAND(F.lit((1 << size) - 1))
+
+    def key(i: int, j: int) -> Column:
+        return block(F.col("bits"), i).bitwiseOR(F.shiftleft(block(F.col("bits"), j), blocks[i][1]))
+
+    keyed = reps.select("id", "copies", whole.cast("bigint").alias("bits")).select(
+        F.posexplode(F.array(*[key(i, j) for i, j in places])).alias("place", "value"), "id", "copies", "bits"
     )
 
-    def distance(left: str, right: str) -> Column:
-        total = F.lit(0)
-        for b in BANDS:
-            total = total + F.bit_count(F.col(left + b).bitwiseXOR(F.col(right + b)))
-        return total
+    def differing(left: str, right: str) -> Column:
+        return F.col(left + "bits").bitwiseXOR(F.col(right + "bits"))
 
     def accept(left: str, right: str) -> Column:
-        first = F.lit(True)
-        for n, b in enumerate(BANDS):
-            first = first & ((F.col("l.band") <= n) | (F.col(left + b) != F.col(right + b)))
-        return (F.col(left + "id") < F.col(right + "id")) & first & (distance(left, right) <= k)
-
-    joined = skew_self_join(keyed, ["band", "value"], accept, ["id"], limit)
+        differs = [block(differing(left, right), n) != 0 for n in range(len(blocks))]
+        first = F.lit(False)
+        for at, (i, j) in enumerate(places):
+            before = [differs[n] for n in range(j) if n != i]
+            first = first | reduce(and_, before, F.col("l.place") == at)
+        near = F.bit_count(differing(left, right)) <= k
+        return (F.col(left + "id") < F.col(right + "id")) & near & first
+
+    joined = skew_self_join(keyed, ["place", "value"], accept, ["id"], limit)
     return joined.select(
-        F.col("l_id").alias("a"), F.col("r_id").alias("b"), distance("l_", "r_").alias("distance"),
+        F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.bit_count(differing("l_", "r_")).alias("distance"),
         F.col("l_copies").alias("copies_a"), F.col("r_copies").alias("copies_b"),
     )
