@@ -49,6 +49,16 @@ def test_top_k(spark, cloud, block_rows, rows_per_cell):
     assert {(r["id"], r["neighbor"], r["rank"]) for r in got} == want
 
 
+def test_ids_may_be_paths(spark, cloud):
+    cloud = as_table(spark, cloud)
+    named = cloud.withColumn("vec_id", F.concat(F.lit("/f/"), F.lpad(F.col("vec_id").cast("string"), 6, "0")))
+    plain = vectors.similar_pairs(cloud, 0.8).select("a", "b").collect()
+    got = vectors.similar_pairs(named, 0.8, block_rows=16, rows_per_cell=32).select("a", "b").collect()
+    assert sorted((int(r.a[3:]), int(r.b[3:])) for r in got) == sorted(map(tuple, plain))
+    near = vectors.top_k_neighbors(named, 2, block_rows=16, rows_per_cell=32)
+    assert near.schema["neighbor"].dataType.simpleString() == "string" and near.count() > 0
+
+
 def test_top_k_with_few_vectors(spark):
     got = vectors.top_k_neighbors(as_table(spark, np.eye(3)), 5).collect()
     assert sorted((r["id"], r["neighbor"]) for r in got) == [(a, b) for a in range(3) for b in range(3) if a != b]

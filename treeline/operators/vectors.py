@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from treeline.session import cut_lineage
 
 ROWS_PER_BLOCK = 2048
-MAX_PIVOTS = 256
+#: Cells are at most so many; beyond MAX_PIVOTS * rows_per_cell vectors the cells grow. The
+#: distances between all pivots (128 MB) are held by the driver and by each task.
+MAX_PIVOTS = 4096
 ROWS_PER_CELL = 8 * ROWS_PER_BLOCK
 _SLACK = 1e-6
 
@@ -86,7 +88,9 @@ def _visits(
                 }
             )
 
-    placed = vecs.mapInPandas(place, "id bigint, vec array<double>, cell bigint, home boolean")
+    kind = vecs.schema["id"].dataType.simpleString()
+    # read for the sizes of cells and for both sides of the comparison
+    placed = cut_lineage(vecs.mapInPandas(place, f"id {kind}, vec array<double>, cell bigint, home boolean"))
     return placed.filter("home"), placed
 
 
@@ -103,7 +107,6 @@ def _blocks(
             F.greatest(F.ceil(F.col("nh") / block_rows), F.lit(1)).cast("int").alias("h_blocks"),
         )
     )
-    sizes = F.broadcast(sizes)  # one row per pivot
 
     def block_of(count: str):
         return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
@@ -131,7 +134,7 @@ def similar_pairs(
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """All pairs (a < b) of distinct vectors with cosine >= threshold, once each, with
-    the number of copies of either side."""
+    the number of copies of either side. Ids may be of any type that has an order."""
     vecs = distinct_vectors(vectors, id_col, vec_col)
     pivots = _pick_pivots(vecs, rows_per_cell)
     radius = float(np.sqrt(max(2 - 2 * threshold, 0)))
@@ -154,7 +157,8 @@ def similar_pairs(
             }
         )
 
-    pairs = _blocks(home, visit, verify, "a bigint, b bigint, similarity double", block_rows)
+    kind = vecs.schema["id"].dataType.simpleString()
+    pairs = _blocks(home, visit, verify, f"a {kind}, b {kind}, similarity double", block_rows)
     counts = vecs.select("id", "copies")
     return (
         pairs.join(counts.select(F.col("id").alias("a"), F.col("copies").alias("copies_a")), "a")
@@ -197,7 +201,8 @@ def top_k_neighbors(
         )
         return out[np.isfinite(out["similarity"])]
 
-    schema = "id bigint, neighbor bigint, similarity double"
+    kind = vecs.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, neighbor {kind}, similarity double"
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor")
 
     def top(found: DataFrame) -> DataFrame:
