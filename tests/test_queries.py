@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from treeline.catalog import load
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load().QUERIES, load().ORACLES
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
 
@@ -19,8 +20,9 @@ def con():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"classify_content"}
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
