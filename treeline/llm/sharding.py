@@ -97,8 +97,9 @@ def _narrow(rows: DataFrame, state: DataFrame) -> DataFrame:
     )
     upto = Window.partitionBy("node").orderBy("bucket")
     hit = (
-        hist.withColumn("sum", F.sum("w").over(upto)).join(F.broadcast(open_), "node")
-        .filter("sum >= need").groupBy("node").agg(F.min(F.struct("bucket", "w", "sum", "v0", "v1", "n")).alias("b"))
+        hist.withColumn("sum", F.sum("w").over(upto)).alias("h")
+        .join(F.broadcast(open_).alias("s"), F.expr("h.node = s.node AND sum >= need AND sum - w < need"))
+        .select("h.node", F.struct("w", "sum", "v0", "v1", "n").alias("b"))
     )
     at = state.join(hit, "node")
     need = F.col("need") - F.col("b.sum") + F.col("b.w")
@@ -142,6 +143,7 @@ def kd_shards(
     rows = cut_lineage(docs.select(
         F.col(f"`{key}`").alias("key"), size.alias("size"), F.crc32(held.cast("binary")).alias("crc"),
         F.array(*axes).alias("c"), _hash62(held).alias("h"), _hash62(F.col(f"`{key}`")).alias("i"),
+        F.lit(1).cast("bigint").alias("node"), F.lit(0).alias("first"),
     ))
     n = len(axes)
     facts = rows.agg(
@@ -149,7 +151,7 @@ def kd_shards(
     ).first()
     count, total, ranges = facts[0], facts[1] or 0, [x or 0 for x in facts[2:]]
     leaves = shards or max(1, -(-total // target_bytes))
-    placed = rows.withColumn("node", F.lit(1).cast("bigint")).withColumn("first", F.lit(0))
+    placed, fixed = rows, [c for c in rows.columns if c not in ("node", "first")]
     nodes = docs.sparkSession.range(1, 2).select(F.col("id").alias("node"), F.lit(leaves).alias("leaves"))
     # as many rows in ``nodes`` and the search state as there are leaves at most
     while leaves > 1 and count:
@@ -162,7 +164,7 @@ def kd_shards(
         half = F.floor(F.col("leaves") / 2).cast("int")
         split = placed.join(F.broadcast(cuts), "node", "left").withColumn("left", F.coalesce(_left(), F.lit(True)))
         placed = cut_lineage(split.select(
-            *rows.columns,
+            *fixed,
             F.when(F.col("leaves").isNull(), F.col("node"))
             .otherwise(F.col("node") * 2 + (~F.col("left")).cast("int")).alias("node"),
             (F.col("first") + F.when(F.col("left"), 0).otherwise(half)).alias("first"),
