@@ -70,9 +70,9 @@ def test_large_group_without_all_pairs(spark, monkeypatch):
     sizes = []
     verified = N._verified
 
-    def counting(docs, text, rule, seed, pairs):
+    def counting(docs, text, rule, seed, pairs, nodes):
         sizes.append(pairs.count())
-        return verified(docs, text, rule, seed, pairs)
+        return verified(docs, text, rule, seed, pairs, nodes)
 
     monkeypatch.setattr(N, "_verified", counting)
     got = N.linked_documents(frame(spark, rows)).collect()

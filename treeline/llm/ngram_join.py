@@ -1,9 +1,10 @@
 """Exact Jaccard join on word n-grams with rare-first prefix filtering.
 
 1. Texts become sets of hashed n-grams; rows with equal sets become one node.
-2. A sketch of fixed size counts n-grams over the whole corpus. Each set is ordered
-   rare-first by it (the order need not be perfect, only the same for all), and the
-   prefix that two similar sets cannot both miss is posted.
+2. Sketches of fixed size count n-grams and words over the whole corpus. Each set is
+   ordered rare-first by them: n-grams that are frequent themselves last, the others by how
+   rare their words are (the order need not be perfect, only the same for all). The prefix
+   that two similar sets cannot both miss is posted.
 3. Postings meet on prefix n-grams. A pair has to pass the length filter, the positional
    filter and the suffix filter (sets are dealt into parts by hash, and the parities of
    the parts bound the difference from below) before it is verified, once, on both sets.
@@ -14,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 from treeline.operators.components import components
 from treeline.session import cut_lineage
 
-#: Buckets of the corpus-wide count sketch: 4 MB however large the corpus is.
+#: Buckets of the corpus-wide counts, of n-grams and of words: 2 MB each are sent to the
+#: tasks, however large the corpus is.
 SKETCH = 1 << 20
 #: Longs of the suffix filter: parts of a set, one bit each.
 PARITY = 8
@@ -42,7 +46,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _STEP, _STEP_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BYTES = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)[_LOWER]
 
 
 @dataclass(frozen=True)
@@ -81,32 +85,52 @@ def _mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes, words: int, seed: int = 0) -> np.ndarray:
-    """The distinct hashed shingles of a UTF-8 text, ascending. A-Z count as a-z; words are
-    what ASCII white space separates. With fewer words, the whole sequence is the one
-    shingle; without words there is none."""
-    raw = np.frombuffer(text, dtype=np.uint8)
+def word_hashes(text: bytes, seed: int = 0) -> np.ndarray:
+    """The hashed words of a UTF-8 text in order. A-Z count as a-z; words are what ASCII
+    white space separates."""
+    raw = np.frombuffer(b" %b " % text, dtype=np.uint8)
     blank = _BLANK[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     _POWERS.need(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[_LOWER[raw]] * _POWERS.up[: len(raw)], out=sums[1:])
-    each = _mix((sums[ends] - sums[starts]) * _POWERS.down[starts], seed)
+    np.cumsum(_BYTES[raw] * _POWERS.up[: len(raw)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _POWERS.down[starts], seed)
+
+
+_FACTORS = np.random.default_rng(20240301).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _windows(each: np.ndarray, words: int) -> np.ndarray:
+    """The hashed shingle at each place. With fewer words, the whole sequence is the one."""
     size = min(words, len(each))
-    h = np.full(len(each) - size + 1, size, dtype=np.uint64)
+    places = len(each) - size + 1
+    h = np.full(places if size else 0, size, dtype=np.uint64)
     for j in range(size):
-        h = _mix(h * np.uint64(_STEP) + each[j : len(each) - size + 1 + j])
-    return np.unique(h)
+        if j and not j % len(_FACTORS):
+            h = _mix(h)
+        h += each[j : places + j] * _FACTORS[j % len(_FACTORS)]
+    return _mix(h)
+
+
+def shingle_set(text: bytes, words: int, seed: int = 0) -> np.ndarray:
+    """The distinct hashed shingles of a text, ascending; none without words."""
+    return _distinct(_windows(word_hashes(text, seed), words))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def _print_of(grams: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit prints of a set."""
+    """Two independent 64-bit prints of a set; its elements are mixed already."""
     with np.errstate(over="ignore"):
-        a, b = _mix(grams, 1).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(grams, 2), initial=0)
-    return tuple(_mix(np.array([a, b], dtype=np.uint64)).astype(np.int64).tolist())
+        total = grams.sum(dtype=np.uint64)
+        other = np.bitwise_xor.reduce((grams ^ (grams >> np.uint64(29))) * _FACTORS[0], initial=0)
+    return tuple(_mix(np.array([total, other], dtype=np.uint64)).astype(np.int64).tolist())
 
 
 def _parities(grams: np.ndarray) -> np.ndarray:
@@ -124,29 +148,32 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 _DOCS = T.StructType([
     T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()),
     *[T.StructField(f"p{i}", T.LongType()) for i in range(PARITY)],
-    T.StructField("counts", T.BinaryType()),
+    T.StructField("whole", T.LongType()), T.StructField("counts", T.BinaryType()),
 ])
 
 
 def _survey(docs: DataFrame, key: str, text: str, rule: Rule, seed: int) -> DataFrame:
-    """Per row its set's size, prints and parities; per task one row with its n-gram counts
-    by bucket (compressed) instead."""
+    """Per row its set's size, prints and parities, and a hash of its text; per task one row
+    with its counts of n-grams and of words by bucket (compressed) instead."""
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *_DOCS.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int64)
+        counts = np.zeros(2 * SKETCH, dtype=np.int64)
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            rows, held = [], []
+            rows, grams_held, words_held, size = [], [], [], 0
             for t in _texts(batch, 1):
-                grams = shingle_set(t, rule.words, seed)
-                rows.append((len(grams), *_print_of(grams), *_parities(grams).tolist()))
-                held.append(grams)
-                if sum(map(len, held)) > 1 << 20:
-                    counts += _bucket_counts(held)
-                    held = []
-            counts += _bucket_counts(held)
+                each = word_hashes(t, seed)
+                grams = _distinct(_windows(each, rule.words))
+                rows.append((len(grams), *_print_of(grams), *_parities(grams).tolist(), _hash_of(t)))
+                grams_held.append(grams)
+                words_held.append(each)
+                size += len(each)
+                if size > 1 << 20:
+                    _add_counts(counts, grams_held, words_held)
+                    grams_held, words_held, size = [], [], 0
+            _add_counts(counts, grams_held, words_held)
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:]],
@@ -154,56 +181,79 @@ def _survey(docs: DataFrame, key: str, text: str, rule: Rule, seed: int) -> Data
         if kind is not None:
             packed = zlib.compress(counts.astype("<i8").tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind), *[pa.nulls(1, pa.int32())], *[pa.nulls(1, pa.int64())] * (2 + PARITY),
+                [pa.nulls(1, kind), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (3 + PARITY),
                  pa.array([packed], pa.binary())], names=schema.fieldNames())
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _bucket_counts(held: list[np.ndarray]) -> np.ndarray:
-    if not held:
-        return np.zeros(SKETCH, dtype=np.int64)
-    return np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+def _hash_of(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
 
+def _add_counts(counts: np.ndarray, grams: list[np.ndarray], words: list[np.ndarray]) -> None:
+    for half, held in ((counts[:SKETCH], grams), (counts[SKETCH:], words)):
+        if held:
+            half += np.bincount(_bucket(np.concatenate(held)), minlength=SKETCH)
 
-def _sketch(survey: DataFrame) -> np.ndarray:
-    """The counts of all tasks together: SKETCH numbers reach the driver."""
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _levels(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What orders n-grams: for each bucket of n-grams 0, or a level if it holds far more than
+    the mean, and for each bucket of words a level. 2 * SKETCH numbers reach the driver."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        total = np.zeros(2 * SKETCH, dtype=np.int64)
         for batch in batches:
             for packed in batch["counts"]:
                 total += np.frombuffer(zlib.decompress(packed), dtype="<i8")
         yield pd.DataFrame({"counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
     parts = survey.filter("counts IS NOT NULL").select("counts")
-    spread = parts.repartition(8).mapInPandas(add, "counts binary")
-    total = np.zeros(SKETCH, dtype=np.int64)
-    for row in spread.coalesce(1).mapInPandas(add, "counts binary").collect():
+    total = np.zeros(2 * SKETCH, dtype=np.int64)
+    # in two steps of about as many tables each
+    first = parts.repartition(max(1, math.isqrt(parts.count()))).mapInPandas(add, "counts binary")
+    for row in first.coalesce(1).mapInPandas(add, "counts binary").collect():
         total += np.frombuffer(zlib.decompress(row[0]), dtype="<i8")
-    return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
-
-
-def _postings(docs: DataFrame, text: str, rule: Rule, seed: int, sketch) -> DataFrame:
+    level = np.round(256 * np.log2(total + 1)).astype(np.uint16)
+    grams, words = level[:SKETCH], level[SKETCH:]
+    often = total[:SKETCH] > 4 * total[:SKETCH].mean() + 16
+    return np.where(often, grams, 0).astype(np.uint16), words
+
+
+def _rare_first(each: np.ndarray, rule: Rule, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distinct shingles of a text's words in the order of the whole corpus."""
+    h = _windows(each, rule.words)
+    size = min(rule.words, len(each))
+    word = levels[1][_bucket(each)].astype(np.int64)
+    often = sum(word[j : len(h) + j] for j in range(size))
+    place = np.argsort(h, kind="stable")
+    h = h[place]
+    once = np.concatenate([[True], h[1:] != h[:-1]])
+    h, often = h[once], often[place][once]
+    return h[np.lexsort((h, often, levels[0][_bucket(h)]))]
+
+
+def _postings(docs: DataFrame, text: str, rule: Rule, seed: int, levels) -> DataFrame:
     """(gram, fp, n, at) of each prefix n-gram. Equal sets are posted once per task."""
     names = ["gram", "fp", "n", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sketch.value, set()
+        known, seen = levels.value, set()
         for batch in batches:
             out: list[tuple] = []
             for t in _texts(batch, 0):
-                grams = shingle_set(t, rule.words, seed)
-                if not len(grams):
-                    continue
-                fp = _print_of(grams)[0]
-                if fp in seen:
+                whole = _hash_of(t)
+                if whole in seen:
                     continue
                 if len(seen) < _REMEMBERED:
-                    seen.add(fp)
-                first = rule.prefix(len(grams))
-                count = counts[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((grams, count))[:first]
-                out.append((grams[order], fp, len(grams)))
+                    seen.add(whole)
+                each = word_hashes(t, seed)
+                if len(each):
+                    grams = _rare_first(each, rule, known)
+                    out.append((grams[: rule.prefix(len(grams))], _print_of(grams)[0], len(grams)))
             if out:
                 sizes = [len(g) for g, _, _ in out]
                 yield pa.RecordBatch.from_arrays([
@@ -247,12 +297,11 @@ def _side(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(prefix + c) for c in ("fp", "n", *[f"p{i}" for i in range(PARITY)])])
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A bit per hash of the prints that pairs need; WANTED_BITS bits reach the driver."""
-    ends = pairs.select(F.explode(F.array("a_fp", "b_fp")).alias("fp"))
-    word = F.shiftright(F.col("fp").bitwiseAND(F.lit(WANTED_BITS - 1)), 6)
-    bits = F.expr("bit_or(shiftleft(1L, cast(fp & 63 AS int)))")
-    words = ends.groupBy(word.alias("w")).agg(bits.alias("bits")).toPandas()
+def _wanted(hashes: DataFrame) -> np.ndarray:
+    """A bit per hash of the texts that pairs need; WANTED_BITS bits reach the driver."""
+    word = F.shiftright(F.col("whole").bitwiseAND(F.lit(WANTED_BITS - 1)), 6)
+    bits = F.expr("bit_or(shiftleft(1L, cast(whole & 63 AS int)))")
+    words = hashes.groupBy(word.alias("w")).agg(bits.alias("bits")).toPandas()
     out = np.zeros(WANTED_BITS // 64, dtype=np.int64)
     out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     return out
@@ -265,17 +314,16 @@ def _sets(docs: DataFrame, text: str, rule: Rule, seed: int, wanted) -> DataFram
         for batch in batches:
             prints, sets = [], []
             for t in _texts(batch, 0):
-                grams = shingle_set(t, rule.words, seed)
-                if not len(grams):
-                    continue
-                fp = _print_of(grams)[0]
-                bit = fp & (WANTED_BITS - 1)
-                if fp in seen or not int(bits[bit >> 6]) >> (bit & 63) & 1:
+                whole = _hash_of(t)
+                bit = whole & (WANTED_BITS - 1)
+                if whole in seen or not int(bits[bit >> 6]) >> (bit & 63) & 1:
                     continue
                 if len(seen) < _REMEMBERED:
-                    seen.add(fp)
-                prints.append(fp)
-                sets.append(grams.view(np.int64))
+                    seen.add(whole)
+                grams = shingle_set(t, rule.words, seed)
+                if len(grams):
+                    prints.append(_print_of(grams)[0])
+                    sets.append(grams.view(np.int64))
             if prints:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -285,14 +333,14 @@ def _sets(docs: DataFrame, text: str, rule: Rule, seed: int, wanted) -> DataFram
     return docs.select(text).mapInArrow(run, "fp bigint, grams array<bigint>")
 
 
-def _verified(docs: DataFrame, text: str, rule: Rule, seed: int, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, text: str, rule: Rule, seed: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a_fp, b_fp) that are linked; each is compared once."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_wanted(pairs))
+    ends = pairs.select(F.explode(F.array("a_fp", "b_fp")).alias("fp")).distinct()
+    wanted = spark.sparkContext.broadcast(_wanted(nodes.join(ends, "fp", "left_semi").select("whole")))
     held = cut_lineage(_sets(docs, text, rule, seed, wanted))
     wanted.unpersist()
-    # groupBy drops what several tasks made of equal texts, before anything is joined
-    ends = pairs.select(F.explode(F.array("a_fp", "b_fp")).alias("fp")).distinct()
+    # equal sets of several tasks go before anything is joined
     sets = held.join(ends, "fp", "left_semi").dropDuplicates(["fp"])
     both = (
         pairs.join(sets.select(F.col("fp").alias("a_fp"), F.col("grams").alias("ga")), "a_fp")
@@ -353,7 +401,19 @@ def _remaining_pairs(postings: DataFrame, nodes: DataFrame, groups: DataFrame, r
         & ((F.col("b_comp") == F.col("main")) | (F.col("a_fp") < F.col("b_fp")))
         & _length(rule, "a_n", "b_n") & _positional(rule, "a_n", "a_at", "b_n", "b_at") & _suffix(rule, "a_", "b_"),
     )
-    return met.select(F.least("a_fp", "b_fp").alias("a_fp"), F.greatest("a_fp", "b_fp").alias("b_fp")).distinct()
+    # all that two sets share up to their last common prefix n-gram has been met by now, so
+    # only what stands behind it in both can add to the overlap
+    first = F.col("a_fp") < F.col("b_fp")
+    ordered = met.select(*[
+        F.when(first == (side == "a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{side}_{c}")
+        for side in "ab" for c in ("fp", "n", "at")
+    ])
+    pairs = ordered.groupBy("a_fp", "b_fp").agg(
+        F.count(F.lit(1)).alias("shared"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"),
+        F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    most = F.col("shared") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
+    kept = pairs.filter(_near(rule, "a_n", "b_n", F.col("a_n") + F.col("b_n") - most * 2))
+    return kept.select("a_fp", "b_fp")
 
 
 def linked_documents(
@@ -377,22 +437,22 @@ def linked_documents(
         rows = survey.filter("counts IS NULL")
         nodes = cut_lineage(
             rows.filter("n > 0").groupBy("fp").agg(
-                F.min(key).alias("least"), F.min("n").alias("n"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY)],
+                F.min(key).alias("least"), F.min("n").alias("n"), F.min("whole").alias("whole"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY)],
                 ((F.min("fp2") != F.max("fp2")) | (F.min("n") != F.max("n"))).alias("clash"))
         )
         if nodes.filter("clash").isEmpty():
             break
         seed += 1
-    sketch = sc.broadcast(_sketch(survey))
-    posted = _postings(docs, text, rule, seed, sketch)
+    levels = sc.broadcast(_levels(survey))
+    posted = _postings(docs, text, rule, seed, levels)
     shared = posted.groupBy("gram").agg(F.min("fp").alias("f0"), F.max("fp").alias("f1")).filter("f0 <> f1").select("gram")
     postings = cut_lineage(posted.join(shared, "gram", "left_semi").distinct())
-    sketch.unpersist()
-    links = _verified(docs, text, rule, seed, cut_lineage(_star_pairs(postings, nodes, rule)))
+    levels.unpersist()
+    links = _verified(docs, text, rule, seed, cut_lineage(_star_pairs(postings, nodes, rule)), nodes)
     groups = cut_lineage(components(links, "a_fp", "b_fp"))
     rest = cut_lineage(_remaining_pairs(postings, nodes, groups, rule))
     if not rest.isEmpty():
-        more = _verified(docs, text, rule, seed, rest)
+        more = _verified(docs, text, rule, seed, rest, nodes)
         if not more.isEmpty():
             groups = cut_lineage(components(links.unionByName(more), "a_fp", "b_fp"))
     named = nodes.select("fp", "least").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
