@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.fitting import fitted
+from treeline.llm.fitting import bounded_sample, fitted
 
 #: Pages the fit reads at most, and characters of each at most.
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 30_000
@@ -437,12 +437,9 @@ def learn(pages: DataFrame, key: str = "page_id", html_column: str = "html", sam
     """Weights fitted on at most ``sample`` given pages, chosen by a hash of the key, that
     mark their article, and on ``built`` pages from their texts. Of a page longer than
     ``chars`` characters the fit takes none."""
-    rows = (
-        pages.select(F.col(key).alias("k"), F.col(html_column).alias("h"))
-        .filter((F.length("h") > 0) & (F.length("h") <= chars))
-        .orderBy(F.xxhash64("k"), "k", "h").limit(sample)
-    )
-    return fitted(rows.select("h"), lambda found: _fit_on([h for (h,) in found], built, epochs))
+    rows = pages.select(F.col(key).alias("k"), F.col(html_column).alias("h")).filter(
+        (F.length("h") > 0) & (F.length("h") <= chars))
+    return fitted(bounded_sample(rows, sample, "k", "h").select("h"), lambda found: _fit_on([h for (h,) in found], built, epochs))
 
 
 def _fit_on(pages: list[str], built: int, epochs: int) -> Weights:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.fitting import fitted
+from treeline.llm.fitting import bounded_sample, fitted
 
 #: Documents, and characters of each, that the class of none is learned from at most.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 6000
@@ -314,11 +314,8 @@ def scan(model: Model, text: str) -> list[dict]:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """A model whose class of none comes from the paragraphs of at most ``sample`` documents,
     chosen by a hash of key and text, and at most ``chars`` characters of each."""
-    rows = (
-        docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).filter("length(t) > 0")
-        .orderBy(F.xxhash64("k", "t"), "k", "t").limit(sample)
-    )
-    return fitted(rows.select("t"), lambda found: fit([p for (t,) in found for p in t.split("\n")]))
+    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).filter("length(t) > 0")
+    return fitted(bounded_sample(rows, sample, "k", "t").select("t"), lambda found: fit([p for (t,) in found for p in t.split("\n")]))
 
 
 FINDING = T.StructType([

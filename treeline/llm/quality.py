@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.fitting import fitted
+from treeline.llm.fitting import bounded_sample, fitted
 
 BLOCK, BLOCKS = 8, 4  # bytes of a step, steps of a chunk
 WIDTH, FILTERS, HIDDEN = 8, 32, 16
@@ -188,7 +188,7 @@ def learn(
     present = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     chosen = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(rows)
+        part = bounded_sample(known.filter(F.col("y") == y), rows, "k")
         chosen = part if chosen is None else chosen.unionByName(part)
     place = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int") + 1
     found = present.join(F.broadcast(chosen), "k").select("k", F.substring("t", place, F.lit(chars)).alias("t"), "y")
