@@ -8,6 +8,8 @@ is overall. Blocks of examples are packed by tasks of their own.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ TOKENS, SEGMENTS, LOSS_TOKENS = 2048, 128, 2048
 #: Examples packed together. A block wastes about its last sequence.
 EXAMPLES_PER_BLOCK = 16_384
 #: Words whose ids a Python worker remembers; a full cache is emptied.
-CACHED = 1 << 18
+CACHED = 1 << 20
 
 _LOADED: dict[str, WordIds] = {}
 
@@ -41,6 +43,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -51,20 +54,32 @@ class WordIds:
             return self.whole(text)  # signs on which the two ways to split might differ
         try:
             text.encode("latin-1")
-            words = text.lower().split()  # lower case is plain there, so more words are known
         except UnicodeEncodeError:
-            words = text.split()
+            words, cut = text.split(), None
+        else:  # lower case is plain there, and no sign changes the one before
+            words, cut = text.lower().split(), _LETTERS.match
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = {w for w in words if w not in known}
         if new:
             if len(known) + len(new) > CACHED:
                 known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
+                new = set(words)
+            # letters at the start are cut off by the tokenizer too, so words share them
+            parts = {w: cut(w).end() if cut else len(w) for w in new}
+            self._learn({p for w, n in parts.items() for p in (w[:n], w[n:])})
+            for w, n in parts.items():
+                known[w] = self.parts[w[:n]] + self.parts[w[n:]]
         return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.parts]
+        if len(self.parts) + len(new) > CACHED:
+            self.parts, new = {}, list(parts)
+        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[part] = array("I", found.ids).tobytes()
 
+
+_LETTERS = re.compile("[a-zªµºß-öø-ÿ]*")
 #: White space to one side only, of those that split words here or in the tokenizer.
 _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 
