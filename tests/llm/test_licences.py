@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from treeline.llm import licences as L
@@ -53,6 +55,34 @@ def test_given_documents(learned):
     assert some > 20
 
 
+@pytest.mark.parametrize("width", [40, 72])
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", "-- "])
+def test_every_wrapped_notice_is_found(learned, width, sign):
+    docs, model = learned
+    plain = [r.text.split("\n")[0] for r in docs.filter("length(text) > 500").orderBy("doc_id").limit(2).collect()]
+    missed = []
+    for family, notices in L.NOTICES.items():
+        for notice in notices:
+            for text in (notice, f"{plain[0]}\n\n{notice}\n\n{plain[1]}"):
+                wrapped = "\n".join(sign + x for line in text.split("\n") for x in textwrap.wrap(line, width) or [""])
+                if families(model, wrapped) != [family]:
+                    missed.append((family, notice[:40], families(model, wrapped)))
+    assert len(missed) <= 0.04 * 2 * sum(map(len, L.NOTICES.values())), missed
+
+
+def test_wrapped_versions_and_places(learned):
+    _, model = learned
+    for n in (2, 3):
+        text = f"# x\n# This work is licensed under the GNU General Public License,\n# version {n}.\nimport os"
+        found = [f for f in L.scan(model, text) if f["confirmed"]]
+        assert [(f["family"], f["paragraph"]) for f in found] == [(f"GPL-{n}.0", 1)]
+        assert text[found[0]["start"] : found[0]["end"]].split("version ")[1] == str(n)
+    text = "İ\nLicensed under the Apache License,\nVersion 2.0\nReleased under the MIT License.\nThe end of the text."
+    found = [f for f in L.scan(model, text) if f["confirmed"]]
+    assert [text[f["start"] : f["end"]] for f in found] == [
+        "Licensed under the Apache License,\nVersion 2.0", "Released under the MIT License"]
+
+
 def test_places_and_long_paragraphs(learned):
     _, model = learned
     text = "é" * 5 + "\n" + "word " * 5000 + "Licensed under the Apache License, Version 2.0. " + "word " * 5000

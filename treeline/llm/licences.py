@@ -1,7 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (long ones in overlapping windows) become sparse counts of the word n-grams that
-occur in licence notices. A logistic regression names the licence family, or none; its
+Lines (long ones in overlapping windows) and windows across line ends become sparse counts of
+the word n-grams that occur in licence notices, so that notices are seen on one line, wrapped
+and behind comment signs. A logistic regression names the licence family, or none; its
 temperature and threshold are calibrated on paragraphs it was not fitted on. A prediction
 counts as confirmed when the words of a notice of that family are there in order.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 6000
 EXAMPLES = 60  # changed copies of each notice
 EPOCHS = 120
 HALF = 32  # a window is two halves of so many words
+LINES = (2, 3, 4, 6)  # windows across line ends hold so many lines, or two halves
 CONFIRMED = 0.7
 NONE = "none"
 
@@ -151,21 +154,42 @@ class Model:
         z = np.exp(z - z.max(axis=-1, keepdims=True))
         return z / z.sum(axis=-1, keepdims=True)
 
-    def logits(self, words: list[str]) -> np.ndarray | None:
-        """None where no n-gram of two words is known: such a paragraph is none by far."""
-        first = [self.grams.get((w,)) for w in words]
-        rows, longer = [g for g in first if g is not None], 0
-        for i in range(len(words) - 1):
-            if first[i] is None or first[i + 1] is None:
+    def logits(self, words: list[str], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows (first word, end; in order) that have a known n-gram of two words: their
+        places and logits. All others are none by far."""
+        rows: tuple[list[int], ...] = ([], [], [])  # by length of n-gram
+        at: tuple[list[int], ...] = ([], [], [])
+        before = -1  # the place of the last known word
+        grams = self.grams
+        for i, w in enumerate(words):
+            one = grams.get((w,))
+            if one is None:
                 continue
-            pair = self.grams.get((words[i], words[i + 1]))
-            if pair is not None:
-                rows.append(pair)
-                longer += 1
-                three = self.grams.get(tuple(words[i : i + 3])) if i + 2 < len(words) else None
-                if three is not None:
-                    rows.append(three)
-        return self.weights[rows].sum(axis=0) / _scale(len(words)) + self.shift if longer else None
+            rows[0].append(one)
+            at[0].append(i)
+            if before == i - 1 >= 0:
+                two = grams.get((words[i - 1], w))
+                if two is not None:
+                    rows[1].append(two)
+                    at[1].append(i - 1)
+                    three = grams.get((words[i - 2], words[i - 1], w)) if i > 1 else None
+                    if three is not None:
+                        rows[2].append(three)
+                        at[2].append(i - 2)
+            before = i
+        starts, ends = windows.T
+        bounds = [(np.searchsorted(at[n], starts), np.searchsorted(at[n], np.maximum(ends - n, starts))) for n in range(3)]
+        some = np.flatnonzero(bounds[1][1] > bounds[1][0])
+        out = np.zeros((len(some), len(self.families)))
+        for first in range(0, len(some), 2048):  # a long text is not summed at once
+            part = some[first : first + 2048]
+            for n, (low, high) in enumerate(bounds):
+                low, high = low[part], high[part]
+                base = int(low.min())
+                sums = np.zeros((int(high.max()) - base + 1, len(self.families)))
+                np.cumsum(self.weights[rows[n][base : int(high.max())]], axis=0, out=sums[1:], dtype=np.float64)
+                out[first : first + 2048] += sums[high - base] - sums[low - base]
+        return some, out / np.sqrt(ends[some] - starts[some] + 4.0)[:, None] + self.shift
 
 
 def _scale(words: int) -> float:
@@ -255,67 +279,163 @@ def fit(corpus: list[str], examples: int = EXAMPLES, epochs: int = EPOCHS, seed:
     return model
 
 
-def similarity(words: list[str], family: str) -> tuple[float, int, int]:
-    """How much of the best notice of a family is in the words (or, of a long notice, how
-    much of the words is in it), by pairs of words; and the place of the first and last."""
-    best = (0.0, 0, 0)
+@cache
+def _pairs_of(family: str) -> tuple[frozenset[tuple[str, str]], ...]:
+    return tuple(frozenset(zip(w, w[1:])) for w in map(words_of, NOTICES.get(family, ())))
+
+
+def _likest(words: list[str], family: str) -> tuple[float, list[int], list[tuple[str, str]]]:
+    """Similarity to the best notice of a family, the places of its pairs, and all pairs."""
+    best: tuple[float, list[int]] = (0.0, [])
     have = list(zip(words, words[1:]))
-    for notice in NOTICES.get(family, ()):
-        other = words_of(notice)
-        pairs = set(zip(other, other[1:]))
+    for pairs in _pairs_of(family):
         hits = [i for i, p in enumerate(have) if p in pairs]
         if not hits:
             continue
         share = len({have[i] for i in hits}) / len(pairs)
         if len(have) >= 8:
             share = max(share, len(hits) / len(have))
-        best = max(best, (share, hits[0], hits[-1] + 1))
-    return best
+        if not best[1] or (share, hits[0], hits[-1]) > (best[0], best[1][0], best[1][-1]):
+            best = (share, hits)
+    return *best, have
+
+
+def similarity(words: list[str], family: str) -> tuple[float, int, int]:
+    """How much of the best notice of a family is in the words (or, of a long notice, how
+    much of the words is in it), by pairs of words; and the place of the first and last."""
+    share, hits, _ = _likest(words, family)
+    return (share, hits[0], hits[-1] + 1) if hits else (0.0, 0, 0)
+
+
+def _dense_part(words: list[str], family: str) -> tuple[float, int, int, int]:
+    """Similarity, the first and last word of the part in which the notice's pairs are dense,
+    and how many different ones are in that part."""
+    share, hits, have = _likest(words, family)
+    best, total, start, last, seen = (0.0, 0, 0, 0), 0.0, 0, 0, set()
+    for i in hits:
+        total -= 0.5 * (i - last - 1)
+        if total <= 0 or not seen:
+            total, start, seen = 0.0, i, set()
+        if have[i] not in seen:
+            seen.add(have[i])
+            total += 1
+            best = max(best, (total, -start, i + 1, len(seen)))
+        last = i
+    return share, -best[1], best[2], best[3]
+
+
+def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (first word, end) in order, and which of them are inside a line, of lines with
+    so many words each. A notice may begin anywhere in a line and go on in the next ones."""
+    end = np.cumsum(counts)
+    first = end - counts
+    each = np.maximum(1, -(-(counts - HALF) // HALF))
+    start = np.repeat(first, each) + HALF * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+    inside = np.stack([start, np.minimum(start + 2 * HALF, np.repeat(end, each))], 1)
+    here, codes, size = np.arange(len(counts) - 1), [], 2 * HALF + 1
+    for start in (first[:-1], np.maximum(first[:-1], end[:-1] - HALF)):
+        for lines in (*LINES, None):
+            stop = end[-1] if lines is None else end[np.minimum(here + lines - 1, len(end) - 1)]
+            stop = np.minimum(stop, start + 2 * HALF)
+            codes.append((start * size + stop - start)[stop > end[:-1]])
+    codes = np.unique(np.concatenate(codes))
+    across = np.stack([codes // size, codes // size + codes % size], 1)
+    both = np.concatenate([inside, across])
+    order = np.argsort(both[:, 0], kind="stable")
+    return both[order], order < len(inside)
+
+
+def _overlap(a: dict, b: dict) -> bool:
+    """Whether two findings share over half of the shorter one."""
+    shared = min(a["end"], b["end"]) - max(a["start"], b["start"])
+    return 2 * shared > min(a["end"] - a["start"], b["end"] - b["start"])
+
+
+def _joined(lines: list[dict], across: list[dict]) -> list[dict]:
+    """Findings inside lines, but for places where one across line ends holds more of a notice."""
+    def rank(x: dict) -> tuple:
+        return x["confirmed"], x["pairs"]
+
+    chosen: list[dict] = []
+    for x in sorted(across, key=lambda x: (*rank(x), x["similarity"], x["probability"]), reverse=True):
+        other = next((c for c in chosen if x["start"] < c["end"] and c["start"] < x["end"]), None)
+        if other is None:
+            if not any(rank(y) >= rank(x) and _overlap(x, y) for y in lines):
+                chosen.append(x)
+        elif x["family"] == other["family"] and x["confirmed"] and other["confirmed"]:
+            # the next window of a long notice
+            if not any(c is not other and x["start"] < c["end"] and c["start"] < x["end"] for c in chosen):
+                if x["start"] < other["start"]:
+                    other["start"], other["paragraph"] = x["start"], x["paragraph"]
+                other["end"] = max(other["end"], x["end"])
+                other["probability"] = max(other["probability"], x["probability"])
+                other["similarity"] = max(other["similarity"], x["similarity"])
+    stay = [y for y in lines if not any(_overlap(x, y) and rank(x) > rank(y) for x in chosen)]
+    return sorted(stay + chosen, key=lambda x: (x["start"], x["end"]))
 
 
 def scan(model: Model, text: str) -> list[dict]:
-    """Findings of one text: paragraph, start and end in characters, family, probability,
-    similarity, confirmed."""
-    out: list[dict] = []
-    start = 0
-    for number, paragraph in enumerate(text.split("\n")):
-        lower = paragraph.lower()
-        words = _WORD.findall(lower)
-        last: dict | None = None
-        for at in range(0, max(1, len(words) - HALF), HALF):
-            part = words[at : at + 2 * HALF]
-            logits = model.logits(part)
-            if logits is None:
-                continue
-            p = model.probabilities(logits)
-            best = int(p.argmax())
-            if best == len(model.families) - 1 or p[best] < model.threshold:
-                continue
-            family = model.families[best]
+    """Findings of one text: paragraph (the line it begins in), start and end in characters,
+    family, probability, similarity, confirmed."""
+    lower = text.replace("İ", "I").lower()  # the only character that gets longer
+    held = [_WORD.findall(line) for line in lower.split("\n")]
+    numbers = [i for i, words in enumerate(held) if words]
+    if not numbers:
+        return []
+    counts = np.array([len(held[i]) for i in numbers])
+    words = [w for line in held for w in line]
+    windows, inside = _windows(counts)
+    some, logits = model.logits(words, windows)
+    p = model.probabilities(logits)
+    best = p.argmax(axis=1)
+    sure = (best < len(model.families) - 1) & (p[np.arange(len(p)), best] >= model.threshold)
+    if not sure.any():
+        return []
+    line_of = np.repeat(numbers, counts)
+    places = [m.span() for m in _WORD.finditer(lower)]
+    lines: list[dict] = []
+    across: list[dict] = []
+    for i in np.flatnonzero(sure):
+        (first, end), family = windows[some[i]].tolist(), model.families[best[i]]
+        part = words[first:end]
+        if inside[some[i]]:
             near, a, b = similarity(part, family)
-            places = [m.span() for m in _WORD.finditer(paragraph)][at : at + 2 * HALF]
-            if len(lower) != len(paragraph) or b >= len(places):
-                places = [(0, len(paragraph))] * max(len(part), 1)
-            found = {
-                "paragraph": number, "start": start + places[a][0], "end": start + places[b][1], "family": family,
-                "probability": float(p[best]), "similarity": float(near), "confirmed": near >= CONFIRMED,
-            }
-            if last and last["family"] == family and found["start"] <= last["end"]:
-                last["end"] = max(last["end"], found["end"])
-                for name in ("probability", "similarity", "confirmed"):
-                    last[name] = max(last[name], found[name])
-            else:
-                out.append(found)
-                last = found
-        start += len(paragraph) + 1
+            _, hits, have = _likest(part, family)
+            pairs = len({have[h] for h in hits})
+        else:
+            near, a, b, pairs = _dense_part(part, family)
+        found = {
+            "paragraph": int(line_of[first + a]), "start": places[first + a][0], "end": places[min(first + b, end - 1)][1],
+            "family": family, "probability": float(p[i, best[i]]), "similarity": float(near),
+            "confirmed": near >= CONFIRMED, "pairs": pairs,
+        }
+        last = lines[-1] if lines else None
+        if not inside[some[i]]:
+            if line_of[first + a] != line_of[min(first + b, end - 1)]:
+                across.append(found)
+        elif last and last["family"] == family and last["paragraph"] == found["paragraph"] and found["start"] <= last["end"]:
+            last["end"] = max(last["end"], found["end"])
+            for name in ("probability", "similarity", "confirmed", "pairs"):
+                last[name] = max(last[name], found[name])
+        else:
+            lines.append(found)
+    out = _joined(lines, across)
+    for found in out:
+        del found["pairs"]
     return out
 
 
+def paragraphs(text: str) -> list[str]:
+    """The lines of a text, and where there are several, all its words in windows across them."""
+    words = words_of(text)
+    return text.split("\n") + [" ".join(words[i : i + 2 * HALF]) for i in range(0, len(words), 2 * HALF) if "\n" in text.strip()]
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """A model whose class of none comes from the paragraphs of at most ``sample`` documents,
     chosen by a hash of key and text, and at most ``chars`` characters of each."""
     rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).filter("length(t) > 0")
-    return fitted(bounded_sample(rows, sample, "k", "t").select("t"), lambda found: fit([p for (t,) in found for p in t.split("\n")]))
+    return fitted(bounded_sample(rows, sample, "k", "t").select("t"), lambda found: fit([p for (t,) in found for p in paragraphs(t)]))
 
 
 FINDING = T.StructType([
