@@ -59,3 +59,17 @@ def test_postings_hold_non_zero_weights():
     assert lists[1][1].tolist() == [0] and lists[1][2].tolist() == [2]
     best = list(block_best(np.array([4, 9]), matrix, np.array([1]), np.array([[1, 5, 1]]), 1))
     assert [tuple(map(int, b)) for b in best] == [(0, 0, 3)]
+
+
+@pytest.mark.parametrize("per_block", [7, 4096])
+def test_many_good_vectors_of_one_id(spark, per_block):
+    """One id on a third of all rows, whose vectors all score higher than any other's."""
+    vectors = [(i, [1.0, i / 64]) for i in range(40)] + [(500, [9.0 + i / 64, 9.0]) for i in range(20)]
+    got = top_k(frame(spark, vectors), F.col("vec_id") % 10 == 0, k=4, candidates_per_block=per_block, queries_per_block=per_block)
+    assert sorted(map(tuple, got.collect())) == brute(vectors, 4, lambda i: i % 10 == 0)
+
+
+def test_a_block_keeps_the_best_ids():
+    ids, matrix = np.array([2, 5, 5, 5, 7]), np.array([[1], [9], [8], [7], [3]])
+    best = block_best(ids, matrix, np.array([1, 5]), np.array([[1], [1]]), 2)
+    assert sorted((int(q), int(ids[c]), int(s)) for q, c, s in best) == [(0, 5, 9), (0, 7, 3), (1, 2, 1), (1, 7, 3)]

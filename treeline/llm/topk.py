@@ -49,10 +49,13 @@ def postings(matrix: np.ndarray) -> list[tuple[int, np.ndarray | slice, np.ndarr
 
 
 def block_best(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query place, candidate place, score) of each query's k best in one block, ties to
-    the smaller id. ``ids`` ascend."""
+    """(query place, candidate place, score) of each query's k best ids in one block, ties to
+    the smaller id. ``ids`` ascend; of rows that share an id the best score counts, at the
+    place of the first."""
     lists = postings(matrix)
     width = queries.shape[1]
+    firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    names = ids[firsts]
     for start in range(0, len(queries), _TOGETHER):
         part = queries[start : start + _TOGETHER]
         scores = np.zeros((len(part), len(ids)), dtype=np.int64)
@@ -61,8 +64,10 @@ def block_best(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queri
                 break
             for q in np.flatnonzero(part[:, term]):
                 scores[q, rows] += part[q, term] * weights
+        if len(names) < len(ids):
+            scores = np.maximum.reduceat(scores, firsts, axis=1)
         for q in range(len(part)):
-            own = ids != query_ids[start + q]
+            own = names != query_ids[start + q]
             places, values = np.flatnonzero(own), scores[q][own]
             if len(values) > k:
                 least = np.partition(values, len(values) - k)[len(values) - k]
@@ -72,7 +77,7 @@ def block_best(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queri
             else:
                 chosen = np.arange(len(values))
             for c in chosen:
-                yield start + q, places[c], values[c]
+                yield start + q, firsts[places[c]], values[c]
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
