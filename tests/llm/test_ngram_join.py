@@ -87,6 +87,28 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _, c in brute(rows, 5, 80, 100) if i == c)
 
 
+def test_one_row_of_each_group_stays_under_repeated_and_null_keys(spark):
+    rng = random.Random(6)
+
+    def near(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        return [" ".join(base[:-1] + [f"x{i}"]) for i in range(n)]
+
+    a, b, c, d = near(3), near(3), near(2), near(2)
+    clean = [near(1)[0] for _ in range(4)]
+    rows = [(1, a[0]), (7, a[1]), (7, a[2])]  # linked to a smaller key, under a hot one
+    rows += [(7, clean[0]), (7, clean[1]), (None, clean[2]), (None, clean[3])]  # linked to none
+    rows += [(8, t) for t in b] + [(None, t) for t in c] + [(None, d[0]), (9, d[1])]
+    rows += [(10, clean[0] + " more"), (11, "same key and text"), (11, "same key and text"), (12, None), (12, None), (12, "")]
+    got = [(r.doc_id, r.text) for r in N.one_of_each(frame(spark, rows).repartition(3), words=5, num=80, den=100).collect()]
+    assert sorted(got, key=str).count((11, "same key and text")) == 1
+    assert [t for _, t in got if t in a] == [a[0]] and sum(t in b for _, t in got) == 1 and sum(t in c for _, t in got) == 1
+    assert [x for x in got if x[1] in d] == [(9, d[1])]
+    assert {(7, clean[0]), (7, clean[1]), (None, clean[2]), (None, clean[3])} <= set(got)
+    assert sorted((k, t or "") for k, t in got if k == 12) == [(12, "")] * 3
+    assert len(got) == 1 + 4 + 1 + 1 + 1 + 1 + 3
+
+
 def test_empty_table_and_no_links(spark):
     assert N.linked_documents(frame(spark, [])).count() == 0
     got = N.linked_documents(frame(spark, [(1, "a b c d"), (2, "e f g h")])).collect()

@@ -468,7 +468,30 @@ def linked_documents(
 def one_of_each(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """``docs`` without the rows that are linked to a row of a smaller key. Rows without a key stay."""
-    found = linked_documents(docs, key, text, words, num, den)
-    gone = cut_lineage(found.filter(F.col(key) != F.col("component_id")).select(key).distinct())
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of linked rows: that of the least key, null keys last.
+
+    Rows, not keys, stay or go: other rows under the key of a row that goes are not touched.
+    Of rows of one key the text's digest decides, and of rows that repeat key and text the
+    least. Rows without words have no links and all stay. All columns stay.
+    """
+    names = docs.columns
+    known = F.struct(  # equal rows of it have equal texts, thus one component
+        F.col(key).isNull().alias("none"), F.col(key).alias("id"),
+        F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"))
+    found = linked_documents(docs.select(known.alias("known"), F.col(text).alias("text")), "known", "text", words, num, den)
+    linked = found.filter("n_shingles > 0").groupBy("known").agg(
+        F.first("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    rest = cut_lineage(linked.select("known", (F.col("known") == F.col("first")).alias("kept"), "n").filter("NOT kept OR n > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), known.alias("known"))
+
+    def met(some: DataFrame, how: str) -> DataFrame:
+        some = some.select(*[F.col(f"known.{c}").alias(f"_{c}") for c in ("id", "digest")])
+        same = F.col("known.id").eqNullSafe(F.col("_id")) & (F.col("known.digest") == F.col("_digest"))
+        return rows.join(some, same, how)
+
+    out = met(rest, "left_anti").select("row")
+    again = rest.filter("kept")
+    if not again.isEmpty():
+        out = out.unionByName(met(again, "left_semi").groupBy("known").agg(F.min("row").alias("row")).select("row"))
+    spare = "_" * (max(map(len, names)) + 1)  # helper names that cannot clash
+    return out.select(*[F.col(f"row.`{c}`").alias(f"{spare}{i}") for i, c in enumerate(names)]).toDF(*names)
