@@ -41,8 +41,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: From BEGIN to the END that no other such line parts from it (headers of encrypted keys hold
+#: single dashes). Without one: all base64 and line ends, also escaped, and lines set in.
+_PEM = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,60}-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+    r"|[A-Za-z0-9+/=\\\r\n]*(?:[\x20\t]+[A-Za-z0-9+/=\\]{16,}[A-Za-z0-9+/=\\\r\n]*){0,60})"
+)
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", _PEM, version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES
