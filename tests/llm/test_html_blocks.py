@@ -30,6 +30,26 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, thus</p><p>b", ["so x=1, thus", "b"]),
+    ("<p>a<svg><title>no</title><text>t</text><svg></svg></svg>b</p><p>c", ["a t b", "c"]),
+    ("<noscript><p>shown</p></noscript><template><div>kept</div></template>", ["shown", "kept"]),
+    ("<p>a <object>x <object>y</object> z</object> b", ["a x y z b"]),
+    ("<div>a<xmp><p>1 &amp; 2</xmp>b</div>", ["a", "<p>1 &amp; 2", "b"]),
+    ("<form><select><option>1<option>2</form><p>rest", ["1 2", "rest"]),
+    ("<article><select><option>1<option>2<p>rest</p>end</article>", ["1 2", "rest", "end"]),
+    ("<p>a <select><optgroup label=x><option>1</select> b", ["a", "1", "b"]),
+    *[(f"<div>a <{t}> x</div><p>rest", ["a x", "rest"]) for t in ("object", "svg", "math", "template", "noscript")],
+])
+def test_only_raw_text_is_skipped(page, want):
+    assert texts(page) == want
+
+
+def test_names_of_elements_around():
+    a, b, c = H.blocks_of("<template><p>a</p></template><select><option>b</select><article><select><option><p>c</article>")
+    assert "template" in a.path and {"select", "option"} <= set(b.path) and c.path == ("article", "p")
+
+
 def test_paths_and_links():
     a, b = H.blocks_of("<div class='Side-Bar x'><a href='/'>link</a></div><main id=top><p>text</main>")
     assert {"div", "side", "bar", "x"} <= set(a.path) and a.linked == 1
@@ -97,6 +117,16 @@ def test_long_article(learned):
     assert p.tolist() == [False] + [True] * 3001 + [False]
 
 
+def test_formulas_and_open_lists_in_articles(spark, learned):
+    _, weights = learned
+    page = """<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title of the text</h1>
+<p>From <math><mi>a</mi><mo>=</mo><mi>b</mi></math> follows the first sentence of it.</p><select><option>Red<option>Green
+<p>The rest of the article stands behind an open list.</p></article><footer>&copy; x</footer></body></html>"""
+    frame = spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")
+    assert H.main_text(frame, weights).first().text == (
+        "Title of the text\nFrom a=b follows the first sentence of it.\nThe rest of the article stands behind an open list.")
+
+
 def test_odd_tables(spark, learned):
     _, weights = learned
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<nav>x</nav>"), (2, None, "")]

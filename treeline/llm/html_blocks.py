@@ -39,11 +39,14 @@ _BLOCK_TAGS = frozenset(
     "hr center hgroup dialog menu search".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style title textarea iframe noembed noframes noscript svg math template select object xmp".split())
+#: What HTML itself reads as raw text up to the end tag; of these only xmp shows its text.
+_RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+_APART = frozenset("select xmp".split())  # blocks of their own that p may hold
+_SPACED = frozenset("noscript svg template object option optgroup".split())
 _CLOSES = {  # what an opening tag ends without being told
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -72,7 +75,8 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; scripts, styles and the like have none."""
+    """The leaf blocks of a page in order; scripts, styles and the like have none. An element
+    without an end tag ends with the block around it, a list of options at the next block."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     runs: list[str] = []
@@ -107,13 +111,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, closing, attributes = name.lower(), match[1] or match[4], match[3] or match[6] or ""
         if closing:
-            if tag in _BLOCK_TAGS:
+            if tag in _BLOCK_TAGS or tag in _APART:
                 flush()
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             # an inline tag never closes the block around it
             if place >= 0 and (tag in _BLOCK_TAGS or not any(t in _BLOCK_TAGS for t, _ in stack[place:])):
                 pop_to(place)
-        elif tag in _SKIPPED:
+        elif tag in _RAW:
+            if tag in _APART:
+                flush()
+            start = end = at
             if not attributes.endswith("/"):
                 lower = page.lower() if lower is None else lower
                 end = lower.find(f"</{tag}", at) if len(lower) == len(page) else -1
@@ -121,15 +128,28 @@ def blocks_of(page: str) -> list[Block]:
                     end = next((m.start() for m in re.compile(f"</{tag}", re.I).finditer(page, at)), len(page))
                 close = page.find(">", end)
                 at = len(page) if close < 0 else close + 1
-            runs.append(" ")
+            if tag in _APART:
+                stack.append((tag, _names(tag, attributes)))
+                runs.append(html.escape(page[start:end]))
+                linked += end - start if links else 0
+                flush()
+                stack.pop()
+            else:
+                runs.append(" ")
         elif tag == "br" or tag == "wbr":
             runs.append(" " if tag == "br" else "")
         elif tag in _VOID:
             if tag == "hr":
                 flush()
         else:
-            if tag in _BLOCK_TAGS:
+            if tag in _BLOCK_TAGS or tag in _APART:
                 flush()
+            if tag in _SPACED:
+                runs.append(" ")
+            if tag in _BLOCK_TAGS:
+                open_list = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "select"), -1)
+                if open_list >= 0 and not any(t in _BLOCK_TAGS for t, _ in stack[open_list:]):
+                    pop_to(open_list)
                 p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
                 if p >= 0 and not any(t in _BLOCK_TAGS for t, _ in stack[p + 1 :]):
                     pop_to(p)
@@ -396,6 +416,8 @@ def built_page(rng: np.random.Generator, texts: list[str]) -> tuple[str, list[st
             parts.append(f"{before}<{tag}>{inner}</{tag}>{after}")
         else:
             parts.append(f"<{tag}>{inner}" + ("" if tag == "p" and rng.random() < 0.1 else f"</{tag}>"))
+        if i % 5 == 2:  # a list of options
+            parts.append("<select>" + "".join(f"<option>{html.escape(w)}</option>" for w in words.split()[:4]) + "</select>")
         if rng.random() < 0.06:
             parts.append(around(pick(("advert", "share", "notice", "side"))))
     parts.append(end)
@@ -415,7 +437,7 @@ def _labelled(blocks: list[Block], article: list[str]) -> np.ndarray:
     out = np.zeros(len(blocks), dtype=np.float32)
     inside = {"article", "main", "story", "content", "entry", "post", "body", "blog", "hentry"}
     outside = {w for names in _AROUND.values() for n in names for w in _SPLIT.split(n.lower()) if w} - {"div", "ul", "ol", "section"}
-    outside |= {"comment", "nav", "footer", "header", "aside", "form"}
+    outside |= {"comment", "nav", "footer", "header", "aside", "form", "select"}
     left = list(article)
     for i, b in enumerate(blocks):
         names = set(b.path) - {"td"}
@@ -427,7 +449,7 @@ def _labelled(blocks: list[Block], article: list[str]) -> np.ndarray:
 
 def landmarks(blocks: list[Block]) -> np.ndarray | None:
     """Labels of a page that marks its article itself; None if it does not."""
-    outside = {"nav", "aside", "footer", "header", "form", "ad"}
+    outside = {"nav", "aside", "footer", "header", "form", "select", "ad"}
     found = np.array([bool({"article"} & set(b.path)) and not outside & set(b.path) for b in blocks], dtype=np.float32)
     return found if found.any() else None
 
