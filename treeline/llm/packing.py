@@ -8,86 +8,29 @@ is overall. Blocks of examples are packed by tasks of their own.
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.session import cut_lineage
+from treeline.llm.blocks import EXAMPLES_PER_BLOCK, packed_in_blocks
+from treeline.llm.tokens import Encoded, as_bytes, byte_slices, cut_ids, id_blobs, json_encode, named
 
 TOKENS, SEGMENTS, LOSS_TOKENS = 2048, 128, 2048
-#: Examples packed together. A block wastes about its last sequence.
-EXAMPLES_PER_BLOCK = 16_384
-#: Words whose ids a Python worker remembers; a full cache is emptied.
-CACHED = 1 << 20
-
-_LOADED: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space and never merges across it,
-    looked up word by word."""
+    """Ids of whole texts by a tokenizer that drops white space and never merges across it."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.words = json_encode(path)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special) or _ODD_SPACE.intersection(text):
-            return self.whole(text)  # signs on which the two ways to split might differ
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            words, cut = text.split(), None
-        else:  # lower case is plain there, and no sign changes the one before
-            words, cut = text.lower().split(), _LETTERS.match
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = set(words)
-            # letters at the start are cut off by the tokenizer too, so words share them
-            parts = {w: cut(w).end() if cut else len(w) for w in new}
-            self._learn({p for w, n in parts.items() for p in (w[:n], w[n:])})
-            for w, n in parts.items():
-                known[w] = self.parts[w[:n]] + self.parts[w[n:]]
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.parts]
-        if len(self.parts) + len(new) > CACHED:
-            self.parts, new = {}, list(parts)
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = array("I", found.ids).tobytes()
-
-
-_LETTERS = re.compile("[a-zªµºß-öø-ÿ]*")
-#: White space to one side only, of those that split words here or in the tokenizer.
-_ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+        return Encoded(as_bytes(pa.array([text])), self.words).ids.astype("<u4").tobytes()
 
 
 def token_pieces(
@@ -106,26 +49,16 @@ def token_pieces(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, step = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * tokens
+        words = WordIds(tokenizer).words
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                rows, starts, whole, ids = [], [], [], []
-                for row, t in enumerate(part.column(1).to_pylist()):
-                    blob = words.encode(t or "") + last
-                    cuts = range(0, len(blob), step)
-                    rows += [row] * len(cuts)
-                    starts += [c // 4 for c in cuts]
-                    whole += [len(blob) // 4] * len(cuts)
-                    ids += [blob[c : c + step] for c in cuts]
+            for part in byte_slices(batch, 1):
+                found = Encoded(as_bytes(part.column(1)), words)
+                cut = cut_ids(found.ids, found.ends, end_id, tokens, short_first=False)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
-                     pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(whole, pa.int64()),
-                     pa.array(ids, pa.binary())],
-                    names=schema.fieldNames(),
-                )
+                    [part.column(0).take(pa.array(cut["row"])), *[pa.array(cut[c]) for c in ("start", "length", "whole")], id_blobs(cut)],
+                    names=schema.fieldNames())
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(named(key), named(text)).mapInArrow(run, schema)
 
 
 def fill(items: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,35 +107,26 @@ def pack(
 
     A sequence holds at most ``tokens`` tokens, ``segments`` examples and ``loss_tokens``
     loss-bearing tokens; ``loss`` names their number, by default all tokens but the first.
-    Nothing is cut or dropped: an example beyond a limit has a sequence of its own. Null
-    lengths count as 0. Offsets within a sequence follow each other from 0. ``order`` makes
-    the result repeatable; rows that repeat it and the length are interchangeable.
+    Nothing is cut or dropped: an example beyond a limit has a sequence of its own. ``order``
+    makes the result repeatable; rows that repeat it and the length are interchangeable.
+    Nulls, clashing columns, repeated rows and empty tables as in ``packed_in_blocks``.
     """
-    names = examples.columns
-    count = examples.count()
-    blocks = max(1, -(-count // per_block))
-    bearing = F.greatest(F.col(length) - 1, F.lit(0)) if loss is None else F.coalesce(F.col(loss), F.lit(0))
-    held = examples.withColumns({
-        "_block": F.pmod(F.xxhash64(*order), F.lit(blocks)),
-        "_tokens": F.coalesce(F.col(length), F.lit(0)).cast("bigint"), "_loss": bearing.cast("bigint"),
-    })
-    schema = T.StructType([*examples.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    bearing = F.greatest(named(length) - 1, F.lit(0)) if loss is None else named(loss)
     limits = np.array([tokens, segments, loss_tokens])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_tokens", "_loss", *order], ascending=[False, False, *[True] * len(order)], kind="stable")
-        items = np.column_stack([pdf["_tokens"], np.ones(len(pdf), dtype=np.int64), pdf["_loss"]])
-        sequence, turn = fill(items, limits)
-        pdf["sequence_id"], pdf["_turn"] = (int(pdf["_block"].iloc[0]) << 32) + sequence, turn
-        pdf = pdf.sort_values(["sequence_id", "_turn"], kind="stable")
-        pdf["offset"] = pdf.groupby("sequence_id")["_tokens"].cumsum() - pdf["_tokens"]
-        return pdf[[*names, "sequence_id", "offset"]]
+    def place(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return fill(np.insert(items, 1, 1, axis=1), limits)
 
-    return held.groupBy("_block").applyInPandas(run, schema)
+    return packed_in_blocks(examples, [named(length), bearing], place, order, length, per_block)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", tokens: int = TOKENS) -> DataFrame:
     """Pieces of all documents with their places and the CRC-32 of their ids. The ids
-    themselves come from ``token_pieces`` again, by key and start."""
+    themselves come from ``token_pieces`` again, by key and start.
+
+    In plain text every token but a piece's first bears loss, so here the limit of
+    loss-bearing tokens is that of tokens and never the tighter one; it is for instruction
+    data, whose prompts bear none.
+    """
     pieces = token_pieces(docs, tokenizer, key, text, tokens=tokens).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(cut_lineage(pieces), order=(key, "start"), tokens=tokens, loss_tokens=tokens)
+    return pack(pieces, order=(key, "start"), tokens=tokens, loss_tokens=tokens)
