@@ -22,12 +22,14 @@ CONTRACT = {
     3: "query_id rank vec_id score", 4: "doc_id size text_crc32 law shard slot grown_shard",
     5: "doc_id held_out score predicted", 6: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     7: "doc_id n_shingles component_id", 8: "page_id url text n_chars", 9: "doc_id n_tokens ids_sha256 decoded_sha256",
-    10: "doc_id families findings",
+    10: "doc_id families findings", 11: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    12: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    13: "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import (
-    exact_dedup, html_blocks, licences, ngram_join, packing, pieces, quality, secret_ledger, sharding, topk,
+    alignment, best_fit, exact_dedup, html_blocks, licences, ngram_join, packing, pieces, prefix_trie, quality,
+    secret_ledger, sharding, topk,
 )
-from treeline.session import prepare
+from treeline.session import cut_lineage, prepare
+from treeline.skew import skew_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +181,79 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
         F.size(sure).cast("bigint").alias("n_confirmed"), F.size("findings").cast("bigint").alias("n_findings"), "findings",
     )
+
+
+# CRC-32 of the digits, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query("op11_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+lengths AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+ids AS (
+  SELECT conv_id AS c, conv_id - conv_id % 5 AS base, {_CRC_SQL} % 9 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+r AS (
+  SELECT ids.c, n AS d, role, text FROM ids JOIN t ON t.c = base WHERE base <> ids.c AND n <= h
+  UNION ALL SELECT c, n, role, text FROM ids JOIN t USING (c) WHERE base = c
+  UNION ALL SELECT ids.c, t.n - h + least(h, coalesce(l.n, 0)), role, text
+    FROM ids JOIN t USING (c) LEFT JOIN lengths l ON l.c = base WHERE base <> ids.c AND t.n > h),
+p AS (
+  SELECT c, d, string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER (PARTITION BY c ORDER BY d) AS k, strlen(text) AS bytes FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM ids),
+nodes AS (SELECT k, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved FROM p GROUP BY k),
+parents AS (SELECT n.k, q.k AS parent FROM nodes n JOIN p q ON q.c = n.conv_id AND q.d = n.depth - 1),
+kids AS (SELECT parent AS k, count(*) AS n_children FROM parents GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (k)),
+sums AS (
+  SELECT q.k, count(*) FILTER (n.n_children = 0) AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+  FROM full_nodes n JOIN p q ON q.c = n.conv_id AND q.d <= n.depth GROUP BY q.k),
+ends AS (
+  SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, k FROM p QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY k)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes n JOIN sums USING (k) LEFT JOIN parents USING (k) LEFT JOIN nodes u ON u.k = parents.parent LEFT JOIN ends ON ends.k = n.k""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of its group's first."""
+    given = cut_lineage(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    turns, people = rebuilt(given)
+    nodes, members = prefix_trie.prefix_trie(turns, people)
+    ends = prefix_trie.joined_digests(members)
+    return nodes.join(ends, "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def rebuilt(turns: DataFrame, group: int = 5, most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(turns, ids) of conversations that begin with the first turns of their group's first one:
+    h = crc32(id) mod (most + 1) of them, then their own turns behind the h-th."""
+    lengths = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    base = F.col("conv") - F.col("conv") % group
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % (most + 1)
+    people = lengths.select("conv", "n", base.alias("base"), h.alias("h")).join(
+        lengths.select(F.col("conv").alias("base"), F.col("n").alias("has")), "base", "left")
+    people = cut_lineage(people.withColumn("moved", F.when(F.col("base") == F.col("conv"), 0).otherwise(
+        F.least("h", F.coalesce("has", F.lit(0))) - F.col("h"))))
+    heads = turns.filter(F.col("at") <= most).withColumnRenamed("conv", "base")
+    lent = people.filter("base <> conv").select("conv", "base", "h").join(heads, "base").filter("at <= h")
+    own = skew_join(turns, people.select("conv", "n", "base", "h", "moved"), ["conv"], "inner", ["at"], rows_per_key="n")
+    own = own.filter("base = conv OR at > h").withColumn("at", F.col("at") + F.col("moved"))
+    columns = ("conv", "at", "digest", "bytes")
+    return cut_lineage(lent.select(*columns).unionByName(own.select(*columns))), people.select("conv")
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies lie over each other in all documents."""
+    found = alignment.alignments(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"),
+        keep=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed best-fit into sequences of at most 2048 tokens."""
+    return best_fit.packed_best_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
