@@ -124,3 +124,33 @@ def test_only_long_documents_are_cut(spark):
     frame = spark.createDataFrame([(1, " a" * 7), (2, " a" * 8), (3, " a" * 20), (4, None)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.piece, r.start, r.length) for r in cut_documents(frame, PATH, tokens=8).collect())
     assert got == [(1, 0, 0, 8), (2, 0, 0, 1), (2, 1, 1, 8), (3, 0, 0, 5), (3, 1, 5, 8), (3, 2, 13, 8), (4, 0, 0, 1)]
+
+
+def test_every_token_is_its_own_encoding(library):
+    """So merging neighbours that are a token together is merging by the list of merges."""
+    import json
+
+    from treeline.llm.tokens import byte_signs
+
+    model = json.load(open(PATH))["model"]
+    merges = {tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]}
+    signs = byte_signs()
+    for token in model["vocab"]:
+        parts = list(token)
+        assert all(p in signs for p in parts)
+        while len(parts) > 1:
+            found = [(model["vocab"][a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (a, b) in merges]
+            assert found, token
+            i = min(found)[1]
+            parts[i : i + 2] = ["".join(parts[i : i + 2])]
+
+
+def test_words_equal_the_library(library):
+    from treeline.llm.tokens import Encoded, as_bytes, byte_encode
+
+    import pyarrow as pa
+
+    some = [t for t in texts() if t]
+    found = Encoded(as_bytes(pa.array(some)), byte_encode(PATH))
+    for i, t in enumerate(some):
+        assert found.ids[found.ends[i] : found.ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t

@@ -1,3 +1,5 @@
+import json
+import re
 import random
 import zlib
 from collections import defaultdict
@@ -88,3 +90,28 @@ def test_little_padding(spark):
     got = pack(spark.createDataFrame(rows, "doc_id bigint, start bigint, length bigint"), per_block=5000).collect()
     used = sum(r.length for r in got)
     assert used >= 0.98 * 2048 * len({r.sequence_id for r in got})
+
+
+def test_every_token_is_its_own_encoding(library):
+    """So merging neighbours that are a token together is merging by the list of merges."""
+    words = WordIds(PATH)
+    letters = [t for t in library.get_vocab() if re.fullmatch("[a-z]+(</w>)?", t)]
+    ended = [t.removesuffix("</w>") for t in letters if t.endswith("</w>")]
+    assert len(ended) > 20_000
+    assert [e.ids for e in library.encode_batch(ended, add_special_tokens=False)] == [[library.token_to_id(f"{w}</w>")] for w in ended]
+    # a token that ends no word: what stands in front of a word's end cannot merge with it
+    inner, split = [t for t in letters if not t.endswith("</w>")], 0
+    merges = {tuple(m) for m in json.load(open(PATH))["model"]["merges"]}
+    for token in inner:
+        parts = list(token)
+        while len(parts) > 1:
+            found = [(library.token_to_id(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (a, b) in merges]
+            if not found:
+                split += 1
+                break
+            i = min(found)[1]
+            parts[i : i + 2] = ["".join(parts[i : i + 2])]
+    assert split == 0
+    rng = random.Random(1)
+    made = [rng.choice(["", "x'", "3"]) + "".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 25))) for _ in range(20_000)]
+    assert [np.frombuffer(words.encode(w), dtype="<u4").tolist() for w in made] == [e.ids for e in library.encode_batch(made, add_special_tokens=False)]

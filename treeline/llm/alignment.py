@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.tokens import Encode, Encoded, as_bytes, byte_slices, json_encode, json_tokenizer, named, spread
+from treeline.llm.tokens import (
+    Encode, Encoded, as_bytes, byte_encode, byte_signs, byte_slices, flat, json_tokenizer, named, spread,
+)
 from treeline.session import scratch
 
 SPACE = "▁"
@@ -31,14 +33,6 @@ BLOCK_BYTES = 8 << 20
 _RIGHT = 1 << 31
 
 
-def byte_signs() -> dict[str, int]:
-    """The byte for which each sign of a byte-level vocabulary stands: visible signs for
-    themselves, the other bytes, in order, for the signs from 256 on."""
-    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(seen)]
-    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """How to encode words, and the bytes of each id."""
 
@@ -54,7 +48,7 @@ def byte_level(path: str) -> Vocabulary:
     raw = [b""] * (max(tokenizer.get_vocab().values()) + 1)
     for token, i in tokenizer.get_vocab().items():
         raw[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
-    return Vocabulary(json_encode(path, True), raw)
+    return Vocabulary(byte_encode(path, True), raw)
 
 
 def piece_level(path: str) -> Vocabulary:
@@ -74,13 +68,13 @@ def piece_level(path: str) -> Vocabulary:
                 raise ValueError("a piece goes on across a word's end")
     line = len(model.encode("\n"))  # the space that the library adds, and the line end
 
-    def encode(some: list[bytes]) -> list[list[int]]:
+    def encode(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # the library puts a space in front: it stands for the word's own, or goes again
         texts = [w.decode() for w in some]
         found = model.encode([t[1:] if t.startswith(" ") else "\n" + t for t in texts], num_threads=1)
         # alone a space is nothing to the library
-        return [(ids if len(t) > 1 else model.encode("\n")[:1]) if t.startswith(" ") else ids[line:]
-                for t, ids in zip(texts, found, strict=True)]
+        return flat([(ids if len(t) > 1 else model.encode("\n")[:1]) if t.startswith(" ") else ids[line:]
+                     for t, ids in zip(texts, found, strict=True)])
 
     return Vocabulary(encode, raw)
 
@@ -101,10 +95,12 @@ class _Side:
     def __init__(self, texts: pa.LargeBinaryArray, book: Vocabulary):
         self.book, found = book, Encoded(texts, book.encode)
         self.ids, self.starts, self.found = found.ids.astype(np.int64), found.ends, found
-        joined = np.fromiter(
-            (b"".join(map(book.raw.__getitem__, ids)) == w for w, ids in zip(found.words, found.each, strict=True)),
-            dtype=bool, count=len(found.words))
-        wrong = np.flatnonzero(~joined[found.at]) if not joined.all() else np.empty(0, dtype=np.int64)
+        parts = [book.raw[i] for i in found.known.tolist()]
+        wrong = np.empty(0, dtype=np.int64)
+        if b"".join(parts) != b"".join(found.words):
+            stops = np.cumsum(found.sizes).tolist()
+            alike = [b"".join(parts[a:b]) == w for w, a, b in zip(found.words, [0, *stops], stops)]
+            wrong = np.flatnonzero(~np.array(alike)[found.at])
         #: Texts with a word whose tokens are not its bytes; only those are compared whole.
         self.doubtful = np.unique(np.searchsorted(found.first, wrong, side="right") - 1).tolist()
 
@@ -125,9 +121,9 @@ class _Side:
     def table(self, name: str) -> pa.Table:
         return pa.table({"document": self.parent, "end": self.end, name: np.arange(len(self.ids))})
 
-    def spelled(self, group: np.ndarray, groups: int) -> pa.Array:
-        """The ids of each group, joined by commas."""
-        ends = np.searchsorted(group, np.arange(groups + 1)).astype(np.int32)
+    def spelled(self, last: np.ndarray) -> pa.Array:
+        """The ids of each group, joined by commas; ``last`` has the groups' last tokens."""
+        ends = np.concatenate([[0], last + 1]).astype(np.int32)
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.book.names.take(pa.array(self.ids))), ",")
 
 
@@ -147,15 +143,12 @@ def align_block(texts: pa.Array, left: Vocabulary, right: Vocabulary) -> tuple[d
             side.only(alike)
         side.place()
     met = a.table("a").join(b.table("b"), ["document", "end"], join_type="inner", use_threads=False)
-    met = met.sort_by([("a", "ascending"), ("b", "ascending")]).combine_chunks()
-    document, end = np.asarray(met["document"]), np.asarray(met["end"])
-    at_a, at_b = np.asarray(met["a"]), np.asarray(met["b"])
-    # groups end where both have an end
-    base = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(raw)).astype(np.int64) + 1)])
-    shared = np.unique(base[document] + end)
-    group_a, group_b = (np.searchsorted(shared, base[s.parent] + s.end) for s in (a, b))
-    spelled = pc.binary_join_element_wise(a.spelled(group_a, len(shared)), b.spelled(group_b, len(shared)), "|")
-    of = np.searchsorted(shared, base).astype(np.int32)
+    order = np.lexsort((np.asarray(met["b"]), np.asarray(met["a"])))
+    document, end, at_a, at_b = (np.asarray(met[c])[order] for c in ("document", "end", "a", "b"))
+    # groups end where both have an end; the last pair of an end has its last tokens
+    closes = np.append((document[1:] != document[:-1]) | (end[1:] != end[:-1]), True)[: len(end)]
+    spelled = pc.binary_join_element_wise(a.spelled(at_a[closes]), b.spelled(at_b[closes]), "|")
+    of = np.searchsorted(document[closes], np.arange(len(raw) + 1)).astype(np.int32)
     groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(of), spelled), ";")
     pair = pa.table({"pair": pa.array(a.ids[at_a] * _RIGHT + b.ids[at_b])})
     counted = pair.group_by("pair", use_threads=False).aggregate([("pair", "count")]).combine_chunks()

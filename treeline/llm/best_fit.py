@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.llm.blocks import EXAMPLES_PER_BLOCK, packed_in_blocks
-from treeline.llm.tokens import Encoded, as_bytes, byte_slices, cut_ids, id_blobs, json_encode, named
+from treeline.llm.tokens import Encoded, as_bytes, byte_encode, byte_slices, cut_ids, id_blobs, named
 
 TOKENS, DOCUMENTS, TILES, TILE = 2048, 256, 320, 128
 MEASURES = ("norm", "dot")
@@ -31,7 +31,7 @@ def cut_documents(
 ) -> DataFrame:
     """Pieces of all texts: key, piece, start, length, ids (little-endian unsigned 32-bit).
 
-    A text's ids are those of the tokenizers library, then ``end_id``. Only more than ``tokens``
+    A text's ids are those of the tokenizers library for a byte-level vocabulary, then ``end_id``. Only more than ``tokens``
     of them are cut: into full pieces behind a first one that may be shorter. Null counts
     as empty: the end id alone. ``tokenizer`` is a file that every executor has at that
     path. Only key and text are read; a repeated key gives rows of its own. An empty table
@@ -43,7 +43,7 @@ def cut_documents(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = json_encode(tokenizer)
+        encode = byte_encode(tokenizer)
         for batch in batches:
             for part in byte_slices(batch, 1):
                 found = Encoded(as_bytes(part.column(1)), encode)

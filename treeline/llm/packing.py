@@ -8,29 +8,52 @@ is overall. Blocks of examples are packed by tasks of their own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.llm.blocks import EXAMPLES_PER_BLOCK, packed_in_blocks
-from treeline.llm.tokens import Encoded, as_bytes, byte_slices, cut_ids, id_blobs, json_encode, named
+from treeline.llm.tokens import (
+    Encoded, around_letters, as_bytes, before_spaces, buffers, byte_slices, cut_ids, id_blobs, json_encode, json_tokenizer,
+    letter_encode, named,
+)
 
 TOKENS, SEGMENTS, LOSS_TOKENS = 2048, 128, 2048
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space and never merges across it."""
+    """Ids of whole texts by a tokenizer that counts capitals as small letters, drops white
+    space, and keeps letters apart from all else."""
 
     def __init__(self, path: str):
-        self.words = json_encode(path)
+        self.words, self.small = json_encode(path), letter_encode(path)
+        special = json_tokenizer(path).get_added_tokens_decoder().values()
+        #: What the tokenizer takes for a special token before it looks at letters.
+        self.special = "|".join(re.escape(t.content) for t in special)
+
+    def of(self, texts: pa.LargeBinaryArray) -> Encoded:
+        if self.special and pc.any(pc.match_substring_regex(texts, self.special, ignore_case=True)).as_py():
+            return Encoded(texts, self.words, before_spaces)
+        ends, raw = buffers(texts)
+        small = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[raw])])
+        return Encoded(small, self.small, around_letters)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        return Encoded(as_bytes(pa.array([text])), self.words).ids.astype("<u4").tobytes()
+        return self.of(as_bytes(pa.array([text]))).ids.astype("<u4").tobytes()
 
 
 def token_pieces(
@@ -49,10 +72,10 @@ def token_pieces(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer).words
+        words = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:
             for part in byte_slices(batch, 1):
-                found = Encoded(as_bytes(part.column(1)), words)
+                found = words.of(as_bytes(part.column(1)))
                 cut = cut_ids(found.ids, found.ends, end_id, tokens, short_first=False)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(cut["row"])), *[pa.array(cut[c]) for c in ("start", "length", "whole")], id_blobs(cut)],
