@@ -28,7 +28,7 @@ from treeline.session import scratch
 
 SPACE = "▁"
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: A pair of ids is one number: the left id times this, plus the right id.
 _RIGHT = 1 << 31
 

@@ -38,8 +38,7 @@ def named(name: str) -> Column:
 
 def byte_slices(batch: pa.RecordBatch, column: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``most`` bytes of text, or of a single row."""
-    sizes = batch.column(column).cast(pa.large_binary())
-    lengths = np.asarray(pc.binary_length(sizes).fill_null(0), dtype=np.int64)
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends, start = np.cumsum(lengths), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
