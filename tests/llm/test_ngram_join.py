@@ -138,3 +138,52 @@ def test_filters_never_exclude_linked_sets():
         if common * 100 >= union * 80:
             assert differing * 180 <= (len(a) + len(b)) * 20
             assert set(a[: rule.prefix(len(a))]) & set(b[: rule.prefix(len(b))])
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    rows = corpus(12, groups=40, copies=15)
+    asked, verified = [], N._verified
+
+    def counting(docs, text, rule, seed, pairs, nodes):
+        asked.extend(frozenset((r.a_fp, r.b_fp)) for r in pairs.collect())
+        return verified(docs, text, rule, seed, pairs, nodes)
+
+    monkeypatch.setattr(N, "_verified", counting)
+    got = N.linked_documents(frame(spark, rows), words=3, num=80, den=100).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 3, 80, 100)
+    assert len(asked) == len(set(asked)) > 0
+
+
+def test_frequent_grams_and_centres_are_split(spark, monkeypatch):
+    monkeypatch.setattr(N, "GRID", 7)
+    monkeypatch.setattr(N, "PAIRS_PER_SET", 5)
+    rows = corpus(3, groups=12, hot=60)
+    got = N.linked_documents(frame(spark, rows), words=3, num=70, den=100).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 3, 70, 100)
+
+
+def test_suffix_filter_never_excludes_linked_sets():
+    rng, rule = np.random.default_rng(2), N.Rule(3, 80, 100)
+    refused = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.3, 0.97])], rng.integers(1, 1 << 63, n // 10, dtype=np.uint64)]))
+        common, union = np.intersect1d(a, b), len(np.union1d(a, b))
+        ta, tb = N._tails(a), N._tails(b)
+        for g in common[:5]:  # both are in ascending order
+            i, j = int(np.searchsorted(a, g)), int(np.searchsorted(b, g))
+            least = abs(i - j) + int(ta[i] ^ tb[j]).bit_count()
+            assert least <= union - len(common)
+            refused += least * 180 > (len(a) + len(b)) * 20
+    assert refused > 100
+
+
+def test_columns_of_any_name_and_kind(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    frame_ = spark.createDataFrame([(1, text, {"a": 1}), (2, text + " x", {"b": 2}), (2, text + " x", {"c": 3}), (3, "none of it", None)],
+                                   "`n` bigint, `te.xt` string, whole map<string,int>")
+    got = N.linked_documents(frame_, "n", "te.xt", 5, 80, 100)
+    assert sorted(map(tuple, got.collect())) == [(1, 56, 1), (2, 57, 1), (2, 57, 1), (3, 1, 3)]
+    kept = N.one_of_each(frame_.filter("n > 1"), "n", "te.xt")
+    assert kept.columns == frame_.columns and sorted((r["n"], str(r.whole)) for r in kept.collect()) == [(2, "{'b': 2}"), (3, "None")]

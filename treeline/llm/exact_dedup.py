@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.session import cut_lineage
 
@@ -98,6 +99,19 @@ def exact_duplicates(
     )
 
 
+def one_row(row: str, docs: DataFrame) -> Column:
+    """The least of equal-keyed structs ``row`` of all columns of ``docs``; by their JSON where
+    some column has no order."""
+    def orderable(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(orderable(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return orderable(kind.elementType)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return (F.min(row) if orderable(docs.schema) else F.min_by(row, F.to_json(row))).alias(row)
+
+
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged. Of rows that repeat key and
     text one stays; where all keys of a text are null, one of its rows stays."""
@@ -116,7 +130,7 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     out = of("single").select("row")
     if not groups.filter("NOT single").isEmpty():
-        one = of("NOT single").groupBy("digest", "second").agg(F.min("row").alias("row"))
+        one = of("NOT single").groupBy("digest", "second").agg(one_row("row", docs))
         out = out.unionByName(one.select("row"))
     return out.select(*[F.col(f"row.`{c}`").alias(f"{spare}{i}") for i, c in enumerate(names)]).toDF(*names)
 

@@ -6,8 +6,9 @@
    rare their words are (the order need not be perfect, only the same for all). The prefix
    that two similar sets cannot both miss is posted.
 3. Postings meet on prefix n-grams. A pair has to pass the length filter, the positional
-   filter and the suffix filter (sets are dealt into parts by hash, and the parities of
-   the parts bound the difference from below) before it is verified, once, on both sets.
+   filter and the suffix filter (what stands behind the common n-gram in either set is dealt
+   into parts by hash, and the parts' parities bound the difference from below), and the same
+   with finer parities of the whole sets, before it is verified, once, on both sets.
 4. First every node is compared with the best centre of its lists, which joins most of a
    large group without pairing it up. Then all remaining pairs between different groups
    are compared, so no link between groups is lost. Links inside a group are implied.
@@ -28,14 +29,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.llm.exact_dedup import one_row
+from treeline.llm.tokens import named
 from treeline.operators.components import components
 from treeline.session import cut_lineage
+from treeline.skew import skew_join
 
 #: Buckets of the corpus-wide counts, of n-grams and of words: 2 MB each are sent to the
 #: tasks, however large the corpus is.
 SKETCH = 1 << 20
-#: Longs of the suffix filter: parts of a set, one bit each.
+#: Longs of the parities of whole sets: parts of a set, one bit each.
 PARITY = 8
+#: Postings of one n-gram that a task pairs up; more become a grid of tasks.
+GRID = 20_000
+#: Pairs with one set that a task verifies; more are spread.
+PAIRS_PER_SET = 5_000
 #: Bits by which the third pass over the texts skips sets that no pair needs.
 WANTED_BITS = 1 << 26
 #: Sets a task remembers so as to post equal ones once.
@@ -138,6 +146,12 @@ def _parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _tails(grams: np.ndarray) -> np.ndarray:
+    """For each place of an ordered set the parities, in 64 parts, of what stands behind it."""
+    bits = np.uint64(1) << (grams >> np.uint64(9) & np.uint64(63))
+    return np.append(np.bitwise_xor.accumulate(bits[::-1])[::-1][1:], np.uint64(0))
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
     """UTF-8 of each row, null as empty, without making strings of them."""
     array = batch.column(column).cast(pa.large_binary())
@@ -152,10 +166,10 @@ _DOCS = T.StructType([
 ])
 
 
-def _survey(docs: DataFrame, key: str, text: str, rule: Rule, seed: int) -> DataFrame:
-    """Per row its set's size, prints and parities, and a hash of its text; per task one row
+def _survey(docs: DataFrame, rule: Rule, seed: int) -> DataFrame:
+    """For rows (key, text): its set's size, prints and parities, and a hash of its text; per task one row
     with its counts of n-grams and of words by bucket (compressed) instead."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *_DOCS.fields])
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), *_DOCS.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * SKETCH, dtype=np.int64)
@@ -184,7 +198,7 @@ def _survey(docs: DataFrame, key: str, text: str, rule: Rule, seed: int) -> Data
                 [pa.nulls(1, kind), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (3 + PARITY),
                  pa.array([packed], pa.binary())], names=schema.fieldNames())
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select("key", "text").mapInArrow(run, schema)
 
 
 def _hash_of(text: bytes) -> int:
@@ -203,24 +217,30 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def _levels(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """What orders n-grams: for each bucket of n-grams 0, or a level if it holds far more than
-    the mean, and for each bucket of words a level. 2 * SKETCH numbers reach the driver."""
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    the mean, and for each bucket of words a level. 2 * SKETCH small numbers reach the driver."""
+    def summed(batches: Iterator[pd.DataFrame]) -> np.ndarray:
         total = np.zeros(2 * SKETCH, dtype=np.int64)
         for batch in batches:
             for packed in batch["counts"]:
                 total += np.frombuffer(zlib.decompress(packed), dtype="<i8")
-        yield pd.DataFrame({"counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
+        return total
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"counts": [zlib.compress(summed(batches).astype("<i8").tobytes(), 1)]})
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = summed(batches)
+        level = np.round(256 * np.log2(total + 1)).astype("<u2")
+        often = total[:SKETCH] > 4 * total[:SKETCH].mean() + 16
+        level[:SKETCH] = np.where(often, level[:SKETCH], 0)
+        yield pd.DataFrame({"levels": [zlib.compress(level.tobytes(), 1)]})
 
     parts = survey.filter("counts IS NOT NULL").select("counts")
-    total = np.zeros(2 * SKETCH, dtype=np.int64)
     # in two steps of about as many tables each
     first = parts.repartition(max(1, math.isqrt(parts.count()))).mapInPandas(add, "counts binary")
-    for row in first.coalesce(1).mapInPandas(add, "counts binary").collect():
-        total += np.frombuffer(zlib.decompress(row[0]), dtype="<i8")
-    level = np.round(256 * np.log2(total + 1)).astype(np.uint16)
-    grams, words = level[:SKETCH], level[SKETCH:]
-    often = total[:SKETCH] > 4 * total[:SKETCH].mean() + 16
-    return np.where(often, grams, 0).astype(np.uint16), words
+    found = first.coalesce(1).mapInPandas(rank, "levels binary").collect()
+    level = np.frombuffer(zlib.decompress(found[0][0]), dtype="<u2") if found else np.zeros(2 * SKETCH, dtype="<u2")
+    return level[:SKETCH], level[SKETCH:]
 
 
 def _rare_first(each: np.ndarray, rule: Rule, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -236,9 +256,9 @@ def _rare_first(each: np.ndarray, rule: Rule, levels: tuple[np.ndarray, np.ndarr
     return h[np.lexsort((h, often, levels[0][_bucket(h)]))]
 
 
-def _postings(docs: DataFrame, text: str, rule: Rule, seed: int, levels) -> DataFrame:
-    """(gram, fp, n, at) of each prefix n-gram. Equal sets are posted once per task."""
-    names = ["gram", "fp", "n", "at"]
+def _postings(docs: DataFrame, rule: Rule, seed: int, levels) -> DataFrame:
+    """(gram, fp, n, at, tail) of each prefix n-gram. Equal sets are posted once per task."""
+    names = ["gram", "fp", "n", "at", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = levels.value, set()
@@ -253,17 +273,19 @@ def _postings(docs: DataFrame, text: str, rule: Rule, seed: int, levels) -> Data
                 each = word_hashes(t, seed)
                 if len(each):
                     grams = _rare_first(each, rule, known)
-                    out.append((grams[: rule.prefix(len(grams))], _print_of(grams)[0], len(grams)))
+                    size = rule.prefix(len(grams))
+                    out.append((grams[:size], _print_of(grams)[0], len(grams), _tails(grams)[:size]))
             if out:
-                sizes = [len(g) for g, _, _ in out]
+                sizes = [len(g) for g, *_ in out]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([g for g, _, _ in out]).view(np.int64)),
-                    pa.array(np.repeat(np.array([f for _, f, _ in out], dtype=np.int64), sizes)),
-                    pa.array(np.repeat(np.array([n for _, _, n in out], dtype=np.int32), sizes)),
+                    pa.array(np.concatenate([g for g, *_ in out]).view(np.int64)),
+                    pa.array(np.repeat(np.array([f for _, f, _, _ in out], dtype=np.int64), sizes)),
+                    pa.array(np.repeat(np.array([n for _, _, n, _ in out], dtype=np.int32), sizes)),
                     pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])),
+                    pa.array(np.concatenate([t for *_, t in out]).view(np.int64)),
                 ], names=names)
 
-    return docs.select(text).mapInArrow(run, "gram bigint, fp bigint, n int, at int")
+    return docs.select("text").mapInArrow(run, "gram bigint, fp bigint, n int, at int, tail bigint")
 
 
 def _room(rule: Rule, a: str, b: str) -> Column:
@@ -286,6 +308,13 @@ def _length(rule: Rule, na: str, nb: str) -> Column:
 
 
 def _suffix(rule: Rule, a: str, b: str) -> Column:
+    """In front of the common n-gram the sets differ at least by the places' distance, and
+    behind it by the parts whose parities differ: both are in the same order."""
+    behind = F.bit_count(F.col(f"{a}tail").bitwiseXOR(F.col(f"{b}tail")))
+    return _near(rule, f"{a}n", f"{b}n", F.abs(F.col(f"{a}at") - F.col(f"{b}at")) + behind)
+
+
+def _parity(rule: Rule, a: str, b: str) -> Column:
     differing = sum(
         (F.bit_count(F.col(f"{a}p{i}").bitwiseXOR(F.col(f"{b}p{i}"))) for i in range(1, PARITY)),
         F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))),
@@ -336,17 +365,16 @@ def _sets(docs: DataFrame, text: str, rule: Rule, seed: int, wanted) -> DataFram
 def _verified(docs: DataFrame, text: str, rule: Rule, seed: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a_fp, b_fp) that are linked; each is compared once."""
     spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a_fp", "b_fp")).alias("fp")).distinct()
+    ends = pairs.select(F.posexplode(F.array("a_fp", "b_fp")).alias("side", "fp")).groupBy("fp").agg(F.sum("side").alias("pairs"))
     wanted = spark.sparkContext.broadcast(_wanted(nodes.join(ends, "fp", "left_semi").select("whole")))
     held = cut_lineage(_sets(docs, text, rule, seed, wanted))
     wanted.unpersist()
     # equal sets of several tasks go before anything is joined
-    sets = held.join(ends, "fp", "left_semi").dropDuplicates(["fp"])
-    both = (
-        pairs.join(sets.select(F.col("fp").alias("a_fp"), F.col("grams").alias("ga")), "a_fp")
-        .join(sets.select(F.col("fp").alias("b_fp"), F.col("grams").alias("gb")), "b_fp")
-        .withColumn("common", F.size(F.array_intersect("ga", "gb")))
-    )
+    sets = held.join(ends, "fp").dropDuplicates(["fp"])
+    left = pairs.join(sets.select(F.col("fp").alias("a_fp"), F.col("grams").alias("ga")), "a_fp")
+    right = sets.select(F.col("fp").alias("b_fp"), F.col("grams").alias("gb"), "pairs")
+    both = skew_join(left, right, ["b_fp"], "inner", ["a_fp"], PAIRS_PER_SET, rows_per_key="pairs")
+    both = both.withColumn("common", F.size(F.array_intersect("ga", "gb")))
     union = F.size("ga") + F.size("gb") - F.col("common")
     linked = both.filter(F.col("common").cast("bigint") * rule.den >= union.cast("bigint") * rule.num)
     return cut_lineage(linked.select("a_fp", "b_fp"))
@@ -364,8 +392,9 @@ def _centres(labelled: DataFrame) -> DataFrame:
     rarest, as that has the fewest elements of its own."""
     return (
         labelled.groupBy("gram")
-        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("at", "n", "fp", "comp")).alias("c"))
-        .filter("c0 <> c1").select("gram", "c")
+        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("at", "n", "fp", "comp", "tail")).alias("c"),
+             F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("slots"))
+        .filter("c0 <> c1").select("gram", "c", "slots")
     )
 
 
@@ -374,32 +403,38 @@ def _star_pairs(postings: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     pass the filters."""
     labelled = _labelled(postings, None)
     met = labelled.join(_centres(labelled), "gram").filter("fp <> c.fp").select(
-        F.col("fp").alias("a_fp"), F.col("n").alias("a_n"), F.col("at").alias("a_at"),
-        F.col("c.fp").alias("b_fp"), F.col("c.n").alias("b_n"), F.col("c.at").alias("b_at"))
-    met = met.filter(_length(rule, "a_n", "b_n") & _positional(rule, "a_n", "a_at", "b_n", "b_at"))
+        *[F.col(c).alias(f"a_{c}") for c in ("fp", "n", "at", "tail")], *[F.col(f"c.{c}").alias(f"b_{c}") for c in ("fp", "n", "at", "tail")])
+    met = met.filter(_length(rule, "a_n", "b_n") & _positional(rule, "a_n", "a_at", "b_n", "b_at") & _suffix(rule, "a_", "b_"))
     pairs = met.groupBy("a_fp", "b_fp").agg(F.count(F.lit(1)).alias("shared"))
     filtered = (
-        pairs.join(_side(nodes, "a_"), "a_fp").join(_side(nodes, "b_"), "b_fp").filter(_suffix(rule, "a_", "b_"))
+        pairs.join(_side(nodes, "a_"), "a_fp").join(_side(nodes, "b_"), "b_fp").filter(_parity(rule, "a_", "b_"))
     )
     best = filtered.groupBy("a_fp").agg(F.max(F.struct("shared", "b_fp")).alias("best"))
     return best.select(F.least("a_fp", "best.b_fp").alias("a_fp"), F.greatest("a_fp", "best.b_fp").alias("b_fp")).distinct()
 
 
-def _remaining_pairs(postings: DataFrame, nodes: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of sets in different groups that share a prefix n-gram and pass the filters."""
+def _remaining_pairs(postings: DataFrame, nodes: DataFrame, groups: DataFrame, tried: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs of sets in different groups that share a prefix n-gram and pass the filters,
+    but for those already ``tried``. An n-gram with very many postings becomes a grid of tasks."""
     labelled = _labelled(postings, groups)
-    lists = _centres(labelled).select("gram", F.col("c.comp").alias("main"))
-    rows = labelled.select("gram", "fp", "comp", "at").join(lists, "gram")
+    lists = _centres(labelled).select("gram", F.col("c.comp").alias("main"), "slots")
+    rows = labelled.select("gram", "fp", "comp", "at", "tail").join(lists, "gram")
     rows = cut_lineage(rows.join(nodes.select("fp", "n", *[f"p{i}" for i in range(PARITY)]), "fp"))
+    own, every = F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+
+    def side(some: DataFrame, prefix: str, i: Column, j: Column, *more: str) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("gram", "main", "slots")]
+        dealt = some.withColumn("i", i).withColumn("j", j)
+        return dealt.select("gram", "i", "j", *more, *[F.col(c).alias(f"{prefix}{c}") for c in kept])
+
     # every pair between groups has an end outside the centre's group
-    some = rows.filter("comp <> main")
-    left = some.select("gram", *[F.col(c).alias(f"a_{c}") for c in some.columns if c not in ("gram", "main")])
-    right = rows.select("gram", "main", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c not in ("gram", "main")])
+    left, right = side(rows.filter("comp <> main"), "a_", own, every), side(rows, "b_", every, own, "main")
     met = left.alias("l").join(
         right.alias("r"),
-        (F.col("l.gram") == F.col("r.gram")) & (F.col("a_comp") != F.col("b_comp"))
-        & ((F.col("b_comp") == F.col("main")) | (F.col("a_fp") < F.col("b_fp")))
-        & _length(rule, "a_n", "b_n") & _positional(rule, "a_n", "a_at", "b_n", "b_at") & _suffix(rule, "a_", "b_"),
+        (F.col("l.gram") == F.col("r.gram")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+        & (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("main")) | (F.col("a_fp") < F.col("b_fp")))
+        & _length(rule, "a_n", "b_n") & _positional(rule, "a_n", "a_at", "b_n", "b_at") & _suffix(rule, "a_", "b_")
+        & _parity(rule, "a_", "b_"),
     )
     # all that two sets share up to their last common prefix n-gram has been met by now, so
     # only what stands behind it in both can add to the overlap
@@ -413,7 +448,7 @@ def _remaining_pairs(postings: DataFrame, nodes: DataFrame, groups: DataFrame, r
         F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
     most = F.col("shared") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
     kept = pairs.filter(_near(rule, "a_n", "b_n", F.col("a_n") + F.col("b_n") - most * 2))
-    return kept.select("a_fp", "b_fp")
+    return kept.select("a_fp", "b_fp").join(tried, ["a_fp", "b_fp"], "left_anti")
 
 
 def linked_documents(
@@ -432,36 +467,38 @@ def linked_documents(
     same 64-bit print, all is hashed anew.
     """
     rule, seed, sc = Rule(words, num, den), 0, docs.sparkSession.sparkContext
+    given = docs.select(named(key).alias("key"), named(text).alias("text"))
     while True:
-        survey = cut_lineage(_survey(docs, key, text, rule, seed))
+        survey = cut_lineage(_survey(given, rule, seed))
         rows = survey.filter("counts IS NULL")
         nodes = cut_lineage(
             rows.filter("n > 0").groupBy("fp").agg(
-                F.min(key).alias("least"), F.min("n").alias("n"), F.min("whole").alias("whole"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY)],
+                F.min("key").alias("least"), F.min("n").alias("n"), F.min("whole").alias("whole"), *[F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY)],
                 ((F.min("fp2") != F.max("fp2")) | (F.min("n") != F.max("n"))).alias("clash"))
         )
         if nodes.filter("clash").isEmpty():
             break
         seed += 1
     levels = sc.broadcast(_levels(survey))
-    posted = _postings(docs, text, rule, seed, levels)
+    posted = _postings(given, rule, seed, levels)
     shared = posted.groupBy("gram").agg(F.min("fp").alias("f0"), F.max("fp").alias("f1")).filter("f0 <> f1").select("gram")
     postings = cut_lineage(posted.join(shared, "gram", "left_semi").distinct())
     levels.unpersist()
-    links = _verified(docs, text, rule, seed, cut_lineage(_star_pairs(postings, nodes, rule)), nodes)
+    tried = cut_lineage(_star_pairs(postings, nodes, rule))
+    links = _verified(given, "text", rule, seed, tried, nodes)
     groups = cut_lineage(components(links, "a_fp", "b_fp"))
-    rest = cut_lineage(_remaining_pairs(postings, nodes, groups, rule))
+    rest = cut_lineage(_remaining_pairs(postings, nodes, groups, tried, rule))
     if not rest.isEmpty():
-        more = _verified(docs, text, rule, seed, rest, nodes)
+        more = _verified(given, "text", rule, seed, rest, nodes)
         if not more.isEmpty():
             groups = cut_lineage(components(links.unionByName(more), "a_fp", "b_fp"))
-    named = nodes.select("fp", "least").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    known = nodes.select("fp", "least").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
-    names = named.groupBy("component").agg(F.min("least").alias("name"))
-    labels = cut_lineage(named.join(names, "component").select("fp", "name"))
+    names = known.groupBy("component").agg(F.min("least").alias("name"))
+    labels = cut_lineage(known.join(names, "component").select("fp", "name"))
     return rows.join(labels, "fp", "left").select(
-        key, F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col(key)).otherwise(F.coalesce("name", key)).alias("component_id"),
+        F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("key")).otherwise(F.coalesce("name", "key")).alias("component_id"),
     )
 
 
@@ -472,13 +509,13 @@ def one_of_each(
 
     Rows, not keys, stay or go: other rows under the key of a row that goes are not touched.
     Of rows of one key the text's digest decides, and of rows that repeat key and text the
-    least. Rows without words have no links and all stay. All columns stay.
+    least (as JSON where a column has no order). Rows without words have no links and all stay. All columns stay.
     """
     names = docs.columns
     known = F.struct(  # equal rows of it have equal texts, thus one component
-        F.col(key).isNull().alias("none"), F.col(key).alias("id"),
-        F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"))
-    found = linked_documents(docs.select(known.alias("known"), F.col(text).alias("text")), "known", "text", words, num, den)
+        named(key).isNull().alias("none"), named(key).alias("id"),
+        F.unhex(F.sha2(F.coalesce(named(text), F.lit("")), 256)).alias("digest"))
+    found = linked_documents(docs.select(known.alias("known"), named(text).alias("text")), "known", "text", words, num, den)
     linked = found.filter("n_shingles > 0").groupBy("known").agg(
         F.first("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
     rest = cut_lineage(linked.select("known", (F.col("known") == F.col("first")).alias("kept"), "n").filter("NOT kept OR n > 1"))
@@ -492,6 +529,6 @@ def one_of_each(
     out = met(rest, "left_anti").select("row")
     again = rest.filter("kept")
     if not again.isEmpty():
-        out = out.unionByName(met(again, "left_semi").groupBy("known").agg(F.min("row").alias("row")).select("row"))
+        out = out.unionByName(met(again, "left_semi").groupBy("known").agg(one_row("row", docs)).select("row"))
     spare = "_" * (max(map(len, names)) + 1)  # helper names that cannot clash
     return out.select(*[F.col(f"row.`{c}`").alias(f"{spare}{i}") for i, c in enumerate(names)]).toDF(*names)
