@@ -5,7 +5,8 @@ its bytes (or at another weighted quantile, if its number of leaves is odd) unti
 node is one leaf. Medians are found by all tasks together: histograms of at most BUCKETS
 buckets a node are aggregated and the bucket that holds the median is divided again. Rows
 never move for it. Where many rows share a coordinate, the hash of their text and then of
-their key carries on, so a hot value, or a hot text, is cut inside.
+their key carries on, and then a number of the row, so a hot value, a hot text and even a row
+that is repeated very often are cut inside.
 """
 
 from __future__ import annotations
@@ -44,23 +45,28 @@ def coordinate(docs: DataFrame, name: str) -> Column:
 
 
 def _value() -> Column:
-    return F.when(F.col("stage") == 0, F.col("c")[F.col("dim")]).when(F.col("stage") == 1, F.col("h")).otherwise(F.col("i"))
+    first = F.when(F.col("stage") == 0, F.col("c")[F.col("dim")]).when(F.col("stage") == 1, F.col("h"))
+    return first.when(F.col("stage") == 2, F.col("i")).otherwise(F.col("tag"))
 
 
 def _inside() -> Column:
     """Rows that share all coordinates that the search has already fixed."""
     return ((F.col("stage") < 1) | (F.col("c")[F.col("dim")] == F.col("c_at"))) & (
-        (F.col("stage") < 2) | (F.col("h") == F.col("h_at")))
+        (F.col("stage") < 2) | (F.col("h") == F.col("h_at"))) & ((F.col("stage") < 3) | (F.col("i") == F.col("i_at")))
 
 
 def _left() -> Column:
-    c, h, i = F.col("c")[F.col("dim")], F.col("h"), F.col("i")
-    edge, c_at, h_at = F.col("edge"), F.col("c_at"), F.col("h_at")
-    return (
-        F.when(F.col("stage") == 0, c < edge)
-        .when(F.col("stage") == 1, (c < c_at) | ((c == c_at) & (h < edge)))
-        .otherwise((c < c_at) | ((c == c_at) & ((h < h_at) | ((h == h_at) & (i < edge)))))
-    )
+    stage, edge = F.col("stage"), F.col("edge")
+    places = [(F.col("c")[F.col("dim")], "c_at"), (F.col("h"), "h_at"), (F.col("i"), "i_at"), (F.col("tag"), None)]
+
+    def before(depth: int, last: int) -> Column:
+        """Whether a row comes before the edge, which stands for the coordinate of stage ``last``."""
+        value, at = places[depth]
+        if depth == last:
+            return value < edge
+        return (value < F.col(at)) | ((value == F.col(at)) & before(depth + 1, last))
+
+    return F.when(stage == 0, before(0, 0)).when(stage == 1, before(0, 1)).when(stage == 2, before(0, 2)).otherwise(before(0, 3))
 
 
 def _begin(rows: DataFrame, nodes: DataFrame, dims: int, ranges: Sequence[int]) -> DataFrame:
@@ -80,7 +86,7 @@ def _begin(rows: DataFrame, nodes: DataFrame, dims: int, ranges: Sequence[int])
         (F.col("bytes") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("need"),
         (F.col("bytes") / F.col("leaves") * SLACK).alias("slack"),
         F.lit(None).cast("bigint").alias("c_at"), F.lit(None).cast("bigint").alias("h_at"),
-        F.lit(None).cast("bigint").alias("edge"),
+        F.lit(None).cast("bigint").alias("i_at"), F.lit(None).cast("bigint").alias("edge"),
     )
 
 
@@ -104,7 +110,7 @@ def _narrow(rows: DataFrame, state: DataFrame) -> DataFrame:
     at = state.join(hit, "node")
     need = F.col("need") - F.col("b.sum") + F.col("b.w")
     one = F.col("b.v0") == F.col("b.v1")
-    done = (F.col("b.w") <= F.col("slack")) | (F.col("b.n") == 1) | (one & (F.col("stage") == 2))
+    done = (F.col("b.w") <= F.col("slack")) | (F.col("b.n") == 1) | (one & (F.col("stage") == 3))
     deeper = one & ~done
     moved = at.select(
         "node", "leaves", "dim", (F.col("stage") + deeper.cast("int")).alias("stage"),
@@ -113,6 +119,7 @@ def _narrow(rows: DataFrame, state: DataFrame) -> DataFrame:
         need.alias("need"), "slack",
         F.when(deeper & (F.col("stage") == 0), F.col("b.v0")).otherwise(F.col("c_at")).alias("c_at"),
         F.when(deeper & (F.col("stage") == 1), F.col("b.v0")).otherwise(F.col("h_at")).alias("h_at"),
+        F.when(deeper & (F.col("stage") == 2), F.col("b.v0")).otherwise(F.col("i_at")).alias("i_at"),
         F.when(done, F.when(need < F.col("b.w") / 2, F.col("b.v0")).otherwise(F.col("b.v1") + 1)).alias("edge"),
     )
     return state.filter("edge IS NOT NULL").unionByName(moved)
@@ -134,8 +141,8 @@ def kd_shards(
     together unless they weigh more than that; such a group is cut by key.
 
     Null texts have size 1 and count as empty; null metadata and null keys come first. Rows
-    that repeat key, text and metadata cannot be told apart and stay together. An empty
-    table gives an empty result. Slots count from 0 within a shard, without gaps.
+    that repeat key, text and metadata are cut like any others; which of them goes where is
+    of no account. An empty table gives an empty result. Slots count from 0 within a shard, without gaps.
     """
     held = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = (F.octet_length(held) + 1).cast("bigint")
@@ -144,6 +151,7 @@ def kd_shards(
         F.col(f"`{key}`").alias("key"), size.alias("size"), F.crc32(held.cast("binary")).alias("crc"),
         F.array(*axes).alias("c"), _hash62(held).alias("h"), _hash62(F.col(f"`{key}`")).alias("i"),
         F.lit(1).cast("bigint").alias("node"), F.lit(0).alias("first"),
+        F.monotonically_increasing_id().alias("tag"),
     ))
     n = len(axes)
     facts = rows.agg(
@@ -160,7 +168,7 @@ def kd_shards(
             break
         while not state.filter("edge IS NULL").isEmpty():
             state = cut_lineage(_narrow(placed, state))
-        cuts = state.select("node", "leaves", "dim", "stage", "c_at", "h_at", "edge")
+        cuts = state.select("node", "leaves", "dim", "stage", "c_at", "h_at", "i_at", "edge")
         half = F.floor(F.col("leaves") / 2).cast("int")
         split = placed.join(F.broadcast(cuts), "node", "left").withColumn("left", F.coalesce(_left(), F.lit(True)))
         placed = cut_lineage(split.select(
@@ -182,10 +190,10 @@ def numbered(rows: DataFrame, count: int, shards: int, rows_per_piece: int = ROW
     """Adds ``slot``: pieces of a shard are numbered by tasks of their own, behind the counts
     of the pieces before."""
     pieces = max(1, -(-count // (shards * rows_per_piece)))
-    dealt = rows.withColumn("piece", F.pmod(F.col("i"), F.lit(pieces)).cast("int"))
+    dealt = rows.withColumn("piece", F.pmod(F.xxhash64("i", "tag"), F.lit(pieces)).cast("int"))
     counts = dealt.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("shard", "piece").orderBy("i", "h", "key")
+    order = Window.partitionBy("shard", "piece").orderBy("i", "h", "key", "tag")
     inner = dealt.withColumn("place", F.row_number().over(order).cast("bigint") - 1)
     return inner.join(starts, ["shard", "piece"]).withColumn("slot", F.col("start") + F.col("place"))
