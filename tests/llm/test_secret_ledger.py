@@ -95,3 +95,30 @@ def test_empty_table(spark, versions):
     found, ledger = S.scan_versions(versions.limit(0))
     assert found.count() == 0 and ledger.count() == 0
     assert S.masked(versions.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    ", "\n\t", "\\n"])
+def test_long_keys_leave_nothing_behind(spark, gap):
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("QWERTYuiopasdfghJKLzxcvbnm0123456789+/") for _ in range(64)) for _ in range(500)]
+    begin, end = "-----BEGIN EC PRIVATE KEY-----", "-----END EC PRIVATE KEY-----"
+    body = gap.join(lines)
+    texts = [f"a {begin}{gap}{body}{gap}{end} b. c", f"a {begin}{gap}{body}. b c",
+             f"a {begin}\n" + "\n- ".join(lines) + f"\n{end} b. c", f"a {begin}{gap}{gap.join(lines * 60)}{gap}{end} b. c"]
+    got = S.masked(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r.text for r in sorted(got)] == ["a [pem] b. c", "a [pem]. b c", "a [pem] b. c", "a [pem] b. c"]
+
+
+def test_both_forms_of_the_rule_find_the_same(spark):
+    import duckdb
+
+    rng = random.Random(10)
+    bits = ["-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN X-----", "-", "--", "-----", "A" * 20, "b" * 15, "\n",
+            "\n    ", " ", "c=", ".", "Proc-Type: 4"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    rule = S.MORE_RULES[0]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"regexp_extract_all(t, r'{rule.pattern}', 0) AS m").collect()
+    con = duckdb.connect()
+    for r in rows:
+        assert r.m == con.execute("SELECT regexp_extract_all(?, ?)", [r.t, rule.plain]).fetchone()[0], r.t
+    assert sum(len(r.m) for r in rows) > 2000

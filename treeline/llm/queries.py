@@ -56,7 +56,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _secret_sql() -> str:
     """Gaps before and lengths of the matches of each rule give the positions."""
     def rule(i: int, r: secret_ledger.Rule) -> str:
-        p = r.pattern.replace("'", "''")
+        p = (r.plain or r.pattern).replace("'", "''")
         value = f"regexp_extract(m, '{p}', {r.value})" if r.value else "m"
         return f"""SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, m, length({value}) >= {r.least} AS counts, j,
       list_sum(list_transform(gaps[:j], lambda x: length(x))) + list_sum(list_transform(ms[:j], lambda x: length(x))) AS stop

@@ -27,6 +27,8 @@ class Rule:
     least: int = 1
     value: int = 0
     version: int = 1
+    #: The same matches for engines without possessive quantifiers.
+    plain: str | None = None
 
     @property
     def key(self) -> str:
@@ -41,14 +43,19 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: From BEGIN to the END that no other such line parts from it (headers of encrypted keys hold
-#: single dashes). Without one: all base64 and line ends, also escaped, and lines set in.
-_PEM = (
-    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,60}-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
-    r"|[A-Za-z0-9+/=\\\r\n]*(?:[\x20\t]+[A-Za-z0-9+/=\\]{16,}[A-Za-z0-9+/=\\\r\n]*){0,60})"
-)
+def _pem(only: str) -> str:
+    """From BEGIN to the END that no other such line parts from it (headers of encrypted keys
+    hold single dashes), however long that is. Without one: all base64 and line ends, also escaped,
+    and lines set in. ``only`` makes quantifiers possessive, so that nothing is kept to go back to."""
+    key = "[A-Z0-9 ]{0,40}PRIVATE KEY-----"
+    return (
+        rf"-----BEGIN {key}(?:[^-]*{only}(?:-{{1,4}}{only}[^-]+{only})*{only}-----END {key}"
+        rf"|[A-Za-z0-9+/=\\\r\n]*{only}(?:[\x20\t]+{only}[A-Za-z0-9+/=\\]{{16,}}{only}[A-Za-z0-9+/=\\\r\n]*{only})*{only})"
+    )
+
+
 MORE_RULES = (
-    Rule("pem", _PEM, version=2),
+    Rule("pem", _pem("+"), version=3, plain=_pem("")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES
