@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.fitting import bounded_sample, fitted
+from treeline.llm.fitting import bounded_sample, fitted, whole_within
+from treeline.llm.tokens import named
 
-#: Documents, and characters of each, that the class of none is learned from at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 6000
+#: Documents, and bytes of their whole texts, that the class of none is learned from at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 20
 EXAMPLES = 60  # changed copies of each notice
 EPOCHS = 120
 HALF = 32  # a window is two halves of so many words
@@ -34,7 +35,7 @@ LINES = (2, 3, 4, 6)  # windows across line ends hold so many lines, or two halv
 CONFIRMED = 0.7
 NONE = "none"
 
-# Notices by which texts are put under a licence, by family.
+# Notices by which texts are put under a licence, by family.
 NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -431,11 +432,12 @@ def paragraphs(text: str) -> list[str]:
     return text.split("\n") + [" ".join(words[i : i + 2 * HALF]) for i in range(0, len(words), 2 * HALF) if "\n" in text.strip()]
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> Model:
     """A model whose class of none comes from the paragraphs of at most ``sample`` documents,
-    chosen by a hash of key and text, and at most ``chars`` characters of each."""
-    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).filter("length(t) > 0")
-    return fitted(bounded_sample(rows, sample, "k", "t").select("t"), lambda found: fit([p for (t,) in found for p in paragraphs(t)]))
+    chosen by a hash of key and text, as far as their whole texts have ``most`` bytes in all."""
+    rows = docs.select(named(key).alias("k"), named(text).alias("t")).filter("length(t) > 0")
+    found = whole_within(bounded_sample(rows, sample, "k", "t"), most, F.octet_length("t"), "k", "t")
+    return fitted(found.select("t"), lambda some: fit([p for (t,) in some for p in paragraphs(t)]))
 
 
 FINDING = T.StructType([
@@ -466,4 +468,4 @@ def licences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 found = [scan(m, t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=[key, "findings"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(named(key), named(text)).mapInArrow(run, schema)

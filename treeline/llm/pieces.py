@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from treeline.llm.tokens import named
+
 SPACE = "▁"
 #: Entries of each cache; a full cache is emptied.
 CACHED = 1 << 18
@@ -208,7 +210,7 @@ def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", text: st
     empty: the end id alone. An empty table gives an empty result. Only key and text are
     read. ``model`` is a file that every executor has at that path.
     """
-    held = docs.select(key, text)
+    held = docs.select(named(key), named(text))
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType),
         T.StructField("ids", T.ArrayType(T.IntegerType(), False)),

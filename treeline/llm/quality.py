@@ -18,15 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.fitting import bounded_sample, fitted
+from treeline.llm.fitting import bounded_sample, fitted, whole_within
+from treeline.llm.tokens import named
 
 BLOCK, BLOCKS = 8, 4  # bytes of a step, steps of a chunk
 WIDTH, FILTERS, HIDDEN = 8, 32, 16
 _NONE = 512  # the symbol behind the end of a text
 _LAGS = range(3, 25)
-#: The fit reads at most so many labelled rows of each class, and at most so many characters
-#: of each, from a place that depends on its hash.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000
+#: The fit reads at most so many labelled rows of each class, whole, and of both classes
+#: together at most so many bytes, but for one row.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 12 << 20
 EPOCHS, BATCH = 8, 32
 THRESHOLD = 0.3
 
@@ -173,27 +174,26 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 def held_out(key: str) -> Column:
     """Rows never learned from: the CRC-32 of the key as text is divisible by 5."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(named(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-    rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, epochs: int = EPOCHS,
+    rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES, epochs: int = EPOCHS,
 ) -> Weights:
     """Weights fitted on at most ``rows`` labelled rows of each class that are not held out,
-    chosen by a hash of the key, and at most ``chars`` characters of each. Labels other than 0 and 1, and null keys, are not used; without labels the
-    weights stay as drawn."""
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
+    chosen by a hash of the key, as far as their whole texts have ``most`` bytes in all. Labels
+    other than 0 and 1, and null keys, are not used; without labels the weights stay as drawn."""
+    known = labels.select(named(key).alias("k"), named(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     known = known.filter(~held_out("k")).dropDuplicates(["k"])
-    present = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+    present = docs.select(named(key).alias("k"), F.coalesce(named(text), F.lit("")).alias("t"))
     chosen = None
     for y in (0, 1):
         part = bounded_sample(known.filter(F.col("y") == y), rows, "k")
         chosen = part if chosen is None else chosen.unionByName(part)
-    place = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int") + 1
-    found = present.join(F.broadcast(chosen), "k").select("k", F.substring("t", place, F.lit(chars)).alias("t"), "y")
+    found = present.join(F.broadcast(chosen), "k").select(F.col("k").cast("string").alias("k"), "t", "y").dropDuplicates(["k"])
     return fitted(
-        found.dropDuplicates(["k"]).select(F.col("k").cast("string"), "t", "y"),
+        whole_within(found, most, F.octet_length("t") + 1, "k"),
         lambda rows: fit([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows]), epochs),
     )
 
@@ -217,7 +217,7 @@ def scored(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "
                 found = scores(w, texts).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(named(key), named(text)).mapInArrow(run, schema)
 
 
 def kept(docs: DataFrame, weights: Weights, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
