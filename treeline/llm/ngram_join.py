@@ -33,7 +33,6 @@ from treeline.llm.exact_dedup import one_row
 from treeline.llm.tokens import named
 from treeline.operators.components import components
 from treeline.session import cut_lineage
-from treeline.skew import skew_join
 
 #: Buckets of the corpus-wide counts, of n-grams and of words: 2 MB each are sent to the
 #: tasks, however large the corpus is.
@@ -366,14 +365,20 @@ def _verified(docs: DataFrame, text: str, rule: Rule, seed: int, pairs: DataFram
     """The pairs (a_fp, b_fp) that are linked; each is compared once."""
     spark = docs.sparkSession
     ends = pairs.select(F.posexplode(F.array("a_fp", "b_fp")).alias("side", "fp")).groupBy("fp").agg(F.sum("side").alias("pairs"))
+    ends = cut_lineage(ends)
     wanted = spark.sparkContext.broadcast(_wanted(nodes.join(ends, "fp", "left_semi").select("whole")))
     held = cut_lineage(_sets(docs, text, rule, seed, wanted))
     wanted.unpersist()
     # equal sets of several tasks go before anything is joined
-    sets = held.join(ends, "fp").dropDuplicates(["fp"])
-    left = pairs.join(sets.select(F.col("fp").alias("a_fp"), F.col("grams").alias("ga")), "a_fp")
-    right = sets.select(F.col("fp").alias("b_fp"), F.col("grams").alias("gb"), "pairs")
-    both = skew_join(left, right, ["b_fp"], "inner", ["a_fp"], PAIRS_PER_SET, rows_per_key="pairs")
+    sets = held.join(ends.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    left, right, on = pairs, sets.select(F.col("fp").alias("b_fp"), F.col("grams").alias("gb")), ["b_fp"]
+    hot = ends.filter(F.col("pairs") > PAIRS_PER_SET).select(
+        F.col("fp").alias("b_fp"), F.ceil(F.col("pairs") / PAIRS_PER_SET).cast("int").alias("slots"))
+    if not hot.isEmpty():  # a centre of very many pairs is copied for several tasks
+        slots, on = F.coalesce("slots", F.lit(1)), ["b_fp", "slot"]
+        left = left.join(hot, "b_fp", "left").withColumn("slot", F.pmod(F.xxhash64("a_fp"), slots).cast("int")).drop("slots")
+        right = right.join(hot, "b_fp", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("slots")
+    both = left.join(sets.select(F.col("fp").alias("a_fp"), F.col("grams").alias("ga")), "a_fp").join(right, on)
     both = both.withColumn("common", F.size(F.array_intersect("ga", "gb")))
     union = F.size("ga") + F.size("gb") - F.col("common")
     linked = both.filter(F.col("common").cast("bigint") * rule.den >= union.cast("bigint") * rule.num)
