@@ -43,7 +43,8 @@ PARITY = 8
 GRID = 20_000
 #: Pairs with one set that a task verifies; more are spread.
 PAIRS_PER_SET = 5_000
-#: Bits by which the third pass over the texts skips sets that no pair needs.
+#: Bits by which the later passes over the texts skip n-grams that only one set has, and
+#: sets that no pair needs.
 WANTED_BITS = 1 << 26
 #: Sets a task remembers so as to post equal ones once.
 _REMEMBERED = 200_000
@@ -255,12 +256,13 @@ def _rare_first(each: np.ndarray, rule: Rule, levels: tuple[np.ndarray, np.ndarr
     return h[np.lexsort((h, often, levels[0][_bucket(h)]))]
 
 
-def _postings(docs: DataFrame, rule: Rule, seed: int, levels) -> DataFrame:
-    """(gram, fp, n, at, tail) of each prefix n-gram. Equal sets are posted once per task."""
+def _postings(docs: DataFrame, rule: Rule, seed: int, levels, shared=None) -> DataFrame:
+    """(gram, fp, n, at, tail) of each prefix n-gram, as far as the bits of ``shared`` have it.
+    Equal sets are posted once per task."""
     names = ["gram", "fp", "n", "at", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = levels.value, set()
+        known, seen, bits = levels.value, set(), shared.value if shared else None
         for batch in batches:
             out: list[tuple] = []
             for t in _texts(batch, 0):
@@ -272,16 +274,20 @@ def _postings(docs: DataFrame, rule: Rule, seed: int, levels) -> DataFrame:
                 each = word_hashes(t, seed)
                 if len(each):
                     grams = _rare_first(each, rule, known)
-                    size = rule.prefix(len(grams))
-                    out.append((grams[:size], _print_of(grams)[0], len(grams), _tails(grams)[:size]))
+                    at = np.arange(rule.prefix(len(grams)), dtype=np.int32)
+                    if bits is not None:
+                        place = (grams[: len(at)] & np.uint64(WANTED_BITS - 1)).astype(np.int64)
+                        at = at[bits[place >> 6] >> (place & 63) & 1 == 1]
+                    if len(at):
+                        out.append((grams[at], _print_of(grams)[0], len(grams), _tails(grams)[at], at))
             if out:
                 sizes = [len(g) for g, *_ in out]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([g for g, *_ in out]).view(np.int64)),
-                    pa.array(np.repeat(np.array([f for _, f, _, _ in out], dtype=np.int64), sizes)),
-                    pa.array(np.repeat(np.array([n for _, _, n, _ in out], dtype=np.int32), sizes)),
-                    pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])),
-                    pa.array(np.concatenate([t for *_, t in out]).view(np.int64)),
+                    pa.array(np.repeat(np.array([f for _, f, *_ in out], dtype=np.int64), sizes)),
+                    pa.array(np.repeat(np.array([n for _, _, n, *_ in out], dtype=np.int32), sizes)),
+                    pa.array(np.concatenate([at for *_, at in out])),
+                    pa.array(np.concatenate([t for *_, t, _ in out]).view(np.int64)),
                 ], names=names)
 
     return docs.select("text").mapInArrow(run, "gram bigint, fp bigint, n int, at int, tail bigint")
@@ -326,7 +332,7 @@ def _side(nodes: DataFrame, prefix: str) -> DataFrame:
 
 
 def _wanted(hashes: DataFrame) -> np.ndarray:
-    """A bit per hash of the texts that pairs need; WANTED_BITS bits reach the driver."""
+    """A bit per hash in the column ``whole``; WANTED_BITS bits reach the driver."""
     word = F.shiftright(F.col("whole").bitwiseAND(F.lit(WANTED_BITS - 1)), 6)
     bits = F.expr("bit_or(shiftleft(1L, cast(whole & 63 AS int)))")
     words = hashes.groupBy(word.alias("w")).agg(bits.alias("bits")).toPandas()
@@ -485,10 +491,13 @@ def linked_documents(
             break
         seed += 1
     levels = sc.broadcast(_levels(survey))
-    posted = _postings(given, rule, seed, levels)
-    shared = posted.groupBy("gram").agg(F.min("fp").alias("f0"), F.max("fp").alias("f1")).filter("f0 <> f1").select("gram")
-    postings = cut_lineage(posted.join(shared, "gram", "left_semi").distinct())
+    posted = _postings(given, rule, seed, levels).select("gram", "fp")
+    shared = cut_lineage(posted.groupBy("gram").agg(F.min("fp").alias("f0"), F.max("fp").alias("f1")).filter("f0 <> f1").select("gram"))
+    # most n-grams stand in one set only, and need not move again
+    bits = sc.broadcast(_wanted(shared.select(F.col("gram").alias("whole"))))
+    postings = cut_lineage(_postings(given, rule, seed, levels, bits).join(shared, "gram", "left_semi").distinct())
     levels.unpersist()
+    bits.unpersist()
     tried = cut_lineage(_star_pairs(postings, nodes, rule))
     links = _verified(given, "text", rule, seed, tried, nodes)
     groups = cut_lineage(components(links, "a_fp", "b_fp"))
