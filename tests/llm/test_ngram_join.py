@@ -187,3 +187,15 @@ def test_columns_of_any_name_and_kind(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 56, 1), (2, 57, 1), (2, 57, 1), (3, 1, 3)]
     kept = N.one_of_each(frame_.filter("n > 1"), "n", "te.xt")
     assert kept.columns == frame_.columns and sorted((r["n"], str(r.whole)) for r in kept.collect()) == [(2, "{'b': 2}"), (3, "None")]
+
+
+def test_histograms_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rng.integers(1, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64))
+        kept = a[rng.random(len(a)) < rng.choice([0.1, 0.5, 0.95])]
+        b = np.unique(np.concatenate([kept, rng.integers(1, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64)]))
+        least = N._least_difference(N._histogram(a), N._histogram(b))
+        assert least <= len(np.setxor1d(a, b))
+    many = np.unique(rng.integers(1, 1 << 63, 3000, dtype=np.uint64))
+    assert N._least_difference(N._histogram(many), N._histogram(many ^ np.uint64(1 << 40))) > 1500

@@ -7,8 +7,9 @@
    that two similar sets cannot both miss is posted.
 3. Postings meet on prefix n-grams. A pair has to pass the length filter, the positional
    filter and the suffix filter (what stands behind the common n-gram in either set is dealt
-   into parts by hash, and the parts' parities bound the difference from below), and the same
-   with finer parities of the whole sets, before it is verified, once, on both sets.
+   into parts by hash, and the parts' parities bound the difference from below), the same
+   with finer parities of the whole sets, and a comparison of how many elements either set has
+   in each part of a division as fine as the set is large, before it is verified, once, on both sets.
 4. First every node is compared with the best centre of its lists, which joins most of a
    large group without pairing it up. Then all remaining pairs between different groups
    are compared, so no link between groups is lost. Links inside a group are implied.
@@ -146,6 +147,23 @@ def _parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _histogram(grams: np.ndarray) -> bytes:
+    """How many elements a set has in each of about a quarter as many parts; a smaller division
+    is a sum of this one. Nothing where a part has too many."""
+    size = max(64, 1 << (len(grams) // 4).bit_length())
+    counts = np.bincount((grams >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """What two sets with these histograms differ by at least."""
+    size = min(len(a), len(b))
+    if not size:
+        return 0
+    one, other = (np.frombuffer(x, dtype=np.uint8).reshape(-1, size).sum(axis=0, dtype=np.int64) for x in (a, b))
+    return int(np.abs(one - other).sum())
+
+
 def _tails(grams: np.ndarray) -> np.ndarray:
     """For each place of an ordered set the parities, in 64 parts, of what stands behind it."""
     bits = np.uint64(1) << (grams >> np.uint64(9) & np.uint64(63))
@@ -162,7 +180,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 _DOCS = T.StructType([
     T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()),
     *[T.StructField(f"p{i}", T.LongType()) for i in range(PARITY)],
-    T.StructField("whole", T.LongType()), T.StructField("counts", T.BinaryType()),
+    T.StructField("whole", T.LongType()), T.StructField("hist", T.BinaryType()), T.StructField("counts", T.BinaryType()),
 ])
 
 
@@ -180,7 +198,7 @@ def _survey(docs: DataFrame, rule: Rule, seed: int) -> DataFrame:
             for t in _texts(batch, 1):
                 each = word_hashes(t, seed)
                 grams = _distinct(_windows(each, rule.words))
-                rows.append((len(grams), *_print_of(grams), *_parities(grams).tolist(), _hash_of(t)))
+                rows.append((len(grams), *_print_of(grams), *_parities(grams).tolist(), _hash_of(t), _histogram(grams)))
                 grams_held.append(grams)
                 words_held.append(each)
                 size += len(each)
@@ -190,13 +208,13 @@ def _survey(docs: DataFrame, rule: Rule, seed: int) -> DataFrame:
             _add_counts(counts, grams_held, words_held)
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:]],
-                 pa.nulls(len(rows), pa.binary())], names=schema.fieldNames())
+                [batch.column(0), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:-1]],
+                 pa.array(columns[-1], pa.binary()), pa.nulls(len(rows), pa.binary())], names=schema.fieldNames())
         if kind is not None:
             packed = zlib.compress(counts.astype("<i8").tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, kind), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * (3 + PARITY),
-                 pa.array([packed], pa.binary())], names=schema.fieldNames())
+                 pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=schema.fieldNames())
 
     return docs.select("key", "text").mapInArrow(run, schema)
 
@@ -367,6 +385,23 @@ def _sets(docs: DataFrame, text: str, rule: Rule, seed: int, wanted) -> DataFram
     return docs.select(text).mapInArrow(run, "fp bigint, grams array<bigint>")
 
 
+def _close(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that their sets' histograms do not rule out; those are far smaller than the sets."""
+    ends = pairs.select(F.explode(F.array("a_fp", "b_fp")).alias("fp")).distinct()
+    known = rows.select("fp", "n", "hist").join(ends, "fp", "left_semi").dropDuplicates(["fp"])
+    both = pairs.join(known.toDF("a_fp", "a_n", "a_hist"), "a_fp").join(known.toDF("b_fp", "b_n", "b_hist"), "b_fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, na, nb, ha, hb = (c.to_pylist() for c in batch.columns)
+            keep = [_least_difference(x, y) * (rule.num + rule.den) <= (m + n) * (rule.den - rule.num)
+                    for m, n, x, y in zip(na, nb, ha, hb, strict=True)]
+            yield batch.select(["a_fp", "b_fp"]).filter(pa.array(keep, pa.bool_()))
+
+    held = both.select("a_fp", "b_fp", "a_n", "b_n", "a_hist", "b_hist").mapInArrow(run, "a_fp bigint, b_fp bigint")
+    return cut_lineage(held)
+
+
 def _verified(docs: DataFrame, text: str, rule: Rule, seed: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a_fp, b_fp) that are linked; each is compared once."""
     spark = docs.sparkSession
@@ -499,9 +534,9 @@ def linked_documents(
     levels.unpersist()
     bits.unpersist()
     tried = cut_lineage(_star_pairs(postings, nodes, rule))
-    links = _verified(given, "text", rule, seed, tried, nodes)
+    links = _verified(given, "text", rule, seed, _close(tried, rows, rule), nodes)
     groups = cut_lineage(components(links, "a_fp", "b_fp"))
-    rest = cut_lineage(_remaining_pairs(postings, nodes, groups, tried, rule))
+    rest = _close(_remaining_pairs(postings, nodes, groups, tried, rule), rows, rule)
     if not rest.isEmpty():
         more = _verified(given, "text", rule, seed, rest, nodes)
         if not more.isEmpty():
