@@ -87,6 +87,23 @@ def _(spark, sf_dir):
     return vecs.select("vec_id", signatures.average_signature("v").alias("s")).select("vec_id", "s.*")
 
 
+def _product_sql(values: str, first: str, step: int, frequency: str) -> str:
+    return " + ".join(f"{values}[{first} + {step * x} + 1] * cs[({frequency}) * 8 + {x} + 1]" for x in range(8))
+
+
+@query("phash_signatures", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, [" + ", ".join(f"{c!r}::DOUBLE" for c in signatures.COSINES)
+       + f"""] AS cs FROM embeddings),
+  r AS (SELECT vec_id, cs, list_transform(range(0, 64), lambda i: {_product_sql("e", "i // 8 * 8", 1, "i % 8")}) AS t FROM v),
+  c AS (SELECT vec_id, list_transform(range(0, 64), lambda i: {_product_sql("t", "i % 8", 8, "i // 8")}) AS t FROM r),
+  m AS (SELECT vec_id, t, (list_sort(t)[32] + list_sort(t)[33]) / 2 AS median FROM c)
+  SELECT vec_id, """ + ", ".join(
+    f"list_sum(list_transform(range(1, 17), lambda i: CASE WHEN t[{16 * n} + i] > median THEN 1 << (i - 1) ELSE 0 END))::BIGINT AS s{n}"
+    for n in range(4)) + " FROM m")
+def _(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return vecs.select("vec_id", signatures.frequency_signature("v").alias("s")).select("vec_id", "s.*")
+
+
 _TEXT_SQL = """words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS w FROM documents),
 named AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM words),
 sh AS (SELECT DISTINCT doc_id, copies, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s

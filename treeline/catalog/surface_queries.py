@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from treeline.catalog.data import FILES_SQL, files, query, table
@@ -10,12 +12,13 @@ from treeline.catalog.tree_queries import _EMPTY_SQL
 from treeline.catalog import data
 from treeline.functions import labels
 from treeline.operators import audit
-from treeline.plans.registry import builtin_registry
+from treeline.plans.registry import builtin_registry, expose
 from treeline.plans.workflow import run_workflow, validate_workflows
 from treeline.schema import OPERATION_RESULT
 from treeline.session import scratch
 from treeline.skew import skew_join
 from treeline.sources import listing, tables
+from treeline.sources.chunks import mounted, read_files, whole_digests
 
 _ALGS = ("md5", "sha1", "sha256", "sha512", "blake2b", "xxhash64", "crc32", "md4", "")
 _CONFIGS_SQL = f"""configs AS (SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'ownership' ELSE 'cleanup' END AS operation_type,
@@ -223,9 +226,7 @@ def _(spark, sf_dir):
     UNION ALL SELECT DISTINCT lang, '', true, NULL FROM documents UNION ALL SELECT DISTINCT lang, source, true, NULL FROM documents
     UNION ALL SELECT lang, source, false, sum(strlen(text) + 1) FROM documents GROUP BY 1, 2)""")
 def _(spark, sf_dir):
-    folder = _written(spark, sf_dir)
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-    found = listing.scan_tree(spark, ["/" + local.lstrip("/")])
+    found = listing.scan_tree(spark, [mounted(_written(spark, sf_dir))])
     # checksum and success files of the writer are hidden or marked by '_'
     seen = found.filter(~F.col("name").rlike("^[._]"))
     return seen.groupBy(
@@ -237,13 +238,72 @@ def _(spark, sf_dir):
 @query("hash_files", """SELECT lang, source, sum(strlen(text) + 1)::BIGINT AS bytes, true AS hashed FROM documents GROUP BY 1, 2""")
 def _(spark, sf_dir):
     folder = _written(spark, sf_dir)
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-    inv = listing.scan_tree(spark, ["/" + local.lstrip("/")]).filter("NOT is_dir AND name LIKE '%.txt'")
+    inv = listing.scan_tree(spark, [mounted(folder)]).filter("NOT is_dir AND name LIKE '%.txt'")
     hashed = listing.hash_files(inv.select("path", "size"), "sha256", chunk_size=4096)
     # every file read in chunks has the digest of its whole content
     content = listing.scan_content(spark, folder, "*.txt").select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("whole")
+        "path", F.sha2("content", 256).alias("whole")
     )
     return hashed.join(content, "path").groupBy(
         F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), F.regexp_extract("path", "source=([^/]*)", 1).alias("source")
     ).agg(F.sum("size").alias("bytes"), F.bool_and(F.col("hash") == F.col("whole")).alias("hashed"))
+
+
+def _odd_files(spark, sf_dir):
+    """Every document as a file of a folder that all executors share; a third of the names is hidden."""
+    folder = mounted(scratch(spark, "odd"))
+
+    def write(batches):
+        for rows in batches:
+            for name, text in zip(rows["name"], rows["text"]):
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(text.encode())
+            yield rows[["name"]]
+
+    names = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("f"), "doc_id")).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit(".env"), "doc_id")).otherwise(F.concat(F.lit("_build/x"), "doc_id"))
+    docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("/"), names).alias("name"), "text")
+    docs.mapInPandas(write, "name string").count()
+    return folder
+
+
+@query("read_files", """SELECT lang || '/' || source || '/' || CASE doc_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN '.env' ELSE '_build/x' END || doc_id AS name,
+    strlen(text) AS size, greatest(1, ceil(strlen(text) / 1000))::BIGINT AS chunks, sha256(text) AS hash FROM documents""")
+def _(spark, sf_dir):
+    folder = _odd_files(spark, sf_dir)
+    chunks = read_files(spark, [folder], chunk_bytes=1000, partition_bytes=1 << 20)
+    found = whole_digests(chunks, "sha256")
+    return found.select(F.expr(f"substring(path, {len(folder) + 2})").alias("name"), "size", "chunks", "hash")
+
+
+@query("read_files_filtered", """SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents
+  WHERE doc_id % 3 = 1 AND strlen(text) > 2000""")
+def _(spark, sf_dir):
+    chunks = read_files(spark, [_odd_files(spark, sf_dir)], chunk_bytes=4096, partition_bytes=1 << 20)
+    some = chunks.filter(F.col("name").startswith(".env") & (F.col("size") > 2000))
+    return some.agg(F.count_if(F.col("chunk") == 0).alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+class _NameParts:
+    """A plug-in: the parts of a file's name, one row each."""
+
+    name, version, schema = "name_parts", "1", "path string, part string, place int, bytes bigint"
+
+    def validate(self, least=1):
+        if least < 1:
+            raise ValueError("least has to be 1 or more")
+
+    def rows(self, row, least=1):
+        parts = [p for p in row["path"].strip("/").replace(".", "/").split("/") if len(p) >= least]
+        for i, part in enumerate(parts):
+            yield row["path"], part, i, row["size"]
+
+
+@query("plugin_in_sql", f"""WITH {FILES_SQL} SELECT part, count(*) AS files, sum(size)::BIGINT AS bytes FROM (
+    SELECT size, unnest(list_filter(string_split(replace(path[2:], '.', '/'), '/'), lambda p: length(p) >= 2)) AS part FROM inv) GROUP BY part""")
+def _(spark, sf_dir):
+    expose(spark, _NameParts(), least=2)
+    files(spark, sf_dir).select("path", "size").createOrReplaceTempView("plugin_files")
+    return spark.sql("SELECT part, count(*) AS files, sum(bytes) AS bytes FROM name_parts(TABLE(plugin_files)) GROUP BY part")

@@ -11,7 +11,7 @@ from treeline.catalog.data import (INCREMENTS_SQL, KIND_SQL, ORDER, SAMPLES_SQL,
 from treeline.functions import labels
 from treeline.operators import telemetry
 from treeline.session import scratch
-from treeline.streaming import progress
+from treeline.streaming import keyed, progress
 
 _SPEED_SQL = SAMPLES_SQL + """, firsts AS (SELECT *, first(us) OVER w AS us0, first(items) OVER w AS items0 FROM samples
   WINDOW w AS (PARTITION BY id ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
@@ -248,16 +248,17 @@ def _(spark, sf_dir):
 
 
 def _late_stream(spark, sf_dir):
-    """The events in four files of a quarter of the time each, one per micro-batch. Every
-    seventh event is in the file after its own, so it comes late."""
+    """The events in four lots of a quarter of the time each, one per micro-batch. Every
+    seventh event is in the lot after its own, so it comes late."""
     events = table(spark, sf_dir, "events")
     first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     own = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1))
     folder = scratch(spark, "late")
     parts = events.withColumn("_file", F.least(own + (F.col("event_id") % 7 == 0).cast("int"), F.lit(3)))
+    files = events.rdd.getNumPartitions()  # dealt in turn, so none is empty
     for number in range(4):  # in the order in which the stream is to see them
-        parts.filter(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(folder)
-    raw = progress.read_stream(spark, folder, events.schema, "*.parquet", files_per_trigger=1)
+        parts.filter(F.col("_file") == number).drop("_file").repartition(files).write.mode("append").parquet(folder)
+    raw = progress.read_stream(spark, folder, events.schema, "*.parquet", files_per_trigger=files)
     return raw.select(F.col("user_id").alias("id"), "ts", "event_id", "event_type", kind_column().alias("kind"))
 
 
@@ -274,6 +275,45 @@ def _(spark, sf_dir):
     return out.select("id", F.unix_micros("end_time").alias("end_us"), "kind")
 
 
+# Operations of one user and day, each with events in any of the four lots.
+_DAY_FOLD_SQL = _FOLD_SQL.replace("SELECT user_id AS id, event_id", "SELECT user_id || '-' || strftime(ts, '%j') AS id, event_id").replace(
+    "PARTITION BY user_id", "PARTITION BY user_id, strftime(ts, '%j')")
+_LATE_MS_SQL = """(SELECT epoch_us(max(ts)) // 1000 - (epoch_us(max(ts)) - epoch_us(min(ts))) // 2000000 * 1000 FROM events)"""
+
+
+def _lateness(spark, sf_dir):
+    span = table(spark, sf_dir, "events").agg(F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))).first()[0]
+    return f"{span // 2_000_000} seconds"
+
+
+@query("stream_lifecycle_retained", _DAY_FOLD_SQL + f""" SELECT id, status, events, CASE WHEN status IN ('completed', 'failed') THEN end_us END AS end_us,
+    coalesce(status IN ('completed', 'failed') AND end_us // 1000 + 86400000 < {_LATE_MS_SQL}, false) AS evicted FROM ops""")
+def _(spark, sf_dir):
+    """State of finished operations leaves; the last update of each is what a batch would say."""
+    events = _late_stream(spark, sf_dir).withColumn("id", F.concat("id", F.lit("-"), F.date_format("ts", "DDD")))
+    status = keyed.retained_status(events, timedelta(days=1), _lateness(spark, sf_dir), ORDER)
+    updates = progress.run_available(status, "update", "retained")
+    return progress.last_update(updates, ["id"])
+
+
+_SIX_HOURS = 6 * 3600 * 1_000_000
+
+
+@query("stream_report_all", f"""WITH ev AS (SELECT user_id AS id, epoch_us(ts) AS us, arg_max(event_type, event_id) AS kind, count(*) AS n FROM events GROUP BY 1, 2),
+  ids AS (SELECT id, min(us) AS first_us FROM ev GROUP BY id),
+  ticks AS (SELECT unnest(generate_series((SELECT min(us) // {_SIX_HOURS} * {_SIX_HOURS} + {_SIX_HOURS} FROM ev), (SELECT max(us) FROM ev), {_SIX_HOURS})) AS tick),
+  grid AS (SELECT id, tick FROM ids JOIN ticks ON tick > first_us WHERE tick // 1000 < {_LATE_MS_SQL}),
+  met AS (SELECT g.id, g.tick, e.us, e.kind FROM grid g ASOF JOIN ev e ON g.id = e.id AND g.tick > e.us)
+  SELECT tick - {_SIX_HOURS} AS window_us, id, coalesce((SELECT sum(n) FROM ev WHERE ev.id = met.id AND ev.us >= tick - {_SIX_HOURS} AND ev.us < tick), 0)::BIGINT AS samples,
+    us AS last_us FROM met WHERE kind IN ('signup', 'click')""")
+def _(spark, sf_dir):
+    """Every running operation in every interval, silent ones too, with late samples."""
+    running = F.when(F.col("kind").isin("start", "resume"), "running").otherwise("idle")
+    stream = _late_stream(spark, sf_dir).select("id", "ts", "event_id", running.alias("status"))
+    report = keyed.running_report(stream, timedelta(hours=6), _lateness(spark, sf_dir), ORDER)
+    return progress.run_available(report, "append", "report-all").drop("batch")
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id AS id, event_type FROM events")
 def _(spark, sf_dir):
     # several micro-batches, with watermarks between them
@@ -295,8 +335,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     base = scratch(spark, "subscribers")
 
-    def keep(name):
-        return lambda rows: rows.select("event_id").write.mode("append").parquet(f"{base}/{name}")
+    def keep(name):  # by the batch's number, over what an attempt before has left
+        return lambda rows, number: rows.select("event_id").write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
 
     run = progress.subscribe(_stream(spark, sf_dir), {"*": keep("every"), 8: keep("one")}, f"{base}/state")
     run.awaitTermination()

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeline.functions.columns import as_col
 from treeline.functions.hashing import digest, fast_hash
 from treeline.functions.rules import path_allowed, size_between
 from treeline.session import cut_lineage
@@ -77,31 +78,53 @@ def duplicate_groups(hashed: DataFrame, algorithm: str = "blake2b") -> DataFrame
     )
 
 
+#: Places of the table that lets a scan skip rows; a byte each goes to every task.
+_PLACES = 1 << 18
+
+
+def maybe_among(keys: DataFrame, column: str) -> Column:
+    """Whether a row's ``column`` may be in ``keys``: false for most others, while these are
+    few against a table of fixed size, and never false for one of them."""
+    place = F.pmod(F.xxhash64(column), F.lit(_PLACES)).cast("int")
+    table = bytearray(_PLACES)
+    for row in keys.select(place.alias("place")).distinct().collect():  # at most _PLACES rows
+        table[row.place] = 1
+    return F.substr(F.lit(bytes(table)), place + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def chunk_digests(content: Column | str, chunk_bytes: int) -> Column:
+    """The SHA-256 of each chunk of a content, in order; an empty content is one empty chunk."""
+    data = as_col(content).cast("binary")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(data) - 1, F.lit(0)), F.lit(chunk_bytes))
+    return F.transform(starts, lambda at: F.unhex(F.sha2(F.substr(data, at + 1, F.lit(chunk_bytes)), 256)))
+
+
+def chunk_root(digests: Column | str) -> Column:
+    """One digest for a file from those of its chunks."""
+    joined = F.array_join(F.transform(as_col(digests), lambda d: F.hex(d)), "")
+    return F.sha2(joined, 256)
+
+
 def staged_duplicates(
     files: DataFrame, algorithm: str = "blake2b", content: str = "content", exclude: Iterable[str] = (),
     min_size: int = 0, max_size: int = 0, limit: int = ROWS_PER_TASK,
 ) -> tuple[DataFrame, DataFrame]:
     """(groups, members) of files with a content column, after the filters, in stages.
 
-    Only files whose size repeats go on. Of those the scan computes two digests in the JVM,
-    and (path, size, digests) alone are grouped; contents are not shuffled, except one of
-    each group, whose ``algorithm`` digest names it.
+    Only files whose size repeats go on; a table of fixed size tells the scan which those may
+    be, so contents are digested where they are read and never shuffled. (path, size, digests)
+    alone are grouped.
     """
     kept = files.filter(path_allowed("path", exclude) & size_between("size", min_size, max_size))
     sizes = cut_lineage(kept.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("size"))
+    digests = [fast_hash(content).alias("fast"), digest(content, "sha256").alias("strong"), digest(content, algorithm).alias("hash")]
     keyed = cut_lineage(
-        kept.join(sizes, "size", "left_semi")
-        .select("path", "size", "mod_time", fast_hash(content).alias("fast"), digest(content, "sha256").alias("strong"))
-    )
-    found = cut_lineage(
-        keyed.groupBy("size", "fast", "strong")
+        kept.filter(maybe_among(sizes, "size")).select("path", "size", "mod_time", *digests).join(sizes, "size", "left_semi"))
+    groups = cut_lineage(
+        keyed.groupBy("size", "fast", "strong", "hash")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("total_size"), F.min(F.struct("mod_time", "path")).alias("_first"))
         .filter("files > 1")
     )
-    first = found.select(F.col("_first.path").alias("path"), "size", "fast", "strong")
-    named = kept.select("path", content).join(first, "path").select(
-        "size", "fast", "strong", digest(content, algorithm).alias("hash")).dropDuplicates(["size", "fast", "strong"])
-    groups = cut_lineage(found.join(named, ["size", "fast", "strong"]))
     shown = groups.select(
         F.col("hash").alias("id"), "size", "files", "total_size", ((F.col("files") - 1) * F.col("size")).alias("saveable_size"),
         F.lit(algorithm).alias("hash_type"), F.lit(1.0).alias("confidence"), F.col("_first.path").alias("survivor"),
@@ -122,16 +145,21 @@ def staged_file_duplicates(
     Each stage reads only what the one before left; a file of a unique size is never opened,
     and files of at most ``first_bytes`` are read once before the comparison. ``members``
     has ``identical``: whether the bytes equal the survivor's, null where they cannot be read.
+    A file that could not be read in some stage is a member without a group, with ``error``.
     """
     from treeline.sources.listing import hash_files, same_bytes
 
     kept = files.select("path", "size", "mod_time").filter(
         path_allowed("path", exclude) & size_between("size", min_size, max_size))
-    heads = cut_lineage(hash_files(same_size(kept), "xxhash64", first_bytes=first_bytes).filter("hash IS NOT NULL"))
+    first = cut_lineage(hash_files(same_size(kept), "xxhash64", first_bytes=first_bytes))
+    heads = first.filter("error IS NULL")
     likely = same_fast_hash(heads.select("path", "size", "mod_time", F.col("hash").alias("fast")))
-    hashed = cut_lineage(hash_files(likely.select("path", "size", "mod_time"), algorithm).filter("hash IS NOT NULL").drop("error"))
+    second = cut_lineage(hash_files(likely.select("path", "size", "mod_time"), algorithm))
+    hashed = second.filter("error IS NULL").drop("error")
     groups = duplicate_groups(hashed, algorithm)
-    return groups, same_bytes(duplicate_members(hashed, groups))
+    members = same_bytes(duplicate_members(hashed, groups)).withColumn("error", F.lit(None).cast("string"))
+    failed = first.filter("error IS NOT NULL").unionByName(second.filter("error IS NOT NULL")).drop("hash")
+    return groups, members.unionByName(failed, allowMissingColumns=True)
 
 
 def duplicate_members(
@@ -163,22 +191,24 @@ def plan_dedup(members: DataFrame) -> DataFrame:
 
 
 def verify_bytes(
-    files: DataFrame, members: DataFrame, content: str = "content", limit: int = ROWS_PER_TASK
+    files: DataFrame, members: DataFrame, content: str = "content", limit: int = ROWS_PER_TASK, chunk_bytes: int = 64 * 1024
 ) -> DataFrame:
-    """Stage 4: compare each member's content with that of its group's survivor.
+    """Stage 4: compare each member's content with that of its group's survivor, chunk by chunk.
 
-    Only members' contents reach the comparison; a hot group's survivor is copied per
-    slot. The fetch is a join on path, so Spark's runtime filters can drop the contents
-    of other files at the scan.
+    The chunks' SHA-256 digests are computed where contents are read, so that digests alone
+    move; ``differs_at`` is the offset of the first chunk that is not the same. A table of
+    fixed size lets the scan skip most files that are no members; a hot group's survivor is
+    copied per slot.
     """
-    fetched = files.select("path", F.col(content).alias("_content")).join(
-        members.select("path", "group_id", "size", "keep"), "path"
-    )
-    kept = fetched.filter("keep").select("group_id", "size", F.col("_content").alias("_kept"))
+    digests = files.filter(maybe_among(members, "path")).select("path", chunk_digests(content, chunk_bytes).alias("_own"))
+    fetched = digests.join(members.select("path", "group_id", "size", "keep"), "path")
+    kept = fetched.filter("keep").select("group_id", "size", F.col("_own").alias("_kept"))
     checked = skew_join(fetched, kept, ["group_id", "size"], "inner", ["path"], limit)
+    same = F.col("_own").eqNullSafe(F.col("_kept"))
+    pairs = F.arrays_zip("_own", "_kept")
+    first = F.array_position(F.transform(pairs, lambda p: p["_own"].eqNullSafe(p["_kept"])), False)
     return checked.select(
-        "group_id", "path", "size", F.col("_content").eqNullSafe(F.col("_kept")).alias("identical")
-    )
+        "group_id", "path", "size", same.alias("identical"), F.when(~same, (first - 1) * chunk_bytes).alias("differs_at"))
 
 
 def dedup_summary(groups: DataFrame) -> DataFrame:

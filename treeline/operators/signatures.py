@@ -5,9 +5,10 @@ A signature is kept as four 16-bit numbers s0..s3.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,33 @@ def average_signature(vector: Column | str) -> Column:
     return _pack(F.transform(v, lambda x: x > mean))
 
 
+#: The cosines of an eight-point transform, by frequency and place.
+COSINES = [math.cos((2 * x + 1) * u * math.pi / 16) for u in range(8) for x in range(8)]
+
+
+def frequency_signature(vector: Column | str) -> Column:
+    """Bit i: coefficient i of the 8 x 8 cosine transform is above the median of all 64."""
+    table = F.array(*[F.lit(c) for c in COSINES])
+
+    def product(values: Column, step: Column, first: Column, frequency: Column) -> Column:
+        terms = [F.get(values, first + step * x) * F.get(table, frequency * 8 + x) for x in range(8)]
+        return reduce(add, terms)
+
+    places = F.sequence(F.lit(0), F.lit(63))
+    # along the rows, then along the columns of what that gives
+    rows = F.transform(places, lambda i: product(as_col(vector), F.lit(1), F.floor(i / 8).cast("int") * 8, i % 8))
+    both = F.transform(F.array(rows), lambda r: F.transform(places, lambda i: product(r, F.lit(8), i % 8, F.floor(i / 8).cast("int"))))
+    return F.get(F.transform(both, lambda c: _pack(_above_median(c))), F.lit(0))
+
+
+def _above_median(values: Column) -> Column:
+    def of(ordered: Column) -> Column:
+        median = (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
+        return F.transform(values, lambda v: v > median)
+
+    return F.get(F.transform(F.array(F.array_sort(values)), of), F.lit(0))
+
+
 def _blocks(k: int) -> list[tuple[int, int]]:
     """(first bit, bits) of k + 2 blocks: signatures within k bits agree in two of them."""
     edges = [64 * i // (k + 2) for i in range(k + 3)]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.functions import udtf
 
 Operator = Callable[..., DataFrame]
 
@@ -22,6 +23,30 @@ class Plugin(Protocol):
     def execute(self, *inputs: DataFrame, **config) -> DataFrame: ...
 
 
+class RowPlugin(Protocol):
+    """Something with a name, a version and a result schema that makes rows out of each row."""
+
+    name: str
+    version: str
+    schema: str
+
+    def validate(self, **config) -> None: ...
+
+    def rows(self, row: dict, **config) -> Iterable[tuple]: ...
+
+
+def expose(spark: SparkSession, plugin: RowPlugin, **config) -> None:
+    """Make a plug-in a table function of SQL: ``SELECT * FROM name(TABLE(t))``. Its settings
+    are checked now; the tasks that hold the table's rows call it row by row."""
+    plugin.validate(**config)
+
+    class Function:
+        def eval(self, row: Row):
+            yield from plugin.rows(row.asDict(), **config)
+
+    spark.udtf.register(plugin.name, udtf(Function, returnType=plugin.schema))
+
+
 class Registry:
     def __init__(self) -> None:
         self._operators: dict[str, Operator] = {}

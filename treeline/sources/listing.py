@@ -87,6 +87,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 _ROWS_PER_BATCH = 20_000
+#: Folders that a task lists.
+FOLDERS_PER_TASK = 200
 
 
 def _list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,18 +126,22 @@ def _stat_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _frame(rows)
 
 
+def listing_tasks(spark: SparkSession, folders: int) -> int:
+    """As many tasks as cores, and more where there are more folders than those should list."""
+    return max(spark.sparkContext.defaultParallelism, 2, -(-folders // FOLDERS_PER_TASK))
+
+
 def scan_tree(spark: SparkSession, roots: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Inventory of folders on a mount that all executors share.
 
-    Level by level: the folders of one level are spread over the executors, their
-    entries are written to the shared scratch folder, and the next level starts from
+    Level by level: the folders of one level are spread over the executors, a few hundred to
+    a task (or over ``tasks`` tasks), their entries are written to the shared scratch folder, and the next level starts from
     what was written. The driver only learns how many folders a level has. Roots are
     included, hidden names too, and symbolic links are recorded and not followed. There is
     one row per path; that of an entry or folder that could not be read has ``error`` set.
     Names that are not UTF-8 are kept in a form of their own (``on_disk`` gives it back).
     Overlapping roots count once.
     """
-    tasks = tasks or max(spark.sparkContext.defaultParallelism, 2)
     for root in roots:
         if "://" in root:
             raise ValueError(f"{root}: only folders of a mount that all executors share can be listed")
@@ -148,9 +154,10 @@ def scan_tree(spark: SparkSession, roots: Sequence[str], tasks: int | None = Non
         listed.write.mode("overwrite").parquet(here)
         written = spark.read.schema(LISTING).parquet(here)
         folders = written.filter("is_dir").select("path")
-        if folders.isEmpty():
+        count = folders.count()
+        if not count:
             break
-        listed = folders.repartition(tasks).mapInPandas(_list_children, LISTING)
+        listed = folders.repartition(tasks or listing_tasks(spark, count)).mapInPandas(_list_children, LISTING)
         level += 1
     found = spark.read.schema(LISTING).parquet(*[f"{out}/level={i}" for i in range(level + 1)])
     # a folder that could not be listed has its own row and one with the error
@@ -158,23 +165,44 @@ def scan_tree(spark: SparkSession, roots: Sequence[str], tasks: int | None = Non
     return merged.select(*LISTING.fieldNames())
 
 
+#: Files of more bytes do not fit a value.
+WHOLE_BYTES = 2_000_000_000
+
+
 def scan_content(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Files below ``root`` with their content, through Spark's own file source. It lists
-    files only, skips names starting with '.' or '_' and holds each file as one value."""
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    return raw.select(
-        "path",
-        base_name("path").alias("name"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mod_time"),
-        F.lit(False).alias("is_dir"),
-        "content",
-    )
+    """Files below ``root`` with their whole content as one value, and ``error``.
+
+    On a mount that all executors share hidden names are read as well; a file that cannot be
+    read, or has more than two billion bytes, is a row with an error (``read_files`` has the
+    chunks of such files). Below a URI of another scheme Spark's own file source reads: it
+    skips names starting with '.' or '_'.
+    """
+    if "://" in root and not root.startswith("file:"):
+        raw = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern)
+            .load(root)
+        )
+        return raw.select(
+            "path",
+            base_name("path").alias("name"),
+            F.col("length").alias("size"),
+            F.col("modificationTime").alias("mod_time"),
+            F.lit(False).alias("is_dir"),
+            "content",
+            F.lit(None).cast("string").alias("error"),
+        )
+    from treeline.sources.chunks import read_files
+
+    # longer files are cut, and cut ones are not opened
+    chunks = read_files(spark, [root], pattern, chunk_bytes=WHOLE_BYTES)
+    whole = chunks.filter(F.col("size").isNull() | (F.col("size") <= WHOLE_BYTES))
+    rows = whole.select("path", "name", "size", "mod_time", F.lit(False).alias("is_dir"), "content", "error")
+    large = read_files(spark, [root], pattern, contents=False).filter((F.col("chunk") == 0) & (F.col("size") > WHOLE_BYTES))
+    return rows.unionByName(large.select(
+        "path", "name", "size", "mod_time", F.lit(False).alias("is_dir"), "content",
+        F.lit("too large for one value").alias("error")))
 
 
 def hash_manifest(files: DataFrame, algorithm: str, content: str = "content") -> DataFrame:
@@ -187,7 +215,7 @@ def hash_manifest(files: DataFrame, algorithm: str, content: str = "content") ->
     )
 
 
-def _hasher(algorithm: str):
+def hasher(algorithm: str):
     import hashlib
     import zlib
 
@@ -260,15 +288,15 @@ def hash_files(
             hashes, errors = [], []
             for path in batch["path"]:
                 try:
-                    hasher, left = _hasher(algorithm), first_bytes
+                    state, left = hasher(algorithm), first_bytes
                     with open(on_disk(path), "rb") as handle:
                         while left is None or left > 0:
                             chunk = handle.read(chunk_size if left is None else min(chunk_size, left))
                             if not chunk:
                                 break
-                            hasher.update(chunk)
+                            state.update(chunk)
                             left = None if left is None else left - len(chunk)
-                    hashes.append(hasher.hexdigest())
+                    hashes.append(state.hexdigest())
                     errors.append(None)
                 except OSError as exc:
                     hashes.append(None)

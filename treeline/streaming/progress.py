@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from hashlib import md5
+from inspect import signature
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -76,35 +78,15 @@ def first_seen(stream: DataFrame, keys: Sequence[str], lateness: str) -> DataFra
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_unseen(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Run over what is there; each key's first row only, over all micro-batches.
+def run_unseen(stream: DataFrame, keys: Sequence[str], label: str, watch: list | None = None) -> DataFrame:
+    """Run over what is there; one row of each key, over all micro-batches.
 
-    The keys of every micro-batch are saved in a folder of its own and later ones are held
-    against all of them, so the result does not depend on how the input falls into batches.
-    A replayed batch overwrites its folder and is not held against itself.
+    The keys seen so far are the state of the query, dealt over its partitions by hash: a
+    micro-batch looks up its own keys and reads nothing of what was written before. So the
+    work is in proportion to the input, however it falls into batches, and the result's keys do
+    not depend on that. The state stays as long as the keys do; ``first_seen`` bounds it.
     """
-    spark, keys = stream.sparkSession, list(keys)
-    base = scratch(spark, label)
-    stored = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())]))
-
-    def store(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        if number:
-            before = stored.parquet(f"{base}/out").filter(F.col("batch") < number).select(*keys)
-            fresh = fresh.join(before, keys, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    query = (
-        stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    try:
-        return stored.parquet(f"{base}/out").drop("batch")
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], stream.schema)  # there was no micro-batch
+    return run_available(stream.dropDuplicates(list(keys)), "append", label, watch).drop("batch")
 
 
 def not_yet_known(stream: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,20 +111,52 @@ def evict_finished_stream(stream: DataFrame, max_age: str, lateness: str) -> Dat
     )
 
 
+def _done_marks(spark: SparkSession, folder: str):
+    """(is it there, put it there) for marks in the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def at(name: str):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        return path.getFileSystem(conf), path
+
+    def known(name: str) -> bool:
+        system, path = at(name)
+        return system.exists(path)
+
+    def put(name: str) -> None:
+        system, path = at(name)
+        system.create(path, True).close()
+
+    return known, put
+
+
 def subscribe(
     stream: DataFrame,
-    handlers: dict[str, Callable[[DataFrame], None]],
+    handlers: dict[str, Callable[..., None]],
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Hand each micro-batch to the handlers by id; '*' gets every row. A slow handler
-    holds the stream back, so nothing is dropped."""
+    """Hand each micro-batch to the handlers by id, as handler(rows, number of the batch); '*'
+    gets every row. A slow handler holds the stream back, so nothing is dropped.
+
+    Each subscriber has a log of the batches it has taken, beside the checkpoint. When a query is
+    started again after a failure, only subscribers that had not finished the batch get it again,
+    under the same number; a handler that writes by number, over what is there, has every
+    row exactly once. Handlers of one argument get the rows alone.
+    """
+    known, put = _done_marks(stream.sparkSession, f"{checkpoint.rstrip('/')}-subscribers")
+    numbered = {k: len(signature(h).parameters) > 1 for k, h in handlers.items()}
 
-    def fan_out(batch: DataFrame, _: int) -> None:
+    def fan_out(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             for key, handle in handlers.items():
-                handle(batch if key == "*" else batch.filter(F.col("id") == key))
+                mark = f"{md5(repr(key).encode()).hexdigest()}/{number}"
+                if known(mark):
+                    continue
+                rows = batch if key == "*" else batch.filter(F.col("id") == key)
+                handle(rows, number) if numbered[key] else handle(rows)
+                put(mark)
         finally:
             batch.unpersist()
 
@@ -162,8 +176,9 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run a streaming frame over what is there and return what it wrote.
+def run_available(df: DataFrame, mode: str, label: str, watch: list | None = None) -> DataFrame:
+    """Run a streaming frame over what is there and return what it wrote; ``watch`` gets the
+    progress of each micro-batch.
 
     Every micro-batch goes to its own folder, overwritten when a batch is replayed, so
     a restart neither loses nor doubles rows. ``batch`` tells updates of a key apart.
@@ -174,7 +189,7 @@ def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    with _state_partitions(spark):
+    with _state_partitions(spark):  # a query keeps the settings that it starts with
         query = (
             df.writeStream.outputMode(mode)
             .foreachBatch(store)
@@ -182,7 +197,9 @@ def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
+    query.awaitTermination()
+    if watch is not None:
+        watch.extend(query.recentProgress)
     schema = StructType([*df.schema.fields, StructField("batch", LongType())])
     try:
         return spark.read.schema(schema).parquet(f"{base}/out")
