@@ -6,7 +6,8 @@ words and of its shape. A bidirectional LSTM reads the whole sequence, so that e
 classified in the light of all others; the text is the blocks that belong to the article.
 
 The weights are fitted by one task on a bounded number of given pages and on pages built
-from their texts, in which the article and what surrounds it stand under many other names.
+from their texts, in which the article stands under many names, listed, made up or none at all,
+with forms, comments and asides inside, and with or without menus and footers around it.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.fitting import bounded_sample, fitted
+from treeline.llm.fitting import bounded_sample, fitted, whole_within
+from treeline.llm.tokens import named
 
-#: Pages the fit reads at most, and characters of each at most.
-SAMPLE_PAGES, SAMPLE_CHARS = 240, 30_000
-BUILT_PAGES = 900
+#: Pages the fit reads at most, whole, and bytes of all of them at most, but for one page.
+SAMPLE_PAGES, SAMPLE_BYTES = 240, 2 << 20
+BUILT_PAGES = 1300
 PATH, WORDS, SHAPE = 64, 24, 6
 SIZE = 2 * PATH + WORDS + SHAPE
 HIDDEN = 24
@@ -339,7 +341,7 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS,
     return weights
 
 
-# Names that pages give to the article and to what is around it.
+# Names that pages give to the article and to what is around it.
 _ARTICLE = ("article", "main", "div.post-content", "div.entry-content", "div.article-body", "div#content", "section.story",
             "div.content main-text", "main#main-content", "div.blog-post", "article.post hentry", "div.td-post-content")
 _AROUND = {
@@ -360,6 +362,10 @@ _PHRASES = ("We use cookies to improve this site.", "Accept all", "Subscribe to
             "Read more", "Terms of use", "3 comments", "Reply", "Tags", "Previous", "Next", "Follow us")
 
 
+#: Stands in front of the article's blocks in built pages, until they are labelled.
+_MARK = "\ue000"
+
+
 def _opened(name: str) -> tuple[str, str]:
     tag, _, rest = name.replace("#", " #").replace(".", " .").partition(" ")
     id_ = rest[1:] if rest.startswith("#") else ""
@@ -368,82 +374,110 @@ def _opened(name: str) -> tuple[str, str]:
 
 
 def built_page(rng: np.random.Generator, texts: list[str]) -> tuple[str, list[str]]:
-    """A page made of given texts, and the blocks of its article in order."""
+    """A page made of given texts, and the blocks of its article in order; in the page a
+    mark stands in front of each of these."""
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
     some = lambda most: int(rng.integers(1, most + 1))
     text = lambda: " ".join(pick(texts).split())
 
     def short() -> str:
         words = text().split()
-        return " ".join(words[: some(4)])
+        return " ".join(words[: some(5)])
+
+    def sentence() -> str:
+        words = text().split()
+        first = int(rng.integers(0, max(1, len(words) - 12)))
+        return " ".join(words[first : first + 4 + some(20)])
+
+    def made_up() -> str:
+        letters = lambda: "".join(pick("abcdefghijklmnoprstuvwz") for _ in range(2 + some(7)))
+        return letters() if rng.random() < 0.6 else f"{letters()}-{letters()}"
+
+    def comment() -> str:
+        tag = pick(("div", "li", "article", "section", "p"))
+        who, said = html.escape(short()), html.escape(sentence() if rng.random() < 0.7 else text())
+        inner = pick((f'<p class="author">{who}</p><p>{said}</p>', f"<p>{said}</p>", f"<h4>{who}</h4><div>{said}</div>", f"<b>{who}</b>: {said}"))
+        return f"<{tag}{pick(('', ' class=comment', ' class=reply'))}>{inner}</{tag}>"
 
     def around(kind: str) -> str:
-        start, end = _opened(pick(_AROUND[kind]))
+        name = pick(_AROUND[kind])
+        if rng.random() < 0.25 and "." in name:
+            name += f" {made_up()}"
+        start, end = _opened(name)
         if kind in ("menu", "share"):
             links = "".join(f'<li><a href="/{i}">{html.escape(pick(_PHRASES) if rng.random() < 0.2 else short())}</a></li>'
                             for i in range(some(8)))
-            return f"{start}<ul>{links}</ul>{end}"
+            return f"{start}<ul>{links}</ul>{end}" if rng.random() < 0.8 else start + re.sub("</?li>", " ", links) + end
         if kind == "form":
-            return f'{start}<label>{pick(_PHRASES)}</label><input name="q"><button>{pick(_PHRASES)}</button>{end}'
+            said = html.escape(pick(_PHRASES) if rng.random() < 0.4 else sentence())
+            inner = pick((f"<label>{said}</label>", f"<p>{said}</p>", f"<h3>{pick(_PHRASES)}</h3><p>{said}</p>", f"<div>{said}</div>",
+                          f"<fieldset><legend>{pick(_PHRASES)}</legend>{said}</fieldset>", f"<ul><li>{said}</li></ul>"))
+            return f'{start}{inner}<input name="q"><button>{pick(_PHRASES)}</button>{end}'
         if kind == "comments":
-            each = "".join(f'<div class="comment"><p class="author">{html.escape(short())}</p><p>{html.escape(text())}</p></div>'
-                           for _ in range(some(4)))
-            return f"{start}<h3>{pick(_PHRASES)}</h3>{each}{end}"
-        words = html.escape(text() if rng.random() < 0.6 else short())
-        inner = pick((f"{words}", f"<p>{words}</p>", f"<p>{words}</p><p><a href='/x'>{pick(_PHRASES)}</a></p>",
+            return f"{start}{pick(('', f'<h3>{pick(_PHRASES)}</h3>', f'<h2>{some(40)} comments</h2>'))}{''.join(comment() for _ in range(some(4)))}{end}"
+        words = html.escape(text() if rng.random() < 0.4 else sentence() if rng.random() < 0.6 else short())
+        inner = pick((f"{words}", f"<p>{words}</p>", f"<p>{words}</p><p><a href='/x'>{pick(_PHRASES)}</a></p>", f"<h2>{html.escape(short())}</h2><p>{words}</p>",
                       f"<h3>{pick(_PHRASES)}</h3><ul><li><a href='/y'>{words}</a></li></ul>"))
         return f"{start}{'&copy; ' if kind == 'footer' and rng.random() < 0.5 else ''}{inner}{end}"
 
     body, article = [], []
-    if rng.random() < 0.4:
+    if rng.random() < 0.35:
         body.append(around("header"))
-    body.append(around("menu"))
+    if rng.random() < 0.75:
+        body.append(around("menu"))
     for kind in ("notice", "advert", "form", "side"):
-        if rng.random() < 0.35:
+        if rng.random() < 0.3:
             body.append(around(kind))
-    start, end = _opened(pick(_ARTICLE))
+    kind = rng.random()
+    if kind < 0.35:
+        start, end = _opened(pick(_ARTICLE))
+    elif kind < 0.78:  # a name that says nothing
+        start, end = _opened(pick(("div", "div", "div", "section", "main", "article", "td")) + pick((".", ".", "#")) + made_up())
+        if start.startswith("<td"):
+            start, end = f"<table><tr>{start}", f"{end}</tr></table>"
+    elif kind < 0.9:
+        start, end = _opened(pick(("article", "main", "div", "section")))
+    else:
+        start = end = ""
     parts = [start]
-    for i in range(some(120 if rng.random() < 0.04 else 10) + 1):
+    count = some(120 if rng.random() < 0.04 else 10) + 1
+    titled = rng.random() < 0.85
+    for i in range(count):
         # long and short, plain and odd texts stand in articles as well as around them
-        words = short() if i == 0 or rng.random() < 0.15 else text()
+        words = short() if (i == 0 and titled) or rng.random() < 0.12 else sentence() if rng.random() < 0.25 else text()
         article.append(words)
-        tag = ("h1" if rng.random() < 0.8 else "h2") if i == 0 else pick(("p",) * 8 + ("li", "blockquote", "h2", "pre", "td"))
-        inner = html.escape(words)
+        tag = pick(("h1", "h1", "h1", "h2")) if i == 0 and titled else pick(("p",) * 9 + ("li", "blockquote", "h2", "pre", "td", "dd", "figcaption"))
+        inner = html.escape(_MARK + words)
         if rng.random() < 0.15:
             inner = f"<b>{inner}</b>"
-        if tag in ("li", "td"):
-            before, after = ("<ul>", "</ul>") if tag == "li" else ("<table><tr>", "</tr></table>")
+        if tag in ("li", "td", "dd", "figcaption"):
+            before, after = {"li": ("<ul>", "</ul>"), "td": ("<table><tr>", "</tr></table>"), "dd": ("<dl>", "</dl>"), "figcaption": ("<figure>", "</figure>")}[tag]
             parts.append(f"{before}<{tag}>{inner}</{tag}>{after}")
         else:
             parts.append(f"<{tag}>{inner}" + ("" if tag == "p" and rng.random() < 0.1 else f"</{tag}>"))
-        if i % 5 == 2:  # a list of options
+        if i % 5 == 2 and rng.random() < 0.5:  # a list of options
             parts.append("<select>" + "".join(f"<option>{html.escape(w)}</option>" for w in words.split()[:4]) + "</select>")
-        if rng.random() < 0.06:
-            parts.append(around(pick(("advert", "share", "notice", "side"))))
+        if rng.random() < 0.12:
+            parts.append(around(pick(("advert", "share", "notice", "side", "form", "form", "menu"))))
+    if rng.random() < 0.25:
+        parts.append(around(pick(("comments", "comments", "form", "side", "share", "footer"))))
     parts.append(end)
     whole = "".join(parts)
     if rng.random() < 0.3:
-        outer = pick(("<div id='page'>", "<div class='wrapper'>", "<div class='container row'>", "<section>"))
+        outer = pick(("<div id='page'>", "<div class='wrapper'>", "<div class='container row'>", "<section>", f"<div class='{made_up()}'>"))
         whole = f"{outer}{whole}" + ("</section>" if outer == "<section>" else "</div>")
     body.append(whole)
-    for kind, share in (("share", 0.3), ("comments", 0.45), ("side", 0.4), ("advert", 0.25), ("form", 0.2), ("notice", 0.2), ("footer", 0.9)):
+    for kind, share in (("share", 0.25), ("comments", 0.45), ("side", 0.35), ("advert", 0.25), ("form", 0.25), ("notice", 0.2), ("footer", 0.75)):
         if rng.random() < share:
             body.append(around(kind))
     return f"<!DOCTYPE html><html><head><title>{html.escape(short())}</title></head><body>{''.join(body)}</body></html>", article
 
 
 def _labelled(blocks: list[Block], article: list[str]) -> np.ndarray:
-    """1 for the blocks that are the article's, matched in order from the place where most follow."""
-    out = np.zeros(len(blocks), dtype=np.float32)
-    inside = {"article", "main", "story", "content", "entry", "post", "body", "blog", "hentry"}
-    outside = {w for names in _AROUND.values() for n in names for w in _SPLIT.split(n.lower()) if w} - {"div", "ul", "ol", "section"}
-    outside |= {"comment", "nav", "footer", "header", "aside", "form", "select"}
-    left = list(article)
-    for i, b in enumerate(blocks):
-        names = set(b.path) - {"td"}
-        if left and b.text == left[0] and (names & inside) and not (names & (outside - inside)):
-            out[i] = 1
-            left.pop(0)
+    """1 for the blocks of a built page that are the article's; their marks go."""
+    out = np.array([b.text.startswith(_MARK) for b in blocks], dtype=np.float32)
+    for b in blocks:
+        b.text = b.text.replace(_MARK, "").strip() or "."
     return out
 
 
@@ -455,13 +489,13 @@ def landmarks(blocks: list[Block]) -> np.ndarray | None:
 
 
 def learn(pages: DataFrame, key: str = "page_id", html_column: str = "html", sample: int = SAMPLE_PAGES,
-          chars: int = SAMPLE_CHARS, built: int = BUILT_PAGES, epochs: int = EPOCHS) -> Weights:
+          most: int = SAMPLE_BYTES, built: int = BUILT_PAGES, epochs: int = EPOCHS) -> Weights:
     """Weights fitted on at most ``sample`` given pages, chosen by a hash of the key, that
-    mark their article, and on ``built`` pages from their texts. Of a page longer than
-    ``chars`` characters the fit takes none."""
-    rows = pages.select(F.col(key).alias("k"), F.col(html_column).alias("h")).filter(
-        (F.length("h") > 0) & (F.length("h") <= chars))
-    return fitted(bounded_sample(rows, sample, "k", "h").select("h"), lambda found: _fit_on([h for (h,) in found], built, epochs))
+    mark their article, and on ``built`` pages from their texts. Pages are read whole, as far
+    as they have ``most`` bytes in all."""
+    rows = pages.select(named(key).alias("k"), named(html_column).alias("h")).filter(F.length("h") > 0)
+    found = whole_within(bounded_sample(rows, sample, "k", "h"), most, F.octet_length("h"), "k", "h")
+    return fitted(found.select("h"), lambda some: _fit_on([h for (h,) in some], built, epochs))
 
 
 def _fit_on(pages: list[str], built: int, epochs: int) -> Weights:
