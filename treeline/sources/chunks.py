@@ -180,13 +180,24 @@ def read_files(
     and no content. Links are not followed. Roots and the session's shared folder have to lie on
     a mount that all executors share. Without ``contents`` no file is opened.
     """
+    return load_chunks(spark, planned(spark, roots, pattern, chunk_bytes, partition_bytes), contents)
+
+
+def planned(
+    spark: SparkSession, roots: Sequence[str], pattern: str = "*", chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES,
+) -> str:
+    """The folder of a plan for all files below ``roots``, as ``read_files`` describes them."""
     listed = scan_tree(spark, [mounted(r) for r in roots])
     links = F.shiftright(F.coalesce("mode", F.lit(0)), 27).bitwiseAND(F.lit(1)) == 1
     wanted = listed.filter(~F.coalesce("is_dir", F.lit(False)) & ~links)
     if pattern != "*":
         matches = F.udf(lambda name: fnmatchcase(name or "", pattern), "boolean")
         wanted = wanted.filter(matches("name"))
-    plan = plan_chunks(wanted, scratch(spark, "files"), chunk_bytes, partition_bytes)
+    return plan_chunks(wanted, scratch(spark, "files"), chunk_bytes, partition_bytes)
+
+
+def load_chunks(spark: SparkSession, plan: str, contents: bool = True) -> DataFrame:
+    """The chunks of a plan; filters on what it knows reach the reader."""
     spark.dataSource.register(FileChunks)
     if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

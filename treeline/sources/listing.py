@@ -193,13 +193,13 @@ def scan_content(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
             "content",
             F.lit(None).cast("string").alias("error"),
         )
-    from treeline.sources.chunks import read_files
+    from treeline.sources.chunks import load_chunks, planned
 
     # longer files are cut, and cut ones are not opened
-    chunks = read_files(spark, [root], pattern, chunk_bytes=WHOLE_BYTES)
-    whole = chunks.filter(F.col("size").isNull() | (F.col("size") <= WHOLE_BYTES))
+    plan = planned(spark, [root], pattern, chunk_bytes=WHOLE_BYTES)
+    whole = load_chunks(spark, plan).filter(F.col("size").isNull() | (F.col("size") <= WHOLE_BYTES))
     rows = whole.select("path", "name", "size", "mod_time", F.lit(False).alias("is_dir"), "content", "error")
-    large = read_files(spark, [root], pattern, contents=False).filter((F.col("chunk") == 0) & (F.col("size") > WHOLE_BYTES))
+    large = load_chunks(spark, plan, contents=False).filter((F.col("chunk") == 0) & (F.col("size") > WHOLE_BYTES))
     return rows.unionByName(large.select(
         "path", "name", "size", "mod_time", F.lit(False).alias("is_dir"), "content",
         F.lit("too large for one value").alias("error")))
