@@ -273,7 +273,7 @@ def _odd_files(spark, sf_dir):
     strlen(text) AS size, greatest(1, ceil(strlen(text) / 1000))::BIGINT AS chunks, sha256(text) AS hash FROM documents""")
 def _(spark, sf_dir):
     folder = _odd_files(spark, sf_dir)
-    chunks = read_files(spark, [folder], chunk_bytes=1000, partition_bytes=1 << 20)
+    chunks = read_files(spark, [folder], chunk_bytes=1000)
     found = whole_digests(chunks, "sha256")
     return found.select(F.expr(f"substring(path, {len(folder) + 2})").alias("name"), "size", "chunks", "hash")
 
@@ -281,7 +281,7 @@ def _(spark, sf_dir):
 @query("read_files_filtered", """SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents
   WHERE doc_id % 3 = 1 AND strlen(text) > 2000""")
 def _(spark, sf_dir):
-    chunks = read_files(spark, [_odd_files(spark, sf_dir)], chunk_bytes=4096, partition_bytes=1 << 20)
+    chunks = read_files(spark, [_odd_files(spark, sf_dir)], chunk_bytes=4096)
     some = chunks.filter(F.col("name").startswith(".env") & (F.col("size") > 2000))
     return some.agg(F.count_if(F.col("chunk") == 0).alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
 
