@@ -135,6 +135,41 @@ def test_near_duplicates(spark, corpus, threshold):
     assert len(got) == len(want) and {(r["a"], r["b"]): r["similarity"] for r in got} == want
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.7, 0.85, 0.99])
+def test_forest_has_the_components_of_all_pairs(spark, corpus, threshold):
+    docs = spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(4)
+    pairs = texts.near_duplicate_pairs(docs, threshold).cache()
+    forest = texts.near_duplicate_forest(docs, threshold, limit=10).cache()
+    assert {tuple(r) for r in forest.collect()} <= {tuple(r) for r in pairs.collect()}
+    assert forest.count() == forest.select("a", "b").distinct().count()
+    assert {tuple(r) for r in components(forest).collect()} == {tuple(r) for r in components(pairs).collect()}
+
+
+def test_a_group_costs_as_many_comparisons_as_it_has_texts(spark, monkeypatch):
+    rnd = random.Random(11)
+    groups, members = 3, 120
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{rnd.randrange(400)}" for _ in range(300)]
+        for m in range(members):
+            near = list(base)
+            near[rnd.randrange(300)] = f"own{g}x{m}"
+            rows.append((g * members + m, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    asked = []
+    real = texts._verified
+
+    def counted(candidates, *rest):
+        asked.append(candidates.count())
+        return real(candidates, *rest)
+
+    monkeypatch.setattr(texts, "_verified", counted)
+    forest = texts.near_duplicate_forest(docs, 0.9)
+    assert sorted(r["component"] for r in components(forest).collect()) == sorted(
+        g * members for g in range(groups) for _ in range(members))
+    assert sum(asked) <= 2 * groups * members
+
+
 def test_clusters_hold_all_copies(spark, corpus):
     docs = spark.createDataFrame(corpus, "doc_id bigint, text string")
     pairs = texts.near_duplicate_pairs(docs, 0.5).cache()

@@ -132,7 +132,7 @@ members AS (SELECT doc_id AS id, coalesce(component, rep) AS cluster FROM named
 @query("near_duplicate_clusters", _CLUSTERS_SQL + " SELECT id, cluster FROM members")
 def _(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    return texts.near_duplicate_clusters(docs, _near(spark, sf_dir))
+    return texts.near_duplicate_clusters(docs, texts.near_duplicate_forest(docs, 0.85))
 
 
 @query("near_duplicate_summary", _CLUSTERS_SQL + """ SELECT cluster, members, round(coalesce(least, 1.0::DOUBLE), 6) AS similarity,

@@ -74,6 +74,54 @@ def _levels(sets: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _prefixes(
+    docs: DataFrame, threshold: float, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shingle sets of all texts, (id, copies) of the distinct ones, and the postings
+    (id, n, h) of their rarest shingles: two texts at the threshold share one of them."""
+    sets = cut_lineage(shingle_sets(docs, id_col, text_col))
+    reps = cut_lineage(
+        sets.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+    )
+    levels = F.lit(_levels(sets))
+    ordered = F.array_sort(F.transform("hashes", lambda h: F.struct(
+        F.substr(levels, (F.pmod(h, F.lit(_BUCKETS)) * 2 + 1).cast("int"), F.lit(2)).alias("c"), h.alias("h"))))
+    reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    heads = sets.select("id", "n", F.explode(F.slice(ordered, F.lit(1), reach)).alias("s"))
+    return sets, reps, cut_lineage(heads.select("id", "n", F.col("s.h").alias("h")).join(reps, "id", "left_semi"))
+
+
+def _alike(n: Column | str, m: Column | str, threshold: float) -> Column:
+    """Whether sets of so many shingles can reach the threshold at all."""
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
+
+
+def _verified(
+    candidates: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, limit: int
+) -> DataFrame:
+    """Those of the candidates (a, b) that reach the threshold, by their whole sets. A text
+    in very many candidates is spread over tasks."""
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    judged = sets.join(asked, "id", "left_semi").join(reps, "id")
+
+    def side(x: str) -> DataFrame:
+        names = (("id", x), ("hashes", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
+        often = candidates.groupBy(x).agg(F.count(F.lit(1)).alias(f"_rows_{x}"))
+        return judged.select(*[F.col(c).alias(out) for c, out in names]).join(often, x)
+
+    both = candidates.select("a", "b")
+    for x, other in (("a", "b"), ("b", "a")):
+        both = skew_join(both, side(x), [x], "inner", [other], limit, rows_per_key=f"_rows_{x}")
+    common_count = F.size(F.array_intersect("set_a", "set_b"))
+    jaccard = F.col("_common") / (F.col("n_a") + F.col("n_b") - F.col("_common"))
+    return (
+        once(both, _common=common_count)
+        .withColumn("similarity", jaccard)
+        .filter(F.col("similarity") >= threshold)
+        .select("a", "b", "similarity", "copies_a", "copies_b")
+    )
+
+
 def near_duplicate_pairs(
     docs: DataFrame,
     threshold: float = 0.99,
@@ -89,49 +137,85 @@ def near_duplicate_pairs(
     that is the same for all, so only those are joined; rare ones come first, by counts per
     bucket. Exact up to equal 64-bit hashes: nothing is capped or sampled.
     """
-    sets = cut_lineage(shingle_sets(docs, id_col, text_col))
-    reps = cut_lineage(
-        sets.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
-    )
-    levels = F.lit(_levels(sets))
-    ordered = F.array_sort(F.transform("hashes", lambda h: F.struct(
-        F.substr(levels, (F.pmod(h, F.lit(_BUCKETS)) * 2 + 1).cast("int"), F.lit(2)).alias("c"), h.alias("h"))))
-    reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    heads = sets.select("id", "n", F.explode(F.slice(ordered, F.lit(1), reach)).alias("s"))
-    prefix = cut_lineage(heads.select("id", "n", F.col("s.h").alias("h")).join(reps, "id", "left_semi"))
+    sets, reps, prefix = _prefixes(docs, threshold, id_col, text_col)
 
     def possible(left: str, right: str) -> Column:
-        small, large = F.least(left + "n", right + "n"), F.greatest(left + "n", right + "n")
-        return (F.col(left + "id") < F.col(right + "id")) & (small >= F.lit(threshold) * large - 1e-9)
+        return (F.col(left + "id") < F.col(right + "id")) & _alike(left + "n", right + "n", threshold)
 
     candidates = cut_lineage(
         skew_self_join(prefix, ["h"], possible, ["id"], limit)
         .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
         .distinct()
     )
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    judged = sets.join(asked, "id", "left_semi").join(reps, "id")
+    return _verified(candidates, sets, reps, threshold, limit)
 
-    def side(x: str) -> DataFrame:
-        names = (("id", x), ("hashes", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
-        return judged.select(*[F.col(c).alias(out) for c, out in names])
 
-    both = candidates.join(side("a"), "a").join(side("b"), "b")
-    common_count = F.size(F.array_intersect("set_a", "set_b"))
-    jaccard = F.col("_common") / (F.col("n_a") + F.col("n_b") - F.col("_common"))
-    return (
-        once(both, _common=common_count)
-        .withColumn("similarity", jaccard)
-        .filter(F.col("similarity") >= threshold)
-        .select("a", "b", "similarity", "copies_a", "copies_b")
+def _shared_postings(prefix: DataFrame, limit: int) -> DataFrame:
+    """Postings whose shingle another text has too, with the least (id, n) of their list."""
+    lists = (
+        prefix.groupBy("h").agg(F.min(F.struct("id", "n")).alias("centre"), F.count(F.lit(1)).alias("rows"))
+        .filter("rows > 1")
+    )
+    return skew_join(prefix, lists, ["h"], "inner", ["id"], limit, rows_per_key="rows").drop("rows")
+
+
+def _star_candidates(shared: DataFrame, threshold: float) -> DataFrame:
+    """One candidate (a < b) per text: with the least id of its lists that it meets most often."""
+    met = shared.filter((F.col("id") != F.col("centre.id")) & _alike("n", "centre.n", threshold))
+    times = met.groupBy("id", F.col("centre.id").alias("centre")).agg(F.count(F.lit(1)).alias("times"))
+    best = times.groupBy("id").agg(F.max(F.struct("times", "centre")).alias("best"))
+    return best.select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
+
+
+def _candidates_between(
+    shared: DataFrame, linked: DataFrame, tried: DataFrame, threshold: float, limit: int
+) -> DataFrame:
+    """Candidates (a < b) whose texts are in different components and that are not among the
+    tried ones. Lists whose texts are all in one component fall out before they are joined."""
+    groups = cut_lineage(
+        shared.join(linked.select(F.col("node").alias("id"), "component"), "id", "left")
+        .select("h", "id", "n", F.coalesce("component", "id").alias("group"))
     )
+    mixed = groups.groupBy("h").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most")
+    left = groups.join(mixed, "h", "left_semi")
+
+    def possible(x: str, y: str) -> Column:
+        apart = F.col(x + "group") != F.col(y + "group")
+        return (F.col(x + "id") < F.col(y + "id")) & apart & _alike(x + "n", y + "n", threshold)
+
+    found = skew_self_join(left, ["h"], possible, ["id"], limit).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    return found.distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def near_duplicate_forest(
+    docs: DataFrame,
+    threshold: float = 0.99,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    limit: int = _POSTINGS_PER_TASK,
+) -> DataFrame:
+    """Links (a < b) between distinct texts with Jaccard >= threshold whose components are
+    those of ``near_duplicate_pairs``, without its table of all pairs.
+
+    First every text is compared with one centre, so that m near copies cost m comparisons.
+    Only candidates whose texts are then still in different components are compared after
+    that: a pair within a component cannot change the components, and of the others none is
+    left out.
+    """
+    sets, reps, prefix = _prefixes(docs, threshold, id_col, text_col)
+    shared = cut_lineage(_shared_postings(prefix, limit))
+    tried = cut_lineage(_star_candidates(shared, threshold))
+    near = cut_lineage(_verified(tried, sets, reps, threshold, limit))
+    between = cut_lineage(_candidates_between(shared, components(near), tried, threshold, limit))
+    return near.unionByName(_verified(between, sets, reps, threshold, limit))
 
 
 def near_duplicate_clusters(
     docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, cluster) for every text that has a near copy or an exact one. The cluster is
-    the least id in it; copies follow their representative without forming pairs."""
+    """(id, cluster) for every text that has a near copy or an exact one, from all pairs or
+    from a forest of them. The cluster is the least id in it; copies follow their
+    representative without forming pairs."""
     linked = components(pairs.select("a", "b"))
     texts = distinct_texts(docs, id_col, text_col)
     groups = (
