@@ -85,7 +85,7 @@ def _prefixes(
         sets.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
     )
     levels = F.lit(_levels(sets))
-    ordered = F.array_sort(F.transform("hashes", lambda h: F.struct(
+    ordered = F.sort_array(F.transform("hashes", lambda h: F.struct(
         F.substr(levels, (F.pmod(h, F.lit(_BUCKETS)) * 2 + 1).cast("int"), F.lit(2)).alias("c"), h.alias("h"))))
     reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
     heads = sets.select("id", "n", F.explode(F.slice(ordered, F.lit(1), reach)).alias("s"))
