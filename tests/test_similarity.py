@@ -145,6 +145,16 @@ def test_forest_has_the_components_of_all_pairs(spark, corpus, threshold):
     assert {tuple(r) for r in components(forest).collect()} == {tuple(r) for r in components(pairs).collect()}
 
 
+def test_forest_of_no_rows_null_texts_and_ids_that_are_paths(spark):
+    empty = spark.createDataFrame([], "path string, body string")
+    assert texts.near_duplicate_forest(empty, 0.8, "path", "body").count() == 0
+    words = [f"w{i}" for i in range(40)]
+    rows = [("/a", " ".join(words)), ("/b", " ".join([*words, "x"])), ("/c", None), ("/d", ""), ("/e", "other text altogether")]
+    named = spark.createDataFrame(rows, "path string, body string")
+    got = texts.near_duplicate_forest(named, 0.8, "path", "body").collect()
+    assert [(r["a"], r["b"], r["copies_a"]) for r in got] == [("/a", "/b", 1)]
+
+
 def test_a_group_costs_as_many_comparisons_as_it_has_texts(spark, monkeypatch):
     rnd = random.Random(11)
     groups, members = 3, 120
