@@ -12,6 +12,7 @@ from treeline.catalog.tree_queries import _EMPTY_SQL
 from treeline.catalog import data
 from treeline.functions import labels
 from treeline.operators import audit
+from treeline.plans.cycles import workflow_cycles
 from treeline.plans.registry import builtin_registry, expose
 from treeline.plans.workflow import run_workflow, validate_workflows
 from treeline.schema import OPERATION_RESULT
@@ -82,15 +83,12 @@ _STEPS_SQL = """lines AS (SELECT l_orderkey AS workflow, l_linenumber AS n, min(
     UNION SELECT workflow, 's' || n, 's' || (n - 1) FROM lines WHERE n > 1)"""
 
 
-@query("validate_workflows", f"""WITH RECURSIVE {_STEPS_SQL},
-  known AS (SELECT d.* FROM deps d JOIN steps s ON d.workflow = s.workflow AND d.dep = s.step),
+_BACK_SQL = """known AS (SELECT d.* FROM deps d JOIN steps s ON d.workflow = s.workflow AND d.dep = s.step),
   back AS (SELECT workflow, step, dep FROM known UNION SELECT b.workflow, b.step, k.dep FROM back b JOIN known k
-    ON b.workflow = k.workflow AND b.dep = k.step),
-  circles AS (SELECT workflow, step FROM back WHERE step = dep)
-  SELECT workflow, step, 'unknown type compression' AS problem FROM steps WHERE type = 'compression'
-  UNION ALL SELECT workflow, step, 'missing dependency ' || dep FROM deps WHERE (workflow, dep) NOT IN (SELECT (workflow, step) FROM steps)
-  UNION ALL SELECT DISTINCT b.workflow, b.step, 'cycle' FROM back b JOIN circles c ON b.workflow = c.workflow AND b.dep = c.step""")
-def _(spark, sf_dir):
+    ON b.workflow = k.workflow AND b.dep = k.step)"""
+
+
+def _workflows(spark, sf_dir):
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("n"))
@@ -101,7 +99,27 @@ def _(spark, sf_dir):
     steps = lines.select("workflow", step, kind.alias("type"))
     by_part = lines.select("workflow", step, F.concat(F.lit("s"), F.col("part") % 8 + 1).alias("depends_on"))
     in_turn = lines.filter("n > 1").select("workflow", step, F.concat(F.lit("s"), F.col("n") - 1).alias("depends_on"))
-    return validate_workflows(steps, by_part.unionByName(in_turn), builtin_registry())
+    return steps, by_part.unionByName(in_turn)
+
+
+@query("validate_workflows", f"""WITH RECURSIVE {_STEPS_SQL},
+  {_BACK_SQL},
+  circles AS (SELECT workflow, step FROM back WHERE step = dep)
+  SELECT workflow, step, 'unknown type compression' AS problem FROM steps WHERE type = 'compression'
+  UNION ALL SELECT workflow, step, 'missing dependency ' || dep FROM deps WHERE (workflow, dep) NOT IN (SELECT (workflow, step) FROM steps)
+  UNION ALL SELECT DISTINCT b.workflow, b.step, 'cycle' FROM back b JOIN circles c ON b.workflow = c.workflow AND b.dep = c.step""")
+def _(spark, sf_dir):
+    return validate_workflows(*_workflows(spark, sf_dir), builtin_registry())
+
+
+@query("workflow_cycles", f"""WITH RECURSIVE {_STEPS_SQL},
+  {_BACK_SQL},
+  circles AS (SELECT a.workflow, a.step, min(a.dep) AS cycle FROM back a JOIN back b
+    ON a.workflow = b.workflow AND a.step = b.dep AND a.dep = b.step GROUP BY 1, 2),
+  stuck AS (SELECT DISTINCT b.workflow, b.step FROM back b JOIN circles c ON b.workflow = c.workflow AND b.dep = c.step)
+  SELECT workflow, step, cycle FROM stuck LEFT JOIN circles USING (workflow, step)""")
+def _(spark, sf_dir):
+    return workflow_cycles(*_workflows(spark, sf_dir))
 
 
 @query("run_workflow", f"""SELECT * FROM (WITH {_EMPTY_SQL} SELECT 'clean' AS step, 'remove' AS action, count(*) AS items FROM empties)

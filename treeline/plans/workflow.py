@@ -8,8 +8,8 @@ from string import Template
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.plans.cycles import cycles_of, with_known
 from treeline.plans.registry import Registry
-from treeline.session import cut_lineage
 
 
 def _fill(value, variables: dict[str, str]):
@@ -63,24 +63,13 @@ def run_workflow(
 def validate_workflows(steps: DataFrame, dependencies: DataFrame, registry: Registry) -> DataFrame:
     """Problems (workflow, step, problem) of steps (workflow, step, type) and their
     dependencies (workflow, step, depends_on): unknown type, missing dependency, and
-    steps that can never run because a cycle is before them."""
+    steps that can never run because a cycle is before them (``workflow_cycles`` names the cycle)."""
     unknown = steps.filter(~F.col("type").isin(*registry.supported())).select(
         "workflow", "step", F.concat(F.lit("unknown type "), "type").alias("problem")
     )
-    known = steps.select("workflow", F.col("step").alias("depends_on")).distinct()
-    links = dependencies.select("workflow", "step", "depends_on").distinct()
-    missing = links.join(known, ["workflow", "depends_on"], "left_anti").select(
+    links = with_known(steps, dependencies)
+    missing = links.filter("known IS NULL").select(
         "workflow", "step", F.concat(F.lit("missing dependency "), "depends_on").alias("problem")
     )
-    walks = cut_lineage(links.join(known, ["workflow", "depends_on"], "left_semi"))
-    # walks of 1, 2, 4, ... links back; one with as many links as a workflow has steps meets a cycle
-    most = steps.groupBy("workflow").agg(F.count_distinct("step").alias("n")).agg(F.max("n")).first()[0] or 0
-    length = 1
-    while length < most and not walks.isEmpty():
-        behind = walks.select("workflow", F.col("step").alias("depends_on"), F.col("depends_on").alias("_far"))
-        walks = cut_lineage(
-            walks.join(behind, ["workflow", "depends_on"]).select("workflow", "step", F.col("_far").alias("depends_on")).distinct()
-        )
-        length *= 2
-    stuck = walks.select("workflow", "step", F.lit("cycle").alias("problem")).distinct()
+    stuck = cycles_of(links).select("workflow", "step", F.lit("cycle").alias("problem"))
     return unknown.unionByName(missing).unionByName(stuck)
