@@ -16,12 +16,32 @@ from treeline.operators.telemetry import SETS_STATUS, TOGGLES
 
 _ENDS = ("complete", "fail", "cancel")
 _NONE = -(1 << 62)
+#: Groups that ids are dealt into. A call of the function handles a whole group, since a call
+#: for each id takes far longer than its events do; it rewrites the states of its group.
+GROUPS = 1280
 
 
 def _ordered(stream: DataFrame, order: Sequence[str], lateness: str, *rest: str) -> DataFrame:
-    """id, ts, the place of each row (microseconds first, as JSON) and ``rest``."""
+    """group, id (as text), ts, the place of each row (microseconds first, as JSON) and ``rest``."""
     place = F.to_json(F.array(*[(F.unix_micros(c) if c == "ts" else F.col(c)).cast("bigint") for c in order]))
-    return stream.withWatermark("ts", lateness).select("id", "ts", place.alias("place"), *rest)
+    group = F.pmod(F.xxhash64("id"), F.lit(GROUPS)).cast("int")
+    return stream.withWatermark("ts", lateness).select(
+        group.alias("group"), F.col("id").cast("string").alias("id"), "ts", place.alias("place"), *rest)
+
+
+def _held(state: GroupState) -> dict:
+    """The states of a group's ids, which may be null."""
+    return {key: rest for key, *rest in json.loads(state.get[0])} if state.exists else {}
+
+
+def _hold(state: GroupState, held: dict, timers: list[int]) -> None:
+    """Keep the states of a group's ids and wake up for the first of their timers."""
+    if held:
+        state.update((json.dumps([[key, *rest] for key, rest in held.items()]),))
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers), state.getCurrentWatermarkMs()))
+    elif state.exists:
+        state.remove()
 
 
 def retained_status(
@@ -37,49 +57,57 @@ def retained_status(
     """
     age = max_age // timedelta(milliseconds=1)
 
-    def later(mark: str | None, place: str, kind: str) -> str:
-        old = json.loads(mark) if mark else None
-        new = [json.loads(place), kind]
-        return mark if old and old[0] >= new[0] else json.dumps(new)
+    def later(mark: list | None, place: list, kind: str) -> list:
+        return mark if mark and mark[0] >= place else [place, kind]
 
-    def status_of(last_set: str | None, last_toggle: str | None) -> str:
+    def status_of(last_set: list | None, last_toggle: list | None) -> str:
         if last_set is None:
             return "pending"
-        at, kind = json.loads(last_set)
+        at, kind = last_set
         if kind == "start" and last_toggle:
-            toggled, how = json.loads(last_toggle)
+            toggled, how = last_toggle
             if toggled > at and how == "pause":
                 return "paused"
         return SETS_STATUS[kind]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_set, last_toggle, end, count = state.get if state.exists else (None, None, None, 0)
-        evicted = state.hasTimedOut
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _held(state)  # by id: last set, last toggle, end, count, when it is to leave
+        now = state.getCurrentWatermarkMs()
+        touched: dict = {}
         for rows in batches:
-            count += len(rows)
-            for place, kind in zip(rows["place"], rows["kind"]):
+            for key, place, kind in zip(rows["id"], rows["place"], rows["kind"]):
+                of = touched.get(key)
+                if of is None:
+                    of = touched[key] = held.get(key) or [None, None, None, 0, None]
+                of[3] += 1
                 if kind in SETS_STATUS:
-                    last_set = later(last_set, place, kind)
+                    place = json.loads(place)
+                    of[0] = later(of[0], place, kind)
+                    if kind in _ENDS:
+                        of[2] = max(of[2] or 0, place[0])
                 elif kind in TOGGLES:
-                    last_toggle = later(last_toggle, place, kind)
-                if kind in _ENDS:
-                    end = max(end or 0, json.loads(place)[0])
-        status = status_of(last_set, last_toggle)
-        over = status not in ("pending", "running", "paused")
-        if evicted:
-            state.remove()
-        else:
-            state.update((last_set, last_toggle, end, count))
-            if over:
-                state.setTimeoutTimestamp(max(end // 1000 + age, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "events": [count], "end_us": [end if over else _NONE], "evicted": [evicted]})
+                    of[1] = later(of[1], json.loads(place), kind)
+        out = []
+        for key, of in list(held.items()):
+            if key not in touched and of[4] is not None and of[4] < now:
+                out.append((key, status_of(of[0], of[1]), of[3], of[2], True))
+                del held[key]
+        for key, of in touched.items():
+            status = status_of(of[0], of[1])
+            over = status not in ("pending", "running", "paused")
+            of[4] = max(of[2] // 1000 + age, now + 1) if over else None
+            out.append((key, status, of[3], of[2] if over else _NONE, False))
+        held.update(touched)
+        _hold(state, held, [of[4] for of in held.values() if of[4] is not None])
+        if out:
+            yield pd.DataFrame(out, columns=["id", "status", "events", "end_us", "evicted"])
 
     given = _ordered(stream, order, lateness, "kind")
-    kind = given.schema["id"].dataType.simpleString()
-    found = given.groupBy("id").applyInPandasWithState(
-        run, f"id {kind}, status string, events bigint, end_us bigint, evicted boolean",
-        "last_set string, last_toggle string, end bigint, count bigint", "update", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumn("end_us", F.when(F.col("end_us") != _NONE, F.col("end_us")))
+    found = given.groupBy("group").applyInPandasWithState(
+        run, "id string, status string, events bigint, end_us bigint, evicted boolean",
+        "held string", "update", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("id", F.col("id").cast(stream.schema["id"].dataType)).withColumn(
+        "end_us", F.when(F.col("end_us") != _NONE, F.col("end_us")))
 
 
 def running_report(
@@ -94,37 +122,46 @@ def running_report(
     """
     step = interval // timedelta(microseconds=1)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, tick, waiting = (json.loads(x) for x in state.get) if state.exists else (None, None, [])
-        for rows in batches:
-            waiting += [[json.loads(p), s] for p, s in zip(rows["place"], rows["status"])]
-        waiting.sort()
-        passed = max(state.getCurrentWatermarkMs(), 0) * 1000
+    def reported(key: str | None, of: list, passed: int) -> tuple[list, list | None]:
+        """The rows of the intervals that have passed, and what stays of the state, if anything."""
+        last, tick, waiting = of
         out, taken = [], 0
-        if waiting:
-            first = waiting[0][0][0] // step * step + step
-            running = last is not None and last[1] == "running"
-            tick = first if tick is None or not running else min(tick, first)
         while tick is not None and tick <= passed:
             before = taken
             while taken < len(waiting) and waiting[taken][0][0] < tick:
                 last, taken = waiting[taken], taken + 1
             if last[1] == "running":
-                out.append((tick - step, key[0], taken - before, last[0][0]))
+                out.append((tick - step, key, taken - before, last[0][0]))
                 tick += step
             else:  # on to the next sample, if there is one
                 tick = waiting[taken][0][0] // step * step + step if taken < len(waiting) else None
-        waiting = waiting[taken:]
-        if tick is None:
-            state.remove()
-        else:
-            state.update(tuple(json.dumps(x) for x in (last, tick, waiting)))
-            state.setTimeoutTimestamp(max(tick // 1000, state.getCurrentWatermarkMs() + 1))
+        return out, None if tick is None else [last, tick, waiting[taken:]]
+
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _held(state)  # by id: last sample, end of the next interval, samples not yet counted
+        now = max(state.getCurrentWatermarkMs(), 0)
+        fresh: dict = {}
+        for rows in batches:
+            for key, place, status in zip(rows["id"], rows["place"], rows["status"]):
+                fresh.setdefault(key, []).append([json.loads(place), status])
+        out = []
+        for key in [*fresh, *(k for k, of in held.items() if k not in fresh and of[1] // 1000 < now)]:
+            last, tick, waiting = held.pop(key, (None, None, []))
+            if key in fresh:
+                waiting = sorted(waiting + fresh[key])
+                first = waiting[0][0][0] // step * step + step
+                running = last is not None and last[1] == "running"
+                tick = first if tick is None or not running else min(tick, first)
+            found, rest = reported(key, [last, tick, waiting], now * 1000)
+            out += found
+            if rest is not None:
+                held[key] = rest
+        _hold(state, held, [max(of[1] // 1000, 1) for of in held.values()])
         if out:
             yield pd.DataFrame(out, columns=["window_us", "id", "samples", "last_us"])
 
     given = _ordered(stream, order, lateness, "status")
-    kind = given.schema["id"].dataType.simpleString()
-    return given.groupBy("id").applyInPandasWithState(
-        run, f"window_us bigint, id {kind}, samples bigint, last_us bigint", "last string, tick string, waiting string",
+    found = given.groupBy("group").applyInPandasWithState(
+        run, "window_us bigint, id string, samples bigint, last_us bigint", "held string",
         "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("id", F.col("id").cast(stream.schema["id"].dataType))
