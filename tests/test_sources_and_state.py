@@ -219,6 +219,38 @@ def test_silent_operations_are_reported(spark, tmp_path):
     assert sum(s["numRowsTotal"] for s in watch[-1]["stateOperators"]) == 2  # c runs, z has a sample that may still count
 
 
+def test_operations_share_the_calls_and_states_of_their_group(spark, tmp_path):
+    hour, many = 3600, 4000
+    lots = [
+        [(i, 0, "start") for i in range(many)] + [(None, 0, "start")],
+        [(i, hour, "complete") for i in range(0, many, 2)] + [(None, hour, "fail")],
+        [(1, 40 * hour, "pause")],
+        [(1, 90 * hour, "resume")],
+    ]
+    watch = []
+    stream = _lots(spark, tmp_path, lots, "id bigint, t bigint, kind string")
+    updates = progress.run_available(keyed.retained_status(stream, timedelta(hours=10), "20 hours"), "update", "shared", watch).collect()
+    assert 0 < max(s["numRowsTotal"] for p in watch for s in p["stateOperators"]) <= keyed.GROUPS < many
+    gone = [r.id for r in updates if r.evicted]
+    assert len(gone) == many // 2 + 1 and set(gone) == {None, *range(0, many, 2)}
+    last = {r.id: r.status for r in sorted(updates, key=lambda r: r.batch)}
+    assert all(last[i] == ("completed" if i % 2 == 0 else "running") for i in range(many)) and last[None] == "failed"
+
+
+def test_reports_of_operations_that_share_a_group(spark, tmp_path):
+    many = 4000
+    lots = [[(i, 5, "running") for i in range(many)] + [(None, 5, "running")], [(i, 12, "idle") for i in range(1, many)], [(0, 58, "idle"), (1, 90, "idle")], [(2, 95, "idle")]]
+    watch = []
+    stream = _lots(spark, tmp_path, lots, "id bigint, t bigint, status string")
+    report = keyed.running_report(stream, timedelta(seconds=10), "20 seconds")
+    rows = progress.run_available(report, "append", "shared-report", watch).collect()
+    got = sorted((-1 if r.id is None else r.id, r.window_us // 1_000_000 - BASE, r.samples) for r in rows)
+    silent = [(w, int(w == 0)) for w in range(0, 70, 10)]
+    want = [(-1, *x) for x in silent] + [(0, *x) for x in silent[:5]] + [(i, 0, 1) for i in range(1, many)]
+    assert [r for r in got if r[1] < 60] == sorted(r for r in want if r[1] < 60)
+    assert 0 < max(s["numRowsTotal"] for p in watch for s in p["stateOperators"]) <= keyed.GROUPS < many
+
+
 def test_keys_are_looked_up_not_read_again(spark, tmp_path):
     rng = random.Random(7)
     lots = [[(rng.randrange(300), i) for _ in range(100)] for i in range(20)]
