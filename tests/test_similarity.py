@@ -49,6 +49,29 @@ def test_top_k(spark, cloud, block_rows, rows_per_cell):
     assert {(r["id"], r["neighbor"], r["rank"]) for r in got} == want
 
 
+def test_vectors_move_once_per_block_that_they_meet(spark, monkeypatch):
+    points = np.random.default_rng(5).normal(size=(3000, 8))
+    vecs = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>")
+    asked, real = [], vectors._blocks
+
+    def kept(placed, *rest):
+        asked.append(placed)
+        return real(placed, *rest)
+
+    monkeypatch.setattr(vectors, "_blocks", kept)
+    pairs = vectors.similar_pairs(vecs, 0.5, rows_per_cell=300)
+    # a row per vector, however many of the ten cells it visits, and floats as they were given
+    assert asked[0].count() == 3000 and asked[0].schema["vec"].dataType.simpleString() == "array<float>"
+    assert asked[0].selectExpr("max(size(cells))").first()[0] == 10
+    real_cosines = cosines(points.astype(np.float32).astype(np.float64))
+    assert pairs.count() == int((np.triu(real_cosines, 1) >= 0.5).sum())
+
+
+def test_nearest_come_from_all_tiles(spark, cloud, monkeypatch):
+    monkeypatch.setattr(vectors, "_TILE", 9)
+    test_top_k(spark, cloud, 64, 100_000)
+
+
 def test_ids_may_be_paths(spark, cloud):
     cloud = as_table(spark, cloud)
     named = cloud.withColumn("vec_id", F.concat(F.lit("/f/"), F.lpad(F.col("vec_id").cast("string"), 6, "0")))
