@@ -203,6 +203,49 @@ def test_a_group_costs_as_many_comparisons_as_it_has_texts(spark, monkeypatch):
     assert sum(asked) <= 2 * groups * members
 
 
+def test_places_rule_out_pairs_before_whole_sets_move(spark, monkeypatch):
+    common = [f"c{i}" for i in range(90)]
+    docs = spark.createDataFrame([(k, " ".join([f"{k}own{i}" for i in range(12)] + common)) for k in range(2)], "doc_id bigint, text string")
+    asked, real = [], texts._verified
+
+    def counted(candidates, *rest):
+        asked.append(candidates.count())
+        return real(candidates, *rest)
+
+    monkeypatch.setattr(texts, "_verified", counted)
+    assert texts.near_duplicate_pairs(docs, 0.85).count() == 0 and texts.near_duplicate_forest(docs, 0.85).count() == 0
+    assert not any(asked)  # their prefixes meet in four shingles, but 88 of 112 in all are too few
+    near = texts.near_duplicate_pairs(docs, 0.75).collect()
+    assert [(r.a, r.b, r.similarity) for r in near] == [(0, 1, 88 / 112)]
+
+
+def test_an_id_with_several_texts_loses_no_pair(spark):
+    rnd = random.Random(23)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(60):
+        near = list(base)
+        for _ in range(rnd.randrange(6)):
+            near[rnd.randrange(60)] = f"x{rnd.randrange(400)}"
+        rows.append((rnd.randrange(20), " ".join(near[: rnd.choice([20, 60])])))
+    sets = [(i, {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)}) for i, t in rows]
+    want = {(i, j) for (i, x), (j, y) in itertools.product(sets, sets) if i < j and len(x & y) >= 0.6 * len(x | y)}
+    got = texts.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), 0.6).collect()
+    assert {(r.a, r.b) for r in got} <= want
+    least = {t: min(i for i, u in rows if u == t) for _, t in rows}
+    kept = [(i, x) for (i, x), (_, t) in zip(sets, rows) if least[t] == i]
+    assert {(i, j) for (i, x), (j, y) in itertools.product(kept, kept) if i < j and len(x & y) >= 0.6 * len(x | y)} <= {(r.a, r.b) for r in got}
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    from treeline.catalog import similarity_queries as queries
+
+    rows = [(1, "aab Zz.,9 é界a"), (2, ""), (3, None), (None, "A" * 5000)]
+    given = spark.createDataFrame(rows, "id bigint, text string")
+    got = given.mapInArrow(queries._letter_counts, "id bigint, v array<bigint>").collect()
+    assert {r.id: r.v for r in got} == {i: [(t or "").count(c) for c in queries._CELLS] for i, t in rows}
+
+
 def test_clusters_hold_all_copies(spark, corpus):
     docs = spark.createDataFrame(corpus, "doc_id bigint, text string")
     pairs = texts.near_duplicate_pairs(docs, 0.5).cache()

@@ -16,6 +16,8 @@ WORDS = 3
 _POSTINGS_PER_TASK = 20_000
 #: Buckets of the corpus-wide shingle counts that order the shingles: half a megabyte.
 _BUCKETS = 1 << 16
+#: Buckets of ids by which a scan skips texts that no candidate needs; a table of them is broadcast.
+_ID_BUCKETS = 1 << 20
 
 
 def tokens(text: Column | str) -> Column:
@@ -76,20 +78,30 @@ def _levels(sets: DataFrame) -> bytes:
 
 def _prefixes(
     docs: DataFrame, threshold: float, id_col: str, text_col: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shingle sets of all texts, (id, copies) of the distinct ones, and the postings
-    (id, n, h) of their rarest shingles, not yet stored: two texts at the threshold share
-    one of them."""
-    sets = cut_lineage(shingle_sets(docs, id_col, text_col))
+) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(id, text) of all texts, (id, copies) of the distinct ones, and the postings
+    (id, n, place, h) of their rarest shingles, those of copies too and not yet stored: two texts at the
+    threshold share one of them. Last the threshold by which places rule out pairs of ids: 0,
+    that is none, if an id has several texts, whose postings would be taken for those of one.
+
+    Shingle sets take more room than the texts, so every job computes those it needs.
+    """
+    sets = shingle_sets(docs, id_col, text_col)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = once(named, _w=tokens("text")).filter(F.size("_w") > 0)
+    keyed = words.select("id", F.sha2(F.array_join("_w", " "), 256).alias("words"))
     reps = cut_lineage(
-        sets.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+        keyed.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
     )
+    text = F.xxhash64("words")
+    several = keyed.groupBy("id").agg(F.min(text).alias("x"), F.max(text).alias("y")).filter("x <> y")
+    bound = threshold if several.isEmpty() else 0.0
     levels = F.lit(_levels(sets))
     ordered = F.sort_array(F.transform("hashes", lambda h: F.struct(
         F.substr(levels, (F.pmod(h, F.lit(_BUCKETS)) * 2 + 1).cast("int"), F.lit(2)).alias("c"), h.alias("h"))))
     reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    heads = sets.select("id", "n", F.explode(F.slice(ordered, F.lit(1), reach)).alias("s"))
-    return sets, reps, heads.select("id", "n", F.col("s.h").alias("h")).join(reps, "id", "left_semi")
+    heads = sets.select("id", "n", F.posexplode(F.slice(ordered, F.lit(1), reach)).alias("at", "s"))
+    return named, reps, heads.select("id", "n", "at", F.col("s.h").alias("h")), bound
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -103,22 +115,43 @@ def _alike(n: Column | str, m: Column | str, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
 
 
-def _verified(
-    candidates: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, limit: int
-) -> DataFrame:
-    """Those of the candidates (a, b) that reach the threshold, by their whole sets. A text
-    in very many candidates is spread over tasks."""
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    judged = sets.join(asked, "id", "left_semi").join(reps, "id")
+def _can_reach(met: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Of pairs of postings (l_n, l_at, r_n, r_at), the pairs by these columns that can reach the
+    threshold, with ``times``, how many they are. All that two texts share up to the last shingle
+    of these is among them, and behind it either text has only so many more."""
+    pairs = met.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("times"),
+        F.min(F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) - 1).alias("_more"),
+        F.max(F.col("l_n") + F.col("r_n")).alias("_both"),
+    )
+    enough = F.col("times") + F.col("_more") >= F.lit(threshold / (1 + threshold)) * F.col("_both") - 1e-6
+    return pairs.filter(enough).drop("_more", "_both")
 
-    def side(x: str) -> DataFrame:
-        names = (("id", x), ("hashes", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
-        often = candidates.groupBy(x).agg(F.count(F.lit(1)).alias(f"_rows_{x}"))
-        return judged.select(*[F.col(c).alias(out) for c, out in names]).join(often, x)
 
+def _maybe_among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with these ids and few others, found by the scan. What is broadcast is at
+    most a number for each bucket, however many ids there are."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(_ID_BUCKETS)).cast("int").alias("_bucket")
+    table = F.broadcast(ids.select(bucket).distinct())
+    return texts.select("*", bucket).join(table, "_bucket", "left_semi").drop("_bucket")
+
+
+def _verified(
+    candidates: DataFrame, named: DataFrame, reps: DataFrame, threshold: float, limit: int
+) -> DataFrame:
+    """Those of the candidates (a, b) that reach the threshold, by their whole sets, which are
+    computed for the texts in candidates. A text in very many candidates is spread over tasks."""
     both = candidates.select("a", "b")
     for x, other in (("a", "b"), ("b", "a")):
-        both = skew_join(both, side(x), [x], "inner", [other], limit, rows_per_key=f"_rows_{x}")
+        often = candidates.groupBy(F.col(x).alias("id")).agg(F.count(F.lit(1)).alias("_rows"))
+        known = often.join(reps, "id")
+        asked = shingle_sets(_maybe_among(named, often), "id", "text")
+        judged = asked.select("id", "hashes", "n").join(known, "id")
+        names = (("id", x), ("hashes", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
+        hot = often.filter(F.col("_rows") > limit).select(
+            F.col("id").alias(x), F.ceil(F.col("_rows") / limit).cast("int").alias("_slots"))
+        side = judged.select(*[F.col(c).alias(out) for c, out in names])
+        both = skew_join(both, side, [x], "inner", [other], limit, hot=hot)
     common_count = F.size(F.array_intersect("set_a", "set_b"))
     jaccard = F.col("_common") / (F.col("n_a") + F.col("n_b") - F.col("_common"))
     return (
@@ -139,49 +172,60 @@ def near_duplicate_pairs(
     """All pairs (a < b) of distinct texts with Jaccard >= threshold, once each, with the
     number of copies of either side. Texts without a word are in no pair.
 
-    Texts are read once; from then on only hashes of their shingles move. A pair at the
+    Only hashes of shingles move: the postings, then the sets of texts in candidates. A pair at the
     threshold shares one of the first n - ceil(t*n) + 1 shingles of either text in any order
     that is the same for all, so only those are joined; rare ones come first, by counts per
     bucket. Exact up to equal 64-bit hashes: nothing is capped or sampled.
     """
-    sets, reps, prefix = _prefixes(docs, threshold, id_col, text_col)
-    prefix = cut_lineage(prefix)
+    spark = docs.sparkSession
+    named, reps, prefix, bound = _prefixes(docs, threshold, id_col, text_col)
+    all_path, met_path = scratch(spark, "postings"), scratch(spark, "met-postings")
+    prefix = _stored(_met(_stored(prefix, all_path), reps, limit), met_path)
+    discard(spark, all_path)
 
     def possible(left: str, right: str) -> Column:
         return (F.col(left + "id") < F.col(right + "id")) & _alike(left + "n", right + "n", threshold)
 
-    candidates = cut_lineage(
-        skew_self_join(prefix, ["h"], possible, ["id"], limit)
-        .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-        .distinct()
-    )
-    return _verified(candidates, sets, reps, threshold, limit)
+    met = skew_self_join(prefix, ["h"], possible, ["id"], limit).withColumnsRenamed({"l_id": "a", "r_id": "b"})
+    candidates = cut_lineage(_can_reach(met, ["a", "b"], bound).select("a", "b"))
+    discard(spark, met_path)
+    return _verified(candidates, named, reps, threshold, limit)
+
+
+def _met(prefix: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
+    """Postings of distinct texts whose shingle another row has too. Most have not, so these
+    are looked up by counts before anything is joined by id."""
+    counts = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    met = skew_join(prefix, counts, ["h"], "inner", ["id"], limit, rows_per_key="rows").drop("rows")
+    return met.join(reps.select("id"), "id", "left_semi")
 
 
 def _shared_postings(prefix: DataFrame, limit: int) -> DataFrame:
-    """Postings whose shingle another text has too, with the least (id, n) of their list."""
+    """Postings whose shingle another text has too, with the least (id, n, place) of their list."""
     lists = (
-        prefix.groupBy("h").agg(F.min(F.struct("id", "n")).alias("centre"), F.count(F.lit(1)).alias("rows"))
+        prefix.groupBy("h").agg(F.min(F.struct("id", "n", "at")).alias("centre"), F.count(F.lit(1)).alias("rows"))
         .filter("rows > 1")
     )
     return skew_join(prefix, lists, ["h"], "inner", ["id"], limit, rows_per_key="rows").drop("rows")
 
 
-def _star_candidates(shared: DataFrame, threshold: float) -> DataFrame:
+def _star_candidates(shared: DataFrame, threshold: float, bound: float) -> DataFrame:
     """One candidate (a < b) per text: with the least id of its lists that it meets most often."""
     met = shared.filter((F.col("id") != F.col("centre.id")) & _alike("n", "centre.n", threshold))
-    times = met.groupBy("id", F.col("centre.id").alias("centre")).agg(F.count(F.lit(1)).alias("times"))
+    sides = met.select("id", F.col("centre.id").alias("centre"), F.col("n").alias("l_n"), F.col("at").alias("l_at"),
+                       F.col("centre.n").alias("r_n"), F.col("centre.at").alias("r_at"))
+    times = _can_reach(sides, ["id", "centre"], bound)
     best = times.groupBy("id").agg(F.max(F.struct("times", "centre")).alias("best"))
     return best.select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
 
 
 def _candidates_between(
-    shared: DataFrame, linked: DataFrame, tried: DataFrame, threshold: float, limit: int
+    shared: DataFrame, linked: DataFrame, tried: DataFrame, threshold: float, bound: float, limit: int
 ) -> DataFrame:
     """Candidates (a < b) whose texts are in different components and that are not among the
     tried ones. Lists whose texts are all in one component fall out before they are joined."""
     groups = shared.join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "h", "id", "n", F.coalesce("component", "id").alias("group")
+        "h", "id", "n", "at", F.coalesce("component", "id").alias("group")
     )
     mixed = groups.groupBy("h").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most")
     left = groups.join(mixed, "h", "left_semi")
@@ -190,8 +234,8 @@ def _candidates_between(
         apart = F.col(x + "group") != F.col(y + "group")
         return (F.col(x + "id") < F.col(y + "id")) & apart & _alike(x + "n", y + "n", threshold)
 
-    found = skew_self_join(left, ["h"], possible, ["id"], limit).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+    found = skew_self_join(left, ["h"], possible, ["id"], limit).withColumnsRenamed({"l_id": "a", "r_id": "b"})
+    return _can_reach(found, ["a", "b"], bound).select("a", "b").join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicate_forest(
@@ -210,15 +254,17 @@ def near_duplicate_forest(
     left out.
     """
     spark = docs.sparkSession
-    all_path, shared_path = scratch(spark, "postings"), scratch(spark, "shared-postings")
-    sets, reps, prefix = _prefixes(docs, threshold, id_col, text_col)
-    shared = _stored(_shared_postings(_stored(prefix, all_path), limit), shared_path)
+    all_path, met_path, shared_path = (scratch(spark, x) for x in ("postings", "met-postings", "shared-postings"))
+    named, reps, prefix, bound = _prefixes(docs, threshold, id_col, text_col)
+    met = _stored(_met(_stored(prefix, all_path), reps, limit), met_path)
     discard(spark, all_path)
-    tried = cut_lineage(_star_candidates(shared, threshold))
-    near = cut_lineage(_verified(tried, sets, reps, threshold, limit))
-    between = cut_lineage(_candidates_between(shared, components(near), tried, threshold, limit))
+    shared = _stored(_shared_postings(met, limit), shared_path)
+    discard(spark, met_path)
+    tried = cut_lineage(_star_candidates(shared, threshold, bound))
+    near = cut_lineage(_verified(tried, named, reps, threshold, limit))
+    between = cut_lineage(_candidates_between(shared, components(near), tried, threshold, bound, limit))
     discard(spark, shared_path)
-    return near.unionByName(_verified(between, sets, reps, threshold, limit))
+    return near.unionByName(_verified(between, named, reps, threshold, limit))
 
 
 def near_duplicate_clusters(
