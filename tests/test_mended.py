@@ -1,6 +1,9 @@
 """Cases off the given tables that were once wrong."""
 
+import math
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from treeline.operators import content, dedup, ownership, snapshot, tree
 from treeline.plans.registry import builtin_registry
 from treeline.plans.workflow import validate_workflows
+from treeline.skew import skew_join
 from treeline.sources import listing, tables
 from treeline.streaming import progress
 
@@ -158,3 +162,36 @@ def test_classifier_on_labels_left_out(spark):
     model = content.train_classifier(docs, labels.filter("doc_id % 5 <> 0"))
     got = content.classify_content(docs, model).join(labels.filter("doc_id % 5 = 0").withColumnRenamed("doc_id", "id"), "id").collect()
     assert sum(r["class"] == r.quality for r in got) >= 0.85 * len(got)
+
+
+def _plain_keywords(rows, k):
+    words = {}
+    for key, text in rows:
+        words.setdefault(key, Counter()).update((text or "").lower().split())
+    df = Counter(t for of in words.values() for t in of)
+    best = []
+    for key, of in words.items():
+        scored = sorted((-round(tf * math.log(len(rows) / df[t]), 9), t, tf) for t, tf in of.items())
+        best += [(key, t, tf, df[t], rank) for rank, (_, t, tf) in enumerate(scored[:k], 1)]
+    return sorted(best, key=str)
+
+
+@pytest.mark.parametrize("frequent", [0, 4, 1000])
+def test_keywords_shuffle_only_terms_that_may_be_best(spark, monkeypatch, frequent):
+    pick = random.Random(7)
+    common = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(pick.choices(common, range(40, 0, -1), k=60)) + f" rare{i} Rare{i} rare{i} " + "x" * (70 + i % 2)) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "one"), (3, "again and Again"), (None, "w1 nothing"), (None, "w1 none"), (103, "a b c d e f g")]
+    joined = []
+
+    def spying(left, *args, **kwargs):
+        joined.append(left.count())
+        return skew_join(left, *args, **kwargs)
+
+    monkeypatch.setattr(content, "skew_join", spying)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.term, r.tf, r.df, r["rank"]) for r in content.keywords(docs, 3, frequent=frequent).collect()]
+    assert sorted(got, key=str) == _plain_keywords(rows, 3)
+    every = sum(len(set((t or "").lower().split())) for _, t in rows)
+    if frequent == 1000:
+        assert joined[0] < every / 3
