@@ -2,6 +2,7 @@
 
 import random
 
+from treeline.plans import cycles
 from treeline.plans.cycles import workflow_cycles
 
 _STEPS, _LINKS = "workflow string, step string", "workflow string, step string, depends_on string"
@@ -74,3 +75,21 @@ def test_nulls_and_nothing(spark):
     links = [(None, "a", "a"), ("w", None, "a"), ("w", "a", None), ("w", "a", "gone"), ("w", "b", "b")]
     assert _found(spark, [("w", "a"), ("w", "b"), (None, "a"), ("w", None)], links) == [("w", "b", "b")]
     assert _found(spark, [], []) == [] == _found(spark, [], [], links_per_task=0)
+
+
+def test_tasks_hold_a_limited_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "_ROWS", 20)
+    steps, links = _random(4, 200)
+    given = spark.createDataFrame(steps, _STEPS), spark.createDataFrame(links, _LINKS)
+    checked = cycles.with_known(*given)
+    assert checked.rdd.getNumPartitions() >= (len(steps) + len(links)) // 20
+    found = cycles.cycles_of(checked)
+    assert found.rdd.getNumPartitions() >= checked.filter("known").count() // 20
+    assert sorted(map(tuple, found.collect()), key=str) == _plain(steps, links)
+
+
+def test_a_step_that_very_many_wait_for(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "ROWS_PER_TASK", 10)
+    steps, links = _random(5, 30)
+    steps, links = steps + [("hub", f"s{i}") for i in range(60)], links + [("hub", f"s{i}", "s0") for i in range(60)] + [("hub", "s0", "gone")]
+    assert _found(spark, steps, links + links) == _plain(steps, links)

@@ -12,11 +12,11 @@ from treeline.catalog.tree_queries import _EMPTY_SQL
 from treeline.catalog import data
 from treeline.functions import labels
 from treeline.operators import audit
-from treeline.plans.cycles import workflow_cycles
+from treeline.plans.cycles import dealt, workflow_cycles
 from treeline.plans.registry import builtin_registry, expose
 from treeline.plans.workflow import run_workflow, validate_workflows
 from treeline.schema import OPERATION_RESULT
-from treeline.session import scratch
+from treeline.session import cut_lineage, scratch
 from treeline.skew import skew_join
 from treeline.sources import listing, tables
 from treeline.sources.chunks import mounted, read_files, whole_digests
@@ -89,9 +89,12 @@ _BACK_SQL = """known AS (SELECT d.* FROM deps d JOIN steps s ON d.workflow = s.w
 
 
 def _workflows(spark, sf_dir):
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("n"))
+    given = table(spark, sf_dir, "lineitem")
+    # grouped in tasks of a limited number of rows, and once for all three tables
+    lines = cut_lineage(
+        dealt(given.select(F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("n"), "l_partkey", "l_returnflag"),
+              given.count(), ["workflow", "n"])
+        .groupBy("workflow", "n")
         .agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
     )
     step = F.concat(F.lit("s"), "n").alias("step")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from treeline.session import cut_lineage
-from treeline.skew import ROWS_PER_TASK, skew_join
+from treeline.skew import ROWS_PER_TASK, hot_keys, skew_join
 
 #: Links of one workflow that a task holds; longer workflows are taken apart over all tasks.
 LINKS_PER_TASK = 200_000
+#: Rows of steps and links that a task handles: tables are dealt by their rows, since the few bytes that
+#: such rows take in a shuffle say little about the memory they need.
+_ROWS = 500_000
 
 
 def _stuck(links: list[tuple]) -> dict:
@@ -184,12 +187,26 @@ def _over_all_tasks(links: DataFrame, limit: int) -> DataFrame:
     return stuck.join(cycles.select("workflow", F.col("node").alias("step"), F.col("colour").alias("cycle")), ["workflow", "step"], "left")
 
 
+def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """``df`` by hash of its keys, in tasks of about ``_ROWS`` of its ``rows`` rows."""
+    return df.repartition(max(rows // _ROWS + 1, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def with_known(steps: DataFrame, dependencies: DataFrame) -> DataFrame:
     """The distinct links (workflow, step, depends_on), with ``known`` true where the workflow
     has the step that is needed and null where not; written once, as they are read more often."""
-    known = steps.select("workflow", F.col("step").alias("depends_on")).distinct().withColumn("known", F.lit(True))
-    links = dependencies.select(*_LINK).distinct()
-    return cut_lineage(links.join(known, ["workflow", "depends_on"], "left").select(*_LINK, "known"))
+    on = ["workflow", "depends_on"]
+    rows = steps.count() + dependencies.count()
+    known = dealt(steps.select("workflow", F.col("step").alias("depends_on")), rows, on).distinct().withColumn("known", F.lit(True))
+    hot = None
+    if rows > ROWS_PER_TASK:  # steps that very many wait for
+        hot = cut_lineage(hot_keys(dealt(dependencies.select(*on), rows, on), on, ROWS_PER_TASK))
+    if hot is None or hot.isEmpty():
+        links = dealt(dependencies.select(*_LINK), rows, on).distinct().join(known, on, "left")
+    else:
+        links = dealt(dependencies.select(*_LINK), rows, _LINK).distinct()
+        links = skew_join(links, known, on, "left", ["step"], hot=hot)
+    return cut_lineage(links.select(*_LINK, "known"))
 
 
 def workflow_cycles(
@@ -211,13 +228,14 @@ def workflow_cycles(
 def cycles_of(checked: DataFrame, links_per_task: int = LINKS_PER_TASK, limit: int = ROWS_PER_TASK) -> DataFrame:
     """The same from links as ``with_known`` returns them."""
     links = checked.filter("known AND step IS NOT NULL").select(*_LINK)
-    sizes = links.groupBy("workflow").agg(F.count(F.lit(1)).alias("n"))
+    rows = links.count()
+    sizes = dealt(links.select("workflow"), rows, ["workflow"]).groupBy("workflow").agg(F.count(F.lit(1)).alias("n"))
     long = sizes.filter(F.col("n") > links_per_task).select("workflow")
     kinds = links.schema
     schema = StructType([kinds["workflow"], kinds["step"], StructField("cycle", kinds["step"].dataType)])
     some = not long.isEmpty()
     short = links.join(long, "workflow", "left_anti").select(*_LINK) if some else links
-    found = short.repartition("workflow").sortWithinPartitions("workflow").mapInArrow(_in_order, schema)
+    found = dealt(short, rows, ["workflow"]).sortWithinPartitions("workflow").mapInArrow(_in_order, schema)
     if not some:
         return found
     return found.unionByName(_over_all_tasks(cut_lineage(links.join(long, "workflow", "left_semi").select(*_LINK)), limit))
