@@ -251,6 +251,53 @@ def test_reports_of_operations_that_share_a_group(spark, tmp_path):
     assert 0 < max(s["numRowsTotal"] for p in watch for s in p["stateOperators"]) <= keyed.GROUPS < many
 
 
+def _reports(samples, step, end):
+    """What running_report is to say of (id, t, status) up to the interval end ``end``."""
+    out, by_id = [], {}
+    for key, t, status in samples:
+        by_id.setdefault(key, []).append((t, status))
+    for key, got in by_id.items():
+        for tick in range(min(got)[0] // step * step + step, end + 1, step):
+            last = max((x for x in got if x[0] < tick), key=lambda x: (x[0], x[1] or ""))
+            if last[1] == "running":
+                out.append((str(key), tick - step, sum(tick - step <= t < tick for t, _ in got), last[0]))
+    return sorted(out)
+
+
+def _said(rows):
+    return sorted((str(r.id), r.window_us // 1_000_000 - BASE, r.samples, r.last_us // 1_000_000 - BASE) for r in rows)
+
+
+def test_reports_of_late_and_equal_samples(spark, tmp_path):
+    rng = random.Random(11)
+    lots = []
+    for n in range(5):
+        places = [(rng.choice([None, *range(30)]), rng.randrange(max(0, 200 * n - 300), 200 * n + 200)) for _ in range(400)]
+        lots.append([(k, t, rng.choice(["running", "running", "idle", "stopped"]) if t % 7 else None) for k, t in places])
+    lots.append([(99, 2003, "idle")])
+    stream = _lots(spark, tmp_path, lots, "id bigint, t bigint, status string")
+    report = keyed.running_report(stream, timedelta(seconds=10), "500 seconds")
+    rows = progress.run_available(report, "append", "late-report").collect()
+    assert _said(rows) == _reports([x for lot in lots for x in lot], 10, 1500)
+
+
+def test_silence_leaves_the_function_as_one_row(spark, tmp_path):
+    lots = [[(1, 5, "running"), (2, 7, "running"), (2, 95_004, "idle"), (3, 8, "idle")], [(1, 200_000, "idle")]]
+    stream = _lots(spark, tmp_path, lots, "id bigint, t bigint, status string")
+    report = keyed.running_report(stream, timedelta(seconds=10), "15 seconds")
+    assert "Generate explode(sequence" in report._jdf.queryExecution().analyzed().toString()
+    rows = progress.run_available(report, "append", "silence").collect()
+    assert len(rows) > 5 * keyed.RUN and _said(rows) == _reports([x for lot in lots for x in lot], 10, 199_980)
+
+
+def test_sample_without_a_time_is_in_no_interval(spark, tmp_path):
+    lots = [[(1, 5, "running"), (1, None, "idle"), (2, None, "running")], [(3, 100, "idle")]]
+    stream = _lots(spark, tmp_path, lots, "id bigint, t bigint, status string")
+    report = keyed.running_report(stream, timedelta(seconds=10), "65 seconds")
+    rows = progress.run_available(report, "append", "timeless").collect()
+    assert _said(rows) == [("1", w, int(w == 0), 5) for w in (0, 10, 20)]
+
+
 def test_keys_are_looked_up_not_read_again(spark, tmp_path):
     rng = random.Random(7)
     lots = [[(rng.randrange(300), i) for _ in range(100)] for i in range(20)]

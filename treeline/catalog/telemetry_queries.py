@@ -250,7 +250,7 @@ def _(spark, sf_dir):
 def _late_stream(spark, sf_dir):
     """The events in four lots of a quarter of the time each, one per micro-batch. Every
     seventh event is in the lot after its own, so it comes late."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     own = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1))
     folder = scratch(spark, "late")

@@ -7,8 +7,9 @@ import json
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,14 +20,20 @@ _NONE = -(1 << 62)
 #: Groups that ids are dealt into. A call of the function handles a whole group, since a call
 #: for each id takes far longer than its events do; it rewrites the states of its group.
 GROUPS = 1280
+#: Windows that one row of a report stands for at most, until Spark writes them out.
+RUN = 4096
 
 
-def _ordered(stream: DataFrame, order: Sequence[str], lateness: str, *rest: str) -> DataFrame:
-    """group, id (as text), ts, the place of each row (microseconds first, as JSON) and ``rest``."""
-    place = F.to_json(F.array(*[(F.unix_micros(c) if c == "ts" else F.col(c)).cast("bigint") for c in order]))
+def _places(order: Sequence[str]) -> list[Column]:
+    """The place of each row, microseconds first."""
+    return [(F.unix_micros(c) if c == "ts" else F.col(c)).cast("bigint") for c in order]
+
+
+def _grouped(stream: DataFrame, lateness: str, *rest: str | Column) -> DataFrame:
+    """group, id (as text), ts and ``rest``."""
     group = F.pmod(F.xxhash64("id"), F.lit(GROUPS)).cast("int")
     return stream.withWatermark("ts", lateness).select(
-        group.alias("group"), F.col("id").cast("string").alias("id"), "ts", place.alias("place"), *rest)
+        group.alias("group"), F.col("id").cast("string").alias("id"), "ts", *rest)
 
 
 def _held(state: GroupState) -> dict:
@@ -102,7 +109,7 @@ def retained_status(
         if out:
             yield pd.DataFrame(out, columns=["id", "status", "events", "end_us", "evicted"])
 
-    given = _ordered(stream, order, lateness, "kind")
+    given = _grouped(stream, lateness, F.to_json(F.array(*_places(order))).alias("place"), "kind")
     found = given.groupBy("group").applyInPandasWithState(
         run, "id string, status string, events bigint, end_us bigint, evicted boolean",
         "held string", "update", GroupStateTimeout.EventTimeTimeout)
@@ -110,6 +117,43 @@ def retained_status(
         "end_us", F.when(F.col("end_us") != _NONE, F.col("end_us")))
 
 
+def _reported(running: np.ndarray, due: np.ndarray, step: int, done: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of reports up to the interval end ``done``, and the samples that run on after it.
+
+    ``running`` has the ids, times and next interval ends of last samples that run, ``due`` the
+    later samples by id and place, with the status last. A run is id, end of its first interval,
+    samples in that, time of its sample and number of intervals; only the first one has samples.
+    """
+    ends = due[:, 1] // step * step + step
+    # the last sample of each id and interval
+    last = np.flatnonzero(np.append((np.diff(due[:, 0]) != 0) | (np.diff(ends) != 0), True)[: len(due)])
+    ids = np.concatenate([running[:, 0], due[last, 0]])
+    starts = np.concatenate([running[:, 2], ends[last]])
+    times = np.concatenate([running[:, 1], due[last, 1]])
+    counts = np.concatenate([np.zeros(len(running), "int64"), np.diff(last, prepend=-1)])
+    runs = np.concatenate([np.ones(len(running), bool), due[last, -1] == 1])
+    by_time = np.lexsort((np.arange(len(ids)), starts, ids))
+    ids, starts, times, counts, runs = (x[by_time] for x in (ids, starts, times, counts, runs))
+    newest = np.append(np.diff(ids) != 0, True)[: len(ids)]
+    until = np.where(newest, done + step, np.append(starts[1:], 0)[: len(ids)])
+    found = np.column_stack([ids, starts, counts, times, (until - starts) // step])
+    on = runs & newest
+    rest = np.column_stack([ids, times, np.maximum(starts, done + step)])[on]
+    return found[runs & (until > starts)], rest
+
+
+def _rows(found: np.ndarray, names: list, step: int) -> pd.DataFrame:
+    """Runs as rows, of at most ``RUN`` windows each."""
+    pieces = -(-found[:, 4] // RUN)
+    found = np.repeat(found, pieces, axis=0)
+    before = (np.arange(len(found)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
+    return pd.DataFrame({
+        "window_us": found[:, 1] + (before - 1) * step, "id": np.array(names, object)[found[:, 0]],
+        "samples": np.where(before == 0, found[:, 2], 0), "last_us": found[:, 3],
+        "windows": np.minimum(found[:, 4] - before, RUN),
+    })
+
+
 def running_report(
     stream: DataFrame, interval: timedelta, lateness: str, order: Sequence[str] = ("ts",)
 ) -> DataFrame:
@@ -117,51 +161,65 @@ def running_report(
     silent (append mode): window_us, id, samples (in the interval) and last_us.
 
     ``stream`` has id, ts and status. A row comes when event time has passed the interval's end
-    by ``lateness``. State holds the last sample, and those of intervals that are still open;
-    that of an operation which is not running and has none goes.
+    by ``lateness``. State holds the last sample of each operation that is running, and the
+    samples of intervals that are still open. Samples without a time are in no interval.
+
+    The state of a group is its ids and two tables of numbers, which are handled as a whole.
+    Intervals without a sample leave the function as one row, however many they are.
     """
     step = interval // timedelta(microseconds=1)
-
-    def reported(key: str | None, of: list, passed: int) -> tuple[list, list | None]:
-        """The rows of the intervals that have passed, and what stays of the state, if anything."""
-        last, tick, waiting = of
-        out, taken = [], 0
-        while tick is not None and tick <= passed:
-            before = taken
-            while taken < len(waiting) and waiting[taken][0][0] < tick:
-                last, taken = waiting[taken], taken + 1
-            if last[1] == "running":
-                out.append((tick - step, key, taken - before, last[0][0]))
-                tick += step
-            else:  # on to the next sample, if there is one
-                tick = waiting[taken][0][0] // step * step + step if taken < len(waiting) else None
-        return out, None if tick is None else [last, tick, waiting[taken:]]
+    places = [f"place{i}" for i in range(len(order))]
 
     def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = _held(state)  # by id: last sample, end of the next interval, samples not yet counted
-        now = max(state.getCurrentWatermarkMs(), 0)
-        fresh: dict = {}
+        names, running, waiting = [], np.empty((0, 3), "int64"), np.empty((0, len(places) + 2), "int64")
+        if state.exists:
+            held, *tables = state.get
+            names = json.loads(held)
+            running, waiting = (np.frombuffer(t, "int64").reshape(-1, x.shape[1]) for t, x in zip(tables, (running, waiting)))
+        number = {name: i for i, name in enumerate(names)}
+        fresh = []
         for rows in batches:
-            for key, place, status in zip(rows["id"], rows["place"], rows["status"]):
-                fresh.setdefault(key, []).append([json.loads(place), status])
-        out = []
-        for key in [*fresh, *(k for k, of in held.items() if k not in fresh and of[1] // 1000 < now)]:
-            last, tick, waiting = held.pop(key, (None, None, []))
-            if key in fresh:
-                waiting = sorted(waiting + fresh[key])
-                first = waiting[0][0][0] // step * step + step
-                running = last is not None and last[1] == "running"
-                tick = first if tick is None or not running else min(tick, first)
-            found, rest = reported(key, [last, tick, waiting], now * 1000)
-            out += found
-            if rest is not None:
-                held[key] = rest
-        _hold(state, held, [max(of[1] // 1000, 1) for of in held.values()])
-        if out:
-            yield pd.DataFrame(out, columns=["window_us", "id", "samples", "last_us"])
-
-    given = _ordered(stream, order, lateness, "status")
+            ids = np.array([number.setdefault(name, len(number)) for name in rows["id"]], "int64")
+            fresh.append(np.column_stack([ids, *(rows[c].to_numpy("int64") for c in (*places, "status"))]))
+        names, known = list(number), len(waiting)
+        waiting = np.concatenate([waiting, *fresh])
+        passed = max(state.getCurrentWatermarkMs(), 0) * 1000
+        done = passed // step * step
+
+        # ids with new samples, and those whose next interval has ended
+        ends = waiting[:, 1] // step * step + step
+        following = np.full(len(names), np.iinfo("int64").max)
+        following[running[:, 0]] = running[:, 2]
+        np.minimum.at(following, waiting[:, 0], ends)
+        active = following < passed
+        active[waiting[known:, 0]] = True
+
+        due, now = active[waiting[:, 0]] & (ends <= done), active[running[:, 0]]
+        taken, waiting, ends = waiting[due], waiting[~due], ends[~due]
+        taken = taken[np.lexsort(taken.T[::-1])]  # by id, place and status
+        found, rest = _reported(running[now], taken, step, done)
+        running = np.concatenate([running[~now], rest])
+
+        if len(running) or len(waiting):
+            kept = np.union1d(running[:, 0], waiting[:, 0])
+            running[:, 0], waiting[:, 0] = (np.searchsorted(kept, x[:, 0]) for x in (running, waiting))
+            state.update((json.dumps([names[i] for i in kept]), running.tobytes(), waiting.tobytes()))
+            first = int(min(np.concatenate([running[:, 2], ends])))
+            state.setTimeoutTimestamp(max(first // 1000, 1, state.getCurrentWatermarkMs()))
+        elif state.exists:
+            state.remove()
+        if len(found):
+            yield _rows(found, names, step)
+
+    # of samples at one place the last by status counts; a null comes first
+    numbers = [F.coalesce(p, F.lit(-(1 << 63))).alias(c) for p, c in zip(_places(order), places)]
+    status = F.when(F.col("status") == "running", 1).when(F.col("status") > "running", 2).otherwise(0)
+    given = _grouped(stream.filter("ts IS NOT NULL"), lateness, *numbers, status.alias("status"))
     found = given.groupBy("group").applyInPandasWithState(
-        run, "window_us bigint, id string, samples bigint, last_us bigint", "held string",
-        "append", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumn("id", F.col("id").cast(stream.schema["id"].dataType))
+        run, "window_us bigint, id string, samples bigint, last_us bigint, windows bigint",
+        "ids string, running binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    nth = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("windows") - 1))
+    return found.withColumn("nth", nth).select(
+        (F.col("window_us") + F.col("nth") * step).alias("window_us"),
+        F.col("id").cast(stream.schema["id"].dataType).alias("id"),
+        F.when(F.col("nth") == 0, F.col("samples")).otherwise(F.lit(0).cast("bigint")).alias("samples"), "last_us")
