@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import signatures, texts, vectors
+from treeline.operators import shingles, signatures, texts, vectors
 from treeline.operators.components import components
 
 
@@ -237,6 +237,66 @@ def test_an_id_with_several_texts_loses_no_pair(spark):
     assert {(i, j) for (i, x), (j, y) in itertools.product(kept, kept) if i < j and len(x & y) >= 0.6 * len(x | y)} <= {(r.a, r.b) for r in got}
 
 
+@pytest.mark.parametrize("asked", ["near_duplicate_pairs", "near_duplicate_forest"])
+def test_tables_hold_postings_that_meet_and_no_sets_of_pairs(spark, monkeypatch, asked):
+    rnd = random.Random(31)
+    alone = [(i, " ".join(f"{i}w{rnd.randrange(10**9)}" for _ in range(300))) for i in range(40)]
+    base = [f"w{i}" for i in range(300)]
+    near = [(100 + i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(0, 300, 20)]
+    docs = spark.createDataFrame([*alone, *near], "doc_id bigint, text string").repartition(4)
+    postings, moved, stored, join = [], [], texts._stored, texts.skew_join
+
+    def counted(df, path):
+        out = stored(df, path)
+        if "h" in out.columns:
+            postings.append(out.count())
+        return out
+
+    def watched(left, *rest, **named):
+        moved.extend(kind for _, kind in left.dtypes)
+        return join(left, *rest, **named)
+
+    monkeypatch.setattr(texts, "_stored", counted)
+    monkeypatch.setattr(texts, "skew_join", watched)
+    links = getattr(texts, asked)(docs, 0.9).collect()
+    assert len(links) == (15 * 14 // 2 if asked == "near_duplicate_pairs" else 14)
+    # the rarest tenth of either text's shingles is posted, and unrelated texts meet no other
+    assert 0 < max(postings) <= 15 * 31
+    assert moved and not any("array" in kind or kind == "binary" for kind in moved)
+
+
+def test_shingles_of_texts_at_once(monkeypatch):
+    rnd = random.Random(41)
+    given = ["a", "a b", "a b c", "A\tb\r\n c  ", "c b a", "é 界 x", "one", "x" * 3000,
+             *[" ".join(rnd.choice(["", "u", "v", "ww", "é"]) for _ in range(rnd.randrange(1, 400))) + " end" for _ in range(60)]]
+    monkeypatch.setattr(shingles, "_BYTES_AT_ONCE", 200)
+    plain = [shingles.plain(t.lower().encode()) for t in given]
+    sets = [shingles.distinct(h) for h in shingles.shingles(plain)]
+    want = [_shingle_set(t) for t in given]
+    assert [t.decode().split(" ") for t in plain] == [t.lower().split() for t in given]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    a, b = (np.array(x) for x in zip(*itertools.product(range(len(sets)), repeat=2)))
+    assert shingles.common(sets, a, b).tolist() == [len(want[i] & want[j]) for i, j in zip(a, b)]
+    monkeypatch.setattr(shingles, "_HASHES_AT_ONCE", 50)
+    assert shingles.common(sets, a, b).tolist() == [len(want[i] & want[j]) for i, j in zip(a, b)]
+    assert [shingles.whole(shingles.squeezed(t)) for t in plain] == plain
+
+
+def test_bits_miss_no_hash(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    h = rnd.integers(-(1 << 63), 1 << 63, 5000)
+    monkeypatch.setattr(shingles, "_HASHES_PER_SLICE", 100)
+    often = np.concatenate([h, h[:300], h[:300]])
+    table = spark.createDataFrame([(int(x),) for x in often], "h bigint").repartition(5)
+    there, twice = shingles.bits(table, len(h)), shingles.bits(table, len(h), several=True)
+    assert there.of(h.view(np.uint64)).all() and twice.of(h[:300].view(np.uint64)).all()
+    other = rnd.integers(-(1 << 63), 1 << 63, 5000).view(np.uint64)
+    assert there.of(other).mean() < 0.12 and twice.of(h[300:].view(np.uint64)).mean() < 0.02
+    packed = spark.createDataFrame([(bytearray(h[i : i + 50].tobytes()),) for i in range(0, 5000, 50)], "head binary")
+    assert shingles.bits(packed, len(h)).of(h.view(np.uint64)).all()
+    assert not shingles.bits(table.filter("h IS NULL"), 0).of(h.view(np.uint64)).any()
+
+
 def test_letters_are_counted_in_one_pass(spark):
     from treeline.catalog import similarity_queries as queries
 

@@ -3,54 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from treeline.functions.columns import as_col, once
+from treeline.functions.columns import as_col
+from treeline.operators import shingles
 from treeline.operators.components import components
 from treeline.session import cut_lineage, discard, scratch
 from treeline.skew import skew_join, skew_self_join
 
-WORDS = 3
 _POSTINGS_PER_TASK = 20_000
-#: Buckets of the corpus-wide shingle counts that order the shingles: half a megabyte.
-_BUCKETS = 1 << 16
-#: Buckets of ids by which a scan skips texts that no candidate needs; a table of them is broadcast.
-_ID_BUCKETS = 1 << 20
+#: Shingles of texts that a task compares with each other; a text counts as this many more.
+_SHINGLES_PER_BLOCK, _PER_TEXT = 1_000_000, 1_000
 
 
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(as_col(text)), "[ \\t\\r\\n]+"), lambda w: w != "")
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words, n, hashes) of every text that has a word, in one pass: a digest of its
-    words, and the distinct runs of three words as ``n`` 64-bit hashes. A text of one or two
-    words is a run of its own.
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.lower(as_col(text_col)).alias("text"))
 
-    Shifted copies of the word array are zipped, so every word is handled once per shift;
-    each step is computed once per row.
-    """
-    def joined(a: Column, b: Column) -> Column:
-        return F.concat(a, F.lit(" "), b)
-
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = once(named, _w=tokens("text")).filter(F.size("_w") > 0)
-    count = F.size("_w")
-    runs = once(
-        words,
-        _r=F.when(count < WORDS, F.array(F.array_join("_w", " "))).otherwise(F.array_compact(F.zip_with(
-            F.zip_with("_w", F.slice("_w", F.lit(2), count), joined), F.slice("_w", F.lit(3), count), joined,
-        ))),
-    )
-    sets = once(runs, hashes=F.array_distinct(F.transform("_r", lambda r: F.xxhash64(r))))
-    return sets.select("id", F.sha2(F.array_join("_w", " "), 256).alias("words"), F.size("hashes").alias("n"), "hashes")
+
+def _typed(named: DataFrame, rest: str) -> T.StructType:
+    """A schema that begins with the id."""
+    return T.StructType([T.StructField("id", named.schema["id"].dataType), *T._parse_datatype_string(rest).fields])
 
 
-def _word_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return once(named, words=F.sha2(F.array_join(tokens("text"), " "), 256)).select("id", "words")
+def _word_digests(named: DataFrame) -> DataFrame:
+    """(id, words) of every text: a digest of its words, null without a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if t is None else shingles.digest(shingles.plain(t)) for t in shingles.texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "words"])
+
+    return named.select("id", "text").mapInArrow(run, _typed(named, "words binary"))
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,56 +50,135 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Only digests are grouped, so copies of one text collapse before the shuffle.
     """
-    keyed = cut_lineage(_word_digests(docs, id_col, text_col))
+    keyed = cut_lineage(_word_digests(_named(docs, id_col, text_col)))
     reps = keyed.groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return skew_join(keyed, reps, ["words"], "inner", ["id"], rows_per_key="copies").select(
         "rep", "id", "copies"
     )
 
 
-def _levels(sets: DataFrame) -> bytes:
-    """How often the shingles of each bucket occur in all texts: two bytes per bucket that
-    sort like the counts. The table reaches the driver; its size is fixed."""
-    bucket = F.pmod("h", F.lit(_BUCKETS)).cast("int")
-    found = sets.select(F.explode("hashes").alias("h")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    out = bytearray(2 * _BUCKETS)
-    for row in found.collect():
-        out[2 * row.b : 2 * row.b + 2] = min(int(math.log2(row.c + 1) * 1024), 0xFFFF).to_bytes(2, "big")
-    return bytes(out)
+def _survey(named: DataFrame) -> DataFrame:
+    """(id, words, n) of every text that has a word: a digest of its words and the number of its
+    distinct shingles. Each task adds rows (part, counts): how often it met the shingles of each bucket."""
+    schema = _typed(named, "words binary, n int, part int, counts binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, kind = shingles.Counts(), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            held = [(i, shingles.plain(t)) for i, t in enumerate(shingles.texts_of(batch.column(1))) if t is not None]
+            held = [(i, words) for i, words in held if words]
+            sizes = []
+            for each in shingles.shingles([words for _, words in held]):
+                counts.add(each)
+                sizes.append(len(shingles.distinct(each)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array([i for i, _ in held], pa.int64())), pa.array([shingles.digest(words) for _, words in held], pa.binary()),
+                 pa.array(sizes, pa.int32()), pa.nulls(len(held), pa.int32()), pa.nulls(len(held), pa.binary())], names=schema.names)
+        if kind is not None:
+            packed = counts.packed()
+            rows = len(packed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(rows, kind), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int32()),
+                 pa.array(range(rows), pa.int32()), pa.array(packed, pa.binary())], names=schema.names)
+
+    return named.select("id", "text").mapInArrow(run, schema)
+
+
+def _texts_among(named: DataFrame, ids: shingles.Bits, schema: T.StructType, found) -> DataFrame:
+    """What ``found`` makes of the ids and the words of the texts with these ids and few others; texts
+    without a word are left out."""
+    wanted = named.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = np.flatnonzero(wanted.value.of(batch.column(0).to_numpy().view(np.uint64)))
+            given = shingles.texts_of(batch.column(2).take(pa.array(there)))
+            held = [(i, words) for i, t in zip(there.tolist(), given, strict=True) if t is not None and (words := shingles.plain(t))]
+            if held:
+                yield found(batch.column(1).take(pa.array([i for i, _ in held], pa.int64())), [words for _, words in held])
+
+    keyed = named.filter(F.col("id").isNotNull()).select(F.xxhash64("id"), "id", "text")
+    return keyed.mapInArrow(run, schema)
+
+
+def _heads(named: DataFrame, ids: shingles.Bits, levels: bytes, threshold: float) -> DataFrame:
+    """(id, n, head) of the texts with these ids and few others: how many shingles they have, and the
+    rarest of them, packed; two texts at the threshold share one of these."""
+    schema = _typed(named, "n int, head binary")
+    known = named.sparkSession.sparkContext.broadcast(levels)
+
+    def found(ids: pa.Array, words: list[bytes]) -> pa.RecordBatch:
+        grades, sizes, heads = np.frombuffer(known.value, dtype=np.uint8), [], []
+        for each in shingles.shingles(words):
+            ordered = shingles.rare_first(each, grades)
+            n = len(ordered)
+            sizes.append(n)
+            heads.append(ordered[: n - math.ceil(threshold * n - 1e-9) + 1].astype("<u8").tobytes())
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())], names=schema.names)
+
+    return _texts_among(named, ids, schema, found)
+
+
+def _postings(heads: DataFrame, met: shingles.Bits) -> DataFrame:
+    """(id, n, at, h) of the shingles in heads, as far as the table has them."""
+    schema = _typed(heads, "n int, at int, h bigint")
+    wanted = heads.sparkSession.sparkContext.broadcast(met)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                blobs = part.column(2).to_pylist()
+                sizes = np.array([len(x) // 8 for x in blobs])
+                h = np.frombuffer(b"".join(blobs), dtype="<u8")
+                kept = np.flatnonzero(wanted.value.of(h))
+                row = np.repeat(np.arange(len(blobs)), sizes)[kept]
+                at = kept - (np.cumsum(sizes) - sizes)[row]
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(h[kept].view(np.int64))],
+                    names=schema.names)
+
+    return heads.mapInArrow(run, schema)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows written in columns: postings take a fifth of what they take in a checkpoint."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _prefixes(
-    docs: DataFrame, threshold: float, id_col: str, text_col: str
+def _met(
+    docs: DataFrame, threshold: float, id_col: str, text_col: str, path: str
 ) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """(id, text) of all texts, (id, copies) of the distinct ones, and the postings
-    (id, n, place, h) of their rarest shingles, those of copies too and not yet stored: two texts at the
-    threshold share one of them. Last the threshold by which places rule out pairs of ids: 0,
-    that is none, if an id has several texts, whose postings would be taken for those of one.
+    """(id, text) of all texts, (id, copies, n) of the distinct ones, and the postings (id, n, at, h) of their
+    rarest shingles that another text has too (and few others), stored at the path. Last the threshold by which
+    places rule out pairs of ids: 0, that is none, if an id has several texts, whose postings would be taken for
+    those of one.
 
-    Shingle sets take more room than the texts, so every job computes those it needs.
+    Most postings meet no other. What is shuffled of all are four bytes each, to find out which ones do.
     """
-    sets = shingle_sets(docs, id_col, text_col)
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = once(named, _w=tokens("text")).filter(F.size("_w") > 0)
-    keyed = words.select("id", F.sha2(F.array_join("_w", " "), 256).alias("words"))
+    spark = docs.sparkSession
+    named = _named(docs, id_col, text_col)
+    surveyed, headed = scratch(spark, "survey"), scratch(spark, "heads")
+    survey = _stored(_survey(named), surveyed)
+    keyed = survey.filter("part IS NULL")
     reps = cut_lineage(
-        keyed.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+        keyed.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+        .select("id", "copies", "n")
     )
-    text = F.xxhash64("words")
-    several = keyed.groupBy("id").agg(F.min(text).alias("x"), F.max(text).alias("y")).filter("x <> y")
+    several = keyed.groupBy("id").agg(F.min("words").alias("x"), F.max("words").alias("y")).filter("x <> y")
     bound = threshold if several.isEmpty() else 0.0
-    levels = F.lit(_levels(sets))
-    ordered = F.sort_array(F.transform("hashes", lambda h: F.struct(
-        F.substr(levels, (F.pmod(h, F.lit(_BUCKETS)) * 2 + 1).cast("int"), F.lit(2)).alias("c"), h.alias("h"))))
-    reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    heads = sets.select("id", "n", F.posexplode(F.slice(ordered, F.lit(1), reach)).alias("at", "s"))
-    return named, reps, heads.select("id", "n", "at", F.col("s.h").alias("h")), bound
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """The rows written in columns: postings take a fifth of what they take in a checkpoint."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    levels = shingles.levels(survey.filter("part IS NOT NULL"))
+    discard(spark, surveyed)
+    wanted = shingles.bits(reps.filter("id IS NOT NULL").select(F.xxhash64("id").alias("h")), reps.count())
+    heads = _stored(_heads(named, wanted, levels, threshold), headed)
+    count = heads.agg(F.sum(F.length("head"))).first()[0] or 0
+    found = shingles.bits(heads.select("head"), count // 8, several=True)
+    met = _stored(_postings(heads, found).join(reps.select("id"), "id", "left_semi"), path)
+    discard(spark, headed)
+    return named, reps, met, bound
 
 
 def _alike(n: Column | str, m: Column | str, threshold: float) -> Column:
@@ -128,38 +199,78 @@ def _can_reach(met: DataFrame, by: list[str], threshold: float) -> DataFrame:
     return pairs.filter(enough).drop("_more", "_both")
 
 
-def _maybe_among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts with these ids and few others, found by the scan. What is broadcast is at
-    most a number for each bucket, however many ids there are."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(_ID_BUCKETS)).cast("int").alias("_bucket")
-    table = F.broadcast(ids.select(bucket).distinct())
-    return texts.select("*", bucket).join(table, "_bucket", "left_semi").drop("_bucket")
+def _blocks(candidates: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, copies, block, rows) of the texts in candidates, with how many they are in. Texts whose least
+    partner is the same are in one block, unless they are too many for a task."""
+    sides = candidates.select(F.col("a").alias("id"), "a").unionByName(candidates.select(F.col("b").alias("id"), "a"))
+    asked = cut_lineage(
+        sides.groupBy("id").agg(F.min("a").alias("least"), F.count(F.lit(1)).alias("rows")).join(reps, "id")
+        .withColumn("weight", F.col("n") + F.lit(_PER_TEXT))
+    )
+    blocks = max(1, -(-(asked.agg(F.sum("weight")).first()[0] or 0) // _SHINGLES_PER_BLOCK))
+    large = asked.groupBy("least").agg(F.ceil(F.sum("weight") / _SHINGLES_PER_BLOCK).cast("int").alias("slots")).filter("slots > 1")
+    own = F.xxhash64("least", F.pmod(F.xxhash64("id"), F.col("slots")))
+    block = F.coalesce(own, F.pmod(F.xxhash64("least"), F.lit(blocks)))
+    return asked.join(large, "least", "left").select("id", "copies", "rows", block.alias("block"))
+
+
+def _similarities(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y, a, b) of texts (x, y, id, copies, words) that reach the threshold, by their whole sets. All
+    texts of the same x and y are compared by one task, which computes each set once."""
+    kind = texts.schema["id"].dataType
+    schema = T.StructType([
+        T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType()),
+        T.StructField("copies_a", T.LongType()), T.StructField("copies_b", T.LongType()),
+    ])
+
+    def run(given: pa.Table, asked: pa.Table) -> pa.Table:
+        p, q = len(given), len(asked)
+        ids = pa.concat_arrays([x.combine_chunks() for x in (given["id"], asked["a"], asked["b"])])
+        number = ids.dictionary_encode().indices.to_numpy()
+        # an id may have several rows: pairs are those of all of them
+        order = np.argsort(number[:p], kind="stable")
+        first, last = (np.searchsorted(number[:p][order], number[p:], side).astype(np.int64) for side in ("left", "right"))
+        rows = (last - first).reshape(2, q)
+        each = np.repeat(np.arange(q), rows[0] * rows[1])
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(rows[0] * rows[1]) - rows[0] * rows[1], rows[0] * rows[1])
+        a = order[first[:q][each] + nth // rows[1][each]]
+        b = order[first[q:][each] + nth % rows[1][each]]
+        sets = [shingles.distinct(h) for h in shingles.shingles([shingles.whole(x) for x in given["words"].to_pylist()])]
+        similarity = np.zeros(0)
+        if len(a):
+            shared, sizes = shingles.common(sets, a, b), np.array([len(s) for s in sets])
+            similarity = shared / (sizes[a] + sizes[b] - shared)
+        near = np.flatnonzero(similarity >= threshold)
+        pair, copies = pa.array(each[near]), given["copies"].combine_chunks()
+        return pa.Table.from_arrays(
+            [asked["a"].take(pair), asked["b"].take(pair), pa.array(similarity[near]),
+             copies.take(pa.array(a[near])), copies.take(pa.array(b[near]))], names=schema.names)
+
+    asked = pairs.select(F.col("x").alias("p_x"), F.col("y").alias("p_y"), "a", "b")
+    return texts.groupBy("x", "y").cogroup(asked.groupBy("p_x", "p_y")).applyInArrow(run, schema)
 
 
 def _verified(
     candidates: DataFrame, named: DataFrame, reps: DataFrame, threshold: float, limit: int
 ) -> DataFrame:
-    """Those of the candidates (a, b) that reach the threshold, by their whole sets, which are
-    computed for the texts in candidates. A text in very many candidates is spread over tasks."""
-    both = candidates.select("a", "b")
+    """Those of the candidates (a, b) that reach the threshold, by their whole sets. The words of a
+    text move once for each block that has a partner, not for each partner."""
+    blocks = cut_lineage(_blocks(candidates, reps))
+    placed = candidates.select("a", "b")
     for x, other in (("a", "b"), ("b", "a")):
-        often = candidates.groupBy(F.col(x).alias("id")).agg(F.count(F.lit(1)).alias("_rows"))
-        known = often.join(reps, "id")
-        asked = shingle_sets(_maybe_among(named, often), "id", "text")
-        judged = asked.select("id", "hashes", "n").join(known, "id")
-        names = (("id", x), ("hashes", f"set_{x}"), ("n", f"n_{x}"), ("copies", f"copies_{x}"))
-        hot = often.filter(F.col("_rows") > limit).select(
-            F.col("id").alias(x), F.ceil(F.col("_rows") / limit).cast("int").alias("_slots"))
-        side = judged.select(*[F.col(c).alias(out) for c, out in names])
-        both = skew_join(both, side, [x], "inner", [other], limit, hot=hot)
-    common_count = F.size(F.array_intersect("set_a", "set_b"))
-    jaccard = F.col("_common") / (F.col("n_a") + F.col("n_b") - F.col("_common"))
-    return (
-        once(both, _common=common_count)
-        .withColumn("similarity", jaccard)
-        .filter(F.col("similarity") >= threshold)
-        .select("a", "b", "similarity", "copies_a", "copies_b")
-    )
+        side = blocks.groupBy(F.col("id").alias(x)).agg(F.first("block").alias(f"_{x}"), F.first("rows").alias("_rows"))
+        placed = skew_join(placed, side, [x], "inner", [other], limit, rows_per_key="_rows").drop("_rows")
+    pairs = cut_lineage(placed.select("a", "b", F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y")))
+    ends = F.explode(F.array("a", "b")).alias("id")
+    places = pairs.select(ends, "x", "y").distinct().join(blocks.select("id", "copies"), "id")
+    schema = _typed(named, "words binary")
+
+    def found(ids: pa.Array, words: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array([shingles.squeezed(x) for x in words], pa.binary())], names=schema.names)
+
+    wanted = shingles.bits(blocks.select(F.xxhash64("id").alias("h")), blocks.count())
+    texts = _texts_among(named, wanted, schema, found).join(places, "id")
+    return _similarities(texts.select("x", "y", "id", "copies", "words"), pairs, threshold)
 
 
 def near_duplicate_pairs(
@@ -172,16 +283,13 @@ def near_duplicate_pairs(
     """All pairs (a < b) of distinct texts with Jaccard >= threshold, once each, with the
     number of copies of either side. Texts without a word are in no pair.
 
-    Only hashes of shingles move: the postings, then the sets of texts in candidates. A pair at the
-    threshold shares one of the first n - ceil(t*n) + 1 shingles of either text in any order
+    A pair at the threshold shares one of the first n - ceil(t*n) + 1 shingles of either text in any order
     that is the same for all, so only those are joined; rare ones come first, by counts per
     bucket. Exact up to equal 64-bit hashes: nothing is capped or sampled.
     """
     spark = docs.sparkSession
-    named, reps, prefix, bound = _prefixes(docs, threshold, id_col, text_col)
-    all_path, met_path = scratch(spark, "postings"), scratch(spark, "met-postings")
-    prefix = _stored(_met(_stored(prefix, all_path), reps, limit), met_path)
-    discard(spark, all_path)
+    met_path = scratch(spark, "met-postings")
+    named, reps, prefix, bound = _met(docs, threshold, id_col, text_col, met_path)
 
     def possible(left: str, right: str) -> Column:
         return (F.col(left + "id") < F.col(right + "id")) & _alike(left + "n", right + "n", threshold)
@@ -192,14 +300,6 @@ def near_duplicate_pairs(
     return _verified(candidates, named, reps, threshold, limit)
 
 
-def _met(prefix: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
-    """Postings of distinct texts whose shingle another row has too. Most have not, so these
-    are looked up by counts before anything is joined by id."""
-    counts = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    met = skew_join(prefix, counts, ["h"], "inner", ["id"], limit, rows_per_key="rows").drop("rows")
-    return met.join(reps.select("id"), "id", "left_semi")
-
-
 def _shared_postings(prefix: DataFrame, limit: int) -> DataFrame:
     """Postings whose shingle another text has too, with the least (id, n, place) of their list."""
     lists = (
@@ -254,10 +354,8 @@ def near_duplicate_forest(
     left out.
     """
     spark = docs.sparkSession
-    all_path, met_path, shared_path = (scratch(spark, x) for x in ("postings", "met-postings", "shared-postings"))
-    named, reps, prefix, bound = _prefixes(docs, threshold, id_col, text_col)
-    met = _stored(_met(_stored(prefix, all_path), reps, limit), met_path)
-    discard(spark, all_path)
+    met_path, shared_path = scratch(spark, "met-postings"), scratch(spark, "shared-postings")
+    named, reps, met, bound = _met(docs, threshold, id_col, text_col, met_path)
     shared = _stored(_shared_postings(met, limit), shared_path)
     discard(spark, met_path)
     tried = cut_lineage(_star_candidates(shared, threshold, bound))
