@@ -186,6 +186,14 @@ def _alike(n: Column | str, m: Column | str, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9
 
 
+def _may_be_first(l_n: str, l_at: str, r_n: str, r_at: str, threshold: float) -> Column:
+    """Whether a shingle may be the first that two texts at the threshold share: from it on either has
+    enough shingles. Of those that two texts share these come before all others, so a pair without one falls out
+    before it is counted."""
+    rest = F.least(F.col(l_n) - F.col(l_at), F.col(r_n) - F.col(r_at))
+    return rest >= F.lit(threshold / (1 + threshold)) * (F.col(l_n) + F.col(r_n)) - 1e-6
+
+
 def _can_reach(met: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Of pairs of postings (l_n, l_at, r_n, r_at), the pairs by these columns that can reach the
     threshold, with ``times``, how many they are. All that two texts share up to the last shingle
@@ -292,7 +300,8 @@ def near_duplicate_pairs(
     named, reps, prefix, bound = _met(docs, threshold, id_col, text_col, met_path)
 
     def possible(left: str, right: str) -> Column:
-        return (F.col(left + "id") < F.col(right + "id")) & _alike(left + "n", right + "n", threshold)
+        first = _may_be_first(left + "n", left + "at", right + "n", right + "at", bound)
+        return (F.col(left + "id") < F.col(right + "id")) & _alike(left + "n", right + "n", threshold) & first
 
     met = skew_self_join(prefix, ["h"], possible, ["id"], limit).withColumnsRenamed({"l_id": "a", "r_id": "b"})
     candidates = cut_lineage(_can_reach(met, ["a", "b"], bound).select("a", "b"))
@@ -314,6 +323,7 @@ def _star_candidates(shared: DataFrame, threshold: float, bound: float) -> DataF
     met = shared.filter((F.col("id") != F.col("centre.id")) & _alike("n", "centre.n", threshold))
     sides = met.select("id", F.col("centre.id").alias("centre"), F.col("n").alias("l_n"), F.col("at").alias("l_at"),
                        F.col("centre.n").alias("r_n"), F.col("centre.at").alias("r_at"))
+    sides = sides.filter(_may_be_first("l_n", "l_at", "r_n", "r_at", bound))
     times = _can_reach(sides, ["id", "centre"], bound)
     best = times.groupBy("id").agg(F.max(F.struct("times", "centre")).alias("best"))
     return best.select(F.col("best.centre").alias("a"), F.col("id").alias("b"))
@@ -332,7 +342,8 @@ def _candidates_between(
 
     def possible(x: str, y: str) -> Column:
         apart = F.col(x + "group") != F.col(y + "group")
-        return (F.col(x + "id") < F.col(y + "id")) & apart & _alike(x + "n", y + "n", threshold)
+        first = _may_be_first(x + "n", x + "at", y + "n", y + "at", bound)
+        return (F.col(x + "id") < F.col(y + "id")) & apart & _alike(x + "n", y + "n", threshold) & first
 
     found = skew_self_join(left, ["h"], possible, ["id"], limit).withColumnsRenamed({"l_id": "a", "r_id": "b"})
     return _can_reach(found, ["a", "b"], bound).select("a", "b").join(tried, ["a", "b"], "left_anti")
