@@ -219,6 +219,21 @@ def test_places_rule_out_pairs_before_whole_sets_move(spark, monkeypatch):
     assert [(r.a, r.b, r.similarity) for r in near] == [(0, 1, 88 / 112)]
 
 
+@pytest.mark.parametrize("asked", ["near_duplicate_pairs", "near_duplicate_forest"])
+def test_a_pair_that_meets_too_late_is_not_counted(spark, monkeypatch, asked):
+    common = [f"c{i}" for i in range(90)]
+    docs = spark.createDataFrame([(k, " ".join([f"{k}own{i}" for i in range(12)] + common)) for k in range(2)], "doc_id bigint, text string")
+    met, real = [], texts._can_reach
+
+    def counted(postings, *rest):
+        met.append(postings.count())
+        return real(postings, *rest)
+
+    monkeypatch.setattr(texts, "_can_reach", counted)
+    assert getattr(texts, asked)(docs, 0.85).count() == 0
+    assert met and not any(met)  # four shingles are in both prefixes, but too few come from the first of them on
+
+
 def test_an_id_with_several_texts_loses_no_pair(spark):
     rnd = random.Random(23)
     base = [f"w{i}" for i in range(60)]

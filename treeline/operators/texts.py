@@ -32,7 +32,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _typed(named: DataFrame, rest: str) -> T.StructType:
     """A schema that begins with the id."""
-    return T.StructType([T.StructField("id", named.schema["id"].dataType), *T._parse_datatype_string(rest).fields])
+    return T.StructType([T.StructField("id", named.schema["id"].dataType), *T.StructType.fromDDL(rest).fields])
 
 
 def _word_digests(named: DataFrame) -> DataFrame:
